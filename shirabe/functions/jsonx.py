@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def is_json(text: Column) -> Column:
@@ -26,7 +27,7 @@ def json_amount(text: Column, path: str, to: str = "decimal(10,2)") -> Column:
     return F.get_json_object(text, path).try_cast(to)
 
 
-_LEAF = "array<struct<path:string,value:string>>"
+_LEAF = T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("value", T.StringType())]))
 
 
 def _leaves(value: object, path: str) -> Iterator[tuple[str, str | None]]:

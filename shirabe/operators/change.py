@@ -75,9 +75,9 @@ def track_history(current: DataFrame, history: DataFrame, keys: list[str], day:
     """First/last-seen history: new keys start today, seen keys move their last day.
 
     ``history`` has the columns of ``current`` plus ``first_seen`` and ``last_seen``;
-    a known key keeps its stored columns. Rows of ``current`` are unique per key.
+    a known key keeps its stored columns.
     """
-    seen = current.select(*keys).withColumn("_hit", F.lit(True))
+    seen = current.select(*keys).distinct().withColumn("_hit", F.lit(True))
     last = F.when(F.col("_hit"), F.lit(day)).otherwise(F.col("last_seen"))
     kept = history.join(seen, keys, "left").select(
         *[last.alias(c) if c == "last_seen" else F.col(c) for c in history.columns]

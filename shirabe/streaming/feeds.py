@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shirabe.operators.window import latest_per_key
 from shirabe.session import scratch_path
 
 
@@ -16,6 +17,12 @@ def read_events(spark: SparkSession, path: str, schema: T.StructType, files_per_
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = location.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(location) and fs.getFileStatus(location).isFile():
+        # A stream watches folders: watch the parent for this one name.
+        folder, name = location.getParent().toString(), location.getName()
+        return reader.option("pathGlobFilter", name).parquet(folder)
     return reader.parquet(path)
 
 
@@ -53,6 +60,12 @@ def drain(df: DataFrame, *, mode: str = "append") -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{path}/out")
 
 
+def _earlier(spark: SparkSession, sink: str, schema: T.StructType, batch_id: int) -> DataFrame:
+    """Rows written by the batches before ``batch_id``."""
+    layout = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    return spark.read.schema(layout).parquet(sink).filter(F.col("batch") < batch_id)
+
+
 def append_batches(keys: list[str], sink: str) -> Callable[[DataFrame, int], None]:
     """foreachBatch handler that adds the rows whose key the sink does not hold yet.
 
@@ -61,11 +74,10 @@ def append_batches(keys: list[str], sink: str) -> Callable[[DataFrame, int], Non
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         fresh = batch.dropDuplicates(keys)
         if batch_id > 0:
-            earlier = spark.read.schema(batch.schema).parquet(*[f"{sink}/batch={i}" for i in range(batch_id)])
-            fresh = fresh.join(earlier.select(*keys), keys, "left_anti").select(*batch.columns)
+            known = _earlier(batch.sparkSession, sink, batch.schema, batch_id).select(*keys)
+            fresh = fresh.join(known, keys, "left_anti").select(*batch.columns)
         fresh.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
     return handle
@@ -85,16 +97,20 @@ def fan_out(sinks: list[str]) -> Callable[[DataFrame, int], None]:
     return handle
 
 
-def upsert_batches(keys: list[str], table: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch handler for a keyed upsert; every batch writes a new version folder."""
+def upsert_batches(sink: str) -> Callable[[DataFrame, int], None]:
+    """foreachBatch handler for a keyed upsert: each batch is written as a folder of changes.
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        from shirabe.operators.change import upsert
+    Nothing is rewritten per batch; ``current_rows`` gives the state of the table.
+    """
 
-        rows = batch
-        if batch_id > 0:
-            before = batch.sparkSession.read.schema(batch.schema).parquet(f"{table}/v={batch_id - 1}")
-            rows = upsert(before, batch, keys)
-        rows.write.mode("overwrite").parquet(f"{table}/v={batch_id}")
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
     return handle
+
+
+def current_rows(spark: SparkSession, sink: str, schema: T.StructType, keys: list[str]) -> DataFrame:
+    """The newest row of each key over the change folders of ``upsert_batches``."""
+    layout = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    changes = spark.read.schema(layout).parquet(sink)
+    return latest_per_key(changes, keys, ["batch"]).select(*schema.fieldNames())

@@ -114,7 +114,7 @@ def window_alerts(windows: DataFrame, keys: list[str], order: list[str], value:
 
 def session_aggs(kind: str, counted: dict[str, str], amount: Column) -> list[Column]:
     """Counts per event type and the amount of a session."""
-    per_type = [F.count_if(F.col(kind) == value).alias(name) for name, value in counted.items()]
+    per_type = [F.count_if(F.col(kind) == value).alias(name) for value, name in counted.items()]
     return [count_rows("total_events"), *per_type, F.coalesce(F.sum(amount), F.lit(0)).alias("total_purchase_amount")]
 
 

@@ -34,7 +34,7 @@ def normal(df: pd.DataFrame) -> list[tuple]:
     def one(v):
         if v is None or v is pd.NaT or (not isinstance(v, (list, dict)) and pd.api.types.is_scalar(v) and pd.isna(v)):
             return "<null>"
-        if isinstance(v, bool) or type(v).__name__ == "bool_":
+        if isinstance(v, bool) or type(v).__name__ in ("bool_", "bool"):
             return str(bool(v))
         if isinstance(v, pd.Timestamp):
             return v.isoformat()
