@@ -71,7 +71,7 @@ OWNERS = """owners AS (
 
 def alert_history(t: Tables) -> DataFrame:
     key = F.col("o_orderkey")
-    return t.orders.filter(key % 4 == 0).select(
+    return t.orders.filter("o_orderdate < TIMESTAMP_NTZ '1997-01-01 00:00:00'").select(
         key.alias("invoice_no"),
         (key % 1000).alias("mgmt_no"),
         F.col("o_custkey").cast("string").alias("pay_contract"),
@@ -82,7 +82,7 @@ def alert_history(t: Tables) -> DataFrame:
 
 
 HISTORY = """history AS (SELECT o_orderkey AS invoice_no, o_orderkey % 1000 AS mgmt_no, CAST(o_custkey AS VARCHAR) AS pay_contract,
-  'M-old' AS member_id, '2001/06/01' AS first_seen, '2001/06/15' AS last_seen FROM orders WHERE o_orderkey % 4 = 0)"""
+  'M-old' AS member_id, '2001/06/01' AS first_seen, '2001/06/15' AS last_seen FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01')"""
 
 
 def _alert_tables(t: Tables) -> dict[str, DataFrame]:
@@ -194,31 +194,33 @@ def power_contracts(t: Tables) -> DataFrame:
     key = F.col("o_orderkey")
     return t.orders.select(
         key.alias("sa_id"),
-        F.col("o_custkey").alias("supply_point"),
+        F.concat_ws("-", F.col("o_custkey").cast("string"), F.left("o_orderpriority", F.lit(1))).alias("supply_point"),
         F.when(key % 3 == 0, None).otherwise(F.col("o_custkey").cast("string")).alias("reg_no"),
         F.when(key % 4 == 0, None).otherwise(key % 23).alias("person"),
         (key % 41).alias("kana"),
         F.when(key % 5 == 0, None).otherwise(key % 53).alias("phone"),
         F.date_format("o_orderdate", "yyyyMMdd").alias("start_ymd"),
-        # A fixed day registers one order in ten, so that a daily run has rows at any scale.
-        F.when(key % 10 == 3, "20010630").otherwise(F.date_format("o_orderdate", "yyyyMMdd")).alias("registered_ymd"),
+        # Everything started since May is registered on one day, so that a daily run has rows at any scale.
+        F.when(F.col("o_orderdate") >= F.lit("2001-05-01 00:00:00").cast("timestamp_ntz"), "20010630")
+        .otherwise(F.date_format("o_orderdate", "yyyyMMdd"))
+        .alias("registered_ymd"),
         F.when(key % 7 == 0, "C").otherwise("A").alias("update_kind"),
         F.when(key % 2 == 0, "ESLVY").otherwise("ESOTH").alias("contract_type"),
     )
 
 
-POWER = """power AS (SELECT o_orderkey AS sa_id, o_custkey AS supply_point,
+POWER = """power AS (SELECT o_orderkey AS sa_id, CAST(o_custkey AS VARCHAR) || '-' || left(o_orderpriority, 1) AS supply_point,
   CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_custkey AS VARCHAR) END AS reg_no,
   CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderkey % 23 END AS person, o_orderkey % 41 AS kana,
   CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey % 53 END AS phone, strftime(o_orderdate, '%Y%m%d') AS start_ymd,
-  CASE WHEN o_orderkey % 10 = 3 THEN '20010630' ELSE strftime(o_orderdate, '%Y%m%d') END AS registered_ymd,
+  CASE WHEN o_orderdate >= TIMESTAMP '2001-05-01' THEN '20010630' ELSE strftime(o_orderdate, '%Y%m%d') END AS registered_ymd,
   CASE WHEN o_orderkey % 7 = 0 THEN 'C' ELSE 'A' END AS update_kind,
   CASE WHEN o_orderkey % 2 = 0 THEN 'ESLVY' ELSE 'ESOTH' END AS contract_type FROM orders)"""
 
-# The thanks history: contracts whose number is divisible by 11 were thanked before.
+# The thanks history: contracts started before 1996 were thanked before.
 THANKS = f"""{POWER}, {OWNERS}, ops AS (SELECT l_orderkey AS sa_id, strftime(l_shipdate, '%Y%m%d') AS applied FROM lineitem
   WHERE l_linestatus = 'O' AND l_returnflag = 'N'),
-old AS (SELECT supply_point, reg_no, sa_id, start_ymd, start_ymd AS applied, contract_type, '20010601' AS run_ymd FROM power WHERE sa_id % 11 = 0),
+old AS (SELECT supply_point, reg_no, sa_id, start_ymd, start_ymd AS applied, contract_type, '20010601' AS run_ymd FROM power WHERE start_ymd < '19960101'),
 batch AS (SELECT DISTINCT c.supply_point, c.reg_no, c.sa_id, c.start_ymd, applied, c.contract_type, '20010701' AS run_ymd FROM power c JOIN ops o ON c.sa_id = o.sa_id
   WHERE update_kind = 'A' AND registered_ymd = '20010630' AND EXISTS (SELECT 1 FROM (SELECT count(DISTINCT ct.sa_id) AS n FROM power ct
     WHERE ct.supply_point = c.supply_point AND (ct.reg_no = c.reg_no OR ct.person = c.person OR ct.kana = c.kana OR ct.phone = c.phone)) WHERE n = 1)),
@@ -228,7 +230,7 @@ thanked AS (SELECT * FROM old UNION ALL SELECT * FROM batch b
 
 def _thanks_tables(t: Tables) -> dict[str, DataFrame]:
     contracts = power_contracts(t)
-    old = contracts.filter("sa_id % 11 = 0").select(
+    old = contracts.filter("start_ymd < '19960101'").select(
         "supply_point", "reg_no", "sa_id", "start_ymd", F.col("start_ymd").alias("applied"), "contract_type", F.lit("20010601").alias("run_ymd")
     )
     operations = t.lineitem.select(
@@ -325,7 +327,7 @@ ENTRY = """e AS (SELECT CASE WHEN user_id % 20 <> 0 THEN user_id END AS member_i
   'ap_power' WHEN 'purchase' THEN 'ap_quiz' ELSE event_type END AS event_name, ts AS event_time FROM events),
 entry AS (SELECT DISTINCT member_id, CASE event_name WHEN 'ap_gas' THEN 1 WHEN 'ap_power' THEN 2 WHEN 'ap_quiz' THEN 3 ELSE 99 END AS point_kind,
   CAST(event_time AS DATE) AS entry_date, event_time FROM e WHERE event_name IN ('ap_gas', 'ap_power', 'ap_quiz') AND member_id IS NOT NULL),
-known AS (SELECT DISTINCT member_id, point_kind, entry_date, '20240115' AS registered_ymd FROM entry WHERE entry_date < DATE '2024-01-15' AND member_id % 2 = 0),
+known AS (SELECT DISTINCT member_id, point_kind, entry_date, '20240115' AS registered_ymd FROM entry WHERE entry_date < DATE '2024-01-15'),
 batch AS (SELECT DISTINCT member_id, point_kind, entry_date, '20240130' AS registered_ymd FROM entry WHERE event_time >= TIMESTAMP '2023-12-31'),
 after AS (SELECT * FROM known UNION ALL SELECT * FROM batch b WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.member_id = b.member_id
   AND k.point_kind = b.point_kind AND k.entry_date = b.entry_date))"""
@@ -336,7 +338,7 @@ def _entry_tables(t: Tables) -> dict[str, DataFrame]:
     names = {n: k for n, k in lists.ENTRY_KINDS.items()}
     kind = F.coalesce(*[F.when(F.col("event_name") == n, F.lit(k)) for n, k in names.items()])
     known = (
-        events.filter(F.col("event_name").isin(*names) & (F.col("member_id") % 2 == 0))
+        events.filter(F.col("event_name").isin(*names) & F.col("member_id").isNotNull())
         .select("member_id", kind.alias("point_kind"), F.to_date("event_time").alias("entry_date"))
         .filter("entry_date < DATE '2024-01-15'")
         .distinct()
@@ -380,7 +382,7 @@ def _transaction_tables(t: Tables) -> dict[str, DataFrame]:
     )
     kinds = F.coalesce(*[F.when(F.col("remarks").startswith(p), F.lit(k)) for p, k in lists.REMARK_KINDS.items()])
     known = (
-        rows.filter("member_id % 2 = 0 AND processed_ymd < '20240120'")
+        rows.filter("processed_ymd < '20240120'")
         .select("member_id", kinds.alias("point_kind"), F.to_date("processed_ymd", "yyyyMMdd").alias("processed_date"))
         .filter("point_kind IS NOT NULL")
         .distinct()
@@ -393,8 +395,8 @@ def _transaction_tables(t: Tables) -> dict[str, DataFrame]:
 
 TRANSACTIONS = """tr AS (SELECT user_id AS member_id, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN 3 END AS point_kind,
   event_id % 3 < 2 AS coded, CAST(ts AS DATE) AS processed_date FROM events),
-known AS (SELECT DISTINCT member_id, point_kind, processed_date, '20240120' AS registered_ymd FROM tr WHERE member_id % 2 = 0
-  AND processed_date < DATE '2024-01-20' AND point_kind IS NOT NULL),
+known AS (SELECT DISTINCT member_id, point_kind, processed_date, '20240120' AS registered_ymd FROM tr
+  WHERE processed_date < DATE '2024-01-20' AND point_kind IS NOT NULL),
 batch AS (SELECT DISTINCT member_id, point_kind, processed_date, '20240130' AS registered_ymd FROM tr WHERE coded AND point_kind IS NOT NULL
   AND processed_date >= DATE '2024-01-16'),
 after AS (SELECT * FROM known UNION ALL SELECT * FROM batch b WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.member_id = b.member_id
@@ -432,8 +434,8 @@ def _slots(code: str) -> str:
     "job_usage_by_member",
     f"""WITH {roles.USAGE}, latest AS (SELECT * EXCLUDE (bx, line_no, quantity, user_key_type), CASE WHEN line_no = 7 THEN '017' ELSE user_key_type END AS user_key_type,
           CAST(quantity AS BIGINT) % 2 AS update_flag FROM usage),
-        mk AS (SELECT o_orderkey AS index_id, 'M' || CAST(o_custkey AS VARCHAR) AS member_id FROM orders WHERE o_orderkey % 3 = 0),
-        bk AS (SELECT o_orderkey AS index_id, 'B' || CAST(o_custkey AS VARCHAR) AS bx FROM orders WHERE o_orderkey % 5 <> 0),
+        mk AS (SELECT o_orderkey AS index_id, 'M' || CAST(o_custkey AS VARCHAR) AS member_id FROM orders WHERE o_orderstatus <> 'P'),
+        bk AS (SELECT o_orderkey AS index_id, 'B' || CAST(o_custkey AS VARCHAR) AS bx FROM orders WHERE o_orderpriority <> '5-LOW'),
         c AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY index_id, user_key_type, user_key, service_type, transfer_type, transfer_ymd,
           key_type1, key_type2, key_type3, service_key1, service_key2, service_key3, output_date ORDER BY update_flag DESC, amount) AS rn FROM latest l
           WHERE EXISTS (SELECT 1 FROM mk WHERE mk.index_id = l.index_id) AND user_key_type NOT IN ('017', '011')) WHERE rn = 1),
@@ -448,8 +450,8 @@ def job_usage_by_member(t: Tables) -> DataFrame:
     kind = F.when(F.col("line_no") == 7, "017").otherwise(F.col("user_key_type"))
     usage = usage.withColumns({"user_key_type": kind, "update_flag": F.col("quantity").cast("long") % 2}).drop("bx", "line_no", "quantity")
     owner = F.col("o_custkey").cast("string")
-    members = t.orders.filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("index_id"), F.concat(F.lit("M"), owner).alias("member_id"))
-    bx = t.orders.filter("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("index_id"), F.concat(F.lit("B"), owner).alias("bx"))
+    members = t.orders.filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("index_id"), F.concat(F.lit("M"), owner).alias("member_id"))
+    bx = t.orders.filter("o_orderpriority <> '5-LOW'").select(F.col("o_orderkey").alias("index_id"), F.concat(F.lit("B"), owner).alias("bx"))
     return marts.usage_by_member({"usage": usage, "member_keys": members, "bx_keys": bx})
 
 
@@ -585,14 +587,14 @@ def job_contract_flags(t: Tables) -> DataFrame:
     return marts.contract_flags({"contracts": owners, "gas": gas, "power": power})
 
 
-PRESENCE = f"""{roles.USAGE}, presence AS (SELECT NULLIF(bx, '5') AS member_id, max(CASE WHEN service_type = '001' THEN '1' ELSE '0' END) AS internal_area_gas,
+PRESENCE = f"""{roles.USAGE}, presence AS (SELECT NULLIF(index_id, 5) AS member_id, max(CASE WHEN service_type = '001' THEN '1' ELSE '0' END) AS internal_area_gas,
   max(CASE WHEN service_type = '010' THEN '1' ELSE '0' END) AS external_area_gas, max(CASE WHEN service_type = '006' THEN '1' ELSE '0' END) AS power
-  FROM usage WHERE transfer_type = '02' AND (line_no > 2 OR service_type = '010') AND index_id % 97 < 5 GROUP BY 1)"""
+  FROM usage WHERE transfer_type = '02' GROUP BY 1)"""
 
 
 def _presence(t: Tables) -> DataFrame:
-    rows = roles.usage(t).filter("(line_no > 2 OR service_type = '010') AND index_id % 97 < 5")
-    return marts.contract_presence(rows.withColumn("member_id", F.nullif("bx", F.lit("5"))), "member_id")
+    rows = roles.usage(t).withColumn("member_id", F.nullif("index_id", F.lit(5)))
+    return marts.contract_presence(rows, "member_id")
 
 
 @query(
@@ -620,7 +622,7 @@ def _score_rows(t: Tables) -> DataFrame:
         F.sha2(key.cast("string"), 256).alias("hashed_id"),
         F.when(key % 11 != 0, (key % 2).cast("string")).alias("internal_area_gas"),
         F.col("c_mktsegment").alias("internal_area_gas_menu"),
-        F.when(balance >= 0, balance / 10000).cast("decimal(6,5)").alias("pv_score"),
+        F.when(balance >= 0, (key * 7919 % 100000) / 100000).cast("decimal(6,5)").alias("pv_score"),
         F.when(key % 7 != 0, (key % 100) / 2).cast("decimal(5,2)").alias("age_score"),
     )
 
@@ -628,7 +630,7 @@ def _score_rows(t: Tables) -> DataFrame:
 @query(
     "job_contract_score_feed",
     """SELECT sha256(CAST(c_custkey AS VARCHAR)) AS user_id, CASE WHEN c_custkey % 11 <> 0 THEN c_custkey % 2 = 1 END AS gas, c_mktsegment AS menu,
-         CASE WHEN c_acctbal >= 0 THEN CAST(CAST(c_acctbal / 10000 AS DECIMAL(6,5)) AS DOUBLE) END AS pv_score,
+         CASE WHEN c_acctbal >= 0 THEN CAST(CAST((c_custkey * 7919 % 100000) / 100000.0 AS DECIMAL(6,5)) AS DOUBLE) END AS pv_score,
          CASE WHEN c_custkey % 7 <> 0 THEN (c_custkey % 100) / 2.0::DOUBLE END AS age_score FROM customer""",
 )
 def job_contract_score_feed(t: Tables) -> DataFrame:
@@ -656,7 +658,7 @@ def job_contract_score_feed(t: Tables) -> DataFrame:
 @query(
     "job_contract_score_text",
     """SELECT sha256(CAST(c_custkey AS VARCHAR)) AS user_id, CASE WHEN c_custkey % 11 = 0 THEN 'Null' WHEN c_custkey % 2 = 1 THEN 'true' ELSE 'false' END AS gas,
-         CASE WHEN c_acctbal < 0 THEN 'Null' ELSE printf('%.5f', CAST(CAST(c_acctbal / 10000 AS DECIMAL(6,5)) AS DOUBLE)) END AS pv_score,
+         CASE WHEN c_acctbal < 0 THEN 'Null' ELSE printf('%.5f', CAST(CAST((c_custkey * 7919 % 100000) / 100000.0 AS DECIMAL(6,5)) AS DOUBLE)) END AS pv_score,
          CASE WHEN c_custkey % 7 = 0 THEN 'Null' ELSE CAST(CAST((c_custkey % 100) / 2.0 AS DECIMAL(5,2)) AS VARCHAR) END AS age_score FROM customer""",
 )
 def job_contract_score_text(t: Tables) -> DataFrame:
@@ -673,7 +675,7 @@ def job_contract_score_text(t: Tables) -> DataFrame:
           max(CASE WHEN event_type <> 'error' THEN strftime(ts, '%Y%m%d') END) AS linked_on, count(CASE WHEN event_type <> 'error' THEN 1 END) AS link_count
           FROM events WHERE value > 5 GROUP BY 1)
         SELECT k.*, link_id, linked_on, link_count, c_mktsegment AS contract_flag, {OUT} AS process_datetime FROM k LEFT JOIN l ON k.member_id = l.member_id
-        LEFT JOIN customer ON c_custkey = k.member_id AND c_custkey % 3 <> 0""",
+        LEFT JOIN customer ON c_custkey = k.member_id AND c_acctbal > 0""",
 )
 def job_member_master(t: Tables) -> DataFrame:
     types = t.orders.select(F.col("o_custkey").alias("member_id"), F.left("o_orderpriority", F.lit(1)).alias("type_code"))
@@ -684,7 +686,7 @@ def job_member_master(t: Tables) -> DataFrame:
         F.when(F.col("event_type") == "error", "1").otherwise("0").alias("cancelled"),
         F.when(F.col("value") > 5, "有効").otherwise("無効").alias("state"),
     )
-    flags = t.customer.filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("member_id"), F.col("c_mktsegment").alias("contract_flag"))
+    flags = t.customer.filter("c_acctbal > 0").select(F.col("c_custkey").alias("member_id"), F.col("c_mktsegment").alias("contract_flag"))
     return marts.member_master({"member_types": types, "links": links, "flags": flags}, AS_OF)
 
 
@@ -720,14 +722,14 @@ def job_wide_mart(t: Tables) -> DataFrame:
     "job_completed_contracts",
     f"""SELECT DISTINCT o_orderkey AS contract_id, o_custkey AS customer_no, CASE WHEN o_orderpriority < '3' THEN '新規' ELSE '切替' END AS kind,
           'M' || lpad(CAST(o_custkey AS VARCHAR), 8, '0') AS member_id, {OUT} AS process_datetime FROM orders JOIN customer ON o_custkey = c_custkey
-        WHERE o_orderkey % 10 = 3 AND o_orderstatus <> 'P' AND o_orderpriority < '5' AND c_custkey % 9 <> 0""",
+        WHERE o_orderdate >= TIMESTAMP '2001-05-01' AND o_orderstatus <> 'P' AND o_orderpriority < '5' AND c_custkey % 9 <> 0""",
 )
 def job_completed_contracts(t: Tables) -> DataFrame:
     rank = F.col("o_orderpriority")
     contracts = t.orders.select(
         F.col("o_orderkey").alias("contract_id"),
         F.col("o_custkey").alias("customer_no"),
-        F.when(F.col("o_orderkey") % 10 == 3, "20010630").otherwise("20010629").alias("registered_ymd"),
+        F.when(F.col("o_orderdate") >= F.lit("2001-05-01 00:00:00").cast("timestamp_ntz"), "20010630").otherwise("20010629").alias("registered_ymd"),
         F.when(F.col("o_orderstatus") == "P", "受付").otherwise("完了").alias("state"),
         F.when(rank < "3", "新規").when(rank < "5", "切替").otherwise("解約").alias("kind"),
     )

@@ -168,12 +168,12 @@ def engagement(t: Tables) -> DataFrame:
     """Marketing mart: engagement score, segments, preferences and last response."""
     key = F.col("c_custkey")
     n = key % 97
-    return t.customer.filter(key % 6 != 5).select(
+    return t.customer.filter("c_acctbal > -500").select(
         key.alias("client_id"),
         F.when(key % 19 == 0, None).otherwise((n / 9.7).cast("decimal(5,2)").cast("double")).alias("engagement_score"),
         F.when(n >= 65, "HIGH_VALUE").when(n >= 30, "MEDIUM_VALUE").otherwise("LOW_VALUE").alias("marketing_segment"),
         F.when(key % 3 == 0, "FINANCE").when(key % 3 == 1, "LIFESTYLE").otherwise("PREMIUM_BASIC").alias("preference"),
-        F.timestampadd("DAY", (key % 3000).cast("int"), F.lit("1995-06-01 00:00:00").cast("timestamp_ntz")).alias("last_response"),
+        (F.lit("1995-06-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval((key % 3000).cast("int"))).alias("last_response"),
         (key % 2).cast("int").alias("opt_in_email"),
         F.when(key % 5 < 2, 1).otherwise(0).alias("opt_in_sms"),
     )
@@ -188,7 +188,7 @@ ENGAGEMENT = """engagement AS (
          CASE c_custkey % 3 WHEN 0 THEN 'FINANCE' WHEN 1 THEN 'LIFESTYLE' ELSE 'PREMIUM_BASIC' END AS preference,
          TIMESTAMP '1995-06-01 00:00:00' + to_days(CAST(c_custkey % 3000 AS INTEGER)) AS last_response,
          CAST(c_custkey % 2 AS INTEGER) AS opt_in_email, CASE WHEN c_custkey % 5 < 2 THEN 1 ELSE 0 END AS opt_in_sms
-  FROM customer WHERE c_custkey % 6 <> 5)"""
+  FROM customer WHERE c_acctbal > -500)"""
 
 
 def documents_json(t: Tables) -> DataFrame:

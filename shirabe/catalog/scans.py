@@ -173,16 +173,18 @@ def write_publish(t: Tables) -> DataFrame:
 
 
 def _snapshots(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Yesterday's and today's order tables."""
-    rows = t.orders.select("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice")
-    prev = rows.filter("o_orderkey % 7 <> 0")
-    moved = F.when(F.col("o_orderkey") % 5 == 0, F.lit("2-HIGH")).otherwise(F.col("o_orderpriority"))
-    return prev, rows.filter("o_orderkey % 7 <> 1").withColumn("o_orderpriority", moved)
-
-
-SNAPSHOTS = """prev AS (SELECT o_orderkey, o_custkey, o_orderpriority, o_totalprice FROM orders WHERE o_orderkey % 7 <> 0),
- cur AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 5 = 0 THEN '2-HIGH' ELSE o_orderpriority END AS o_orderpriority,
-         o_totalprice FROM orders WHERE o_orderkey % 7 <> 1)"""
+    """Yesterday's order table, and today's: old orders gone, new ones added, some changed."""
+    rows = t.orders.select("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice", "o_orderdate")
+    prev = rows.filter("o_orderdate < TIMESTAMP_NTZ '2001-01-01 00:00:00'").drop("o_orderdate")
+    moved = F.when(F.col("o_totalprice") > 400000, F.lit("2-HIGH")).otherwise(F.col("o_orderpriority"))
+    cur = rows.filter("o_orderdate >= TIMESTAMP_NTZ '1995-07-01 00:00:00'").drop("o_orderdate")
+    return prev, cur.withColumn("o_orderpriority", moved)
+
+
+SNAPSHOTS = """prev AS (SELECT o_orderkey, o_custkey, o_orderpriority, o_totalprice FROM orders
+         WHERE o_orderdate < TIMESTAMP '2001-01-01'),
+ cur AS (SELECT o_orderkey, o_custkey, CASE WHEN o_totalprice > 400000 THEN '2-HIGH' ELSE o_orderpriority END AS o_orderpriority,
+         o_totalprice FROM orders WHERE o_orderdate >= TIMESTAMP '1995-07-01')"""
 
 
 @query(

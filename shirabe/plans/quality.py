@@ -346,3 +346,56 @@ def visible_to(df: DataFrame, users: DataFrame, grants: DataFrame, row_id: str,
     shared = grants.join(df.select(row_id, rank), row_id).select("user_id", row_id, rank)
     pairs = owned.unionByName(shared).distinct()
     return pairs.join(users, "user_id").filter(F.col("clearance") >= F.col(rank)).select("user_id", row_id, rank, "clearance")
+
+
+def access_audit(log: DataFrame, user: str, ts: str, granted: Column, resource: str, as_of: datetime, days: int = 1) -> DataFrame:
+    """Attempts, successes and distinct resources per user over the trailing days."""
+    since = F.lit((as_of - timedelta(days=days)).strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
+    return (
+        log.filter(F.col(ts) >= since)
+        .groupBy(user)
+        .agg(
+            count_rows("access_attempts"),
+            F.count_if(granted).alias("successful_access"),
+            F.countDistinct(resource).alias("unique_resources"),
+        )
+    )
+
+
+def score_trend(results: DataFrame, rule: str, score: str, passed: Column, ts: str, as_of: datetime, days: int = 7) -> DataFrame:
+    """Average score, runs and passed runs per rule over the trailing days."""
+    since = F.lit((as_of - timedelta(days=days)).strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
+    return (
+        results.filter(F.col(ts) >= since)
+        .groupBy(rule)
+        .agg(F.avg(score).alias("avg_quality_score"), count_rows("total_executions"), F.count_if(passed).alias("passed_count"))
+    )
+
+
+def ops_summary(log: DataFrame, stage: str, state: str, states: dict[str, str], cost: str, ts: str) -> DataFrame:
+    """Tasks per stage and state, with cost and last time."""
+    return log.groupBy(stage).agg(
+        count_rows("total_tasks"),
+        *[F.count_if(F.col(state) == value).alias(name) for value, name in states.items()],
+        F.avg(cost).alias("avg_cost"),
+        F.max(cost).alias("max_cost"),
+        F.max(ts).alias("last_occurrence"),
+    )
+
+
+def error_summary(log: DataFrame, kinds: list[str], ts: str) -> DataFrame:
+    """Errors per kind with their last time."""
+    return log.groupBy(*kinds).agg(count_rows("error_count"), F.max(ts).alias("last_occurrence"))
+
+
+def pattern_counts(scans: dict[str, tuple[DataFrame, str, Column, Column]]) -> DataFrame:
+    """Per data type: filled values and how many match each of two patterns."""
+    out = None
+    for name, (df, column, first, second) in scans.items():
+        row = (
+            df.filter(F.col(column).isNotNull())
+            .agg(count_rows("total_count"), F.count_if(first).alias("first_pattern"), F.count_if(second).alias("second_pattern"))
+            .withColumn("data_type", F.lit(name))
+        )
+        out = row if out is None else out.unionByName(row)
+    return out
