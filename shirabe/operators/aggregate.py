@@ -24,7 +24,8 @@ def money(value: Column) -> Column:
 
 def flag_pivot(df: DataFrame, keys: list[str], code: str, flags: dict[str, str]) -> DataFrame:
     """'1'/'0' per code and key: does any row of the key carry the code."""
-    columns = [F.max(F.when(F.col(code) == c, "1").otherwise("0")).alias(f) for c, f in flags.items()]
+    # Numbers aggregate in a hash table, texts would have to be sorted first.
+    columns = [F.max(F.when(F.col(code) == c, 1).otherwise(0)).cast("string").alias(f) for c, f in flags.items()]
     return df.groupBy(*keys).agg(*columns)
 
 

@@ -45,6 +45,16 @@ def _sortable(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("double")
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """Deal a frame read in fewer pieces than there are cores to all of them.
+
+    For work that is heavy per row. A large input has more pieces than cores and
+    passes unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 @dataclass
 class Spread:
     """Rows with a chunk number; ``split`` tells whether any group was divided."""

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shirabe.functions.dates import jst
+from shirabe.operators.aggregate import flag_pivot
 from shirabe.operators.change import append_new, flag_exists, lookback, new_rows, track_history, unless_processed
 from shirabe.operators.join import exclude_multi, only_one_in_group, snapshot_changes
 from shirabe.operators.project import before_month, current_month, date_window, stamp
@@ -159,8 +160,9 @@ def repair_follow_up(tables: Tables, as_of: datetime) -> DataFrame:
         "meter_no <> '00000000000' AND inspected_ymd <> '00000000' AND field_code = '0301'"
     )
     kinds = {"11": "gas_appliance_flag", "1A": "wet_area_flag"}
-    flags = [F.max(F.when(F.col("subject_code") == c, "1").otherwise("0")).alias(n) for c, n in kinds.items()]
-    per_day = repairs.filter(F.col("subject_code").isin(*kinds)).groupBy("meter_no", "completed_ymd").agg(*flags)
+    per_day = flag_pivot(
+        repairs.filter(F.col("subject_code").isin(*kinds)), ["meter_no", "completed_ymd"], "subject_code", kinds
+    )
 
     active = tables["usage"].filter("transfer_type = '02'")
     slots = F.array(*[F.struct(F.col(f"key_type{i}").alias("t"), F.col(f"service_key{i}").alias("k")) for i in (1, 2, 3)])

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from shirabe.functions.jsonx import is_json, json_value
 from shirabe.operators.aggregate import count_rows, pct
+from shirabe.operators.skew import spread_small
 
 
 @dataclass(frozen=True)
@@ -269,24 +270,28 @@ LEAKS = {
 }
 
 
-def scan_pii(df: DataFrame, columns: list[str], patterns: dict[str, str] = LEAKS) -> DataFrame:
+# A text without this mark cannot match, and looking for it is far cheaper than the pattern.
+MARKS = {"email": "@", "ssn": "-", "phone": "-"}
+
+
+def scan_pii(df: DataFrame, columns: list[str], patterns: dict[str, str] = LEAKS, marks: dict[str, str] = MARKS) -> DataFrame:
     """Per column and pattern: rows with a hit and hits in all, over the whole text, in one pass."""
-    aggs, parts = [F.count(F.lit(1)).alias("_n")], []
-    for c in columns:
-        for name, pattern in patterns.items():
-            hits = F.regexp_count(F.col(c), F.lit(pattern))
-            aggs += [F.count_if(hits > 0).alias(f"_r_{c}_{name}"), F.sum(hits).cast("long").alias(f"_h_{c}_{name}")]
-            parts.append(
-                (
-                    f"{c}:{name}",
-                    {
-                        "total_records": F.col("_n"),
-                        "rows_with_hits": F.col(f"_r_{c}_{name}"),
-                        "hits": F.coalesce(F.col(f"_h_{c}_{name}"), F.lit(0).cast("long")),
-                    },
-                )
-            )
-    return stack(df.agg(*aggs), parts, "scan")
+
+    def count(column: str, name: str, pattern: str) -> Column:
+        hits = F.regexp_count(F.col(column), F.lit(pattern))
+        return F.when(F.col(column).contains(marks[name]), hits).otherwise(0) if name in marks else hits
+
+    scans = {f"{c}:{name}": count(c, name, p).alias(f"_{i}_{j}") for i, c in enumerate(columns) for j, (name, p) in enumerate(patterns.items())}
+    # Each pattern runs once per text; the aggregate below reads its count twice.
+    counted = spread_small(df.select(*columns)).select(*scans.values())
+    names = dict(zip(scans, counted.columns))
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    parts = []
+    for scan, c in names.items():
+        aggs += [F.count_if(F.col(c) > 0).alias(f"_r{c}"), F.sum(c).cast("long").alias(f"_h{c}")]
+        hits = F.coalesce(F.col(f"_h{c}"), F.lit(0).cast("long"))
+        parts.append((scan, {"total_records": F.col("_n"), "rows_with_hits": F.col(f"_r{c}"), "hits": hits}))
+    return stack(counted.agg(*aggs), parts, "scan")
 
 
 def protection_status(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from shirabe.functions.dates import jst
@@ -79,22 +79,23 @@ def write_many(df: DataFrame, sinks: list[Callable[[DataFrame], object]]) -> lis
     return [sink(kept) for sink in sinks]
 
 
-def _fs(spark: SparkSession, folder: str):
+def _swap(spark: SparkSession, fresh: str, folder: str) -> DataFrame:
+    """Put a written folder in the place of a table, keeping the old rows until it is there."""
     path = spark._jvm.org.apache.hadoop.fs.Path
-    return path(folder).getFileSystem(spark._jsc.hadoopConfiguration()), path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    old = path(f"{folder}__old")
+    fs.delete(old, True)
+    if fs.exists(path(folder)):
+        fs.rename(path(folder), old)
+    fs.rename(path(fresh), path(folder))
+    return spark.read.parquet(folder)
 
 
 def overwrite_table(df: DataFrame, folder: str) -> DataFrame:
     """Full refresh: write beside the table, then swap, so ``df`` may read the old rows."""
-    spark = df.sparkSession
-    fs, path = _fs(spark, folder)
-    fresh, old = f"{folder}__new", f"{folder}__old"
+    fresh = f"{folder}__new"
     df.write.mode("overwrite").parquet(fresh)
-    fs.delete(path(old), True)
-    if fs.exists(path(folder)):
-        fs.rename(path(folder), path(old))
-    fs.rename(path(fresh), path(folder))
-    return spark.read.parquet(folder)
+    return _swap(df.sparkSession, fresh, folder)
 
 
 def append_table(df: DataFrame, folder: str) -> DataFrame:
@@ -108,17 +109,18 @@ class StageMismatch(ValueError):
 
 
 def publish(df: DataFrame, staging: str, main: str, key: str) -> DataFrame:
-    """Write to staging, compare counts and key uniqueness with the input, then swap into main."""
-    spark = df.sparkSession
-    kept = stable(df)
-    staged = overwrite_table(kept, staging)
+    """Write to staging, check the stage, then swap it into main.
 
-    def counts(x: DataFrame) -> tuple:
-        return tuple(x.agg(F.count(F.lit(1)), F.countDistinct(key)).first())
-
-    if counts(kept) != counts(staged):
-        raise StageMismatch(f"{staging}: {counts(staged)} rows and keys, expected {counts(kept)}")
-    return overwrite_table(spark.read.parquet(staging), main)
+    The stage must hold as many rows as were handed to the writer (counted on the
+    way) and no key twice. The swap moves the folder instead of copying the rows.
+    """
+    spark = df.sparkSession
+    given = Observation()
+    df.observe(given, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(staging)
+    rows, keys = spark.read.parquet(staging).agg(F.count(F.lit(1)), F.countDistinct(key)).first()
+    if rows != given.get["n"] or keys != rows:
+        raise StageMismatch(f"{staging}: {rows} rows, {keys} keys, {given.get['n']} rows written")
+    return _swap(spark, staging, main)
 
 
 def log_run(
