@@ -9,7 +9,7 @@ from shirabe.catalog import roles
 from shirabe.catalog.registry import Tables, query
 from shirabe.catalog.scans import SNAPSHOTS, _snapshots
 from shirabe.operators import aggregate, join
-from shirabe.operators.aggregate import count_rows, money, pct
+from shirabe.operators.aggregate import count_rows, exact_avg, money, pct
 
 # ---------------------------------------------------------------- joins
 
@@ -268,13 +268,13 @@ def join_multiply_rows(t: Tables) -> DataFrame:
 
 @query(
     "agg_group_by",
-    """SELECT c_mktsegment, count(*) AS n, round(avg(c_acctbal), 4) AS avg_amount, max(c_acctbal) AS max_amount,
+    """SELECT c_mktsegment, count(*) AS n, CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) / count(c_acctbal) AS avg_amount, max(c_acctbal) AS max_amount,
               min(c_acctbal) AS min_amount, CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS total FROM customer GROUP BY 1""",
 )
 def agg_group_by(t: Tables) -> DataFrame:
     return t.customer.groupBy("c_mktsegment").agg(
         count_rows("n"),
-        F.round(F.avg("c_acctbal"), 4).alias("avg_amount"),
+        exact_avg(F.col("c_acctbal")).alias("avg_amount"),
         F.max("c_acctbal").alias("max_amount"),
         F.min("c_acctbal").alias("min_amount"),
         F.sum(money(F.col("c_acctbal"))).cast("double").alias("total"),
@@ -283,7 +283,7 @@ def agg_group_by(t: Tables) -> DataFrame:
 
 @query(
     "agg_global",
-    """SELECT count(*) AS total, count(DISTINCT o_custkey) AS customers, round(avg(o_totalprice), 4) AS avg_amount,
+    """SELECT count(*) AS total, count(DISTINCT o_custkey) AS customers, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(o_totalprice) AS avg_amount,
               max(o_totalprice) AS hi, min(o_totalprice) AS lo FROM orders WHERE o_orderdate >= TIMESTAMP '2001-06-01'""",
 )
 def agg_global(t: Tables) -> DataFrame:
@@ -291,7 +291,7 @@ def agg_global(t: Tables) -> DataFrame:
     return recent.agg(
         count_rows("total"),
         F.countDistinct("o_custkey").alias("customers"),
-        F.round(F.avg("o_totalprice"), 4).alias("avg_amount"),
+        exact_avg(F.col("o_totalprice")).alias("avg_amount"),
         F.max("o_totalprice").alias("hi"),
         F.min("o_totalprice").alias("lo"),
     )

@@ -147,18 +147,17 @@ def mkt_journeys(t: Tables) -> DataFrame:
 @query(
     "mkt_monthly_revenue",
     """SELECT year(o_orderdate) AS year, month(o_orderdate) AS month, count(*) AS transaction_count,
-         CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total_revenue, round(avg(o_totalprice), 2) AS avg_transaction_value,
+         CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total_revenue, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(o_totalprice) AS avg_transaction_value,
          max(o_totalprice) AS max_transaction, min(o_totalprice) AS min_transaction FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2""",
 )
 def mkt_monthly_revenue(t: Tables) -> DataFrame:
-    out = marketing.monthly_revenue(t.orders, "o_orderdate", "o_totalprice", "o_orderstatus", "F")
-    return rounded(out, 2, "avg_transaction_value")
+    return marketing.monthly_revenue(t.orders, "o_orderdate", "o_totalprice", "o_orderstatus", "F")
 
 
 @query(
     "mkt_segment_metrics",
     """WITH m AS (SELECT c_custkey, c_mktsegment, count(o_orderkey) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS spent,
-         avg(o_totalprice) AS mean, date_diff('day', max(o_orderdate), TIMESTAMP '2001-06-30 16:30:00') AS idle
+         CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(o_totalprice) AS mean, date_diff('day', max(o_orderdate), TIMESTAMP '2001-06-30 16:30:00') AS idle
          FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'P' GROUP BY 1, 2)
        SELECT c_mktsegment, count(*) AS customer_count, round(avg(n), 4) AS avg_transactions_per_customer, round(avg(spent), 2) AS avg_lifetime_value,
          round(avg(mean), 2) AS avg_order_value, round(avg(idle), 4) AS avg_days_since_purchase FROM m GROUP BY 1""",

@@ -414,12 +414,12 @@ def dq_score_trend(t: Tables) -> DataFrame:
     "dq_ops_summary",
     """SELECT o_orderpriority AS stage, count(*) AS total_tasks, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS completed,
          count(CASE WHEN o_orderstatus = 'O' THEN 1 END) AS running, count(CASE WHEN o_orderstatus = 'P' THEN 1 END) AS pending,
-         round(avg(o_totalprice), 2) AS avg_cost, max(o_totalprice) AS max_cost, max(o_orderdate) AS last_occurrence FROM orders GROUP BY 1""",
+         CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(o_totalprice) AS avg_cost, max(o_totalprice) AS max_cost, max(o_orderdate) AS last_occurrence FROM orders GROUP BY 1""",
 )
 def dq_ops_summary(t: Tables) -> DataFrame:
     states = {"F": "completed", "O": "running", "P": "pending"}
     out = quality.ops_summary(t.orders, "o_orderpriority", "o_orderstatus", states, "o_totalprice", "o_orderdate")
-    return rounded(out, 2, "avg_cost").withColumnRenamed("o_orderpriority", "stage")
+    return out.withColumnRenamed("o_orderpriority", "stage")
 
 
 @query(

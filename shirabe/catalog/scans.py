@@ -61,10 +61,8 @@ def scan_json(t: Tables) -> DataFrame:
 def scan_dated(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "dated")
     day = F.date_format(F.from_utc_timestamp("ts", "Asia/Tokyo"), "yyyyMMdd")
-    t.events.select("event_id", "user_id", "value", day.alias("dt")).repartition("dt").write.partitionBy("dt").parquet(path)
-    table = t.spark.read.option("basePath", path).parquet(path)
-    dated = table.withColumn("dt", F.col("dt").cast("string"))
-    return readers.read_dated(dated, roles.EVENTS_AS_OF).drop("dt")
+    table = writers.write_dated(t.events.select("event_id", "user_id", "value", day.alias("dt")), path)
+    return readers.read_dated(table, roles.EVENTS_AS_OF).drop("dt")
 
 
 @query("scan_or_empty", SOURCE)

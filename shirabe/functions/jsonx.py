@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,9 +27,6 @@ def json_amount(text: Column, path: str, to: str = "decimal(10,2)") -> Column:
     return F.get_json_object(text, path).try_cast(to)
 
 
-_LEAF = T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("value", T.StringType())]))
-
-
 def _leaves(value: object, path: str) -> Iterator[tuple[str, str | None]]:
     if isinstance(value, dict):
         for key, item in value.items():
@@ -42,15 +39,23 @@ def _leaves(value: object, path: str) -> Iterator[tuple[str, str | None]]:
         yield path, value if plain else json.dumps(value, ensure_ascii=False)
 
 
-@F.pandas_udf(_LEAF)
-def _flat(text: pd.Series) -> pd.Series:
-    def one(doc: str | None) -> list[dict] | None:
-        try:
-            return [{"path": p, "value": v} for p, v in _leaves(json.loads(doc), "")]
-        except (TypeError, ValueError):
-            return None
-
-    return text.map(one)
+def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) batches to (id, path, value) batches."""
+    for batch in batches:
+        rows, paths, values = [], [], []
+        for i, doc in enumerate(batch.column(1).to_pylist()):
+            try:
+                parsed = json.loads(doc)
+            except (TypeError, ValueError):
+                continue
+            for path, value in _leaves(parsed, ""):
+                rows.append(i)
+                paths.append(path)
+                values.append(value)
+        ids = batch.column(0).take(pa.array(rows, pa.int64()))
+        yield pa.RecordBatch.from_arrays(
+            [ids, pa.array(paths, pa.string()), pa.array(values, pa.string())], [batch.schema.names[0], "path", "value"]
+        )
 
 
 def flatten_json(df: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -59,5 +64,5 @@ def flatten_json(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     The shape differs per document, so no schema can drive built-in expressions;
     each document is walked once in an Arrow batch. Broken documents give no rows.
     """
-    leaves = df.select(doc_id, F.explode(_flat(F.col(text))).alias("_leaf"))
-    return leaves.select(doc_id, F.col("_leaf.path").alias("path"), F.col("_leaf.value").alias("value"))
+    texts = [T.StructField("path", T.StringType()), T.StructField("value", T.StringType())]
+    return df.select(doc_id, text).mapInArrow(_flat, T.StructType([df.schema[doc_id], *texts]))

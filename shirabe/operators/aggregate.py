@@ -22,6 +22,11 @@ def money(value: Column) -> Column:
     return value.cast("decimal(18,2)")
 
 
+def exact_avg(value: Column) -> Column:
+    """Average of amounts by way of their exact sum."""
+    return F.try_divide(F.sum(money(value)).cast("double"), F.count(value).cast("double"))
+
+
 def flag_pivot(df: DataFrame, keys: list[str], code: str, flags: dict[str, str]) -> DataFrame:
     """'1'/'0' per code and key: does any row of the key carry the code."""
     # Numbers aggregate in a hash table, texts would have to be sorted first.

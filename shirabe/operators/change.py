@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shirabe.functions.dates import jst
 from shirabe.operators.join import detect_delta
-from shirabe.operators.window import number_rows
+from shirabe.operators.window import latest_per_key, number_rows
 
 
 def upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
@@ -20,11 +20,11 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
 def update_from(
     target: DataFrame, source: DataFrame, on: list[str], changes: dict[str, Column], when: Column | None = None
 ) -> DataFrame:
-    """Set columns where the key has a match; ``source`` is reduced to one row per key.
+    """Set columns where the key has a match; of several source rows the lowest is taken.
 
     Expressions in ``changes`` may name columns of ``source`` as ``src_<name>``.
     """
-    unique = source.dropDuplicates(on).select(
+    unique = latest_per_key(source, on, []).select(
         *[F.col(k) for k in on], *[F.col(c).alias(f"src_{c}") for c in source.columns], F.lit(True).alias("_hit")
     )
     hit = F.col("_hit").isNotNull() if when is None else F.col("_hit").isNotNull() & when

@@ -75,10 +75,18 @@ class Spread:
         return replace(self, df=df)
 
     def carry(self, totals: DataFrame, value: Column, name: str) -> DataFrame:
-        """Join ``value``, computed over the chunk totals in order, back to the rows."""
-        prior = totals.select(*self.keys, CHUNK, value.alias(name))
+        """Join ``value``, computed over the chunk totals in order, back to the rows.
+
+        Only chunks after a group's first have something to carry, so the joined
+        table is small and Spark can broadcast it.
+        """
+        prior = totals.select(*self.keys, CHUNK, value.alias(name)).filter(F.col(name).isNotNull())
         return join_null_safe(self.df, prior, [*self.keys, CHUNK])
 
+    def divided(self) -> DataFrame:
+        """Rows of the divided groups."""
+        return self.df.filter(F.col(CHUNK) != 0)
+
     def chunk_window(self) -> WindowSpec:
         return Window.partitionBy(*self.keys).orderBy(CHUNK)
 
@@ -101,9 +109,7 @@ def spread(
     """
     limit = max_rows or MAX_GROUP_ROWS
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    # At most total/limit rows: the large groups only.
-    large = stable(sizes.filter(F.col("_n") > limit)) if keys else None
-    biggest = large.agg(F.max("_n")).first()[0] if large is not None else sizes.first()[0]
+    biggest = sizes.agg(F.max("_n")).first()[0]
     if not biggest or biggest <= limit:
         return Spread(df.withColumn(CHUNK, F.lit(0)), keys, order, descending, False)
 
@@ -112,13 +118,16 @@ def spread(
     points = [i / cuts for i in range(1, cuts)]
     bounds = F.percentile_approx("_v", points, 10 * cuts).alias("_bounds")
     if keys:
-        rows = join_null_safe(df, large.drop("_n"), keys, "left_semi")
+        # At most total/limit rows: the large groups only.
+        large = stable(sizes.filter(F.col("_n") > limit).drop("_n"))
+        rows = join_null_safe(df, large, keys, "left_semi")
         edges = stable(rows.select(*keys, value.alias("_v")).groupBy(*keys).agg(bounds))
         marked = join_null_safe(df, edges, keys)
     else:
         edges = df.select(value.alias("_v")).agg(bounds).first()[0]
         marked = df.withColumn("_bounds", F.lit(edges))
-    above = F.size(F.filter("_bounds", lambda b: b < value))
+    # Chunk 0 holds the groups left whole; the chunks of the others rise in sort order.
+    above = F.size(F.filter("_bounds", lambda b: b < value)) + 1
     chunk = F.when(F.col("_bounds").isNull(), 0).otherwise(-above if descending else above)
     return Spread(marked.withColumn(CHUNK, chunk).drop("_bounds"), keys, order, descending, True)
 
@@ -128,7 +137,7 @@ def add_row_number(s: Spread, name: str) -> Spread:
     numbered = s.with_rows(s.df.withColumn(name, F.row_number().over(s.window()).cast("long")))
     if not s.split:
         return numbered
-    totals = s.df.groupBy(*s.keys, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
+    totals = s.divided().groupBy(*s.keys, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(s.chunk_window().rowsBetween(Window.unboundedPreceding, -1))
     out = numbered.carry(totals, before, "_before")
     return s.with_rows(out.withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_before"))
@@ -140,7 +149,7 @@ def add_lag(s: Spread, column: str, name: str) -> Spread:
     if not s.split:
         return s.with_rows(lagged)
     first = s.with_rows(lagged.withColumn("_first", F.row_number().over(s.window()) == 1))
-    tail = s.df.select(*s.keys, CHUNK, F.col(column).alias("_c"), F.row_number().over(s.window(backwards=True)).alias("_rn"))
+    tail = s.divided().select(*s.keys, CHUNK, F.col(column).alias("_c"), F.row_number().over(s.window(backwards=True)).alias("_rn"))
     totals = tail.filter("_rn = 1")
     out = first.carry(totals, F.lag("_c").over(s.chunk_window()), "_prior")
     value = F.when(F.col("_first"), F.col("_prior")).otherwise(F.col(name))
@@ -153,7 +162,7 @@ def add_running_sum(s: Spread, column: str, name: str) -> Spread:
     summed = s.with_rows(s.df.withColumn(name, F.sum(column).over(frame)))
     if not s.split:
         return summed
-    totals = s.df.groupBy(*s.keys, CHUNK).agg(F.sum(column).alias("_t"))
+    totals = s.divided().groupBy(*s.keys, CHUNK).agg(F.sum(column).alias("_t"))
     before = F.sum("_t").over(s.chunk_window().rowsBetween(Window.unboundedPreceding, -1))
     out = summed.carry(totals, before, "_before")
     return s.with_rows(out.withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_before"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shirabe.functions.dates import boundary_diff
+from shirabe.functions.dates import boundary_diff, epoch_micros
 from shirabe.operators import skew
 
 _UNORDERED = (T.MapType, T.VariantType)
@@ -26,6 +26,9 @@ def latest_per_key(
         f.name for f in df.schema.fields if f.name not in spent and not isinstance(f.dataType, _UNORDERED)
     ]
     sort += [F.col(c).asc_nulls_first() for c in rest]
+    if not sort:
+        # Every column is a key: rows of a key are alike.
+        return df.dropDuplicates(keys)
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*sort))
     return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
@@ -70,11 +73,26 @@ def trend(df: DataFrame, keys: list[str], order: list[str], value: str, *, max_r
 
 
 def sessionize(
-    df: DataFrame, user: list[str], ts: str, unique: str, gap_minutes: int = 30, *, max_rows: int | None = None
+    df: DataFrame,
+    user: list[str],
+    ts: str,
+    unique: str,
+    gap_minutes: int = 30,
+    *,
+    exact: bool = False,
+    max_rows: int | None = None,
 ) -> DataFrame:
-    """Session number per user; a new one after more than ``gap_minutes`` minute boundaries."""
+    """Session number per user.
+
+    A session opens after more than ``gap_minutes`` minute boundaries or, with
+    ``exact``, after a pause of at least that long.
+    """
     s = skew.add_lag(skew.spread(df, user, [ts, unique], max_rows=max_rows), ts, "_prev")
-    opened = F.coalesce(boundary_diff("minute", F.col("_prev"), F.col(ts)) > gap_minutes, F.lit(False))
+    if exact:
+        pause = epoch_micros(F.col(ts)) - epoch_micros(F.col("_prev")) >= gap_minutes * 60_000_000
+    else:
+        pause = boundary_diff("minute", F.col("_prev"), F.col(ts)) > gap_minutes
+    opened = F.coalesce(pause, F.lit(False))
     flagged = s.with_rows(s.df.withColumn("_opened", opened.cast("long")))
     return skew.add_running_sum(flagged, "_opened", "session_id").rows().drop("_prev", "_opened")
 

@@ -139,7 +139,9 @@ def thanks_history(tables: Tables, as_of: datetime) -> DataFrame:
     contracts = tables["contracts"]
     started = tables["operations"].filter("status = '800' AND kind = 'ESST'").select("sa_id", "applied")
     target = contracts.filter((F.col("update_kind") == "A") & (F.col("registered_ymd") == _ymd(as_of, 1)))
-    first = only_one_in_group(target, contracts, "supply_point", ["reg_no", "person", "kana", "phone"], "sa_id")
+    # Only the supply points of the day can matter.
+    nearby = contracts.join(target.select("supply_point"), "supply_point", "left_semi")
+    first = only_one_in_group(target, nearby, "supply_point", ["reg_no", "person", "kana", "phone"], "sa_id")
     columns = ["supply_point", "reg_no", "sa_id", "start_ymd", "applied", "contract_type"]
     batch = first.join(started, "sa_id").select(*columns).distinct()
     batch = batch.withColumn("run_ymd", F.lit(_ymd(as_of)))

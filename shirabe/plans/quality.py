@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shirabe.functions.jsonx import is_json, json_value
-from shirabe.operators.aggregate import count_rows, pct
+from shirabe.operators.aggregate import count_rows, exact_avg, pct
 from shirabe.operators.skew import spread_small
 
 
@@ -382,7 +382,7 @@ def ops_summary(log: DataFrame, stage: str, state: str, states: dict[str, str],
     return log.groupBy(stage).agg(
         count_rows("total_tasks"),
         *[F.count_if(F.col(state) == value).alias(name) for value, name in states.items()],
-        F.avg(cost).alias("avg_cost"),
+        exact_avg(F.col(cost)).alias("avg_cost"),
         F.max(cost).alias("max_cost"),
         F.max(ts).alias("last_occurrence"),
     )

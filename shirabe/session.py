@@ -13,6 +13,8 @@ RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a skewed join even where a later step would have reused its partitioning.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # Merge session windows before the shuffle, so one busy user sends few rows.
     "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",

@@ -9,16 +9,28 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from shirabe.functions.dates import jst
-from shirabe.session import stable
+from shirabe.session import scratch_path, stable
 
 # Above this many rows an extract is written as several part files in parallel.
 ONE_FILE_ROWS = 5_000_000
 
 
-def _pieces(df: DataFrame, rows_per_file: int) -> tuple[DataFrame, int]:
-    """Input laid out as one partition per output file, and the number of files."""
-    files = max(1, -(-df.count() // rows_per_file))
-    return (df.coalesce(1) if files == 1 else df.repartition(files)), files
+def _pieces(df: DataFrame, rows_per_file: int, order: list[str]) -> DataFrame:
+    """Input as one partition per output file.
+
+    The rows are computed once, into a table in the scratch folder, and counted on
+    the way; the count decides between one file and several.
+    """
+    spark, given = df.sparkSession, Observation()
+    path = scratch_path(spark, "extract")
+    df.observe(given, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    rows = spark.read.schema(df.schema).parquet(path)
+    files = max(1, -(-given.get["n"] // rows_per_file))
+    if files == 1:
+        laid_out = rows.coalesce(1)
+    else:
+        laid_out = rows.repartitionByRange(files, *order) if order else rows.repartition(files)
+    return laid_out.sortWithinPartitions(*order) if order else laid_out
 
 
 def _rename_parts(spark: SparkSession, folder: str, name: str, suffix: str) -> list[str]:
@@ -41,17 +53,18 @@ def write_csv_gz(
     as_of: datetime | None = None,
     *,
     quote_all: bool = True,
+    order: list[str] = (),
     rows_per_file: int = ONE_FILE_ROWS,
 ) -> list[str]:
     """Gzip CSV extract with header, quoted text and ``\\n`` row ends.
 
     A list within ``rows_per_file`` is one file, a larger one numbered parts. An
-    empty list still gives its header line. ``name`` may hold strftime fields.
+    empty list still gives its header line. ``name`` may hold strftime fields,
+    ``order`` names columns to sort the file (or the parts in turn) by.
     """
     name = jst(as_of).strftime(name) if as_of else name
-    laid_out, _ = _pieces(df, rows_per_file)
     (
-        laid_out.write.mode("overwrite")
+        _pieces(df, rows_per_file, list(order)).write.mode("overwrite")
         .option("header", True)
         .option("quoteAll", quote_all)
         .option("escape", "\\")
@@ -68,11 +81,16 @@ def write_json(
     df: DataFrame, folder: str, name: str, *, keep_nulls: bool = False, rows_per_file: int = ONE_FILE_ROWS
 ) -> list[str]:
     """JSON documents, one per line."""
-    laid_out, _ = _pieces(df, rows_per_file)
-    laid_out.write.mode("overwrite").option("ignoreNullFields", not keep_nulls).json(folder)
+    _pieces(df, rows_per_file, []).write.mode("overwrite").option("ignoreNullFields", not keep_nulls).json(folder)
     return _rename_parts(df.sparkSession, folder, name, ".json")
 
 
+def write_dated(df: DataFrame, folder: str, column: str = "dt") -> DataFrame:
+    """Table partitioned by a day column; a day with many rows is written by several tasks."""
+    df.hint("rebalance", column).write.mode("overwrite").partitionBy(column).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def write_many(df: DataFrame, sinks: list[Callable[[DataFrame], object]]) -> list[object]:
     """One computed frame to several sinks; it is materialised once in the scratch folder."""
     kept = stable(df)

@@ -74,7 +74,7 @@ def append_batches(keys: list[str], sink: str) -> Callable[[DataFrame, int], Non
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.dropDuplicates(keys)
+        fresh = latest_per_key(batch, keys, [])
         if batch_id > 0:
             known = _earlier(batch.sparkSession, sink, batch.schema, batch_id).select(*keys)
             fresh = fresh.join(known, keys, "left_anti").select(*batch.columns)

@@ -128,9 +128,21 @@ def sessions(
     return out.withColumn("session_duration_minutes", minutes)
 
 
-def session_windows(df: DataFrame, user: str, ts: str, aggs: list[Column], gap: str = "30 minutes") -> DataFrame:
-    """Sessions per user with Spark's session window. Batch and streams (append)."""
-    grouped = df.groupBy(F.session_window(F.col(ts), gap).alias("_w"), user).agg(*aggs)
+def session_windows(
+    df: DataFrame, user: str, ts: str, aggs: list[Column], gap_minutes: int = 30, *, max_rows: int | None = None
+) -> DataFrame:
+    """Sessions per user that end a pause of ``gap_minutes`` after the last event.
+
+    Streams (append) use Spark's session window. In batch that would send a user's
+    events to one task, so sessions are numbered first and then added up.
+    """
+    if not df.isStreaming:
+        tagged = sessionize(df, [user], ts, ts, gap_minutes, exact=True, max_rows=max_rows)
+        last = F.max(ts).cast("timestamp_ntz") + F.expr(f"INTERVAL {gap_minutes} MINUTES")
+        first = F.min(ts).cast("timestamp_ntz")
+        out = tagged.groupBy(user, "session_id").agg(first.alias("session_start"), last.alias("session_end"), *aggs)
+        return out.drop("session_id")
+    grouped = df.groupBy(F.session_window(F.col(ts), f"{gap_minutes} minutes").alias("_w"), user).agg(*aggs)
     ends = [F.col(f"_w.{side}").cast("timestamp_ntz").alias(f"session_{side}") for side in ("start", "end")]
     return grouped.select(user, *ends, *[c for c in grouped.columns if c not in ("_w", user)])
 

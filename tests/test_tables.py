@@ -75,6 +75,12 @@ def test_large_extract_becomes_parts(spark, tmp_path):
     assert sum(len(gzip.open(p, "rt").readlines()) - 1 for p in paths) == 25
 
 
+def test_ordered_extract(spark, tmp_path):
+    paths = writers.write_csv_gz(spark.range(25), str(tmp_path / "out"), "list", order=["id"], rows_per_file=10)
+    lines = [int(line.strip('"\n')) for p in paths for line in gzip.open(p, "rt").readlines()[1:]]
+    assert lines == list(range(25))
+
+
 def test_json_null_fields(spark, tmp_path):
     df = spark.createDataFrame([(1, None)], "id int, v string")
     (kept,) = writers.write_json(df, str(tmp_path / "a"), "f", keep_nulls=True)
