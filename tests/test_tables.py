@@ -31,6 +31,7 @@ def test_strict_read_passes_good_rows(spark, rows, layout, tmp_path):
     path = text_file(tmp_path, "1\ta\tx@y", "2\tb\t")
     df = readers.read_delimited(spark, path, layout, sep="\t", max_rejects=0)
     assert rows(df) == [("1", "a", "x@y"), ("2", "b", None)]
+    assert df.count() == 2
 
 
 @pytest.mark.parametrize("bad", ["3\tc", "3\tc\tm\textra", "3\ttoolong\tm"])
