@@ -65,10 +65,9 @@ class Spread:
     descending: bool
     split: bool
 
-    def window(self, backwards: bool = False) -> WindowSpec:
+    def window(self) -> WindowSpec:
         parts = [*self.keys, CHUNK] if self.split else self.keys
-        falling = self.descending != backwards
-        columns = [F.col(c).desc_nulls_last() if falling else F.col(c).asc_nulls_first() for c in self.order]
+        columns = [F.col(c).desc_nulls_last() if self.descending else F.col(c).asc_nulls_first() for c in self.order]
         return Window.partitionBy(*parts).orderBy(*columns)
 
     def with_rows(self, df: DataFrame) -> Spread:
@@ -149,8 +148,9 @@ def add_lag(s: Spread, column: str, name: str) -> Spread:
     if not s.split:
         return s.with_rows(lagged)
     first = s.with_rows(lagged.withColumn("_first", F.row_number().over(s.window()) == 1))
-    tail = s.divided().select(*s.keys, CHUNK, F.col(column).alias("_c"), F.row_number().over(s.window(backwards=True)).alias("_rn"))
-    totals = tail.filter("_rn = 1")
+    # The last row of a chunk; NULL sorts lowest in a struct as it does in the window.
+    last = F.min_by if s.descending else F.max_by
+    totals = s.divided().groupBy(*s.keys, CHUNK).agg(last(column, F.struct(*s.order)).alias("_c"))
     out = first.carry(totals, F.lag("_c").over(s.chunk_window()), "_prior")
     value = F.when(F.col("_first"), F.col("_prior")).otherwise(F.col(name))
     return s.with_rows(out.withColumn(name, value).drop("_first", "_prior"))
