@@ -20,6 +20,7 @@ from shirabe.operators.change import append_new, flag_exists, lookback, new_rows
 from shirabe.operators.join import exclude_multi, only_one_in_group, snapshot_changes
 from shirabe.operators.project import before_month, current_month, date_window, stamp
 from shirabe.operators.window import latest_per_key
+from shirabe.session import stable
 
 STAMP = "%Y/%m/%d %H:%M:%S"
 Tables = dict[str, DataFrame]
@@ -170,7 +171,8 @@ def repair_follow_up(tables: Tables, as_of: datetime) -> DataFrame:
     slots = F.array(*[F.struct(F.col(f"key_type{i}").alias("t"), F.col(f"service_key{i}").alias("k")) for i in (1, 2, 3)])
     owners = active.select("bx", F.explode(slots).alias("_s")).filter("_s.t = '001'")
     owners = owners.select("bx", F.col("_s.k").alias("meter_no"))
-    clear = exclude_multi(per_day, owners, "meter_no", "bx")
+    # Read twice below: to thin out the usage records and for the list itself.
+    clear = stable(exclude_multi(per_day, owners, "meter_no", "bx"))
 
     keys = F.array_distinct(F.array("service_key1", "service_key2", "service_key3"))
     unfolded = active.select("bx", "index_id", "output_date", F.explode(keys).alias("meter_no"))
