@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shirabe.llm import ring
+from shirabe.llm import language, ring
 from shirabe.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
 
 
+@query("op2_string_kernel_language")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from the rows that are not held out."""
+    docs = table(spark, folder, "documents")
+    kept = docs.where(~language.held_out() & F.col("doc_id").isNotNull())
+    return language.identify(docs, language.fit(kept)).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
 @query("op8_ring_shards")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     """Documents in shards 0 to 15; counts differ by one at most (law ``rows``)."""
