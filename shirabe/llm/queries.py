@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shirabe.llm import language, ring
+from shirabe.llm import bpe, language, ring
 from shirabe.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -19,6 +20,19 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(docs, language.fit(kept)).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def vocabulary() -> dict[bytes, int]:
+    """Ranks of the public byte-level vocabulary."""
+    return bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@query("op3_bpe_round_trip")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every document and the bytes they decode to, as digests."""
+    return bpe.encode(table(spark, folder, "documents"), vocabulary()).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 @query("op8_ring_shards")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     """Documents in shards 0 to 15; counts differ by one at most (law ``rows``)."""
