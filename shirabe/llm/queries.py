@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shirabe.llm import bpe, language, ring
+from shirabe.llm import bpe, jaccard, language, ring, warc
 from shirabe.llm.registry import QUERIES, SQL, query, table
+from shirabe.session import scratch_path
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -44,3 +45,23 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return ring.shard(docs, ["doc_id", "size", "text_crc32"]).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "home"
     )
+
+
+@query("op10_jaccard_components")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents linked by 5-word shingles with Jaccard similarity 0.8 or more."""
+    return jaccard.classes(table(spark, folder, "documents"))
+
+
+@query("op5_warc_round_trip")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page written as a WARC record and read back from the archive."""
+    path = scratch_path(spark, "warc")
+    warc.write(table(spark, folder, "pages"), path, "page_id", "url", "html")
+    return warc.read(spark, path).select(
+        F.col("key").cast("bigint").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast("bigint").alias("refers_to"),
+    )
