@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shirabe.llm import bpe, jaccard, language, ring, warc
+from shirabe.llm import bpe, decontaminate, jaccard, language, ring, warc
 from shirabe.llm.registry import QUERIES, SQL, query, table
 from shirabe.session import scratch_path
 
@@ -65,3 +65,9 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
         "record_type",
         F.col("refers_to").cast("bigint").alias("refers_to"),
     )
+
+
+@query("op9_template_decontamination")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of a document and a benchmark item it holds, also with other numbers, names or units."""
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
