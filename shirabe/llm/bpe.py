@@ -1,10 +1,10 @@
-"""Byte-level BPE: ranked merges folded by Spark over the byte arrays of distinct words.
+"""Byte-level BPE: ranked merges folded over the byte arrays of distinct words.
 
-Blocks of documents are cut into words in Arrow batches and listed as distinct
-words plus indices. Spark's higher-order functions then fold the merges over each
-distinct word, with the rank map as a literal: a perfect hash from a pair of token ids to
-the id of their concatenation, which is its rank. A last Arrow step puts the words of
-each document together. No row is shuffled, and a document is never split.
+The rank map is a literal: a perfect hash from a pair of token ids to the id of their
+concatenation, which is its rank. ``Folder`` folds the merges with Spark's higher-order
+functions, for columns of words. ``encode`` is for corpora: it cuts blocks of documents into words
+in Arrow batches, folds the same merges over all distinct words of a block at once,
+and puts the words of each document together. No row is shuffled, and no document split.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 PAIR = 1 << 16  # ids are below this
 NONE = 1 << 62  # an empty slot of the rank map
 FOLD_BYTES = 64  # longer words are merged with a heap, as folding takes their length squared
-BLOCK_BYTES = 24 << 20
-SPELLED = 1 << 20  # words of a group of documents that is put together at once
+BLOCK_CHARS = 4 << 20
+SPELLED = 1 << 18  # words of a group of documents that is put together at once
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -141,54 +141,6 @@ def rank_table(ranks: dict[bytes, int]) -> tuple[list[int], list[int], int, int]
     return moves, entries, buckets, slots
 
 
-class Folder:
-    """Column expressions that encode and decode one word with literal tables."""
-
-    def __init__(self, ranks: dict[bytes, int]):
-        moves, entries, self.buckets, self.slots = rank_table(ranks)
-        self.moves = F.from_json(F.lit(json.dumps(moves)), "array<bigint>")
-        self.entries = F.from_json(F.lit(json.dumps(entries)), "array<bigint>")
-        pieces: list[str | None] = [None] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            pieces[rank] = base64.b64encode(token).decode()
-        self.pieces = F.from_json(F.lit(json.dumps(pieces)), "array<binary>")
-
-    def rank(self, left: Column, right: Column) -> Column:
-        """Rank of a pair, below 2^16; larger if the pair has none, null beyond the word's end."""
-        pair = left * PAIR + right
-        slot = (pair % self.slots + F.get(self.moves, (pair % self.buckets).cast("int"))) % self.slots
-        return F.get(self.entries, slot.cast("int")).bitwiseXOR(pair * PAIR)
-
-    def encode(self, word: Column) -> Column:
-        """Ids of a word given as the ids of its bytes: merge the pair of least rank, leftmost first, until none is left."""
-
-        def merge(state: Column, at: Column) -> Column:
-            ids, ranks, low, spot = state["ids"], state["ranks"], at["low"], at["spot"]
-            left = F.when(spot > 1, F.array(self.rank(F.get(ids, spot - 2), low))).otherwise(F.array().cast("array<bigint>"))
-            return F.struct(
-                F.concat(F.slice(ids, 1, spot - 1), F.array(low), F.slice(ids, spot + 2, F.size(ids))).alias("ids"),
-                F.concat(
-                    F.slice(ranks, 1, F.greatest(spot - 2, F.lit(0))),
-                    left,
-                    F.array(self.rank(low, F.get(ids, spot + 1))),
-                    F.slice(ranks, spot + 2, F.size(ids)),
-                ).alias("ranks"),
-            )
-
-        def step(state: Column, _: Column) -> Column:
-            low = F.array_min(state["ranks"])
-            at = F.array(F.struct(low.alias("low"), F.array_position(state["ranks"], low).cast("int").alias("spot")))
-            return F.when(low < PAIR, F.get(F.transform(at, lambda a: merge(state, a)), F.lit(0))).otherwise(state)
-
-        ids = word.cast("array<bigint>")
-        start = F.struct(ids.alias("ids"), F.zip_with(ids, F.slice(ids, 2, F.size(ids)), self.rank).alias("ranks"))
-        return F.aggregate(F.slice(word, 2, F.size(word)), start, step, lambda s: s["ids"])
-
-    def decode(self, ids: Column) -> Column:
-        """Bytes of a list of ids: their binary pieces, concatenated."""
-        return F.aggregate(ids, F.lit(b""), lambda done, i: F.concat(done, F.get(self.pieces, i.cast("int"))))
-
-
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of a long word: the same merges, the next one taken from a heap."""
     n = len(word)
@@ -223,123 +175,183 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-BLOCK = "keys array<bigint>, counts array<int>, places binary, words array<array<int>>, long_words array<binary>"
+class Ranks:
+    """A vocabulary with its rank map as arrays."""
 
+    def __init__(self, ranks: dict[bytes, int]):
+        moves, entries, self.buckets, self.slots = rank_table(ranks)
+        self.moves, self.entries = np.array(moves, np.int64), np.array(entries, np.int64)
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.ranks = ranks
+        pieces: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            pieces[rank] = token
+        self.pieces = pieces
 
-def blocks(df: DataFrame, key: str, text: str, ranks: dict[bytes, int], block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of documents: keys, words per document, index of each word, and the distinct words as byte ids.
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs, below 2^16; larger for pairs without one."""
+        pair = left * PAIR + right
+        return self.entries[(pair % self.slots + self.moves[pair % self.buckets]) % self.slots] ^ (pair * PAIR)
+
+    def fold(self, ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Merge words of one length, a row of byte ids each: (rows, their ids) by final length.
+
+        Each step merges the pair of least rank, leftmost first, in every word that
+        has one, so the words left all get shorter by one.
+        """
+        rows, done = np.arange(len(ids)), []
+        ranks = self.rank(ids[:, :-1], ids[:, 1:])
+        while len(rows):
+            if ids.shape[1] == 1:
+                done.append((rows, ids))
+                break
+            spot = ranks.argmin(axis=1)
+            low = ranks[np.arange(len(rows)), spot]
+            going = low < PAIR
+            if not going.all():
+                done.append((rows[~going], ids[~going]))
+                rows, ids, ranks, spot, low = rows[going], ids[going], ranks[going], spot[going], low[going]
+                if not len(rows):
+                    break
+            line = np.arange(len(rows))
+            ids[line, spot] = low
+            kept = np.ones(ids.shape, bool)
+            kept[line, spot + 1] = False
+            ids = ids[kept].reshape(len(rows), -1)
+            kept = np.ones(ranks.shape, bool)
+            kept[line, spot] = False
+            ranks = ranks[kept].reshape(len(rows), -1)
+            left = np.flatnonzero(spot > 0)
+            ranks[left, spot[left] - 1] = self.rank(ids[left, spot[left] - 1], ids[left, spot[left]])
+            right = np.flatnonzero(spot < ids.shape[1] - 1)
+            ranks[right, spot[right]] = self.rank(ids[right, spot[right]], ids[right, spot[right] + 1])
+        return done
+
+    def words(self, words: pa.Array) -> pa.ListArray:
+        """Ids of each of a list of words."""
+        sizes = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        data = np.frombuffer(b"".join(words.to_pylist()), np.uint8)
+        begins = np.cumsum(sizes) - sizes
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for size in np.unique(sizes):
+            at = np.flatnonzero(sizes == size)
+            if size > FOLD_BYTES:
+                for one in at:
+                    word = data[begins[one] : begins[one] + size].tobytes()
+                    found.append((np.array([one]), np.array([merge_long(word, self.ranks)], np.int64)))
+            else:
+                bytes_ = data[begins[at][:, None] + np.arange(size)]
+                found += [(at[rows], ids) for rows, ids in self.fold(self.byte_ids[bytes_])]
+        lengths = np.zeros(len(words), np.int64)
+        for rows, ids in found:
+            lengths[rows] = ids.shape[1]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        flat = np.empty(ends[-1], np.int32)
+        for rows, ids in found:
+            flat[ends[rows][:, None] + np.arange(ids.shape[1])] = ids
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+
+
+def encode(df: DataFrame, ranks: dict[bytes, int], key: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """One row per document: key, ``n_tokens``, ``ids`` (decimal, joined by one blank) and ``decoded`` (the bytes of the ids).
 
-    Indices count the short words first, then the long ones.
+    Null and empty texts have no ids. Repeated and null keys keep their rows.
+    Other columns are not carried along.
     """
     table = classes()
-    byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-    schema = pa.schema(
-        [
-            ("keys", pa.list_(pa.int64())),
-            ("counts", pa.list_(pa.int32())),
-            ("places", pa.large_binary()),
-            ("words", pa.list_(pa.list_(pa.int32()))),
-            ("long_words", pa.list_(pa.binary())),
-        ]
-    )
+    shared = df.sparkSession.sparkContext.broadcast(Ranks(ranks))  # as large as the vocabulary
 
-    def block(keys: list, texts: list[str]) -> pa.RecordBatch:
+    def block(keys: list, texts: list[str], held: Ranks, pieces: pa.Array) -> Iterator[pa.RecordBatch]:
         words, counts = split_words(texts, table)
         listed = words.dictionary_encode()
-        distinct, places = listed.dictionary, listed.indices.to_numpy(zero_copy_only=False).astype(np.int32)
-        sizes = pc.binary_length(distinct).to_numpy(zero_copy_only=False)
-        short = sizes <= FOLD_BYTES
-        renumber = np.empty(len(sizes), np.int32)
-        renumber[short] = np.arange(int(short.sum()), dtype=np.int32)
-        renumber[~short] = np.arange(int(short.sum()), len(sizes), dtype=np.int32)
-        folded = distinct.filter(pa.array(short))
-        data = np.frombuffer(b"".join(folded.to_pylist()), np.uint8)
-        ends = np.concatenate([[0], np.cumsum(sizes[short])]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(byte_ids[data]))
-        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-        return pa.RecordBatch.from_arrays(
-            [
-                one(pa.array(keys, pa.int64())),
-                one(pa.array(counts.astype(np.int32))),
-                pa.array([renumber[places].tobytes()], pa.large_binary()),
-                one(lists),
-                one(distinct.filter(pa.array(~short)).cast(pa.binary())),
-            ],
-            schema=schema,
-        )
+        index = listed.indices.to_numpy(zero_copy_only=False)
+        ids = held.words(listed.dictionary)
+        sizes = ids.value_lengths().to_numpy(zero_copy_only=False)
+        spelled = pc.binary_join(pa.ListArray.from_arrays(ids.offsets, ids.values.cast(pa.string())), " ")
+        decoded = pc.binary_join(pa.ListArray.from_arrays(ids.offsets, pieces.take(ids.values)), pa.scalar(b"", pa.binary()))
+        ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+        totals = np.concatenate([[0], np.cumsum(sizes[index])]).astype(np.int64)
+        n_tokens = totals[ends[1:]] - totals[ends[:-1]]
+        # Some documents at a time, so that only a part of the block is spelled out at once.
+        hi = 0
+        while hi < len(counts):
+            lo, hi = hi, max(hi + 1, int(np.searchsorted(ends, ends[hi] + SPELLED, side="right")) - 1)
+            taken = pa.array(index[ends[lo] : ends[hi]])
+            cuts = pa.array((ends[lo : hi + 1] - ends[lo]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(keys[lo:hi], pa.int64()),
+                    pa.array(n_tokens[lo:hi], pa.int64()),
+                    pc.binary_join(pa.ListArray.from_arrays(cuts, spelled.take(taken)), " "),
+                    pc.binary_join(pa.ListArray.from_arrays(cuts, decoded.take(taken)), pa.scalar(b"", pa.binary())),
+                ],
+                names=["key", "n_tokens", "ids", "decoded"],
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, texts, held = [], [], 0
+        held = shared.value
+        pieces = pa.array(held.pieces, pa.binary())
+        keys, texts, chars = [], [], 0
         for batch in batches:
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 keys.append(k)
                 texts.append(t or "")
-                held += len(texts[-1])
-                if held >= block_bytes:
-                    yield block(keys, texts)
-                    keys, texts, held = [], [], 0
+                chars += len(texts[-1])
+                if chars >= block_chars:
+                    yield from block(keys, texts, held, pieces)
+                    keys, texts, chars = [], [], 0
         if keys:
-            yield block(keys, texts)
+            yield from block(keys, texts, held, pieces)
 
-    return df.select(F.col(key).cast("bigint"), F.col(text)).mapInArrow(run, BLOCK)
+    encoded = df.select(F.col(key).cast("bigint"), F.col(text)).mapInArrow(
+        run, "key bigint, n_tokens bigint, ids string, decoded binary"
+    )
+    return encoded.withColumnRenamed("key", key)
 
 
-def encode(df: DataFrame, ranks: dict[bytes, int], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: key, ``n_tokens``, ``ids`` (decimal, joined by one blank) and ``decoded`` (the bytes of the ids).
+class Folder:
+    """Column expressions that encode and decode one word with literal tables."""
 
-    Null and empty texts have no ids. Repeated and null keys keep their rows.
-    Other columns are not carried along.
-    """
-    folder = Folder(ranks)
-    encoded = (
-        blocks(df, key, text, ranks)
-        .select("keys", "counts", "places", "long_words", F.transform("words", folder.encode).alias("ids"))
-        .select(
-            "keys",
-            "counts",
-            "places",
-            "long_words",
-            F.transform("ids", F.size).alias("sizes"),
-            F.transform("ids", lambda i: F.array_join(i.cast("array<string>"), " ")).alias("id_texts"),
-            F.transform("ids", folder.decode).alias("pieces"),
-        )
-    )
-    shared = df.sparkSession.sparkContext.broadcast(ranks)
+    def __init__(self, ranks: dict[bytes, int]):
+        moves, entries, self.buckets, self.slots = rank_table(ranks)
+        self.moves = F.from_json(F.lit(json.dumps(moves)), "array<bigint>")
+        self.entries = F.from_json(F.lit(json.dumps(entries)), "array<bigint>")
+        pieces: list[str | None] = [None] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            pieces[rank] = base64.b64encode(token).decode()
+        self.pieces = F.from_json(F.lit(json.dumps(pieces)), "array<binary>")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        long_ranks = shared.value
-        tokens: dict[int, bytes] | None = None
-        for batch in batches:
-            for row in range(batch.num_rows):
-                keys, counts, places, long_words, sizes, id_texts, pieces = (batch.column(c)[row] for c in range(7))
-                index = np.frombuffer(places.as_py(), np.int32)
-                sizes, id_texts, pieces = sizes.values, id_texts.values, pieces.values
-                if len(long_words.values):
-                    tokens = tokens or {r: t for t, r in long_ranks.items()}
-                    merged = [merge_long(w, long_ranks) for w in long_words.as_py()]
-                    sizes = pa.concat_arrays([sizes, pa.array([len(m) for m in merged], pa.int32())])
-                    id_texts = pa.concat_arrays([id_texts, pa.array([" ".join(map(str, m)) for m in merged], id_texts.type)])
-                    pieces = pa.concat_arrays([pieces, pa.array([b"".join(tokens[i] for i in m) for m in merged], pa.binary())])
-                counts = counts.values.to_numpy(zero_copy_only=False)
-                ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-                totals = np.concatenate([[0], np.cumsum(sizes.to_numpy(zero_copy_only=False)[index])])
-                n_tokens = totals[ends[1:]] - totals[ends[:-1]]
-                # Some documents at a time, so that only a part of the block is spelled out at once.
-                hi = 0
-                while hi < len(counts):
-                    lo, hi = hi, max(hi + 1, int(np.searchsorted(ends, ends[hi] + SPELLED, side="right")) - 1)
-                    taken = pa.array(index[ends[lo] : ends[hi]])
-                    cuts = pa.array((ends[lo : hi + 1] - ends[lo]).astype(np.int32))
-                    spelled = pa.ListArray.from_arrays(cuts, pc.take(id_texts, taken))
-                    bytes_ = pa.ListArray.from_arrays(cuts, pc.take(pieces, taken))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            keys.values[lo:hi],
-                            pa.array(n_tokens[lo:hi], pa.int64()),
-                            pc.binary_join(spelled, " "),
-                            pc.binary_join(bytes_, pa.scalar(b"", pa.binary())),
-                        ],
-                        names=["key", "n_tokens", "ids", "decoded"],
-                    )
-
-    return encoded.mapInArrow(run, "key bigint, n_tokens bigint, ids string, decoded binary").withColumnRenamed("key", key)
+    def rank(self, left: Column, right: Column) -> Column:
+        """Rank of a pair, below 2^16; larger if the pair has none, null beyond the word's end."""
+        pair = left * PAIR + right
+        slot = (pair % self.slots + F.get(self.moves, (pair % self.buckets).cast("int"))) % self.slots
+        return F.get(self.entries, slot.cast("int")).bitwiseXOR(pair * PAIR)
+
+    def encode(self, word: Column) -> Column:
+        """Ids of a word given as the ids of its bytes: merge the pair of least rank, leftmost first, until none is left."""
+
+        def merge(state: Column, at: Column) -> Column:
+            ids, ranks, low, spot = state["ids"], state["ranks"], at["low"], at["spot"]
+            left = F.when(spot > 1, F.array(self.rank(F.get(ids, spot - 2), low))).otherwise(F.array().cast("array<bigint>"))
+            return F.struct(
+                F.concat(F.slice(ids, 1, spot - 1), F.array(low), F.slice(ids, spot + 2, F.size(ids))).alias("ids"),
+                F.concat(
+                    F.slice(ranks, 1, F.greatest(spot - 2, F.lit(0))),
+                    left,
+                    F.array(self.rank(low, F.get(ids, spot + 1))),
+                    F.slice(ranks, spot + 2, F.size(ids)),
+                ).alias("ranks"),
+            )
+
+        def step(state: Column, _: Column) -> Column:
+            low = F.array_min(state["ranks"])
+            at = F.array(F.struct(low.alias("low"), F.array_position(state["ranks"], low).cast("int").alias("spot")))
+            return F.when(low < PAIR, F.get(F.transform(at, lambda a: merge(state, a)), F.lit(0))).otherwise(state)
+
+        ids = word.cast("array<bigint>")
+        start = F.struct(ids.alias("ids"), F.zip_with(ids, F.slice(ids, 2, F.size(ids)), self.rank).alias("ranks"))
+        return F.aggregate(F.slice(word, 2, F.size(word)), start, step, lambda s: s["ids"])
+
+    def decode(self, ids: Column) -> Column:
+        """Bytes of a list of ids: their binary pieces, concatenated."""
+        return F.aggregate(ids, F.lit(b""), lambda done, i: F.concat(done, F.get(self.pieces, i.cast("int"))))
