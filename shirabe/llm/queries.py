@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shirabe.llm import bpe, decontaminate, jaccard, language, ring, warc
+from shirabe.llm import bpe, decontaminate, jaccard, language, mtree, ring, warc
 from shirabe.llm.registry import QUERIES, SQL, query, table
 from shirabe.session import scratch_path
 
@@ -71,3 +71,10 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of a document and a benchmark item it holds, also with other numbers, names or units."""
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op7_mtree_top_k")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """The five largest inner products of every fiftieth vector, on integer components."""
+    found = mtree.top_k(table(spark, folder, "embeddings"), "vec_id", "embedding", every=50, k=5)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
