@@ -6,13 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shirabe.llm import bpe, decontaminate, jaccard, language, mtree, ring, warc
+from shirabe.llm import bpe, decontaminate, jaccard, language, mtree, pages, ring, warc
 from shirabe.llm.registry import QUERIES, SQL, query, table
 from shirabe.session import scratch_path
 
 __all__ = ["QUERIES", "SQL"]
 
 
+@query("op1_url_differencing")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return pages.extract(table(spark, folder, "pages"))
+
+
 @query("op2_string_kernel_language")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document, learned from the rows that are not held out."""
