@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shirabe.llm import bpe, decontaminate, jaccard, language, mtree, pages, ring, warc
+from shirabe.llm import bpe, decontaminate, jaccard, language, mtree, pages, pii, ring, warc
 from shirabe.llm.registry import QUERIES, SQL, query, table
 from shirabe.session import scratch_path
 
@@ -59,6 +59,21 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.classes(table(spark, folder, "documents"))
 
 
+@query("op4_contextual_pii")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data of every document: base spans and those found by context."""
+    found = pii.find(table(spark, folder, "documents"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size("base") - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"),
+        pii.written(F.concat("base", "added")).alias("spans"),
+        F.size("added").cast("long").alias("n_context"),
+    )
+
+
 @query("op5_warc_round_trip")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     """Every page written as a WARC record and read back from the archive."""
