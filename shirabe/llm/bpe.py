@@ -252,9 +252,12 @@ class Ranks:
         return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
 
 
-def encode(df: DataFrame, ranks: dict[bytes, int], key: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """One row per document: key, ``n_tokens``, ``ids`` (decimal, joined by one blank) and ``decoded`` (the bytes of the ids).
+def encode(
+    df: DataFrame, ranks: dict[bytes, int], key: str = "doc_id", text: str = "text", spelled: bool = False, block_chars: int = BLOCK_CHARS
+) -> DataFrame:
+    """One row per document: key, ``n_tokens``, ``ids`` and ``decoded`` (the bytes of the ids).
 
+    ``ids`` are an array, or if ``spelled`` decimal numbers joined by one blank.
     Null and empty texts have no ids. Repeated and null keys keep their rows.
     Other columns are not carried along.
     """
@@ -267,7 +270,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], key: str = "doc_id", text: st
         index = listed.indices.to_numpy(zero_copy_only=False)
         ids = held.words(listed.dictionary)
         sizes = ids.value_lengths().to_numpy(zero_copy_only=False)
-        spelled = pc.binary_join(pa.ListArray.from_arrays(ids.offsets, ids.values.cast(pa.string())), " ")
+        texts_of = pc.binary_join(pa.ListArray.from_arrays(ids.offsets, ids.values.cast(pa.string())), " ") if spelled else None
         decoded = pc.binary_join(pa.ListArray.from_arrays(ids.offsets, pieces.take(ids.values)), pa.scalar(b"", pa.binary()))
         ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
         totals = np.concatenate([[0], np.cumsum(sizes[index])]).astype(np.int64)
@@ -278,11 +281,16 @@ def encode(df: DataFrame, ranks: dict[bytes, int], key: str = "doc_id", text: st
             lo, hi = hi, max(hi + 1, int(np.searchsorted(ends, ends[hi] + SPELLED, side="right")) - 1)
             taken = pa.array(index[ends[lo] : ends[hi]])
             cuts = pa.array((ends[lo : hi + 1] - ends[lo]).astype(np.int32))
+            if spelled:
+                listed_ids = pc.binary_join(pa.ListArray.from_arrays(cuts, texts_of.take(taken)), " ")
+            else:
+                tokens = totals[ends[lo : hi + 1]]
+                listed_ids = pa.ListArray.from_arrays(pa.array((tokens - tokens[0]).astype(np.int32)), ids.take(taken).flatten())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(keys[lo:hi], pa.int64()),
                     pa.array(n_tokens[lo:hi], pa.int64()),
-                    pc.binary_join(pa.ListArray.from_arrays(cuts, spelled.take(taken)), " "),
+                    listed_ids,
                     pc.binary_join(pa.ListArray.from_arrays(cuts, decoded.take(taken)), pa.scalar(b"", pa.binary())),
                 ],
                 names=["key", "n_tokens", "ids", "decoded"],
@@ -304,7 +312,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], key: str = "doc_id", text: st
             yield from block(keys, texts, held, pieces)
 
     encoded = df.select(F.col(key).cast("bigint"), F.col(text)).mapInArrow(
-        run, "key bigint, n_tokens bigint, ids string, decoded binary"
+        run, f"key bigint, n_tokens bigint, ids {'string' if spelled else 'array<int>'}, decoded binary"
     )
     return encoded.withColumnRenamed("key", key)
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shirabe.llm import bpe, decontaminate, jaccard, language, mtree, pages, pii, ring, warc
+from shirabe.llm import bpe, decontaminate, jaccard, language, mtree, pages, pii, ring, secrets, warc
 from shirabe.llm.registry import QUERIES, SQL, query, table
 from shirabe.session import scratch_path
 
@@ -35,7 +35,7 @@ def vocabulary() -> dict[bytes, int]:
 @query("op3_bpe_round_trip")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every document and the bytes they decode to, as digests."""
-    return bpe.encode(table(spark, folder, "documents"), vocabulary()).select(
+    return bpe.encode(table(spark, folder, "documents"), vocabulary(), spelled=True).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 
@@ -94,6 +94,14 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query("op6_forest_secrets")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """Candidates of secrets in every document, scored by the forest; ``kept`` ones are findings."""
+    docs = table(spark, folder, "documents")
+    found = secrets.scan(docs, secrets.train(secrets.labelled_findings(docs)))
+    return found.select("doc_id", "start", "end", F.sha2("value", 256).alias("value_sha256"), "score", "kept")
+
+
 @query("op7_mtree_top_k")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     """The five largest inner products of every fiftieth vector, on integer components."""

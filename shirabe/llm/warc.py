@@ -71,32 +71,24 @@ def member(data: bytes, level: int) -> bytes:
 
 
 def prepared(df: DataFrame, key: str, url: str, payload: str, least: int) -> DataFrame:
-    """(key, url, payload, digest, refers_to): of equal payloads of ``least`` bytes or more the largest key is the response.
+    """(key, sha, url, payload, refers_to): every record, and before each revisit a row that names its response.
 
-    Which payloads repeat is aggregated on their digests before the shuffle. Repeated
-    rows of one key count as that key's one record; null payloads are empty.
+    Of equal payloads of ``least`` bytes or more the largest key is the response. Who
+    refers to whom is found on keys and digests alone, so payloads are shuffled once, in the
+    range sort, which brings both rows together. Null payloads are empty.
     """
     rows = df.select(
         F.col(key).alias("key"),
         F.col(url).cast("string").alias("url"),
         F.encode(F.coalesce(F.col(payload).cast("string"), F.lit("")), "UTF-8").alias("payload"),
     ).withColumn("sha", F.sha1("payload"))
-    heads = (
-        rows.where(F.octet_length("payload") >= least)
-        .groupBy("sha")
-        .agg(F.max("key").alias("head"), F.count("*").alias("copies"))
-        .where("copies > 1")
-        .drop("copies")
-    )
-    # One row per repeated payload; the skew join splits the rows of a payload that many pages share.
-    joined = rows.join(heads, "sha", "left").withColumn("own", F.col("head").isNull() | F.col("head").eqNullSafe(F.col("key")))
-    return joined.select(
-        "key",
-        "url",
-        "sha",
-        F.octet_length("payload").alias("size"),
-        F.when(~F.col("own"), F.col("head")).alias("refers_to"),
-        F.when(F.col("own"), F.col("payload")).alias("payload"),
+    slim = rows.where(F.octet_length("payload") >= least).select("key", "sha")
+    # Aggregated before the shuffle; the skew join splits the rows of a payload that many pages share.
+    heads = slim.groupBy("sha").agg(F.max("key").alias("head"), F.count("*").alias("copies")).where("copies > 1")
+    named = slim.join(heads, "sha").where(F.col("head").isNotNull() & ~F.col("head").eqNullSafe(F.col("key"))).distinct()
+    kind = df.schema[key].dataType.simpleString()
+    return rows.select("key", "sha", "url", "payload", F.lit(None).cast(kind).alias("refers_to")).union(
+        named.select("key", "sha", F.lit(None).cast("string"), F.lit(None).cast("binary"), "head")
     )
 
 
@@ -105,13 +97,16 @@ def write(df: DataFrame, path: str, key: str, url: str, payload: str, least: int
 
     Rows are sorted by range of the key; each task writes its range to files of about
     ``roll_bytes`` compressed bytes (one record may exceed it). A repeated task writes the
-    same names and bytes, of which the commit takes one.
+    same bytes under a name of its own attempt; the commit takes the one that was reported.
+    An empty table gives an archive of no files.
     """
     spark = df.sparkSession
     store, root = fs.FileSystem.from_uri(path)
     store.create_dir(f"{root}/_temporary", recursive=True)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = prepared(df, key, url, payload, least).repartitionByRange(parts, "key", "sha").sortWithinPartitions("key", "sha", "url")
+    ordered = prepared(df, key, url, payload, least).repartitionByRange(parts, "key", "sha").sortWithinPartitions(
+        "key", "sha", F.col("refers_to").isNull(), "url"
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -123,11 +118,16 @@ def write(df: DataFrame, path: str, key: str, url: str, payload: str, least: int
             sink.close()
             done.append({**out, "sha256": out["sha256"].hexdigest()})
 
+        named = None
         for batch in batches:
             for row in batch.to_pylist():
-                name, refers = (None if row[c] is None else str(row[c]) for c in ("key", "refers_to"))
+                if row["payload"] is None:
+                    named = row
+                    continue
+                refers = named["refers_to"] if named and (named["key"], named["sha"]) == (row["key"], row["sha"]) else None
+                name, refers = (None if x is None else str(x) for x in (row["key"], refers))
                 bare = base64.b32encode(bytes.fromhex(row["sha"])).decode()
-                data = record(name, row["url"], row["payload"] or b"", row["size"], bare, refers)
+                data = record(name, row["url"], row["payload"], len(row["payload"]), bare, refers)
                 packed = member(data, level)
                 if sink is not None and out["bytes"] + len(packed) > roll_bytes:
                     close()
