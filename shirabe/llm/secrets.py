@@ -170,7 +170,9 @@ def parsed(text: str) -> list:
 
 
 def train(labelled: DataFrame, trees: int = 25, depth: int = 6, seed: int = 7) -> Forest:
-    """A forest from labelled findings (value, before, after, path, label); their number is the caller's bound."""
+    """A forest from labelled findings (value, before, after, path, label); their number is the caller's bound. Without any it keeps nothing."""
+    if labelled.isEmpty():
+        return Forest([0.0])
     row = features(*(F.col(c) for c in ("value", "before", "after", "path")))
     wide = labelled.select("label", row.alias("f")).select("label", *(F.get("f", F.lit(i)).alias(n) for i, n in enumerate(FEATURES)))
     ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(wide).select("label", "features")

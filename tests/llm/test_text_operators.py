@@ -1,0 +1,232 @@
+"""Language, tokens, personal data, secrets, page text: brute force, round trips and edge cases."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+from shirabe.llm import bpe, language, pages, pii, secrets
+
+DOCS = "doc_id long, text string, lang string, score string, key string"  # the last two clash with own names
+
+
+@pytest.fixture(scope="module")
+def ranks():
+    return bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@pytest.fixture(scope="module")
+def encoding(ranks):
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+# --- language -----------------------------------------------------------------------------------
+
+WORDS = {"en": "the of and to in that is was".split(), "de": "der die und das ist nicht von zu".split(), "fr": "le la et les des est que une".split()}
+
+
+def prose(lang: str, seed: int, words: int = 40) -> str:
+    return " ".join(random.Random(f"{lang}{seed}").choices(WORDS[lang], k=words))
+
+
+def test_language_of_held_out_texts(spark):
+    rows = [(i, prose(lang, i), lang, "x", "y") for i, lang in enumerate(["en", "de", "fr"] * 40)]
+    docs = spark.createDataFrame(rows, DOCS)
+    model = language.fit(docs.where(~language.held_out()), rows=60, landmarks=12)
+    found = language.identify(docs, model).where(language.held_out()).select("lang", "lang_pred", "score").collect()
+    assert found and all(r.lang == r.lang_pred and 0.5 < r.score <= 1 for r in found)
+
+
+def test_language_edge_cases(spark):
+    docs = spark.createDataFrame([(i, prose(x, i), x, "x", "y") for i, x in enumerate(["en", "de"] * 10)], DOCS)
+    model = language.fit(docs, rows=20, landmarks=4)
+    odd = [(1, None, None, "", ""), (2, "", None, "", ""), (3, "12 !?", None, "", ""), (None, "the of and " * 400_000, None, "", ""), (5, "x", "en", "", ""), (5, "x", "en", "", "")]
+    found = language.identify(spark.createDataFrame(odd, DOCS), model).collect()
+    assert [r.lang_pred for r in found[:4]] == ["und", "und", "und", "en"] and found[0].score == 0
+    assert found[4] == found[5]
+    none = language.fit(docs.limit(0))
+    assert [r.lang_pred for r in language.identify(docs.limit(2), none).collect()] == ["und", "und"]
+    assert language.identify(docs.limit(0), model).collect() == []
+
+
+def test_gram_codes_do_not_depend_on_pieces(monkeypatch):
+    table = language.symbol_table()
+    text = prose("fr", 3, 200) + "  éà!! x"
+    whole = {int(c) for codes, _ in language.gram_codes(text, table) for c in codes}
+    monkeypatch.setattr(language, "PIECE", 7)
+    assert {int(c) for codes, _ in language.gram_codes(text, table) for c in codes} == whole
+
+
+# --- tokens -------------------------------------------------------------------------------------
+
+SIGNS = ["a", "st", "'", "'s", "'re", " ", "  ", "\n", "\t", "1", "٣", "é", "漢", "!", "\x85", " ", "😀", "'ll", "d"]
+
+
+def test_words_match_the_pattern():
+    import regex
+
+    picked = random.Random(1)
+    texts = ["".join(picked.choices(SIGNS, k=picked.randint(0, 25))) for _ in range(3000)]
+    words, counts = bpe.split_words(texts, bpe.classes())
+    words, at, pattern = [w.decode() for w in words.to_pylist()], 0, regex.compile(public_tokenizers.PATTERN)
+    for text, count in zip(texts, counts, strict=True):
+        assert words[at : at + count] == pattern.findall(text)
+        at += count
+
+
+def test_tokens_round_trip(spark, rows, ranks, encoding):
+    picked = random.Random(2)
+    texts = [None, "", "a" * 5000, "the cat's 12 mice", " ", *("".join(picked.choices(SIGNS, k=picked.randint(1, 60))) for _ in range(60))]
+    data = [(i, t, None, "", "k") for i, t in enumerate(texts)] + [(None, "x y", None, "", ""), (3, texts[3], None, "", "")]
+    docs = spark.createDataFrame(data, DOCS)
+    for r in bpe.encode(docs, ranks, spelled=True).collect():
+        text = "x y" if r.doc_id is None else texts[r.doc_id] or ""
+        ids = encoding.encode_ordinary(text)
+        assert (r.n_tokens, r.ids, bytes(r.decoded).decode()) == (len(ids), " ".join(map(str, ids)), text)
+    assert bpe.encode(docs, ranks, block_chars=10).select(F.sum("n_tokens")).first() == bpe.encode(docs, ranks).select(F.sum("n_tokens")).first()
+    assert [r.ids for r in bpe.encode(docs.where("doc_id = 3"), ranks).collect()] == [encoding.encode_ordinary(texts[3])] * 2
+    assert bpe.encode(docs.limit(0), ranks).collect() == []
+
+
+def test_folding_in_columns(spark, ranks, encoding):
+    folder, words = bpe.Folder(ranks), [" hello", "tokenisation", "a", "漢字", "zzzzqx"]
+    data = [(w, [ranks[bytes([b])] for b in w.encode()]) for w in words]
+    df = spark.createDataFrame(data, "word string, ids array<int>").withColumn("out", folder.encode(F.col("ids")))
+    for r in df.withColumn("back", folder.decode(F.col("out"))).collect():
+        assert r.out == encoding.encode_ordinary(r.word) and bytes(r.back).decode() == r.word
+
+
+# --- personal data ------------------------------------------------------------------------------
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def counts(kind: str, value: str) -> bool:
+    digits = re.sub("[^0-9]", "", value)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in value.split("."))
+    if kind == "phone":
+        return 9 <= len(digits) <= 15
+    if kind == "card":
+        each = [int(d) if i % 2 == 0 else sum(map(int, str(2 * int(d)))) for i, d in enumerate(reversed(digits))]
+        return 13 <= len(digits) <= 19 and sum(each) % 10 == 0
+    return True
+
+
+def brute(text: str) -> str:
+    return ",".join(f"{k}:{m.start()}:{m.end()}" for k, p in PLAIN.items() for m in re.finditer(p, text) if counts(k, m.group()))
+
+
+def test_base_spans(spark):
+    picked = random.Random(4)
+    parts = ["a", "b.c", "@", ".", "1", "255", "256", "-", " ", "+1", "(", "4111", "1111 1111", "é", "😀", "_", "x@y.z"]
+    texts = ["".join(picked.choices(parts, k=picked.randint(0, 40))) for _ in range(800)]
+    texts += [None, "", "1" * 8000, "a@b." * 500, "a" * 20000]
+    docs = spark.createDataFrame([(i, t, None, "", "") for i, t in enumerate(texts)] + [(None, "4111111111111111", None, "", "")], DOCS)
+    for r in pii.find(docs).withColumn("spans", pii.written(F.col("base"))).collect():
+        assert r.spans == brute("4111111111111111" if r.doc_id is None else texts[r.doc_id] or "")
+    assert pii.find(docs.limit(0)).collect() == []
+
+
+def test_contexts_find_unseen_identifiers(spark):
+    data = [(i, f"You may reach me at user{i}@mail.example.com today", None, "", "") for i in range(8)]
+    data += [(100, "You may reach me at jane.4471 today", None, "", ""), (101, "the number 4471 is fine", None, "", ""), (100, "You may reach me at jane.4471 today", None, "", "")]
+    found = {(r.doc_id, pii_texts(r)) for r in pii.find(spark.createDataFrame(data, DOCS)).where("doc_id >= 100").collect()}
+    assert found == {(100, ((20, 29),)), (101, ())}
+    # A pattern that mostly precedes ordinary words is not trusted.
+    data += [(200 + i, "you may reach me at noon", None, "", "") for i in range(40)]
+    assert all(not r.added for r in pii.find(spark.createDataFrame(data, DOCS)).collect())
+
+
+def pii_texts(row) -> tuple:
+    return tuple((s.start, s.end) for s in row.added)
+
+
+def test_personal_data_is_native(spark, plan):
+    docs = spark.createDataFrame([(1, "x", None, "", "")], DOCS)
+    assert not re.search("Python|Arrow|Pandas", plan(pii.scanned(docs, "doc_id", "text")))
+
+
+# --- secrets ------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    docs = spark.createDataFrame([(i, prose("en", i), "en", "", "") for i in range(120)], DOCS)
+    return secrets.train(secrets.labelled_findings(docs, rows=100), trees=15)
+
+
+def test_secrets_are_kept_and_false_positives_go(spark, forest):
+    key = hashlib.sha1(b"held out").hexdigest()
+    texts = {
+        1: f'one two token = "{key}" three', 2: f"see commit {key} of the tree", 3: "call 4463724487863232 now", 4: 'api_key = "your-api-key-here-99999"',
+        5: "-----BEGIN OPENSSH PRIVATE KEY-----\nx", 6: None, 7: "", 8: "short a1b2", 9: "word " * 20000 + f"secret: {key[:32]} end",
+    }
+    docs = spark.createDataFrame([(i, t, "src/a.py") for i, t in texts.items()], "doc_id long, text string, source string")
+    found = secrets.scan(docs, forest).collect()
+    assert {r.doc_id for r in found if r.kept} == {1, 5, 9}
+    assert all(texts[r.doc_id][r.start : r.end] == r.value for r in found)
+    out = {r.doc_id: r.text for r in secrets.redact(docs, forest).collect()}
+    assert out[1] == 'one two token = "[SECRET]" three' and out[9].endswith("secret: [SECRET] end")
+    assert all(out[i] == texts[i] for i in (2, 3, 4, 6, 7, 8))
+    assert secrets.scan(docs.limit(0), forest).collect() == []
+    assert not re.search("Python|Arrow", docs.select(secrets.findings(F.col("text"), F.col("source"), forest))._jdf.queryExecution().executedPlan().toString())
+
+
+# --- page text ----------------------------------------------------------------------------------
+
+PAGE = "<html><head><title>T</title><script>var a='</p>'</script></head><body><nav><a>Home</a></nav>{}<footer>f</footer></body></html>"
+
+
+def test_article_lines():
+    html = PAGE.format("<div class='cookie-notice'>We use</div><article><h1>A &amp; B</h1><p><b>one\n two<br>three&nbsp;3<p>four<ul><li>x<li>y</ul><form>f</form></article><section id=comments><p>nice</section>")
+    assert [t for t, p in pages.lines_of(html) if p == pages.INSIDE] == ["A & B", "one two", "three 3", "four", "x", "y"]
+    assert pages.lines_of(None) == [] and pages.lines_of("") == []
+    assert pages.lines_of("<p>cut <b") in ([("cut", 1)], [("cut <b", 1)])
+
+
+def test_common_is_a_longest_common_subsequence():
+    picked = random.Random(5)
+    for _ in range(300):
+        a, b = ([picked.randint(0, 4) for _ in range(picked.randint(0, 12))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        found = pages.common(a, b)
+        assert len(found) == table[-1][-1] and found == sorted(set(found))
+
+
+def test_pages_are_paired_within_their_host(spark):
+    data = [(f"h{i % 3}", f"/a/{i // 6}/{i:03d}", i) for i in range(60)] + [("alone", "/x", 99)]
+    df = spark.createDataFrame(data, "host string, path string, row long")
+    paired = {r.row: r.partner for r in pages.nearest(df).collect()}
+    by = {r[2]: r for r in data}
+    assert set(paired) == set(range(60)) and all(by[a][0] == by[b][0] for a, b in paired.items())
+    assert all(by[a][1].split("/")[2] == by[b][1].split("/")[2] for a, b in paired.items())
+
+
+def test_shared_lines_go_without_an_article(spark):
+    bare = "<body><div>Site name</div><div>{}</div><div>Contact us</div></body>"
+    data = [
+        (1, "http://a.org/x/1", bare.format("first text"), "z"), (2, "http://a.org/x/2?q=1", bare.format("second text"), "z"), (3, "http://b.org/x/1", bare.format("third"), "z"),
+        (4, "http://a.org/y/1", PAGE.format("<article><p>Site name<p>own</article>"), "z"), (5, None, None, "z"), (6, "", "", "z"), (1, "http://a.org/x/1", bare.format("first text"), "z"),
+        (None, "http://a.org/y/2", PAGE.format("<article>" + "<p>long text</p>" * 5000 + "</article>"), "z"),
+    ]
+    df = spark.createDataFrame(data, "page_id long, url string, html string, text string")
+    found = sorted(((r.page_id, r.text) for r in pages.extract(df).collect()), key=str)
+    assert (1, "first text") in found and found.count((1, "first text")) == 2 and (2, "second text") in found
+    assert (3, "Site name\nthird\nContact us") in found and (4, "Site name\nown") in found
+    assert (5, "") in found and (6, "") in found and (None, "\n".join(["long text"] * 5000)) in found
+    assert pages.extract(df.limit(0)).collect() == []
