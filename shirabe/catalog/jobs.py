@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shirabe.catalog import roles
 from shirabe.catalog.registry import Tables, query
+from shirabe.functions import text
 from shirabe.operators.join import multiply_rows
 from shirabe.plans import lists, marts
 from shirabe.session import scratch_path
@@ -53,7 +54,7 @@ def owner_contracts(t: Tables) -> DataFrame:
     twice = multiply_rows(t.customer.select("c_custkey"), 2, "n")
     key = F.col("c_custkey")
     return twice.select(
-        F.concat(F.lit("M"), F.lpad(key.cast("string"), 8, "0")).alias("member_id"),
+        F.concat(F.lit("M"), text.numbered(key, 8)).alias("member_id"),
         key.cast("string").alias("pay_contract"),
         key.cast("string").alias("reg_no"),
         F.concat(F.lit("200106"), F.col("n"), F.lit("0")).alias("csv_ymd"),
@@ -63,7 +64,7 @@ def owner_contracts(t: Tables) -> DataFrame:
 
 
 OWNERS = """owners AS (
-  SELECT 'M' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS member_id, CAST(c_custkey AS VARCHAR) AS pay_contract,
+  SELECT 'M' || CASE WHEN c_custkey > 99999999 THEN CAST(c_custkey AS VARCHAR) ELSE lpad(CAST(c_custkey AS VARCHAR), 8, '0') END AS member_id, CAST(c_custkey AS VARCHAR) AS pay_contract,
          CAST(c_custkey AS VARCHAR) AS reg_no, '200106' || CAST(n AS VARCHAR) || '0' AS csv_ymd,
          CASE WHEN c_custkey % 9 = 0 THEN 1 ELSE 0 END AS left_flag, 'K' || CAST(n AS VARCHAR) AS kind_code
   FROM customer, (SELECT unnest([1, 2]) AS n))"""
@@ -541,7 +542,7 @@ def job_registration_mail(t: Tables) -> DataFrame:
 )
 def job_mail_permission(t: Tables) -> DataFrame:
     services = t.orders.select(
-        F.concat(F.lit("M"), F.lpad(F.col("o_custkey").cast("string"), 8, "0")).alias("member_id"),
+        F.concat(F.lit("M"), text.numbered(F.col("o_custkey"), 8)).alias("member_id"),
         F.col("o_orderkey").alias("service_no"),
         F.left("o_orderpriority", F.lit(1)).alias("service_code"),
         F.when(F.col("o_orderstatus") == "O", "99999999").otherwise(F.date_format("o_orderdate", "yyyyMMdd")).alias("end_ymd"),
@@ -721,7 +722,7 @@ def job_wide_mart(t: Tables) -> DataFrame:
 @query(
     "job_completed_contracts",
     f"""SELECT DISTINCT o_orderkey AS contract_id, o_custkey AS customer_no, CASE WHEN o_orderpriority < '3' THEN '新規' ELSE '切替' END AS kind,
-          'M' || lpad(CAST(o_custkey AS VARCHAR), 8, '0') AS member_id, {OUT} AS process_datetime FROM orders JOIN customer ON o_custkey = c_custkey
+          'M' || CASE WHEN o_custkey > 99999999 THEN CAST(o_custkey AS VARCHAR) ELSE lpad(CAST(o_custkey AS VARCHAR), 8, '0') END AS member_id, {OUT} AS process_datetime FROM orders JOIN customer ON o_custkey = c_custkey
         WHERE o_orderdate >= TIMESTAMP '2001-05-01' AND o_orderstatus <> 'P' AND o_orderpriority < '5' AND c_custkey % 9 <> 0""",
 )
 def job_completed_contracts(t: Tables) -> DataFrame:

@@ -9,7 +9,7 @@ from shirabe.catalog import roles
 from shirabe.catalog.registry import Tables, query
 from shirabe.catalog.scans import SNAPSHOTS, _snapshots
 from shirabe.operators import aggregate, join
-from shirabe.operators.aggregate import count_rows, exact_avg, money, pct
+from shirabe.operators.aggregate import count_rows, mean_amount, money, pct
 
 # ---------------------------------------------------------------- joins
 
@@ -48,11 +48,11 @@ def join_with_predicates(t: Tables) -> DataFrame:
 
 @query(
     "join_left",
-    "SELECT c_custkey, c_name, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'P'",
+    "SELECT c_custkey, c_name, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey",
 )
 def join_left(t: Tables) -> DataFrame:
-    part = t.orders.filter("o_orderstatus = 'P'").select("o_custkey", "o_orderkey")
-    return t.customer.select("c_custkey", "c_name").join(part, F.col("c_custkey") == F.col("o_custkey"), "left").drop("o_custkey")
+    placed = t.orders.select("o_custkey", "o_orderkey")
+    return t.customer.select("c_custkey", "c_name").join(placed, F.col("c_custkey") == F.col("o_custkey"), "left").drop("o_custkey")
 
 
 @query(
@@ -274,7 +274,7 @@ def join_multiply_rows(t: Tables) -> DataFrame:
 def agg_group_by(t: Tables) -> DataFrame:
     return t.customer.groupBy("c_mktsegment").agg(
         count_rows("n"),
-        exact_avg(F.col("c_acctbal")).alias("avg_amount"),
+        mean_amount(F.col("c_acctbal")).alias("avg_amount"),
         F.max("c_acctbal").alias("max_amount"),
         F.min("c_acctbal").alias("min_amount"),
         F.sum(money(F.col("c_acctbal"))).cast("double").alias("total"),
@@ -284,14 +284,13 @@ def agg_group_by(t: Tables) -> DataFrame:
 @query(
     "agg_global",
     """SELECT count(*) AS total, count(DISTINCT o_custkey) AS customers, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(o_totalprice) AS avg_amount,
-              max(o_totalprice) AS hi, min(o_totalprice) AS lo FROM orders WHERE o_orderdate >= TIMESTAMP '2001-06-01'""",
+              max(o_totalprice) AS hi, min(o_totalprice) AS lo FROM orders""",
 )
 def agg_global(t: Tables) -> DataFrame:
-    recent = t.orders.filter(F.col("o_orderdate") >= F.lit("2001-06-01").cast("timestamp_ntz"))
-    return recent.agg(
+    return t.orders.agg(
         count_rows("total"),
         F.countDistinct("o_custkey").alias("customers"),
-        exact_avg(F.col("o_totalprice")).alias("avg_amount"),
+        mean_amount(F.col("o_totalprice")).alias("avg_amount"),
         F.max("o_totalprice").alias("hi"),
         F.min("o_totalprice").alias("lo"),
     )
@@ -391,10 +390,12 @@ def agg_ratio(t: Tables) -> DataFrame:
 
 @query(
     "agg_string_agg",
-    """SELECT o_custkey, string_agg(DISTINCT o_orderpriority, ', ' ORDER BY o_orderpriority) AS priorities FROM orders GROUP BY 1""",
+    """SELECT o_custkey, string_agg(DISTINCT o_orderpriority, ', ' ORDER BY o_orderpriority) AS priorities,
+              string_agg(o_orderpriority, ', ' ORDER BY o_orderpriority) AS all_priorities FROM orders GROUP BY 1""",
 )
 def agg_string_agg(t: Tables) -> DataFrame:
-    return aggregate.string_agg(t.orders, ["o_custkey"], "o_orderpriority", "priorities")
+    codes = aggregate.string_agg(t.orders, ["o_custkey"], "o_orderpriority", "priorities", distinct=True)
+    return codes.join(aggregate.string_agg(t.orders, ["o_custkey"], "o_orderpriority", "all_priorities"), "o_custkey")
 
 
 @query(

@@ -158,12 +158,12 @@ def mkt_monthly_revenue(t: Tables) -> DataFrame:
     "mkt_segment_metrics",
     """WITH m AS (SELECT c_custkey, c_mktsegment, count(o_orderkey) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS spent,
          CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(o_totalprice) AS mean, date_diff('day', max(o_orderdate), TIMESTAMP '2001-06-30 16:30:00') AS idle
-         FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'P' GROUP BY 1, 2)
+         FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2)
        SELECT c_mktsegment, count(*) AS customer_count, round(avg(n), 4) AS avg_transactions_per_customer, round(avg(spent), 2) AS avg_lifetime_value,
          round(avg(mean), 2) AS avg_order_value, round(avg(idle), 4) AS avg_days_since_purchase FROM m GROUP BY 1""",
 )
 def mkt_segment_metrics(t: Tables) -> DataFrame:
-    sales = t.orders.filter("o_orderstatus = 'P'").withColumnRenamed("o_custkey", "c_custkey")
+    sales = t.orders.withColumnRenamed("o_custkey", "c_custkey")
     out = marketing.segment_metrics(t.customer, sales, "c_custkey", "c_mktsegment", "o_totalprice", "o_orderdate", AS_OF)
     return rounded(
         rounded(out, 4, "avg_transactions_per_customer", "avg_days_since_purchase"), 2, "avg_lifetime_value", "avg_order_value"

@@ -33,14 +33,18 @@ _RULE_SQL = " UNION ALL ".join(
     f"""SELECT '{r.name}' AS rule_name, count(*) AS total_records, count(CASE WHEN {r.condition} THEN 1 END) AS valid_records,
   count(*) - count(CASE WHEN {r.condition} THEN 1 END) AS invalid_records,
   round(count(CASE WHEN {r.condition} THEN 1 END) * 100.0::DOUBLE / count(*), 4) AS quality_score,
-  count(CASE WHEN {r.condition} THEN 1 END) * 100.0::DOUBLE / count(*) >= {r.threshold} AS threshold_met, '{r.severity}' AS severity FROM members"""
+  count(CASE WHEN {r.condition} THEN 1 END) * 100.0::DOUBLE / count(*) >= {r.threshold} AS threshold_met, '{r.severity}' AS severity, false AS failed FROM members"""
     for r in RULES
 )
+# A rule on a column the table does not have: it is reported, the others are scored.
+BROKEN = Rule("broken", "no_such_column > 1", 50.0, "Low")
+_RULE_SQL += " UNION ALL SELECT 'broken', count(*), 0, count(*), 0.0, false, 'Low', true FROM members"
 
 
 @query("dq_rules", f"WITH {roles.MEMBERS} {_RULE_SQL}")
 def dq_rules(t: Tables) -> DataFrame:
-    return rounded(quality.run_rules(roles.members(t), RULES), 4, "quality_score")
+    report = quality.run_rules(roles.members(t), [*RULES, BROKEN])
+    return rounded(report.withColumn("failed", F.col("error_message").isNotNull()).drop("error_message"), 4, "quality_score")
 
 
 @query(
@@ -62,10 +66,11 @@ def dq_label_rules(t: Tables) -> DataFrame:
 
 def _profile_sql(column: str, kind: str) -> str:
     text = f"min({column}), max({column}), round(avg(length({column})), 4)"
+    dominant = f"(SELECT count(*) FROM (SELECT {column} FROM p WHERE {column} IS NOT NULL GROUP BY 1 HAVING count(*) > (SELECT count(*) FROM p) * 0.5))"
     if kind == "mail":
-        rest = f"{text}, round(count(CASE WHEN regexp_matches({column}, '{MAIL_SHAPE}') THEN 1 END) * 100.0::DOUBLE / count({column}), 4), CAST(0 AS BIGINT)"
+        rest = f"{text}, round(count(CASE WHEN regexp_matches({column}, '{MAIL_SHAPE}') THEN 1 END) * 100.0::DOUBLE / count({column}), 4), {dominant}"
     elif kind == "text":
-        rest = f"{text}, 100.0::DOUBLE, CAST(0 AS BIGINT)"
+        rest = f"{text}, 100.0::DOUBLE, {dominant}"
     elif kind == "date":
         bad = f"count(CASE WHEN {column} > TIMESTAMP '2001-06-30 16:30:00' OR {column} < TIMESTAMP '1991-06-30 16:30:00' THEN 1 END)"
         shown = "'%Y-%m-%d %H:%M:%S'"
@@ -84,12 +89,12 @@ PROFILED = {"segment": "text", "mail": "mail", "balance": "number", "opened": "d
 @query(
     "dq_profile",
     f"""WITH {roles.MEMBERS}, p AS (SELECT segment, mail, balance, o_orderdate AS opened FROM members LEFT JOIN orders
-          ON customer_no = o_custkey AND o_orderstatus = 'P')
+          ON customer_no = o_custkey)
         SELECT * FROM ({' UNION ALL '.join(_profile_sql(c, k) for c, k in PROFILED.items())})
         x(column_name, total_records, null_count, distinct_count, min_value, max_value, avg_length, pattern_compliance, anomaly_count)""",
 )
 def dq_profile(t: Tables) -> DataFrame:
-    orders = t.orders.filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("customer_no"), F.col("o_orderdate").alias("opened"))
+    orders = t.orders.select(F.col("o_custkey").alias("customer_no"), F.col("o_orderdate").alias("opened"))
     rows = roles.members(t).join(orders, "customer_no", "left").select(*PROFILED)
     return rounded(quality.profile(rows, AS_OF, {"mail": MAIL_SHAPE}), 4, "avg_length", "pattern_compliance")
 

@@ -350,10 +350,10 @@ def top_k(t: Tables) -> DataFrame:
     return sets.top_k(t.orders.select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.col("o_orderkey")], 100)
 
 
-@query("top_zero_layout", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'P'")
+@query("top_zero_layout", "SELECT o_orderkey, o_orderstatus FROM orders")
 def top_zero_layout(t: Tables) -> DataFrame:
     layout = sets.schema_only(t.orders.select("o_orderkey", "o_orderstatus"))
-    return layout.unionByName(t.orders.filter("o_orderstatus = 'P'").select("o_orderstatus", "o_orderkey"))
+    return layout.unionByName(t.orders.select("o_orderstatus", "o_orderkey"))
 
 
 @query("top_page", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 50 OFFSET 200")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shirabe.catalog.registry import Tables
+from shirabe.functions import text
 
 # Run times (UTC) at which the registered queries are evaluated.
 ORDERS_AS_OF = datetime(2001, 6, 30, 16, 30)  # already 1 July in Tokyo
@@ -97,7 +98,7 @@ def members(t: Tables) -> DataFrame:
     """Web members: id, contract customer, whether they left, mail address."""
     key = F.col("c_custkey")
     return t.customer.select(
-        F.concat(F.lit("M"), F.lpad(key.cast("string"), 8, "0")).alias("member_id"),
+        F.concat(F.lit("M"), text.numbered(key, 8)).alias("member_id"),
         key.alias("customer_no"),
         F.when(key % 9 == 0, 1).otherwise(0).alias("left_flag"),
         F.when(key % 4 == 0, 0).otherwise(1).alias("reg_complete"),
@@ -109,7 +110,7 @@ def members(t: Tables) -> DataFrame:
 
 
 MEMBERS = """members AS (
-  SELECT 'M' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS member_id, c_custkey AS customer_no,
+  SELECT 'M' || CASE WHEN c_custkey > 99999999 THEN CAST(c_custkey AS VARCHAR) ELSE lpad(CAST(c_custkey AS VARCHAR), 8, '0') END AS member_id, c_custkey AS customer_no,
          CASE WHEN c_custkey % 9 = 0 THEN 1 ELSE 0 END AS left_flag,
          CASE WHEN c_custkey % 4 = 0 THEN 0 ELSE 1 END AS reg_complete,
          CASE WHEN c_custkey % 13 = 0 THEN NULL

@@ -43,7 +43,7 @@ def fn_strings(t: Tables) -> DataFrame:
 
 @query("fn_zero_pad", "SELECT o_orderkey, right('000000' || CAST(o_orderkey AS VARCHAR), 6) AS padded FROM orders")
 def fn_zero_pad(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", F.lpad(F.col("o_orderkey").cast("string"), 6, "0").alias("padded"))
+    return t.orders.select("o_orderkey", text.zero_pad(F.col("o_orderkey"), 6).alias("padded"))
 
 
 _SPACES = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -59,11 +59,6 @@ def fn_cleanse(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", text.cleanse(dirty).alias("cleansed"))
 
 
-@query("fn_nfkc")
-def fn_nfkc(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", text.nfkc(F.concat(F.lit("ＡＢＣ①ｶﾞ "), F.col("text"))).alias("normalised"))
-
-
 @query(
     "fn_phone",
     """WITH p AS (SELECT c_custkey, '090' || lpad(CAST(c_custkey % 100000000 AS VARCHAR), 8, '0') AS d FROM customer),

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Full-width digits and hyphen with their ASCII forms.
 WIDE = "０１２３４５６７８９－"
@@ -40,10 +36,15 @@ def normalise_key(text: Column) -> Column:
     return F.lower(cleanse(text))
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """Unicode NFKC form; Spark has no built-in for it."""
-    return text.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
+def zero_pad(value: Column, width: int) -> Column:
+    """The last ``width`` digits of a number, with zeros before a shorter one."""
+    return F.right(F.concat(F.lit("0" * width), value.cast("string")), F.lit(width))
+
+
+def numbered(value: Column, width: int) -> Column:
+    """A number with zeros to at least ``width`` digits; a longer one is not cut."""
+    digits = value.cast("string")
+    return F.when(F.length(digits) < width, F.lpad(digits, width, "0")).otherwise(digits)
 
 
 def phone_jp(text: Column) -> Column:

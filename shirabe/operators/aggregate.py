@@ -17,14 +17,17 @@ def pct(num: Column, den: Column) -> Column:
     return F.try_divide(num * F.lit(100.0), den.cast("double"))
 
 
-def money(value: Column) -> Column:
-    """Exact two-place amount, so that sums do not depend on the order of rows."""
-    return value.cast("decimal(18,2)")
+def money(value: Column, scale: int = 6) -> Column:
+    """Amount with ``scale`` decimals, so that sums do not depend on the order of rows.
+
+    ``scale`` must fit the column: further decimals are rounded.
+    """
+    return value.cast(f"decimal(32,{scale})")
 
 
-def exact_avg(value: Column) -> Column:
-    """Average of amounts by way of their exact sum."""
-    return F.try_divide(F.sum(money(value)).cast("double"), F.count(value).cast("double"))
+def mean_amount(value: Column, scale: int = 6) -> Column:
+    """Average of amounts by way of their sum at ``scale`` decimals."""
+    return F.try_divide(F.sum(money(value, scale)).cast("double"), F.count(value).cast("double"))
 
 
 def flag_pivot(df: DataFrame, keys: list[str], code: str, flags: dict[str, str]) -> DataFrame:
@@ -41,15 +44,15 @@ def collapse_flags(parts: list[DataFrame], keys: list[str]) -> DataFrame:
     return merged.groupBy(*keys).agg(*[F.max(c).alias(c) for c in flags])
 
 
-def string_agg(df: DataFrame, keys: list[str], column: str, name: str, sep: str = ", ") -> DataFrame:
-    """Distinct values of a code column as one ordered text per group.
+def string_agg(df: DataFrame, keys: list[str], column: str, name: str, sep: str = ", ", *, distinct: bool = False) -> DataFrame:
+    """Values of a column as one ordered text per group, with repeats unless ``distinct``.
 
-    Meant for code columns: the text is as long as the code list, not the group,
-    because values are made distinct before they are gathered.
+    The text is as long as the group: use ``distinct`` for code columns of large
+    groups, whose values are then made distinct before they are gathered.
     """
-    distinct = df.select(*keys, column).distinct()
+    rows = df.select(*keys, column)
     text = F.expr(f"listagg(cast(`{column}` as string), '{sep}') within group (order by `{column}`)")
-    return distinct.groupBy(*keys).agg(text.alias(name))
+    return (rows.distinct() if distinct else rows).groupBy(*keys).agg(text.alias(name))
 
 
 def coverage(df: DataFrame, columns: list[str]) -> DataFrame:

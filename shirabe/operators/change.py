@@ -3,18 +3,32 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shirabe.functions.dates import jst
-from shirabe.operators.join import detect_delta
 from shirabe.operators.window import latest_per_key, number_rows
 
 
-def upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
-    """Matched keys take the source row, new keys are added."""
-    return target.join(source.select(*keys), keys, "left_anti").select(*target.columns).unionByName(source)
+def _side_by_side(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
+    """Full outer join on keys in which NULL equals NULL: each table once, its row as a struct ``_t`` or ``_s``."""
+    left = target.select(F.struct(*target.columns).alias("_t"), *[F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)])
+    right = source.select(F.struct(*source.columns).alias("_s"), *[F.col(k).alias(f"_s{i}") for i, k in enumerate(keys)])
+    on = [F.col(f"_t{i}").eqNullSafe(F.col(f"_s{i}")) for i in range(len(keys))]
+    return left.join(right, reduce(lambda a, b: a & b, on), "full")
+
+
+def upsert(target: DataFrame, source: DataFrame, keys: list[str], order: list[Column | str] = ()) -> DataFrame:
+    """Matched keys take the source row, new keys are added.
+
+    Of source rows of one key the first under ``order`` counts (columns falling; the
+    other columns break ties). A NULL key is a key like any other.
+    """
+    joined = _side_by_side(target, latest_per_key(source, keys, list(order)), keys)
+    given = F.col("_s").isNotNull()
+    return joined.select(*[F.when(given, F.col(f"_s.{c}")).otherwise(F.col(f"_t.{c}")).alias(c) for c in target.columns])
 
 
 def update_from(
@@ -75,15 +89,17 @@ def track_history(current: DataFrame, history: DataFrame, keys: list[str], day:
     """First/last-seen history: new keys start today, seen keys move their last day.
 
     ``history`` has the columns of ``current`` plus ``first_seen`` and ``last_seen``;
-    a known key keeps its stored columns.
+    a known key keeps its stored columns. Current rows of one key count once; a NULL
+    key is a key like any other.
     """
-    seen = current.select(*keys).distinct().withColumn("_hit", F.lit(True))
-    last = F.when(F.col("_hit"), F.lit(day)).otherwise(F.col("last_seen"))
-    kept = history.join(seen, keys, "left").select(
-        *[last.alias(c) if c == "last_seen" else F.col(c) for c in history.columns]
-    )
-    fresh = new_rows(current, history, keys).withColumns({"first_seen": F.lit(day), "last_seen": F.lit(day)})
-    return kept.unionByName(fresh)
+    joined = _side_by_side(history, latest_per_key(current, keys, []), keys)
+    known, seen = F.col("_t").isNotNull(), F.col("_s").isNotNull()
+    dates = {
+        "first_seen": F.when(known, F.col("_t.first_seen")).otherwise(F.lit(day)),
+        "last_seen": F.when(seen, F.lit(day)).otherwise(F.col("_t.last_seen")),
+    }
+    stored_ = lambda c: F.when(known, F.col(f"_t.{c}")).otherwise(F.col(f"_s.{c}"))
+    return joined.select(*[(dates[c] if c in dates else stored_(c)).alias(c) for c in history.columns])
 
 
 def since_watermark(df: DataFrame, marks: DataFrame, source: str, key: str) -> DataFrame:
@@ -142,8 +158,10 @@ def unless_processed(state: DataFrame, pair: dict[str, object], result: DataFram
 
 def delta_upsert(src: DataFrame, tgt: DataFrame, key: str, hash_col: str) -> DataFrame:
     """Target after inserting new rows and replacing rows whose hash differs."""
-    delta = detect_delta(src, tgt, key, hash_col).filter("is_new or is_updated").drop("is_new", "is_updated")
-    return upsert(tgt, delta, [key])
+    joined = _side_by_side(tgt, latest_per_key(src, [key], []), [key])
+    same = F.col(f"_s.{hash_col}").eqNullSafe(F.col(f"_t.{hash_col}"))
+    taken = F.col("_s").isNotNull() & (F.col("_t").isNull() | ~same)
+    return joined.select(*[F.when(taken, F.col(f"_s.{c}")).otherwise(F.col(f"_t.{c}")).alias(c) for c in tgt.columns])
 
 
 def spans(df: DataFrame, key: str, n: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -55,24 +55,29 @@ def only_one_in_group(
 
     A row of ``rows`` is a look-alike when it shares the block and at least one of
     the attributes ``any_of``. One value only means that the lowest and highest
-    value over all look-alikes agree, and those come from one aggregate per
-    attribute: no pairs are formed, whatever the size of a block.
+    value over all look-alikes agree. Attributes are unfolded, so one aggregate and
+    one join serve them all, and no pairs are formed, whatever the size of a block.
     """
-    out = candidates
-    lows, highs = [], []
-    for i, attr in enumerate(any_of):
-        low, high = f"_low{i}", f"_high{i}"
-        span = (
-            rows.filter(F.col(block).isNotNull() & F.col(attr).isNotNull())
-            .groupBy(block, attr)
-            .agg(F.min(distinct).alias(low), F.max(distinct).alias(high))
-        )
-        out = out.join(span, [block, attr], "left")
-        lows.append(F.col(low))
-        highs.append(F.col(high))
-    least = F.least(*lows) if len(lows) > 1 else lows[0]
-    greatest = F.greatest(*highs) if len(highs) > 1 else highs[0]
-    return out.filter(least == greatest).select(*candidates.columns)
+    attributes = lambda: F.explode(
+        F.array(*[F.struct(F.lit(i).alias("n"), F.col(a).cast("string").alias("v")) for i, a in enumerate(any_of)])
+    ).alias("_a")
+    spans = (
+        rows.select(F.col(block).alias("_block"), F.col(distinct).alias("_d"), attributes())
+        .filter(F.col("_block").isNotNull() & F.col("_a.v").isNotNull())
+        .groupBy("_block", "_a")
+        .agg(F.min("_d").alias("_low"), F.max("_d").alias("_high"))
+    )
+    # Equal candidates are counted, not told apart.
+    counted = candidates.groupBy(*candidates.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    unfolded = counted.select(F.struct(*counted.columns).alias("_row"), F.col(block).alias("_block"), attributes())
+    kept = (
+        unfolded.join(spans, ["_block", "_a"])
+        .groupBy("_row")
+        .agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"))
+        .filter("_low = _high")
+    )
+    copies = F.sequence(F.lit(1).cast("long"), F.col("_row._copies"))
+    return kept.withColumn("_copy", F.explode(copies)).select(*[F.col(f"_row.{c}").alias(c) for c in candidates.columns])
 
 
 def outlier_count(df: DataFrame, keys: list[str], value: str, k: float = 2) -> DataFrame:
@@ -99,9 +104,8 @@ def band(df: DataFrame, keys: list[str], value: str, k: float = 2) -> DataFrame:
 
 def join_latest(a: DataFrame, log: DataFrame, key: str, ts: str) -> DataFrame:
     """Join the rows of the newest log time of each key (all rows of that time)."""
-    newest = log.groupBy(key).agg(F.max(ts).alias("_newest"))
-    current = log.join(newest, key).filter(F.col(ts) == F.col("_newest")).drop("_newest")
-    return a.join(current, key)
+    ranked = log.withColumn("_rank", F.rank().over(Window.partitionBy(key).orderBy(F.desc(ts))))
+    return a.join(ranked.filter(F.col("_rank") == 1).filter(F.col(ts).isNotNull()).drop("_rank"), key)
 
 
 def recombine(parts: list[DataFrame], key: str) -> DataFrame:
@@ -110,8 +114,9 @@ def recombine(parts: list[DataFrame], key: str) -> DataFrame:
 
 
 def row_hash(columns: list[str]) -> Column:
-    """Content hash of a row; NULL and empty text differ."""
-    parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns]
+    """Content hash of a row; NULL and empty text differ. Each part goes with its length, so no separator can be imitated."""
+    text = [F.col(c).cast("string") for c in columns]
+    parts = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit("="), t), F.lit("-")) for t in text]
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 
@@ -119,7 +124,7 @@ def detect_delta(src: DataFrame, tgt: DataFrame, key: str, hash_col: str) -> Dat
     """Source rows flagged ``is_new`` or ``is_updated`` against the target."""
     known = tgt.select(F.col(key).alias("_key"), F.col(hash_col).alias("_hash"))
     joined = src.join(known, src[key] == known["_key"], "left")
-    changed = F.col("_key").isNotNull() & (F.col(hash_col) != F.col("_hash"))
+    changed = F.col("_key").isNotNull() & ~F.col(hash_col).eqNullSafe(F.col("_hash"))
     return joined.select(
         *src.columns,
         F.col("_key").isNull().alias("is_new"),

@@ -1,9 +1,9 @@
 """Ordered per-group work that survives a group holding a large part of all rows.
 
-A plain window sends each group to one task. ``spread`` first counts the groups
-(map-side combined). If all fit, the plain window is used. Otherwise the rows of
-the large groups get a chunk number that rises with the sort column, windows run
-per (group, chunk), and a small table of per-chunk totals is carried over.
+Rows are sorted by range of the keys and all sort columns and written once with the
+number of their range, the chunk. Windows run per (group, chunk), and a small table of
+per-chunk totals is carried over. Groups of any size take this path; a group larger
+than a range has several chunks, also if its rows tie in all but the last sort column.
 """
 
 from __future__ import annotations
@@ -13,14 +13,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
-from shirabe.functions.dates import epoch_micros
-from shirabe.session import stable
-
-MAX_GROUP_ROWS = 4_000_000
-MAX_CUTS = 2048
+from shirabe.session import stored
 
 CHUNK = "_chunk"
 
@@ -38,37 +33,18 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return out if how in ("left_semi", "left_anti") else out.drop(*[f"_r_{k}" for k in keys])
 
 
-def _sortable(df: DataFrame, name: str) -> Column:
-    dtype = df.schema[name].dataType
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return epoch_micros(F.col(name))
-    return F.col(name).cast("double")
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Deal a frame read in fewer pieces than there are cores to all of them.
-
-    For work that is heavy per row. A large input has more pieces than cores and
-    passes unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 @dataclass
 class Spread:
-    """Rows with a chunk number; ``split`` tells whether any group was divided."""
+    """Rows with a chunk number that rises in sort order within each group."""
 
     df: DataFrame
     keys: list[str]
     order: list[str]
     descending: bool
-    split: bool
 
     def window(self) -> WindowSpec:
-        parts = [*self.keys, CHUNK] if self.split else self.keys
         columns = [F.col(c).desc_nulls_last() if self.descending else F.col(c).asc_nulls_first() for c in self.order]
-        return Window.partitionBy(*parts).orderBy(*columns)
+        return Window.partitionBy(*self.keys, CHUNK).orderBy(*columns)
 
     def with_rows(self, df: DataFrame) -> Spread:
         return replace(self, df=df)
@@ -76,16 +52,12 @@ class Spread:
     def carry(self, totals: DataFrame, value: Column, name: str) -> DataFrame:
         """Join ``value``, computed over the chunk totals in order, back to the rows.
 
-        Only chunks after a group's first have something to carry, so the joined
-        table is small and Spark can broadcast it.
+        Only chunks after a group's first have something to carry: at most one row
+        per range and group that crosses its start.
         """
         prior = totals.select(*self.keys, CHUNK, value.alias(name)).filter(F.col(name).isNotNull())
         return join_null_safe(self.df, prior, [*self.keys, CHUNK])
 
-    def divided(self) -> DataFrame:
-        """Rows of the divided groups."""
-        return self.df.filter(F.col(CHUNK) != 0)
-
     def chunk_window(self) -> WindowSpec:
         return Window.partitionBy(*self.keys).orderBy(CHUNK)
 
@@ -93,50 +65,22 @@ class Spread:
         return self.df.drop(CHUNK)
 
 
-def spread(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    *,
-    descending: bool = False,
-    max_rows: int | None = None,
-) -> Spread:
+def spread(df: DataFrame, keys: list[str], order: list[str], *, descending: bool = False) -> Spread:
     """Prepare ``df`` for ordered work per group.
 
-    ``order`` lists the sort columns, the first one numeric or temporal; all are
-    read in the same direction, NULLs first (ascending) or last (descending).
+    All columns of ``order`` are read in the same direction, NULLs first (ascending)
+    or last (descending). The number of ranges is that of shuffle partitions.
     """
-    limit = max_rows or MAX_GROUP_ROWS
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    biggest = sizes.agg(F.max("_n")).first()[0]
-    if not biggest or biggest <= limit:
-        return Spread(df.withColumn(CHUNK, F.lit(0)), keys, order, descending, False)
-
-    cuts = min(MAX_CUTS, 4 * -(-biggest // limit))
-    value = _sortable(df, order[0])
-    points = [i / cuts for i in range(1, cuts)]
-    bounds = F.percentile_approx("_v", points, 10 * cuts).alias("_bounds")
-    if keys:
-        # At most total/limit rows: the large groups only.
-        large = stable(sizes.filter(F.col("_n") > limit).drop("_n"))
-        rows = join_null_safe(df, large, keys, "left_semi")
-        edges = stable(rows.select(*keys, value.alias("_v")).groupBy(*keys).agg(bounds))
-        marked = join_null_safe(df, edges, keys)
-    else:
-        edges = df.select(value.alias("_v")).agg(bounds).first()[0]
-        marked = df.withColumn("_bounds", F.lit(edges))
-    # Chunk 0 holds the groups left whole; the chunks of the others rise in sort order.
-    above = F.size(F.filter("_bounds", lambda b: b < value)) + 1
-    chunk = F.when(F.col("_bounds").isNull(), 0).otherwise(-above if descending else above)
-    return Spread(marked.withColumn(CHUNK, chunk).drop("_bounds"), keys, order, descending, True)
+    chunk = F.spark_partition_id()
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(ranges, *keys, *order).withColumn(CHUNK, -chunk if descending else chunk)
+    return Spread(stored(ranged, "ranges"), keys, order, descending)
 
 
 def add_row_number(s: Spread, name: str) -> Spread:
     """Position of each row in its group, from 1."""
     numbered = s.with_rows(s.df.withColumn(name, F.row_number().over(s.window()).cast("long")))
-    if not s.split:
-        return numbered
-    totals = s.divided().groupBy(*s.keys, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
+    totals = s.df.groupBy(*s.keys, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(s.chunk_window().rowsBetween(Window.unboundedPreceding, -1))
     out = numbered.carry(totals, before, "_before")
     return s.with_rows(out.withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_before"))
@@ -145,12 +89,10 @@ def add_row_number(s: Spread, name: str) -> Spread:
 def add_lag(s: Spread, column: str, name: str) -> Spread:
     """Value of ``column`` in the previous row of the group."""
     lagged = s.df.withColumn(name, F.lag(column).over(s.window()))
-    if not s.split:
-        return s.with_rows(lagged)
     first = s.with_rows(lagged.withColumn("_first", F.row_number().over(s.window()) == 1))
     # The last row of a chunk; NULL sorts lowest in a struct as it does in the window.
     last = F.min_by if s.descending else F.max_by
-    totals = s.divided().groupBy(*s.keys, CHUNK).agg(last(column, F.struct(*s.order)).alias("_c"))
+    totals = s.df.groupBy(*s.keys, CHUNK).agg(last(column, F.struct(*s.order)).alias("_c"))
     out = first.carry(totals, F.lag("_c").over(s.chunk_window()), "_prior")
     value = F.when(F.col("_first"), F.col("_prior")).otherwise(F.col(name))
     return s.with_rows(out.withColumn(name, value).drop("_first", "_prior"))
@@ -160,9 +102,7 @@ def add_running_sum(s: Spread, column: str, name: str) -> Spread:
     """Sum of ``column`` over the rows of the group up to and including this one."""
     frame = s.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = s.with_rows(s.df.withColumn(name, F.sum(column).over(frame)))
-    if not s.split:
-        return summed
-    totals = s.divided().groupBy(*s.keys, CHUNK).agg(F.sum(column).alias("_t"))
+    totals = s.df.groupBy(*s.keys, CHUNK).agg(F.sum(column).alias("_t"))
     before = F.sum("_t").over(s.chunk_window().rowsBetween(Window.unboundedPreceding, -1))
     out = summed.carry(totals, before, "_before")
     return s.with_rows(out.withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_before"))

@@ -38,31 +38,24 @@ def dedupe_except(df: DataFrame, excluded: list[str], order: list[Column | str])
     return latest_per_key(df, [c for c in df.columns if c not in excluded], order)
 
 
-def with_group_stats(
-    df: DataFrame, keys: list[str], value: str, unique: str, *, max_rows: int | None = None
-) -> DataFrame:
+def with_group_stats(df: DataFrame, keys: list[str], value: str, unique: str) -> DataFrame:
     """Rank by falling ``value`` in the group, and the group average, on each row."""
-    s = skew.spread(df, keys, [value, unique], descending=True, max_rows=max_rows)
-    ranked = skew.add_row_number(s, "rank_in_group")
-    if not s.split:
-        return ranked.df.withColumn("group_avg", F.avg(value).over(Window.partitionBy(*keys))).drop(skew.CHUNK)
-    averages = df.groupBy(*keys).agg(F.avg(value).alias("group_avg"))
+    ranked = skew.add_row_number(skew.spread(df, keys, [value, unique], descending=True), "rank_in_group")
+    averages = ranked.df.groupBy(*keys).agg(F.avg(value).alias("group_avg"))
     return skew.join_null_safe(ranked.rows(), averages, keys)
 
 
-def with_change(
-    df: DataFrame, keys: list[str], order: list[str], value: str, *, max_rows: int | None = None
-) -> DataFrame:
+def with_change(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """Previous value, change and percent change against the previous row."""
-    out = skew.add_lag(skew.spread(df, keys, order, max_rows=max_rows), value, "prev_value").rows()
+    out = skew.add_lag(skew.spread(df, keys, order), value, "prev_value").rows()
     change = F.col(value) - F.col("prev_value")
     percent = F.when(F.col("prev_value") > 0, change * 100.0 / F.col("prev_value")).otherwise(F.lit(0.0))
     return out.withColumns({"value_change": change, "change_percentage": percent})
 
 
-def trend(df: DataFrame, keys: list[str], order: list[str], value: str, *, max_rows: int | None = None) -> DataFrame:
+def trend(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """Label each row against the previous one of its group."""
-    out = skew.add_lag(skew.spread(df, keys, order, max_rows=max_rows), value, "prev_value").rows()
+    out = skew.add_lag(skew.spread(df, keys, order), value, "prev_value").rows()
     label = (
         F.when(F.col("prev_value").isNull(), "Initial Window")
         .when(F.col(value) > F.col("prev_value"), "Increasing Trend")
@@ -80,14 +73,13 @@ def sessionize(
     gap_minutes: int = 30,
     *,
     exact: bool = False,
-    max_rows: int | None = None,
 ) -> DataFrame:
     """Session number per user.
 
     A session opens after more than ``gap_minutes`` minute boundaries or, with
     ``exact``, after a pause of at least that long.
     """
-    s = skew.add_lag(skew.spread(df, user, [ts, unique], max_rows=max_rows), ts, "_prev")
+    s = skew.add_lag(skew.spread(df, user, [ts, unique]), ts, "_prev")
     if exact:
         pause = epoch_micros(F.col(ts)) - epoch_micros(F.col("_prev")) >= gap_minutes * 60_000_000
     else:
@@ -97,9 +89,9 @@ def sessionize(
     return skew.add_running_sum(flagged, "_opened", "session_id").rows().drop("_prev", "_opened")
 
 
-def number_rows(df: DataFrame, order: list[str], name: str = "row_no", *, max_rows: int | None = None) -> DataFrame:
+def number_rows(df: DataFrame, order: list[str], name: str = "row_no") -> DataFrame:
     """Consecutive numbers over the whole frame, in order of a unique key."""
-    s = skew.spread(df, [], order, max_rows=max_rows)
+    s = skew.spread(df, [], order)
     return skew.add_row_number(s, name).rows()
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shirabe.functions.dates import boundary_diff
-from shirabe.operators.aggregate import count_rows, exact_avg, money
+from shirabe.operators.aggregate import count_rows, mean_amount, money
 from shirabe.operators.project import label_when
 
 Tables = dict[str, DataFrame]
@@ -208,7 +208,7 @@ def monthly_revenue(sales: DataFrame, date: str, amount: str, state: str, done:
         .agg(
             count_rows("transaction_count"),
             F.sum(value).cast("double").alias("total_revenue"),
-            exact_avg(F.col(amount)).alias("avg_transaction_value"),
+            mean_amount(F.col(amount)).alias("avg_transaction_value"),
             F.max(amount).alias("max_transaction"),
             F.min(amount).alias("min_transaction"),
         )
@@ -220,7 +220,7 @@ def segment_metrics(customers: DataFrame, sales: DataFrame, key: str, segment: s
     per = sales.groupBy(key).agg(
         count_rows("_n"),
         F.sum(money(F.col(amount))).cast("double").alias("_spent"),
-        exact_avg(F.col(amount)).alias("_mean"),
+        mean_amount(F.col(amount)).alias("_mean"),
         boundary_diff("day", F.max(date), _at(as_of)).alias("_idle"),
     )
     rows = customers.filter(F.col(segment).isNotNull()).join(per, key, "left")

@@ -5,13 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shirabe.functions.jsonx import is_json, json_value
-from shirabe.operators.aggregate import count_rows, exact_avg, pct
-from shirabe.operators.skew import spread_small
+from shirabe.operators.aggregate import count_rows, mean_amount, pct
 
 
 @dataclass(frozen=True)
@@ -30,29 +30,51 @@ def stack(row: DataFrame, parts: list[tuple[str, dict[str, Column]]], label: str
     return row.select(F.explode(F.array(*structs)).alias("_p")).select("_p.*")
 
 
+def _rule_error(df: DataFrame, rule: Rule) -> str | None:
+    """Why a rule cannot be planned on the table, None if it can."""
+    try:
+        df.select(F.expr(rule.condition).cast("boolean")).schema  # noqa: B018  planned, not run
+    except AnalysisException as broken:
+        return str(broken).splitlines()[0]
+    return None
+
+
+def _valid_rows(df: DataFrame, rules: list[Rule]) -> tuple[int, list[int]]:
+    counts = [F.count_if(F.coalesce(F.expr(r.condition).cast("boolean"), F.lit(False))).alias(f"_v{i}") for i, r in enumerate(rules)]
+    total, *valid = df.agg(F.count(F.lit(1)).alias("_n"), *counts).first()
+    return total, valid
+
+
 def run_rules(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    """All rules in one pass: counts, score, whether the threshold is met."""
-    counts = [F.count_if(F.coalesce(F.expr(r.condition), F.lit(False))).alias(f"_v{i}") for i, r in enumerate(rules)]
-    row = df.agg(F.count(F.lit(1)).alias("_n"), *counts)
-    total = F.col("_n")
-    parts = []
-    for i, r in enumerate(rules):
-        valid = F.col(f"_v{i}")
-        score = F.when(total > 0, valid * 100.0 / total).otherwise(F.lit(0.0))
-        parts.append(
-            (
-                r.name,
-                {
-                    "total_records": total,
-                    "valid_records": valid,
-                    "invalid_records": total - valid,
-                    "quality_score": score,
-                    "threshold_met": score >= r.threshold,
-                    "severity": F.lit(r.severity),
-                },
-            )
-        )
-    return stack(row, parts, "rule_name")
+    """All rules in one pass: counts, score, whether the threshold is met, and the error of a rule that cannot be run.
+
+    A rule that does not fit the table or fails on its rows has score 0 and its error; the
+    others are scored all the same. Only if one fails while running does each get a pass of its own.
+    """
+    errors = {r.name: _rule_error(df, r) for r in rules}
+    sound = [r for r in rules if errors[r.name] is None]
+    valid: dict[str, int] = {}
+    try:
+        total, counts = _valid_rows(df, sound)
+        valid = {r.name: n for r, n in zip(sound, counts, strict=True)}
+    except PySparkException:
+        total = df.count()
+        for r in sound:
+            try:
+                valid[r.name] = _valid_rows(df, [r])[1][0]
+            except PySparkException as broken:
+                errors[r.name] = str(broken).splitlines()[0]
+    rows = []
+    for r in rules:
+        good = valid.get(r.name, 0)
+        score = good * 100.0 / total if total else 0.0
+        met = errors[r.name] is None and score >= r.threshold
+        rows.append((r.name, total, good, total - good, score, met, r.severity, errors[r.name]))
+    schema = (
+        "rule_name string, total_records long, valid_records long, invalid_records long, quality_score double, "
+        "threshold_met boolean, severity string, error_message string"
+    )
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def profile(df: DataFrame, as_of: datetime, patterns: dict[str, str] | None = None) -> DataFrame:
@@ -99,7 +121,13 @@ def profile(df: DataFrame, as_of: datetime, patterns: dict[str, str] | None = No
             "anomaly_count": anomalies,
         }
         parts.append((field.name, columns))
-    return stack(df.agg(*aggs), parts, "column_name")
+    out = stack(df.agg(*aggs), parts, "column_name")
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    if not texts:
+        return out
+    found = dominant_values(df, texts)
+    count = F.coalesce("dominant_values", F.col("anomaly_count"))
+    return out.join(found, "column_name", "left").withColumn("anomaly_count", count).drop("dominant_values")
 
 
 def dominant_values(df: DataFrame, columns: list[str], share: float = 0.5) -> DataFrame:
@@ -283,7 +311,7 @@ def scan_pii(df: DataFrame, columns: list[str], patterns: dict[str, str] = LEAKS
 
     scans = {f"{c}:{name}": count(c, name, p).alias(f"_{i}_{j}") for i, c in enumerate(columns) for j, (name, p) in enumerate(patterns.items())}
     # Each pattern runs once per text; the aggregate below reads its count twice.
-    counted = spread_small(df.select(*columns)).select(*scans.values())
+    counted = df.select(*columns).select(*scans.values())
     names = dict(zip(scans, counted.columns))
     aggs = [F.count(F.lit(1)).alias("_n")]
     parts = []
@@ -382,7 +410,7 @@ def ops_summary(log: DataFrame, stage: str, state: str, states: dict[str, str],
     return log.groupBy(stage).agg(
         count_rows("total_tasks"),
         *[F.count_if(F.col(state) == value).alias(name) for value, name in states.items()],
-        exact_avg(F.col(cost)).alias("avg_cost"),
+        mean_amount(F.col(cost)).alias("avg_cost"),
         F.max(cost).alias("max_cost"),
         F.max(ts).alias("last_occurrence"),
     )

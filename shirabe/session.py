@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -52,8 +54,9 @@ def prepare(spark: SparkSession) -> SparkSession:
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session may
-    fall back to a folder of its own: executors elsewhere could not read it.
+    The cluster names it in ``spark.checkpoint.dir``. Only a local session may go without
+    the setting: it gets a folder of its own, named after the application and removed at
+    its end. Executors elsewhere could not read that.
     """
     context = spark.sparkContext
     named = spark.conf.get(_CHECKPOINT, None) or context.getConf().get(_CHECKPOINT)
@@ -61,7 +64,8 @@ def scratch_root(spark: SparkSession) -> str:
     if not root:
         if not context.master.startswith("local"):
             raise RuntimeError(f"set {_CHECKPOINT} to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="shirabe-")
+        root = os.path.join(tempfile.gettempdir(), f"shirabe-{context.applicationId}")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(root)
     return root
@@ -76,3 +80,10 @@ def stable(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint in the scratch folder."""
     scratch_root(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once as a table in the scratch folder and read it again."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shirabe.functions.dates import jst
+from shirabe.functions.text import numbered
 
 CORRUPT = "_corrupt_record"
 
@@ -137,7 +138,7 @@ def generate_rows(base: DataFrame, seed: str, modulos: dict[str, int], *, prefix
     """
     number = F.col(seed)
     columns = [
-        F.concat(F.lit(prefix), F.lpad(number.cast("string"), 10, "0")).alias("customer_id"),
+        F.concat(F.lit(prefix), numbered(number, 10)).alias("customer_id"),
         F.concat(F.lit("perf_test_"), number.cast("string"), F.lit("@example.com")).alias("email_address"),
         *[F.when(number % m == 0, F.concat(F.lit(f"{name}_"), number.cast("string"))).alias(name) for name, m in modulos.items()],
         F.sha2(F.concat(F.lit(prefix), number.cast("string")), 256).alias("code"),

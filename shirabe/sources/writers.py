@@ -9,39 +9,41 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from shirabe.functions.dates import jst
-from shirabe.session import scratch_path, stable
+from shirabe.session import stable
 
-# Above this many rows an extract is written as several part files in parallel.
-ONE_FILE_ROWS = 5_000_000
+def _laid_out(df: DataFrame, files: int | None, order: list[str]) -> DataFrame:
+    """Input with one partition per output file, sorted by range if an order is given.
 
-
-def _pieces(df: DataFrame, rows_per_file: int, order: list[str]) -> DataFrame:
-    """Input as one partition per output file.
-
-    The rows are computed once, into a table in the scratch folder, and counted on
-    the way; the count decides between one file and several.
+    ``files`` is the caller's: 1 for a single file, a number of parts, or None for as many
+    parts as Spark makes. The number of rows plays no part.
     """
-    spark, given = df.sparkSession, Observation()
-    path = scratch_path(spark, "extract")
-    df.observe(given, F.count(F.lit(1)).alias("n")).write.parquet(path)
-    rows = spark.read.schema(df.schema).parquet(path)
-    files = max(1, -(-given.get["n"] // rows_per_file))
     if files == 1:
-        laid_out = rows.coalesce(1)
-    else:
-        laid_out = rows.repartitionByRange(files, *order) if order else rows.repartition(files)
-    return laid_out.sortWithinPartitions(*order) if order else laid_out
+        df = df.coalesce(1)
+    elif order:
+        df = df.repartitionByRange(*([files] if files else []), *order)
+    elif files:
+        df = df.repartition(files)
+    return df.sortWithinPartitions(*order) if order else df
 
 
-def _rename_parts(spark: SparkSession, folder: str, name: str, suffix: str) -> list[str]:
-    """Give the part files of a write the agreed name (numbered if there are several)."""
+def _file_system(spark: SparkSession, folder: str):
     path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    return path, path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _rename(fs, source, target) -> None:
+    if not fs.rename(source, target):
+        raise OSError(f"{source} could not be renamed to {target}")
+
+
+def _rename_parts(spark: SparkSession, folder: str, name: str, suffix: str, single: bool) -> list[str]:
+    """Give the part files of a write the agreed name: plain for a single file, else numbered."""
+    path, fs = _file_system(spark, folder)
     parts = sorted(s.getPath().getName() for s in fs.listStatus(path(folder)) if s.getPath().getName().startswith("part-"))
     out = []
     for i, part in enumerate(parts):
-        target = f"{name}{suffix}" if len(parts) == 1 else f"{name}-{i:05d}{suffix}"
-        fs.rename(path(folder, part), path(folder, target))
+        target = f"{name}{suffix}" if single else f"{name}-{i:05d}{suffix}"
+        _rename(fs, path(folder, part), path(folder, target))
         out.append(f"{folder}/{target}")
     return out
 
@@ -54,17 +56,17 @@ def write_csv_gz(
     *,
     quote_all: bool = True,
     order: list[str] = (),
-    rows_per_file: int = ONE_FILE_ROWS,
+    files: int | None = None,
 ) -> list[str]:
     """Gzip CSV extract with header, quoted text and ``\\n`` row ends.
 
-    A list within ``rows_per_file`` is one file, a larger one numbered parts. An
+    Numbered parts, or with ``files=1`` one file, which one task then writes. An
     empty list still gives its header line. ``name`` may hold strftime fields,
     ``order`` names columns to sort the file (or the parts in turn) by.
     """
     name = jst(as_of).strftime(name) if as_of else name
     (
-        _pieces(df, rows_per_file, list(order)).write.mode("overwrite")
+        _laid_out(df, files, list(order)).write.mode("overwrite")
         .option("header", True)
         .option("quoteAll", quote_all)
         .option("escape", "\\")
@@ -74,15 +76,15 @@ def write_csv_gz(
         .option("compression", "gzip")
         .csv(folder)
     )
-    return _rename_parts(df.sparkSession, folder, name, ".csv.gz")
+    return _rename_parts(df.sparkSession, folder, name, ".csv.gz", files == 1)
 
 
 def write_json(
-    df: DataFrame, folder: str, name: str, *, keep_nulls: bool = False, rows_per_file: int = ONE_FILE_ROWS
+    df: DataFrame, folder: str, name: str, *, keep_nulls: bool = False, files: int | None = None
 ) -> list[str]:
-    """JSON documents, one per line."""
-    _pieces(df, rows_per_file, []).write.mode("overwrite").option("ignoreNullFields", not keep_nulls).json(folder)
-    return _rename_parts(df.sparkSession, folder, name, ".json")
+    """JSON documents, one per line; numbered parts, or with ``files=1`` one file."""
+    _laid_out(df, files, []).write.mode("overwrite").option("ignoreNullFields", not keep_nulls).json(folder)
+    return _rename_parts(df.sparkSession, folder, name, ".json", files == 1)
 
 
 def write_dated(df: DataFrame, folder: str, column: str = "dt") -> DataFrame:
@@ -98,14 +100,25 @@ def write_many(df: DataFrame, sinks: list[Callable[[DataFrame], object]]) -> lis
 
 
 def _swap(spark: SparkSession, fresh: str, folder: str) -> DataFrame:
-    """Put a written folder in the place of a table, keeping the old rows until it is there."""
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    old = path(f"{folder}__old")
-    fs.delete(old, True)
-    if fs.exists(path(folder)):
-        fs.rename(path(folder), old)
-    fs.rename(path(fresh), path(folder))
+    """Put a written folder in the place of a table; if that fails the old rows are put back.
+
+    The old folder stays beside the table until the next swap. On a store without atomic
+    renames a reader may find no table between the two steps.
+    """
+    path, fs = _file_system(spark, folder)
+    old, main = path(f"{folder}__old"), path(folder)
+    if not fs.exists(path(fresh)):
+        raise OSError(f"{fresh} does not exist")
+    had = fs.exists(main)
+    if had:
+        fs.delete(old, True)
+        _rename(fs, main, old)
+    try:
+        _rename(fs, path(fresh), main)
+    except Exception:
+        if had and not fs.exists(main):
+            _rename(fs, old, main)
+        raise
     return spark.read.parquet(folder)
 
 

@@ -119,17 +119,17 @@ def session_aggs(kind: str, counted: dict[str, str], amount: Column) -> list[Col
 
 
 def sessions(
-    df: DataFrame, user: str, ts: str, unique: str, aggs: list[Column], gap_minutes: int = 30, *, max_rows: int | None = None
+    df: DataFrame, user: str, ts: str, unique: str, aggs: list[Column], gap_minutes: int = 30
 ) -> DataFrame:
     """Sessions per user by minute-boundary gaps. Batch."""
-    tagged = sessionize(df, [user], ts, unique, gap_minutes, max_rows=max_rows)
+    tagged = sessionize(df, [user], ts, unique, gap_minutes)
     out = tagged.groupBy(user, "session_id").agg(F.min(ts).alias("session_start"), F.max(ts).alias("session_end"), *aggs)
     minutes = boundary_diff("minute", F.col("session_start"), F.col("session_end"))
     return out.withColumn("session_duration_minutes", minutes)
 
 
 def session_windows(
-    df: DataFrame, user: str, ts: str, aggs: list[Column], gap_minutes: int = 30, *, max_rows: int | None = None
+    df: DataFrame, user: str, ts: str, aggs: list[Column], gap_minutes: int = 30
 ) -> DataFrame:
     """Sessions per user that end a pause of ``gap_minutes`` after the last event.
 
@@ -137,7 +137,7 @@ def session_windows(
     events to one task, so sessions are numbered first and then added up.
     """
     if not df.isStreaming:
-        tagged = sessionize(df, [user], ts, ts, gap_minutes, exact=True, max_rows=max_rows)
+        tagged = sessionize(df, [user], ts, ts, gap_minutes, exact=True)
         last = F.max(ts).cast("timestamp_ntz") + F.expr(f"INTERVAL {gap_minutes} MINUTES")
         first = F.min(ts).cast("timestamp_ntz")
         out = tagged.groupBy(user, "session_id").agg(first.alias("session_start"), last.alias("session_end"), *aggs)

@@ -129,8 +129,11 @@ def test_masks(value):
     assert value(text.mask_card, "1234567890123456") == "************3456"
 
 
-def test_nfkc(value):
-    assert value(text.nfkc, "ＡＢＣ①ｶﾞ") == "ABC1ガ"
+def test_padding_of_long_numbers(value):
+    assert value(lambda c: text.zero_pad(c, 6), "1234567") == "234567"
+    assert value(lambda c: text.zero_pad(c, 6), "45") == "000045"
+    assert value(lambda c: text.numbered(c, 10), "12345678901") == "12345678901"
+    assert value(lambda c: text.numbered(c, 10), "7") == "0000000007"
 
 
 @pytest.mark.parametrize(

@@ -74,6 +74,11 @@ def test_detect_delta(spark, rows):
     ]
 
 
+def test_row_hash_with_separators_in_the_data(spark):
+    df = spark.createDataFrame([("x|1=y", "z"), ("x", "y|1=z"), ("x|=y", "z"), ("x", "y|=z")], "a string, b string")
+    assert df.select(join.row_hash(["a", "b"])).distinct().count() == 4
+
+
 def test_row_hash_tells_null_from_empty(spark):
     df = spark.createDataFrame([(None, ""), ("", None), ("", "")], "a string, b string")
     assert df.select(join.row_hash(["a", "b"])).distinct().count() == 3

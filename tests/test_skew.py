@@ -1,4 +1,4 @@
-"""Ordered work per group gives the same rows whether or not large groups are divided."""
+"""Ordered work per group gives the rows of a plain window, with large groups divided."""
 
 from __future__ import annotations
 
@@ -27,42 +27,60 @@ def same(rows, a, b):
     assert rows(a, *sorted(a.columns)) == rows(b, *sorted(a.columns))
 
 
-def test_split_happens(hot):
-    s = skew.spread(hot, ["user_id"], ["ts", "event_id"], max_rows=100)
-    assert s.split
-    largest = s.df.groupBy("user_id", skew.CHUNK).count().agg(F.max("count")).first()[0]
-    assert largest < 300
-    assert not skew.spread(hot, ["user_id"], ["ts", "event_id"]).split
+def plain(keys, *order, descending=False):
+    columns = [F.col(c).desc_nulls_last() if descending else F.col(c).asc_nulls_first() for c in order]
+    return Window.partitionBy(*keys).orderBy(*columns)
+
+
+def test_one_key_and_one_sort_value_spread_over_chunks(spark):
+    alike = spark.range(4000).select(F.lit(7).alias("user_id"), F.lit(1.0).alias("score"), F.col("id").alias("event_id"))
+    s = skew.spread(alike, ["user_id"], ["score", "event_id"])
+    assert s.df.groupBy(skew.CHUNK).count().filter("count > 0").count() > 2
+    numbered = window.with_group_stats(alike, ["user_id"], "score", "event_id")
+    assert numbered.filter("rank_in_group <> 4000 - event_id or group_avg <> 1").isEmpty()
+
+
+def test_large_groups_are_divided(hot):
+    s = skew.spread(hot, ["user_id"], ["ts", "event_id"])
+    assert s.df.groupBy("user_id").agg(F.countDistinct(skew.CHUNK).alias("n")).agg(F.max("n")).first()[0] > 1
 
 
 def test_lag_and_change(rows, hot):
-    args = (hot, ["user_id"], ["ts", "event_id"], "score")
-    same(rows, window.with_change(*args), window.with_change(*args, max_rows=100))
+    w = plain(["user_id"], "ts", "event_id")
+    change = F.col("score") - F.col("prev_value")
+    percent = F.when(F.col("prev_value") > 0, change * 100.0 / F.col("prev_value")).otherwise(0.0)
+    expected = hot.withColumn("prev_value", F.lag("score").over(w)).withColumns({"value_change": change, "change_percentage": percent})
+    same(rows, expected, window.with_change(hot, ["user_id"], ["ts", "event_id"], "score"))
 
 
 def test_trend(rows, hot):
-    args = (hot, ["user_id"], ["ts", "event_id"], "score")
-    same(rows, window.trend(*args), window.trend(*args, max_rows=100))
+    found = window.trend(hot, ["user_id"], ["ts", "event_id"], "score")
+    expected = hot.withColumn("prev_value", F.lag("score").over(plain(["user_id"], "ts", "event_id")))
+    assert rows(found, "event_id", "prev_value") == rows(expected, "event_id", "prev_value")
+    assert found.filter("trend_direction = 'Initial Window'").count() == hot.select("user_id").distinct().count()
 
 
 def test_sessionize(rows, hot):
-    args = (hot, ["user_id"], "ts", "event_id", 2)
-    split = window.sessionize(*args, max_rows=100)
-    same(rows, window.sessionize(*args), split)
-    assert split.agg(F.max("session_id")).first()[0] > 3
+    w = plain(["user_id"], "ts", "event_id")
+    minutes = F.unix_timestamp(F.date_trunc("minute", F.col("ts").cast("timestamp"))) / 60
+    opened = F.coalesce((minutes - F.lag(minutes).over(w)) > 2, F.lit(False)).cast("long")
+    frame = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    expected = hot.withColumn("_o", opened).withColumn("session_id", F.sum("_o").over(frame)).drop("_o")
+    found = window.sessionize(hot, ["user_id"], "ts", "event_id", 2)
+    same(rows, expected, found)
+    assert found.agg(F.max("session_id")).first()[0] > 3
 
 
 def test_rank_with_heavy_ties(rows, hot):
-    args = (hot, ["user_id"], "score", "event_id")
-    a = window.with_group_stats(*args).withColumn("group_avg", F.round("group_avg", 9))
-    b = window.with_group_stats(*args, max_rows=100).withColumn("group_avg", F.round("group_avg", 9))
-    same(rows, a, b)
+    w = plain(["user_id"], "score", "event_id", descending=True)
+    expected = hot.withColumn("rank_in_group", F.row_number().over(w).cast("long"))
+    found = window.with_group_stats(hot, ["user_id"], "score", "event_id")
+    assert rows(expected, "event_id", "rank_in_group") == rows(found, "event_id", "rank_in_group")
 
 
-def test_number_rows(rows, hot):
-    keys = hot.select("event_id")
-    same(rows, window.number_rows(keys, ["event_id"]), window.number_rows(keys, ["event_id"], max_rows=100))
-    assert window.number_rows(keys, ["event_id"], max_rows=100).filter("row_no <> event_id + 1").isEmpty()
+def test_number_rows(hot, plan):
+    found = window.number_rows(hot.select("event_id"), ["event_id"])
+    assert found.filter("row_no <> event_id + 1").isEmpty()
 
 
 def test_rate_limit_matches_plain_range_window(rows, hot):

@@ -60,35 +60,56 @@ def test_dated_path_uses_the_tokyo_day():
 
 def test_extract_bytes(spark, tmp_path):
     df = spark.createDataFrame([("a", 'q"t', None)], LAYOUT)
-    (path,) = writers.write_csv_gz(df, str(tmp_path / "out"), "list_%Y%m%d", AS_OF)
+    (path,) = writers.write_csv_gz(df, str(tmp_path / "out"), "list_%Y%m%d", AS_OF, files=1)
     assert path.endswith("list_20010701.csv.gz")
     assert gzip.open(path, "rt").read() == '"id","kind","mail"\n"a","q\\"t",""\n'
 
 
 def test_empty_extract_is_a_header(spark, layout, tmp_path):
-    (path,) = writers.write_csv_gz(spark.createDataFrame([], layout), str(tmp_path / "out"), "list")
+    (path,) = writers.write_csv_gz(spark.createDataFrame([], layout), str(tmp_path / "out"), "list", files=1)
     assert gzip.open(path, "rt").read() == '"id","kind","mail"\n'
 
 
 def test_large_extract_becomes_parts(spark, tmp_path):
-    paths = writers.write_csv_gz(spark.range(25), str(tmp_path / "out"), "list", rows_per_file=10)
+    paths = writers.write_csv_gz(spark.range(25), str(tmp_path / "out"), "list", files=3)
     assert len(paths) == 3 and paths[0].endswith("list-00000.csv.gz")
     assert sum(len(gzip.open(p, "rt").readlines()) - 1 for p in paths) == 25
 
 
 def test_ordered_extract(spark, tmp_path):
-    paths = writers.write_csv_gz(spark.range(25), str(tmp_path / "out"), "list", order=["id"], rows_per_file=10)
+    paths = writers.write_csv_gz(spark.range(25), str(tmp_path / "out"), "list", order=["id"], files=3)
     lines = [int(line.strip('"\n')) for p in paths for line in gzip.open(p, "rt").readlines()[1:]]
     assert lines == list(range(25))
 
 
 def test_json_null_fields(spark, tmp_path):
     df = spark.createDataFrame([(1, None)], "id int, v string")
-    (kept,) = writers.write_json(df, str(tmp_path / "a"), "f", keep_nulls=True)
-    (gone,) = writers.write_json(df, str(tmp_path / "b"), "f")
+    (kept,) = writers.write_json(df, str(tmp_path / "a"), "f", keep_nulls=True, files=1)
+    (gone,) = writers.write_json(df, str(tmp_path / "b"), "f", files=1)
     assert open(kept).read() == '{"id":1,"v":null}\n' and open(gone).read() == '{"id":1}\n'
 
 
+def test_upsert_of_repeated_and_null_keys(spark, rows):
+    target = spark.createDataFrame([(1, "a"), (None, "n"), (2, "b")], "id int, v string")
+    source = spark.createDataFrame([(1, "x"), (1, "y"), (None, "m"), (3, "z"), (3, "z")], "id int, v string")
+    assert rows(change.upsert(target, source, ["id"], ["v"])) == [(None, "m"), (1, "y"), (2, "b"), (3, "z")]
+
+
+def test_history_takes_a_new_key_once(spark, rows):
+    current = spark.createDataFrame([("k", "1"), ("k", "1"), (None, "2")], "k string, v string")
+    history = spark.createDataFrame([], "k string, v string, first_seen string, last_seen string")
+    once = change.track_history(current, history, ["k"], "d1")
+    assert rows(once) == [(None, "2", "d1", "d1"), ("k", "1", "d1", "d1")]
+    assert rows(change.track_history(current, once, ["k"], "d2"), "k", "last_seen") == [(None, "d2"), ("k", "d2")]
+
+
+def test_delta_with_null_hashes(spark, rows):
+    src = spark.createDataFrame([(1, "a", None), (2, "b", "h"), (3, "c", None)], "id int, v string, hash string")
+    tgt = spark.createDataFrame([(1, "o", "h"), (2, "o", None), (3, "o", None)], "id int, v string, hash string")
+    assert rows(join.detect_delta(src, tgt, "id", "hash").filter("is_updated"), "id") == [(1,), (2,)]
+    assert rows(change.delta_upsert(src, tgt, "id", "hash"), "id", "v") == [(1, "a"), (2, "b"), (3, "o")]
+
+
 def test_overwrite_may_read_its_own_table(spark, rows):
     folder = scratch_path(spark, "own")
     table = writers.overwrite_table(spark.range(3), folder)
@@ -96,6 +117,31 @@ def test_overwrite_may_read_its_own_table(spark, rows):
     assert rows(table) == [(10,), (11,), (12,)]
 
 
+def test_layout_does_not_depend_on_rows(spark, tmp_path):
+    for n in (1, 5000):
+        paths = writers.write_csv_gz(spark.range(n), str(tmp_path / str(n)), "list", order=["id"])
+        assert paths[0].endswith("list-00000.csv.gz")
+
+
+def test_failed_swap_keeps_the_old_table(spark, rows, monkeypatch):
+    folder = scratch_path(spark, "kept")
+    writers.overwrite_table(spark.range(3), folder)
+    calls, real = [], writers._rename
+
+    def failing(fs, source, target):
+        calls.append(1)
+        if len(calls) == 2:
+            raise OSError("refused")
+        real(fs, source, target)
+
+    monkeypatch.setattr(writers, "_rename", failing)
+    with pytest.raises(OSError, match="refused"):
+        writers.overwrite_table(spark.range(9), folder)
+    assert rows(spark.read.parquet(folder)) == [(0,), (1,), (2,)]
+    with pytest.raises(OSError, match="does not exist"):
+        writers._swap(spark, f"{folder}__none", folder)
+
+
 def test_publish_refuses_repeated_keys(spark):
     root = scratch_path(spark, "pub")
     main = writers.publish(spark.range(3), f"{root}/s", f"{root}/m", "id")
