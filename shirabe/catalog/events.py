@@ -344,9 +344,14 @@ def st_sessions(t: Tables) -> DataFrame:
     return feeds.drain(windows.session_windows(_stream(t), "user_id", "ts", [count_rows("n")]))
 
 
-@query("st_uniques")
+@query(
+    "st_uniques",
+    f"""SELECT time_bucket(INTERVAL 10 MINUTE, ts, {EPOCH}) AS window_start, time_bucket(INTERVAL 10 MINUTE, ts, {EPOCH}) + INTERVAL 10 MINUTE AS window_end,
+          count(DISTINCT user_id) AS unique_users FROM events GROUP BY 1, 2
+        HAVING time_bucket(INTERVAL 10 MINUTE, ts, {EPOCH}) + INTERVAL 10 MINUTE <= {CLOSED}""",
+)
 def st_uniques(t: Tables) -> DataFrame:
-    return feeds.drain(windows.windowed(_stream(t), "ts", "10 minutes", [windows.uniques("user_id", exact=False)]))
+    return feeds.drain(windows.stream_uniques(_stream(t), "ts", "10 minutes", "user_id"))
 
 
 @query("st_dedup", "SELECT event_id, user_id, event_type, value FROM events")
@@ -408,7 +413,7 @@ def st_fan_out(t: Tables) -> DataFrame:
 def st_append_new(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "append")
     rows = _stream(t).select("user_id", "event_type", F.date_format("ts", "yyyyMMdd").alias("day"))
-    feeds.feed_batches(rows, feeds.append_batches(rows.columns, f"{path}/out"), f"{path}/state").awaitTermination()
+    feeds.feed(feeds.new_keys(rows, rows.columns), f"{path}/out", f"{path}/state").awaitTermination()
     return t.spark.read.schema(rows.schema).parquet(f"{path}/out").select(*rows.columns)
 
 
@@ -419,5 +424,5 @@ def st_append_new(t: Tables) -> DataFrame:
 def st_upsert(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "upsert")
     totals = _stream(t).groupBy("user_id", "event_type").agg(count_rows("n"), F.round(F.sum("value"), 2).alias("total"))
-    feeds.feed_batches(totals, feeds.upsert_batches(f"{path}/table"), f"{path}/state", mode="update").awaitTermination()
+    feeds.feed_batches(totals, feeds.upsert_batches(f"{path}/table", ["user_id", "event_type"]), f"{path}/state", mode="update").awaitTermination()
     return feeds.current_rows(t.spark, f"{path}/table", totals.schema, ["user_id", "event_type"])

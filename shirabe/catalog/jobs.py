@@ -691,8 +691,8 @@ def job_member_master(t: Tables) -> DataFrame:
     return marts.member_master({"member_types": types, "links": links, "flags": flags}, AS_OF)
 
 
-# The wide layout: the live columns first, then retired ones by year and number up to 533.
-LIVE = {
+# The wide layout of 533 columns: keys, 480 live columns in groups of four, and retired ones by year and number.
+KEYS = {
     "c_custkey": "client_key",
     "c_name": "client_name",
     "c_acctbal": "balance",
@@ -700,21 +700,33 @@ LIVE = {
     "n_name": "area_name",
     "r_name": "district_name",
 }
+SOURCES = {
+    "amount": "c_acctbal + {i}",
+    "label": "concat(c_name, '-', '{i}')",
+    "number": "c_custkey + {i}",
+    "place": "concat(n_name, '/', '{i}')",
+}
+DERIVED = {f"src_{kind}_{i:03d}": text.format(i=i) for i in range(120) for kind, text in SOURCES.items()}
+LIVE = KEYS | {name: name.replace("src_", "client_") for name in DERIVED}
+RECAST = {d: "string" for d in LIVE.values() if d.startswith("client_number_")}
 RETIRED = {f"web_flag_{2010 + i // 48}_{i % 48:02d}": "string" for i in range(533 - len(LIVE))}
 
 
-@query(
-    "job_wide_mart",
-    "SELECT "
-    + ", ".join(f"{s} AS {d}" for s, d in LIVE.items())
-    + ", "
-    + ", ".join(f"CAST(NULL AS VARCHAR) AS {c}" for c in RETIRED)
-    + " FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
-)
+def _wide_sql() -> str:
+    columns = [f"{s} AS {d}" for s, d in KEYS.items()]
+    for name, text in DERIVED.items():
+        target = LIVE[name]
+        columns.append(f"CAST({text} AS VARCHAR) AS {target}" if target in RECAST else f"{text} AS {target}")
+    columns += [f"CAST(NULL AS VARCHAR) AS {c}" for c in RETIRED]
+    return f"SELECT {', '.join(columns)} FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
+
+
+@query("job_wide_mart", _wide_sql())
 def job_wide_mart(t: Tables) -> DataFrame:
     wide = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     wide = wide.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
-    out = marts.wide_copy(wide, LIVE, RETIRED, [*LIVE.values(), *RETIRED])
+    wide = wide.select(*KEYS, *[F.expr(text).alias(name) for name, text in DERIVED.items()])
+    out = marts.wide_copy(wide, LIVE, RETIRED, [*LIVE.values(), *RETIRED], RECAST)
     root = scratch_path(t.spark, "wide")
     return writers.publish(out, f"{root}/staging", f"{root}/main", "client_key")
 

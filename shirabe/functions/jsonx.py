@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from shirabe.session import stored
 
 
 def is_json(text: Column) -> Column:
@@ -27,42 +26,29 @@ def json_amount(text: Column, path: str, to: str = "decimal(10,2)") -> Column:
     return F.get_json_object(text, path).try_cast(to)
 
 
-def _leaves(value: object, path: str) -> Iterator[tuple[str, str | None]]:
-    if isinstance(value, dict):
-        for key, item in value.items():
-            yield from _leaves(item, f"{path}.{key}" if path else key)
-    elif isinstance(value, list) and not path.endswith("]"):
-        for i, item in enumerate(value):
-            yield from _leaves(item, f"{path}[{i}]")
-    else:
-        plain = value is None or isinstance(value, str)
-        yield path, value if plain else json.dumps(value, ensure_ascii=False)
-
-
-def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) batches to (id, path, value) batches."""
-    for batch in batches:
-        rows, paths, values = [], [], []
-        for i, doc in enumerate(batch.column(1).to_pylist()):
-            try:
-                parsed = json.loads(doc)
-            except (TypeError, ValueError):
-                continue
-            for path, value in _leaves(parsed, ""):
-                rows.append(i)
-                paths.append(path)
-                values.append(value)
-        ids = batch.column(0).take(pa.array(rows, pa.int64()))
-        yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(paths, pa.string()), pa.array(values, pa.string())], [batch.schema.names[0], "path", "value"]
-        )
-
-
 def flatten_json(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(id, path, value) rows: objects as dotted keys, arrays as ``key[i]``.
 
-    The shape differs per document, so no schema can drive built-in expressions;
-    each document is walked once in an Arrow batch. Broken documents give no rows.
+    Documents are opened level by level until no container is left, as many levels as
+    the deepest document has. An array directly inside an array stays one JSON
+    text, as do its contents. Broken documents and empty containers give no rows.
     """
-    texts = [T.StructField("path", T.StringType()), T.StructField("value", T.StringType())]
-    return df.select(doc_id, text).mapInArrow(_flat, T.StructType([df.schema[doc_id], *texts]))
+    spark = df.sparkSession
+    level = df.select(doc_id, F.lit("").alias("_at"), F.try_parse_json(text).alias("_v"), F.lit(False).alias("_listed"))
+    level = level.filter(F.col("_v").isNotNull())
+    done: list[DataFrame] = []
+    while True:
+        kind = F.schema_of_variant("_v")
+        array = kind.startswith("ARRAY") & ~F.col("_listed")
+        rows = stored(level.withColumns({"_array": array, "_open": kind.startswith("OBJECT") | array}), "level")
+        done.append(rows.filter(~F.col("_open")).select(doc_id, F.col("_at").alias("path"), F.col("_v").cast("string").alias("value")))
+        opened = rows.filter("_open")
+        if opened.isEmpty():
+            break
+        inner = opened.lateralJoin(spark.tvf.variant_explode(F.col("_v").outer()))
+        dotted = F.when(F.col("_at") == "", F.col("key")).otherwise(F.concat("_at", F.lit("."), "key"))
+        numbered = F.concat("_at", F.lit("["), F.col("pos").cast("string"), F.lit("]"))
+        level = inner.select(
+            doc_id, F.when(F.col("_array"), numbered).otherwise(dotted).alias("_at"), F.col("value").alias("_v"), F.col("_array").alias("_listed")
+        )
+    return reduce(DataFrame.unionAll, done)

@@ -145,6 +145,10 @@ def member_master(tables: Tables, as_of: datetime) -> DataFrame:
     return stamp(rows.join(tables["flags"], "member_id", "left"), as_of, process_datetime="%Y/%m/%d %H:%M:%S")
 
 
-def wide_copy(df: DataFrame, mapping: dict[str, str], retired: dict[str, str], layout: list[str]) -> DataFrame:
-    """Wide mart in a fixed layout: renamed live columns, typed NULLs for retired ones, one select each."""
-    return null_columns(project_mapping(df, mapping), retired).select(*layout)
+def wide_copy(
+    df: DataFrame, mapping: dict[str, str], retired: dict[str, str], layout: list[str], recast: dict[str, str] | None = None
+) -> DataFrame:
+    """Wide mart in a fixed layout: renamed live columns, some of another type, typed NULLs for retired ones, one select each."""
+    filled = null_columns(project_mapping(df, mapping), retired)
+    types = recast or {}
+    return filled.select(*[F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in layout])

@@ -35,13 +35,18 @@ def _rule_error(df: DataFrame, rule: Rule) -> str | None:
     try:
         df.select(F.expr(rule.condition).cast("boolean")).schema  # noqa: B018  planned, not run
     except AnalysisException as broken:
-        return str(broken).splitlines()[0]
+        return str(broken).strip().splitlines()[0]
     return None
 
 
-def _valid_rows(df: DataFrame, rules: list[Rule]) -> tuple[int, list[int]]:
+def rule_counts(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """One row: all rows, and those that meet each rule, in one pass."""
     counts = [F.count_if(F.coalesce(F.expr(r.condition).cast("boolean"), F.lit(False))).alias(f"_v{i}") for i, r in enumerate(rules)]
-    total, *valid = df.agg(F.count(F.lit(1)).alias("_n"), *counts).first()
+    return df.agg(F.count(F.lit(1)).alias("_n"), *counts)
+
+
+def _valid_rows(df: DataFrame, rules: list[Rule]) -> tuple[int, list[int]]:
+    total, *valid = rule_counts(df, rules).first()
     return total, valid
 
 
@@ -63,7 +68,7 @@ def run_rules(df: DataFrame, rules: list[Rule]) -> DataFrame:
             try:
                 valid[r.name] = _valid_rows(df, [r])[1][0]
             except PySparkException as broken:
-                errors[r.name] = str(broken).splitlines()[0]
+                errors[r.name] = str(broken).strip().splitlines()[0]
     rows = []
     for r in rules:
         good = valid.get(r.name, 0)
@@ -302,8 +307,12 @@ LEAKS = {
 MARKS = {"email": "@", "ssn": "-", "phone": "-"}
 
 
-def scan_pii(df: DataFrame, columns: list[str], patterns: dict[str, str] = LEAKS, marks: dict[str, str] = MARKS) -> DataFrame:
-    """Per column and pattern: rows with a hit and hits in all, over the whole text, in one pass."""
+def scan_pii(df: DataFrame, columns: list[str], patterns: dict[str, str] = LEAKS, marks: dict[str, str] | None = None) -> DataFrame:
+    """Per column and pattern: rows with a hit and hits in all, over the whole text, in one pass.
+
+    ``marks`` names a text that every match of a pattern holds; by default only the default patterns have one.
+    """
+    marks = marks if marks is not None else MARKS if patterns is LEAKS else {}
 
     def count(column: str, name: str, pattern: str) -> Column:
         hits = F.regexp_count(F.col(column), F.lit(pattern))

@@ -53,34 +53,24 @@ def feed_batches(df: DataFrame, handle: Callable[[DataFrame, int], None], checkp
 
 
 def drain(df: DataFrame, *, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now and return what its sink holds."""
+    """Run a stream over what is there now and return what its sink holds.
+
+    In append mode windows still open at the end are not in the sink.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, "drain")
     feed(df, f"{path}/out", f"{path}/state", mode=mode).awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{path}/out")
 
 
-def _earlier(spark: SparkSession, sink: str, schema: T.StructType, batch_id: int) -> DataFrame:
-    """Rows written by the batches before ``batch_id``."""
-    layout = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
-    return spark.read.schema(layout).parquet(sink).filter(F.col("batch") < batch_id)
-
+def new_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The first row of each key a stream brings.
 
-def append_batches(keys: list[str], sink: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch handler that adds the rows whose key the sink does not hold yet.
-
-    Each batch goes to its own folder, overwritten if the batch is repeated, and
-    known keys are read from the folders of earlier batches only.
+    Seen keys are kept in the stream's state, partitioned by key: a batch touches the
+    state of its own keys and never reads the sink. The state grows with the number of
+    keys; where an event time bounds repeats, ``with_late_policy`` keeps less.
     """
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        fresh = latest_per_key(batch, keys, [])
-        if batch_id > 0:
-            known = _earlier(batch.sparkSession, sink, batch.schema, batch_id).select(*keys)
-            fresh = fresh.join(known, keys, "left_anti").select(*batch.columns)
-        fresh.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
-
-    return handle
+    return df.dropDuplicates(keys)
 
 
 def fan_out(sinks: list[str]) -> Callable[[DataFrame, int], None]:
@@ -97,20 +87,45 @@ def fan_out(sinks: list[str]) -> Callable[[DataFrame, int], None]:
     return handle
 
 
-def upsert_batches(sink: str) -> Callable[[DataFrame, int], None]:
+def upsert_batches(sink: str, keys: list[str], version: str | None = None, compact_every: int = 20) -> Callable[[DataFrame, int], None]:
     """foreachBatch handler for a keyed upsert: each batch is written as a folder of changes.
 
-    Nothing is rewritten per batch; ``current_rows`` gives the state of the table.
+    Every ``compact_every`` batches the newest rows are written as a base, so that
+    ``current_rows`` reads one base and few changes, however old the stream is. A repeated
+    batch overwrites its own folders. Of rows of one key the highest ``version`` counts, then the later batch.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{sink}/changes/batch={batch_id}")
+        if (batch_id + 1) % compact_every == 0:
+            newest = _newest(spark, sink, batch.schema, keys, version, before=batch_id)
+            newest.write.mode("overwrite").parquet(f"{sink}/base/upto={batch_id}")
 
     return handle
 
 
-def current_rows(spark: SparkSession, sink: str, schema: T.StructType, keys: list[str]) -> DataFrame:
-    """The newest row of each key over the change folders of ``upsert_batches``."""
+def _folders(spark: SparkSession, folder: str, name: str) -> list[int]:
+    """Numbers of the finished folders ``name=<n>``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path(folder)):
+        return []
+    found = [s.getPath() for s in fs.listStatus(path(folder)) if s.getPath().getName().startswith(f"{name}=")]
+    return sorted(int(p.getName().split("=")[1]) for p in found if fs.exists(path(p, "_SUCCESS")))
+
+
+def _newest(spark: SparkSession, sink: str, schema: T.StructType, keys: list[str], version: str | None, before: int | None = None) -> DataFrame:
+    """Newest row of each key with its batch, from the last base and the changes after it."""
     layout = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
-    changes = spark.read.schema(layout).parquet(sink)
-    return latest_per_key(changes, keys, ["batch"]).select(*schema.fieldNames())
+    bases = [n for n in _folders(spark, f"{sink}/base", "upto") if before is None or n < before]
+    start = bases[-1] if bases else -1
+    rows = spark.read.schema(layout).parquet(f"{sink}/changes").filter(F.col("batch") > start)
+    if bases:
+        rows = rows.unionByName(spark.read.schema(layout).parquet(f"{sink}/base/upto={start}"))
+    return latest_per_key(rows, keys, [*([version] if version else []), "batch"])
+
+
+def current_rows(spark: SparkSession, sink: str, schema: T.StructType, keys: list[str], version: str | None = None) -> DataFrame:
+    """The newest row of each key of a table that ``upsert_batches`` writes."""
+    return _newest(spark, sink, schema, keys, version).select(*schema.fieldNames())

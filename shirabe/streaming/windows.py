@@ -75,9 +75,16 @@ def event_aggs(kind: str, amount: Column, purchase: str = "purchase") -> list[Co
     ]
 
 
-def uniques(user: str, *, exact: bool = True) -> Column:
-    """Distinct users per window; streams cannot count exactly and use the sketch."""
-    return (F.countDistinct(user) if exact else F.approx_count_distinct(user)).alias("unique_users")
+def uniques(user: str) -> Column:
+    """Distinct users per window, in batch."""
+    return F.countDistinct(user).alias("unique_users")
+
+
+def stream_uniques(df: DataFrame, ts: str, size: str, user: str) -> DataFrame:
+    """Distinct users per tumbling window of a stream, exact: a row per window and user, then their number per window."""
+    users = df.filter(F.col(user).isNotNull()).groupBy(F.window(ts, size).alias("_w"), user).agg(count_rows("_n"))
+    timed = users.select(F.window_time("_w").alias("_t"), user)
+    return windowed(timed, "_t", size, [count_rows("unique_users")])
 
 
 def window_metrics(windows: DataFrame, minutes: Column | int) -> DataFrame:

@@ -179,12 +179,19 @@ def test_flatten_json(spark, rows):
             ("customer.orders[0].amount", "1500"),
             ("customer.orders[1].order_id", "ORD002"),
             ("customer.tags[0]", "x"),
-            ("customer.tags[1]", "[1, 2]"),
+            ("customer.tags[1]", "[1,2]"),
             ("customer.none", None),
         ]
     )
 
 
+def test_flatten_json_keys_like_positions(spark, rows, plan):
+    df = spark.createDataFrame([(1, '{"a]": [1, 2], "e": [], "o": {}, "l": [{"z": [7]}]}')], "id int, doc string")
+    flat = jsonx.flatten_json(df, "id", "doc")
+    assert rows(flat, "path", "value") == [("a][0]", "1"), ("a][1]", "2"), ("l[0].z[0]", "7")]
+    assert "Python" not in plan(flat) and "Arrow" not in plan(flat)
+
+
 def test_has_required(spark):
     df = spark.createDataFrame([("Test User", "m@x.jp"), ("", "m@x.jp"), (None, "m@x.jp"), ("　", "m@x.jp")], "name string, email string")
     assert [r[0] for r in df.select(text.has_required(df, ["name", "email"])).collect()] == [True, False, False, False]

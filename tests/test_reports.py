@@ -34,7 +34,30 @@ def test_rules_on_empty_and_null(spark):
 def test_rules_take_one_pass(spark, plan, tmp_path):
     spark.range(3).write.parquet(str(tmp_path / "t"))
     rules = [quality.Rule(str(i), f"id > {i}", 1.0, "Low") for i in range(5)]
-    assert plan(quality.run_rules(spark.read.parquet(str(tmp_path / "t")), rules)).count("FileScan") == 1
+    assert plan(quality.rule_counts(spark.read.parquet(str(tmp_path / "t")), rules)).count("FileScan") == 1
+
+
+def test_a_broken_rule_does_not_stop_the_others(spark):
+    df = spark.createDataFrame([("1",), ("x",)], "c string")
+    rules = [
+        quality.Rule("filled", "c IS NOT NULL", 60.0, "High"), quality.Rule("no column", "d > 1", 1.0, "Low"),
+        quality.Rule("no syntax", "c >", 1.0, "Low"), quality.Rule("fails on a row", "CAST(c AS INT) > 0", 1.0, "Low"),
+    ]
+    out = {r.rule_name: r for r in quality.run_rules(df, rules).collect()}
+    assert out["filled"].quality_score == 100.0 and out["filled"].error_message is None
+    for name in ("no column", "no syntax", "fails on a row"):
+        assert out[name].quality_score == 0.0 and out[name].error_message and not out[name].threshold_met
+
+
+def test_custom_pattern_under_a_default_name(spark):
+    df = spark.createDataFrame([("tel 0312345678",)], "t string")
+    assert quality.scan_pii(df, ["t"], {"phone": "[0-9]{10}"}).first().hits == 1
+
+
+def test_profile_counts_dominant_values(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("b", 4)], "c string, n int")
+    out = {r.column_name: r.anomaly_count for r in quality.profile(df, datetime(2024, 1, 1)).collect()}
+    assert out == {"c": 1, "n": 0}
 
 
 def test_dominant_value(spark, rows):

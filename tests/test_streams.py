@@ -54,7 +54,7 @@ def test_sessions_close_after_the_gap(stream, rows):
 def test_append_new_over_batches(spark, stream, rows):
     path = scratch_path(spark, "append")
     pairs = stream.select("user_id", F.hour("ts").alias("h"))
-    feeds.feed_batches(pairs, feeds.append_batches(["user_id", "h"], f"{path}/out"), f"{path}/state").awaitTermination()
+    feeds.feed(feeds.new_keys(pairs, ["user_id", "h"]), f"{path}/out", f"{path}/state").awaitTermination()
     out = spark.read.schema(pairs.schema).parquet(f"{path}/out")
     assert rows(out, "user_id", "h") == [(1, 0), (1, 2), (2, 0)]
 
@@ -62,7 +62,9 @@ def test_append_new_over_batches(spark, stream, rows):
 def test_upsert_keeps_the_newest_total(spark, stream, rows):
     path = scratch_path(spark, "upsert")
     totals = stream.groupBy("user_id").agg(count_rows("n"))
-    feeds.feed_batches(totals, feeds.upsert_batches(f"{path}/t"), f"{path}/state", mode="update").awaitTermination()
+    handler = feeds.upsert_batches(f"{path}/t", ["user_id"], compact_every=2)
+    feeds.feed_batches(totals, handler, f"{path}/state", mode="update").awaitTermination()
+    assert feeds._folders(spark, f"{path}/t/base", "upto") == [1, 3]
     assert rows(feeds.current_rows(spark, f"{path}/t", totals.schema, ["user_id"])) == [(1, 5), (2, 3)]
 
 
@@ -71,3 +73,18 @@ def test_fan_out_writes_the_same_rows(spark, stream):
     feeds.feed_batches(stream, feeds.fan_out([f"{path}/a", f"{path}/b"]), f"{path}/state").awaitTermination()
     a, b = [spark.read.schema(stream.schema).parquet(f"{path}/{s}") for s in "ab"]
     assert a.count() == 8 and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_upsert_takes_the_highest_version(spark, rows):
+    path, schema = scratch_path(spark, "versions"), "k int, v int, at int"
+    handle = feeds.upsert_batches(path, ["k"], "at", compact_every=2)
+    for i, batch in enumerate([[(1, 10, 5), (2, 20, 1)], [(1, 11, 4)], [(2, 21, 1), (3, 30, 0)]]):
+        handle(spark.createDataFrame(batch, schema), i)
+    layout = spark.createDataFrame([], schema).schema
+    assert rows(feeds.current_rows(spark, path, layout, ["k"], "at"), "k", "v") == [(1, 10), (2, 21), (3, 30)]
+
+
+def test_exact_uniques(spark, stream, rows):
+    kept = feeds.with_late_policy(stream, "ts", "10 minutes", "event_id")
+    out = feeds.drain(windows.stream_uniques(kept, "ts", "10 minutes", "user_id"))
+    assert [(str(s), n) for s, n in rows(out, "window_start", "unique_users")] == [("2024-01-01 00:00:00", 2), ("2024-01-01 00:40:00", 1), ("2024-01-01 00:50:00", 2)]

@@ -8,7 +8,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from shirabe.operators import change, project
+from shirabe.operators import change, join, project
 from shirabe.session import scratch_path
 from shirabe.sources import readers, writers
 
