@@ -244,13 +244,13 @@ def ev_session_patterns(t: Tables) -> DataFrame:
     )
 
 
-# The trigger table.
+# The trigger names. The actions are examples.
 TRIGGERS = [
-    ("high_temperature_alert", "Send maintenance notification"),
-    ("user_conversion_event", "Trigger loyalty program"),
-    ("system_anomaly_detection", "System health check"),
-    ("high_traffic_alert", "Scale up resources"),
-    ("data_quality_issue", "Data validation review"),
+    ("high_temperature_alert", "call the site engineer"),
+    ("user_conversion_event", "enter in the bonus scheme"),
+    ("system_anomaly_detection", "open an incident"),
+    ("high_traffic_alert", "add two workers"),
+    ("data_quality_issue", "hold the load"),
 ]
 
 _TRIGGER_VALUES = ", ".join(f"('{n}', '{a}')" for n, a in TRIGGERS)
@@ -276,13 +276,14 @@ _TRIGGER_VALUES = ", ".join(f"('{n}', '{a}')" for n, a in TRIGGERS)
 )
 def ev_triggers(t: Tables) -> DataFrame:
     events = t.events
-    busy = windows.windowed(events, "ts", "5 minutes", [count_rows("c")]).filter("c > 6")
-    rules = [
-        ("high_temperature_alert", events.filter("event_type = 'view' AND value > 50"), F.max("value"), "ts"),
-        ("user_conversion_event", events.filter((F.col("event_type") == "purchase") & (amount() > 90)), F.max(amount()), "ts"),
-        ("system_anomaly_detection", events.filter("value < 0.05"), F.min("value"), "ts"),
-        ("high_traffic_alert", busy, F.max("c"), "window_start"),
-    ]
+    busy = windows.windowed(events, "ts", "5 minutes", [count_rows("c")])
+    bought, value = F.col("event_type") == "purchase", F.col("value")
+    rules = {
+        "high_temperature_alert": (events, (F.col("event_type") == "view") & (value > 50), F.max, value, "ts"),
+        "user_conversion_event": (events, bought & (amount() > 90), F.max, amount(), "ts"),
+        "system_anomaly_detection": (events, value < 0.05, F.min, value, "ts"),
+        "high_traffic_alert": (busy, F.col("c") > 6, F.max, F.col("c"), "window_start"),
+    }
     triggers = values_df(t.spark, TRIGGERS, "trigger_name string, action_description string")
     return windows.evaluate_triggers(rules, triggers)
 

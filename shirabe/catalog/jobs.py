@@ -484,7 +484,7 @@ def job_unified_customer_mart(t: Tables) -> DataFrame:
 
 # ---------------------------------------------------------------- mail lists and extracts
 
-MAIL_ROWS = f"""{roles.MEMBERS}, file AS (SELECT 'M' || CAST(customer_no % 500 AS VARCHAR) AS id_no, CAST(customer_no % 3 AS VARCHAR) AS point_kind,
+MAIL_ROWS = f"""{roles.MEMBERS}, file AS (SELECT 'M' || CAST(customer_no AS VARCHAR) AS id_no, CAST(customer_no % 3 AS VARCHAR) AS point_kind,
   mail, CAST(customer_no % 12 AS VARCHAR) AS picture_month FROM members)"""
 
 
@@ -492,7 +492,7 @@ def _mail_file(t: Tables) -> DataFrame:
     """The daily tab-separated file, written from the members and read back strictly."""
     n = F.col("customer_no")
     rows = roles.members(t).select(
-        F.concat(F.lit("M"), (n % 500).cast("string")).alias("id_no"),
+        F.concat(F.lit("M"), n.cast("string")).alias("id_no"),
         (n % 3).cast("string").alias("point_kind"),
         "mail",
         (n % 12).cast("string").alias("picture_month"),

@@ -270,11 +270,11 @@ def fn_flatten_json(t: Tables) -> DataFrame:
 @query(
     "fn_validators",
     r"""WITH v AS (SELECT c_custkey,
-         CASE c_custkey % 5 WHEN 0 THEN 'valid' || CAST(c_custkey AS VARCHAR) || '@example.com' WHEN 1 THEN 'invalid.email'
-           WHEN 2 THEN '@invalid.com' WHEN 3 THEN 'test@' ELSE NULL END AS mail,
-         CASE c_custkey % 5 WHEN 0 THEN '090-1234-5678' WHEN 1 THEN '+81-90-1234-5678' WHEN 2 THEN '090-123-456'
-           WHEN 3 THEN 'abc-defg-hijk' ELSE NULL END AS phone,
-         CASE c_custkey % 5 WHEN 0 THEN '2023-02-29' WHEN 1 THEN '2024-02-29' WHEN 2 THEN '2023-13-01' WHEN 3 THEN '1990-01-01' ELSE NULL END AS day,
+         CASE c_custkey % 5 WHEN 0 THEN 'member' || CAST(c_custkey AS VARCHAR) || '@mail.example.net' WHEN 1 THEN 'no-at-sign.example'
+           WHEN 2 THEN '@nobody.example' WHEN 3 THEN 'half@' ELSE NULL END AS mail,
+         CASE c_custkey % 5 WHEN 0 THEN '080-2345-6789' WHEN 1 THEN '+81-80-2345-6789' WHEN 2 THEN '080-234-567'
+           WHEN 3 THEN 'xyz-uvwx-rstu' ELSE NULL END AS phone,
+         CASE c_custkey % 5 WHEN 0 THEN '2021-02-29' WHEN 1 THEN '2020-02-29' WHEN 2 THEN '2021-13-05' WHEN 3 THEN '1985-06-07' ELSE NULL END AS day,
          CASE c_custkey % 5 WHEN 0 THEN ' 　' WHEN 1 THEN NULL ELSE c_name END AS name, c_acctbal FROM customer)
        SELECT c_custkey, coalesce(regexp_matches(mail, '^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$'), false) AS mail_ok,
          coalesce(regexp_matches(phone, '^\d{2,4}-\d{4}-\d{4}$') OR regexp_matches(phone, '^\+\d{1,3}-\d{2,4}-\d{4}-\d{4}$'), false) AS phone_ok,
@@ -283,9 +283,9 @@ def fn_flatten_json(t: Tables) -> DataFrame:
 )
 def fn_validators(t: Tables) -> DataFrame:
     key, none = F.col("c_custkey"), F.lit(None).cast("string")
-    mails = [F.concat(F.lit("valid"), key.cast("string"), F.lit("@example.com")), F.lit("invalid.email"), F.lit("@invalid.com"), F.lit("test@"), none]
-    phones = [F.lit("090-1234-5678"), F.lit("+81-90-1234-5678"), F.lit("090-123-456"), F.lit("abc-defg-hijk"), none]
-    days = [F.lit("2023-02-29"), F.lit("2024-02-29"), F.lit("2023-13-01"), F.lit("1990-01-01"), none]
+    mails = [F.concat(F.lit("member"), key.cast("string"), F.lit("@mail.example.net")), F.lit("no-at-sign.example"), F.lit("@nobody.example"), F.lit("half@"), none]
+    phones = [F.lit("080-2345-6789"), F.lit("+81-80-2345-6789"), F.lit("080-234-567"), F.lit("xyz-uvwx-rstu"), none]
+    days = [F.lit("2021-02-29"), F.lit("2020-02-29"), F.lit("2021-13-05"), F.lit("1985-06-07"), none]
     names = [F.lit(" 　"), none, F.col("c_name"), F.col("c_name"), F.col("c_name")]
     rows = t.customer.select(
         "c_custkey",

@@ -58,6 +58,7 @@ def engagement_levels(tables: Tables, as_of: datetime) -> DataFrame:
     mails = tables["messages"].groupBy("client_id").agg(count_rows("_n"), F.sum("points").alias("total_points_received"))
     rows = tables["engagement"].filter("engagement_score IS NOT NULL").join(mails, "client_id", "left")
     n, score = F.coalesce("_n", F.lit(0)), F.col("engagement_score")
+    # Bounds and labels.
     levels = [
         ((score >= 8) & (n >= 3), "HIGHLY_ENGAGED"),
         ((score >= 6) & (n >= 2), "MODERATELY_ENGAGED"),
@@ -117,6 +118,7 @@ def churn_risk(tables: Tables, as_of: datetime, messages_as_of: datetime | None
     scores = tables["engagement"].select("client_id", "engagement_score")
     rows = tables["clients"].filter("last_transaction IS NOT NULL").join(scores, "client_id", "left").join(mails, "client_id", "left")
     idle, score = boundary_diff("day", F.col("last_transaction"), _at(as_of)), F.col("engagement_score")
+    # Bounds and labels.
     levels = [
         ((idle > 180) & (score.isNull() | (score < 4)), "HIGH_RISK"),
         ((idle > 90) & (score.isNull() | (score < 6)), "MEDIUM_RISK"),
@@ -149,6 +151,7 @@ def cross_sell(tables: Tables) -> DataFrame:
     marks = tables["engagement"].select("client_id", "engagement_score", "marketing_segment", "preference")
     rows = tables["clients"].filter("total_amount >= 10000").join(marks.filter("engagement_score >= 5"), "client_id")
     likes = F.col("preference")
+    # Bounds and labels.
     offers = [
         ((F.col("segment") == "PREMIUM") & ~likes.contains("FINANCE"), "FINANCIAL_PRODUCTS"),
         ((F.col("total_amount") >= 50000) & ~likes.contains("LIFESTYLE"), "LIFESTYLE_SERVICES"),
@@ -186,6 +189,7 @@ def journeys(tables: Tables) -> DataFrame:
     responses = tables["engagement"].select("client_id", "last_response")
     rows = tables["clients"].filter("last_transaction IS NOT NULL").join(responses, "client_id", "left").join(mails, "client_id", "left")
     bought, answered, mail = F.col("last_transaction"), F.col("last_response"), F.col("mail")
+    # Bounds and labels.
     kinds = [
         ((bought > answered) & (bought > mail), "TRANSACTION_DRIVEN"),
         ((answered > bought) & (answered > mail), "MARKETING_DRIVEN"),

@@ -95,6 +95,7 @@ def contract_presence(usage: DataFrame, member: str) -> DataFrame:
     codes = {"001": "internal_area_gas", "010": "external_area_gas", "006": "power"}
     flags = flag_pivot(usage.filter("transfer_type = '02'"), [member], "service_type", codes)
     gas, power = F.col("internal_area_gas") == "1", F.col("power") == "1"
+    # Bounds and labels.
     kinds = [(gas & power, "GAS_POWER"), (gas, "GAS_ONLY"), (power, "POWER_ONLY")]
     return flags.filter(F.col(member).isNotNull()).withColumn("contract_type", label_when(kinds, "NO_CONTRACT"))
 

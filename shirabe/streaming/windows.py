@@ -3,6 +3,9 @@ unless a docstring says otherwise."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,6 +92,7 @@ def stream_uniques(df: DataFrame, ts: str, size: str, user: str) -> DataFrame:
 
 def window_metrics(windows: DataFrame, minutes: Column | int) -> DataFrame:
     """Rate per minute, conversion rate and volume class of window aggregates."""
+    # Bounds and labels.
     steps = [(20, "High Volume Window"), (10, "Medium Volume Window"), (5, "Low Volume Window")]
     return windows.withColumns(
         {
@@ -199,22 +203,35 @@ def pattern_summary(found: DataFrame, views: str, clicks: str, buys: str) -> Dat
     return out.withColumn("pattern_significance", label_when(rules, "Standard Pattern"))
 
 
-def evaluate_triggers(rules: list[tuple[str, DataFrame, Column, str]], triggers: DataFrame) -> DataFrame:
+def evaluate_triggers(
+    rules: dict[str, tuple[DataFrame, Column, Callable[[Column], Column], Column, str]], triggers: DataFrame
+) -> DataFrame:
     """Rule results joined to the trigger table, with priority and response class.
 
-    Each rule is (name, matching rows, reported value, time column); the value is
-    aggregated by the caller's expression.
+    A rule is (rows, condition, aggregate, reported value, time column). Rules on the
+    same rows are conditional aggregates of one pass.
     """
-    out = None
-    for name, rows, value, ts in rules:
-        row = rows.agg(
-            count_rows("triggered_count"),
-            value.cast("double").alias("max_trigger_value"),
-            F.max(ts).alias("last_trigger_time"),
-        ).withColumn("trigger_name", F.lit(name))
-        out = row if out is None else out.unionByName(row)
+    frames: dict[int, tuple[DataFrame, list[str]]] = {}
+    for name, (rows, *_) in rules.items():
+        frames.setdefault(id(rows), (rows, []))[1].append(name)
+    parts = []
+    for rows, names in frames.values():
+        structs = []
+        for name in names:
+            _, condition, aggregate, value, ts = rules[name]
+            structs.append(
+                F.struct(
+                    F.lit(name).alias("trigger_name"),
+                    F.count_if(condition).alias("triggered_count"),
+                    aggregate(F.when(condition, value)).cast("double").alias("max_trigger_value"),
+                    F.max(F.when(condition, F.col(ts))).alias("last_trigger_time"),
+                )
+            )
+        parts.append(rows.agg(F.array(*structs).alias("_r")).select(F.explode("_r").alias("_r")).select("_r.*"))
+    out = reduce(DataFrame.unionByName, parts)
     joined = out.join(triggers, "trigger_name")
     n, alert = F.col("triggered_count"), F.col("trigger_name").contains("alert")
+    # Bounds and labels.
     priority = [
         (alert & (n >= 5), "High Priority"),
         (alert & (n >= 1), "Medium Priority"),
@@ -229,6 +246,7 @@ def evaluate_triggers(rules: list[tuple[str, DataFrame, Column, str]], triggers:
         }
     )
     fired = F.col("execution_status") == "Action Triggered"
+    # Labels.
     response = [
         (fired & (F.col("action_priority") == "High Priority"), "Critical Response Required"),
         (fired & (F.col("action_priority") == "Medium Priority"), "Standard Response"),
