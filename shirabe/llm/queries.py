@@ -53,7 +53,20 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("op10_jaccard_components")
+JACCARD_SQL = r"""WITH RECURSIVE t AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+       s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM t),
+       n AS (SELECT doc_id, CAST(len(g) AS BIGINT) AS n FROM s),
+       x AS (SELECT doc_id, unnest(g) AS g FROM s),
+       p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+       l AS (SELECT a, b FROM p JOIN n i ON i.doc_id = a JOIN n j ON j.doc_id = b WHERE 100 * c >= 80 * (i.n + j.n - c)),
+       e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+       r AS (SELECT doc_id, doc_id AS root FROM n UNION SELECT e.b, r.root FROM r JOIN e ON r.doc_id = e.a)
+       SELECT n.doc_id, n.n AS n_shingles, min(root) AS component_id FROM n JOIN r USING (doc_id) GROUP BY 1, 2"""
+
+
+@query("op10_jaccard_components", JACCARD_SQL)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents linked by 5-word shingles with Jaccard similarity 0.8 or more."""
     return jaccard.classes(table(spark, folder, "documents"))
@@ -102,7 +115,15 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "start", "end", F.sha2("value", 256).alias("value_sha256"), "score", "kept")
 
 
-@query("op7_mtree_top_k")
+TOP_K_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+         WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+       s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+         FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+       r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+       SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
+@query("op7_mtree_top_k", TOP_K_SQL)
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     """The five largest inner products of every fiftieth vector, on integer components."""
     found = mtree.top_k(table(spark, folder, "embeddings"), "vec_id", "embedding", every=50, k=5)
