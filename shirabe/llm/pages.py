@@ -30,10 +30,11 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies "
-    "disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice pagination popup promo promotion related "
-    "replies share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
+    "ad ads adv adbox adslot adsense alert banner banners breadcrumb breadcrumbs consent discussion disqus feedback footer gdpr header "
+    "login masthead menu menus modal nav navbar navigation notice notices overlay pagination popup popover promo promotion rail "
+    "recommendations recommended related replies responses search share sharing sidebar signup social toast toolbar topbar widget widgets".split()
 )
+STEMS = ("advert", "comment", "cookie", "newsletter", "sidebar", "sponsor", "subscri")
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form navigation search".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 INSIDE, OUTSIDE, DROPPED = 0, 1, 2  # in an article; in none; in markup that is no text
@@ -90,22 +91,22 @@ class Lines(HTMLParser):
             # An article inside a menu or advert: that one was not closed.
             self.pop_to(next(d for d, (_, s, _) in enumerate(self.stack) if s))
             skipped = False
-        own = self.marked(tag, given, role) and not begins and not (article and tag in ("header",))
+        own = self.marked(tag, given, role, article) and not begins
         if own and not skipped:
             self.cut()
         self.stack.append((tag, skipped or own, article or (begins and not skipped)))
 
     @staticmethod
-    def marked(tag: str, given: dict, role: str) -> bool:
-        """Whether an element is no part of the text."""
-        if tag in SKIPPED or role in ROLES or "hidden" in given:
+    def marked(tag: str, given: dict, role: str, article: bool) -> bool:
+        """Whether an element is no part of the text; an article's own header is."""
+        if tag in SKIPPED and not (article and tag == "header") or role in ROLES or "hidden" in given:
             return True
         if "display:none" in (given.get("style") or "").replace(" ", "").lower():
             return True
         if tag in ("html", "body", "p", "h1", "h2", "h3", "h4", "h5", "h6") and not given.get("class"):
             return False
         names = f"{given.get('class') or ''} {given.get('id') or ''}".lower().replace("-", " ").replace("_", " ").split()
-        return tag not in ("html", "body") and any(n in NAMES for n in names)
+        return tag not in ("html", "body") and any((n in NAMES and not (article and n == "header")) or n.startswith(STEMS) for n in names)
 
     def handle_endtag(self, tag: str) -> None:
         for depth in range(len(self.stack) - 1, -1, -1):

@@ -196,6 +196,17 @@ def test_article_lines():
     assert pages.lines_of("<p>cut <b") in ([("cut", 1)], [("cut <b", 1)])
 
 
+def test_kinds_of_markup_that_is_no_text():
+    gone = [
+        '<div class="ad-slot">x</div>', '<aside>x</aside>', '<div id="sidebar-right">x</div>', '<ul class="site_nav"><li>x</ul>', '<div role="search">x</div>',
+        '<section class="reader-comments"><p>x</p></section>', '<div class="cookieBanner">x</div>', '<p class="notice">x</p>', '<div hidden>x</div>',
+        '<div style="display: none">x</div>', "<style>x</style>", '<div class="newsletter-signup">x</div>', "<!-- x -->", "<noscript>x</noscript>", "<button>x</button>",
+    ]
+    for piece in gone:
+        html = f"<body>{piece}<article><header class='entry-header'><h1>Title</h1></header><p>one</p>{piece}<p>two</p></article>{piece}</body>"
+        assert [t for t, p in pages.lines_of(html) if p == pages.INSIDE] == ["Title", "one", "two"], piece
+
+
 def test_common_is_a_longest_common_subsequence():
     picked = random.Random(5)
     for _ in range(300):
