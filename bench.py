@@ -48,6 +48,13 @@ HEADLINE = [
     "ev_session_patterns",
     "ev_rate_limit",
     "st_tumbling",
+    "st_uniques",
+    "win_number_rows",
+    "inc_spans",
+    "sink_csv_gz",
+    "sink_json",
+    "write_upsert",
+    "fn_flatten_json",
 ]
 
 
