@@ -9,6 +9,8 @@ added as spans of kind ``context``.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,16 +117,17 @@ def scanned(df: DataFrame, key: str, text: str) -> DataFrame:
 def occurrences(df: DataFrame, text: str, patterns: DataFrame) -> DataFrame:
     """(pattern, total): how often each pattern occurs in all texts, whatever follows.
 
-    Pairs of words pass a table of hash residues first, of 2^16 rows at most, so
-    few of them are shuffled, however many patterns there are.
+    Pairs of words first pass a literal table of 2^16 hash residues, whatever the number
+    of patterns, and are counted before the shuffle.
     """
-    residue = lambda c: F.pmod(F.xxhash64(c), F.lit(RESIDUES))
-    residues = materialise(patterns.select(residue("pattern").alias("residue")).distinct(), "residues")
+    residue = lambda c: F.pmod(F.xxhash64(c), F.lit(RESIDUES)).cast("int")
+    spots = {r[0] for r in patterns.select(residue("pattern")).distinct().collect()}  # 2^16 numbers at most
+    known = F.from_json(F.lit(json.dumps([int(i in spots) for i in range(RESIDUES)])), "array<int>")
     words = F.split(F.lower(F.translate(F.col(text).cast("string"), "\n\t\r\f\x0b", "     ")), " ")
     filled = df.where(F.col(text).isNotNull()).select(F.filter(words, lambda w: w != "").alias("words"))
     pairs = filled.select(F.explode(F.zip_with("words", F.slice("words", 2, F.size("words")), lambda a, b: F.concat_ws(" ", a, b))).alias("pattern"))
-    near = pairs.withColumn("residue", residue("pattern")).join(F.broadcast(residues), "residue", "left_semi")
-    return near.groupBy("pattern").agg(F.count("*").alias("total")).join(patterns, "pattern", "left_semi")
+    near = pairs.where(F.get(known, residue("pattern")) == 1)
+    return near.groupBy("pattern").agg(F.count("*").alias("total")).join(patterns.select("pattern"), "pattern")
 
 
 def contexts(df: DataFrame, text: str, instances: DataFrame, rounds: int, support: int, trust: float) -> DataFrame:
