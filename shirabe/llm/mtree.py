@@ -25,6 +25,8 @@ from shirabe.llm.common import materialise
 
 RINGS = 8
 EXACT = float(1 << 53)
+KEPT = 200_000  # results a task holds
+FOUND = ["query_id", "vec_id", "score"]
 
 
 def quantised(df: DataFrame, key: str, vector: str, factor: int) -> DataFrame:
@@ -72,6 +74,14 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
+def first_k(found: np.ndarray, k: int) -> np.ndarray:
+    """The k best of each query, of columns query, id and score."""
+    found = found[:, np.lexsort((found[1], -found[2], found[0]))]
+    begins = np.flatnonzero(np.diff(found[0], prepend=found[0][:1] - 1))
+    place = np.arange(found.shape[1]) - np.repeat(begins, np.diff(np.append(begins, found.shape[1])))
+    return found[:, place < k]
+
+
 class MTree:
     """A paged M-tree over (id, v) rows, kept as a table in the shared folder."""
 
@@ -172,6 +182,9 @@ class MTree:
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             routing = shared.value
+            # What a task has found so far, the k best of each query; given out before it grows large.
+            held: list[np.ndarray] = []
+            size = 0
             for batch in batches:
                 for row in batch.to_pylist():
                     ids, aways = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["aways"])
@@ -183,25 +196,24 @@ class MTree:
                     to_parent = np.sqrt(np.maximum(own + routing.top - 2 * queries @ parent[:-1], 0.0))
                     # d(q, o) >= |d(q, parent) - d(o, parent)|: what cannot reach the floor is not computed.
                     reach = np.sqrt(np.maximum(own + routing.top - 2 * floors, 0.0)) * (1 + 1e-9) + 1e-3
-                    found_q, found_v, found_s = [], [], []
                     lo = np.searchsorted(aways, to_parent - reach, side="left")
                     hi = np.searchsorted(aways, to_parent + reach, side="right")
-                    for i in range(len(asking)):
-                        a, b = lo[i], hi[i]
-                        if a >= b:
-                            continue
-                        score = entries[a:b] @ queries[i]
-                        others = ids[a:b] != asking[i]
-                        score, near = score[others], ids[a:b][others]
-                        best = np.lexsort((near, -score))[:k]
-                        found_q.append(np.full(len(best), asking[i]))
-                        found_v.append(near[best])
-                        found_s.append(score[best])
-                    if found_q:
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.concatenate(c).astype(np.int64)) for c in (found_q, found_v, found_s)],
-                            names=["query_id", "vec_id", "score"],
-                        )
+                    for i in np.flatnonzero(lo < hi):
+                        score = entries[lo[i] : hi[i]] @ queries[i]
+                        near = ids[lo[i] : hi[i]]
+                        others = near != asking[i]
+                        score, near = score[others], near[others]
+                        first = np.lexsort((near, -score))[:k]
+                        held.append(np.stack([np.full(len(first), asking[i]), near[first], score[first].astype(np.int64)]))
+                        size += len(first)
+                    if size > KEPT:
+                        held = [first_k(np.concatenate(held, axis=1), k)]
+                        size = held[0].shape[1]
+                        if size > KEPT // 2:
+                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], names=FOUND)
+                            held, size = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in first_k(np.concatenate(held, axis=1), k)], names=FOUND)
 
         joined = asked.join(self.pages, ["parent", "ring"])
         return joined.mapInArrow(search, "query_id bigint, vec_id bigint, score bigint")
