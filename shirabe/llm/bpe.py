@@ -28,7 +28,7 @@ CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 PAIR = 1 << 16  # ids are below this
 NONE = 1 << 62  # an empty slot of the rank map
 FOLD_BYTES = 64  # longer words are merged with a heap, as folding takes their length squared
-BLOCK_CHARS = 4 << 20
+BLOCK_CHARS = 1 << 20
 SPELLED = 1 << 18  # words of a group of documents that is put together at once
 
 

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shirabe.session import prepare
 
+# Documents are large rows: batches of this many keep the Python workers small.
+BATCH_ROWS = "2000"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -17,7 +20,7 @@ def query(name: str, sql: str | None = None):
 
     def register(fn: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return fn(prepare(spark), folder)
+            return fn(ready(spark), folder)
 
         QUERIES[name] = run
         if sql:
@@ -27,6 +30,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def ready(spark: SparkSession) -> SparkSession:
+    """The session with the settings the operators assume."""
+    prepare(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return spark
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the input tables."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
