@@ -11,6 +11,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shirabe.llm import common, decontaminate, jaccard, mtree, ring, warc
 
@@ -239,6 +240,18 @@ def test_large_clusters_are_cut_into_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(docs).collect()} == brute_classes(texts)
 
 
+def test_links_of_very_long_texts(spark):
+    words = lambda of: F.transform(F.sequence(F.lit(1), F.lit(800_000)), of)
+    spelled = lambda i: F.concat(F.lit("w"), i.cast("string"))
+    own = lambda i: F.when((i % 100_000 == 0) & (F.col("id") > 0), F.lit("x")).otherwise(spelled(i))
+    docs = spark.range(2).select(F.col("id").alias("doc_id"), F.concat_ws(" ", words(own)).alias("text"))
+    bands = jaccard.Bands(80)
+    plain, deleting = bands.allocation(bands.band(799_996))
+    assert plain + deleting > 1 << 15
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.classes(docs).collect()}
+    assert got == {(0, 799_996, 0), (1, 799_996, 0)}
+
+
 def test_set_join_edge_cases(spark):
     assert jaccard.classes(spark.createDataFrame([], DOCS)).collect() == []
     data = [(2, "a b c d e f", 0, ""), (2, "a b c d e f", 0, ""), (None, "a b c d e f", 0, ""), (1, None, 0, ""), (None, "", 0, ""), (9, "q r s t u v w " * 3000, 0, "")]
