@@ -1,9 +1,12 @@
 """Benchmark decontamination on templates.
 
 Numbers, units and names become typed placeholders, so a question with other numbers or
-names has the same template. Windows of template words of documents and benchmark items
-are joined on their hash. Windows of one alignment count together, and only if their
-slots agree: one value of the item stands for one value of the document.
+names has the same template. A text has three forms: its case-folded words without slots,
+so that case and punctuation do not matter; its template; and the template that also takes
+capitalised words at the start of a sentence as names. Windows of words of documents and
+benchmark items are joined on their hash, form by form. Windows of one alignment count
+together, and only if their slots agree: one value of the item stands for one value of the
+document.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ UNITS = (
     "ounce ounces liter liters litre litres gallon gallons dollar dollars cent cents euro euros usd eur percent degree degrees"
 ).split()
 
+SURFACE, TEMPLATE, LEADING = 0, 1, 2  # forms: words as they are; with slots; with names at the start of a sentence too
 OTHER, LETTER, DIGIT, BLANK = 0, 1, 2, 3
 NUMBER, UNIT, NAME = (mix(np.array([n], U64) * GOLDEN)[0] for n in (1, 2, 3))
 PIECE = 1 << 20
@@ -63,8 +67,8 @@ class Templates:
         points = np.frombuffer(word.encode("utf-32-le"), np.uint32)
         return run_hashes(points, np.array([0]), np.array([len(points)]))[0]
 
-    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(template word, slot value or 0, number of words of each text) of some texts."""
+    def forms(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(template word, slot value or 0, number of words of each text) of some texts, in each form."""
         lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         points = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
         kind = self.kind[points]
@@ -76,7 +80,7 @@ class Templates:
         closing[:-1] = edge[1:]
         ends = np.flatnonzero(closing & wordy) + 1
         if not len(starts):
-            return np.zeros(0, U64), np.zeros(0, U64), np.zeros(len(texts), np.int64)
+            return [(np.zeros(0, U64), np.zeros(0, U64), np.zeros(len(texts), np.int64))] * 3
         number = kind[starts] == DIGIT
         # 1,000.5 is one number: a point or comma alone between two runs of digits joins them.
         gap = starts[1:] - ends[:-1]
@@ -88,29 +92,31 @@ class Templates:
         starts, number = starts[heads], number[heads]
 
         surface = run_hashes(self.low[points], starts, ends)
-        # A name is capitalised, not in capitals, and does not begin a sentence.
+        # A name is capitalised and not in capitals; at the start of a sentence it may be a name or any word.
         broken = np.concatenate([[0], np.cumsum(self.breaks[points])])
         middle = np.zeros(len(starts), bool)
         middle[1:] = broken[starts[1:]] == broken[ends[:-1]]
         second = np.minimum(starts + 1, len(points) - 1)
-        name = ~number & middle & self.upper[points[starts]] & (ends - starts > 1) & ~self.upper[points[second]]
+        capital = ~number & self.upper[points[starts]] & (ends - starts > 1) & ~self.upper[points[second]]
         unit = np.zeros(len(starts), bool)
         at = np.minimum(np.searchsorted(self.units, surface), len(self.units) - 1)
         unit[1:] = number[:-1] & (self.units[at[1:]] == surface[1:]) & ~number[1:]
-        template = surface.copy()
-        template[name], template[unit], template[number] = NAME, UNIT, NUMBER
-        values = np.where(name | unit | number, surface, U64(0))
         first = np.concatenate([[0], np.cumsum(lengths)])
         counts = np.searchsorted(starts, first[1:]) - np.searchsorted(starts, first[:-1])
-        return template, values, counts
+        out = [(surface, np.zeros(len(surface), U64), counts)]
+        for name in (capital & middle, capital):
+            template = surface.copy()
+            template[name], template[unit], template[number] = NAME, UNIT, NUMBER
+            out.append((template, np.where(name | unit | number, surface, U64(0)), counts))
+        return out
 
 
-def windows(template: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def windows(template: np.ndarray, counts: np.ndarray, width: int, form: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first word overall, text, first word in the text) of all windows of ``width`` words inside one text."""
     n = len(template) - width + 1
     if n <= 0:
         return np.zeros(0, U64), *(np.zeros(0, np.int64) for _ in range(3))
-    hashes = np.full(n, U64(width), U64)
+    hashes = np.full(n, U64(4 * width + form), U64)
     for k in range(width):
         hashes = (hashes ^ template[k : k + n]) * MIX1
         hashes ^= hashes >> U64(29)
@@ -120,10 +126,10 @@ def windows(template: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.nd
     return mix(hashes[inside]), inside, owner[inside], inside - begins[owner[inside]]
 
 
-WINDOW = "key bigint, hash bigint, at int, width int, slots binary"
+WINDOW = "key bigint, hash bigint, at int, width int, form int, slots binary"
 
 
-def _rows(keys: list, hashes, first, owner, at, width: int, values: np.ndarray, kept: np.ndarray) -> pa.RecordBatch:
+def _rows(keys: list, hashes, first, owner, at, width: int, form: int, values: np.ndarray, kept: np.ndarray) -> pa.RecordBatch:
     slots = [values[f : f + width].tobytes() if values[f : f + width].any() else b"" for f in first[kept]]
     return pa.RecordBatch.from_arrays(
         [
@@ -131,9 +137,10 @@ def _rows(keys: list, hashes, first, owner, at, width: int, values: np.ndarray,
             pa.array(hashes[kept].view(np.int64)),
             pa.array(at[kept].astype(np.int32)),
             pa.array(np.full(len(kept), width, np.int32)),
+            pa.array(np.full(len(kept), form, np.int32)),
             pa.array(slots, pa.binary()),
         ],
-        names=["key", "hash", "at", "width", "slots"],
+        names=["key", "hash", "at", "width", "form", "slots"],
     )
 
 
@@ -145,11 +152,11 @@ def item_windows(benchmark: DataFrame, key: str, text: str, width: int, least_wo
         for batch in batches:
             keys = batch.column(0).to_pylist()
             for key_, text_ in zip(keys, batch.column(1).to_pylist(), strict=True):
-                template, values, counts = maker.words([text_ or ""])
-                own = min(width, len(template))
-                if own >= least_words and key_ is not None:
-                    found = windows(template, counts, own)
-                    yield _rows([key_], *found, own, values, np.arange(len(found[0])))
+                for form, (template, values, counts) in enumerate(maker.forms([text_ or ""])):
+                    own = min(width, len(template))
+                    if own >= least_words and key_ is not None:
+                        found = windows(template, counts, own, form)
+                        yield _rows([key_], *found, own, form, values, np.arange(len(found[0])))
 
     return benchmark.select(F.col(key).cast("bigint"), F.col(text).cast("string")).mapInArrow(run, WINDOW)
 
@@ -164,12 +171,12 @@ def candidate_windows(docs: DataFrame, key: str, text: str, widths: list[int], m
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for lo, hi in slices([len(t) + 1 for t in texts], PIECE):
-                template, values, counts = maker.words(texts[lo:hi])
-                for width in widths:
-                    found = windows(template, counts, width)
-                    kept = np.flatnonzero(known[found[0] >> U64(64 - FILTER_BITS)])
-                    if len(kept):
-                        yield _rows(keys[lo:hi], *found, width, values, kept)
+                for form, (template, values, counts) in enumerate(maker.forms(texts[lo:hi])):
+                    for width in widths:
+                        found = windows(template, counts, width, form)
+                        kept = np.flatnonzero(known[found[0] >> U64(64 - FILTER_BITS)])
+                        if len(kept):
+                            yield _rows(keys[lo:hi], *found, width, form, values, kept)
 
     return docs.select(F.col(key).cast("bigint"), F.col(text).cast("string")).mapInArrow(run, WINDOW)
 
@@ -178,8 +185,8 @@ def slot_pairs(df: DataFrame) -> DataFrame:
     """One row per slot of a matched window: the item's value and the document's, as hexadecimal text."""
     return (
         df.where("octet_length(item_slots) > 0")
-        .selectExpr("doc", "item", "shift", "explode(sequence(0, cast(octet_length(item_slots) / 8 as int) - 1)) as i", "item_slots", "doc_slots")
-        .selectExpr("doc", "item", "shift", "hex(substring(item_slots, i * 8 + 1, 8)) as item_value", "hex(substring(doc_slots, i * 8 + 1, 8)) as doc_value")
+        .selectExpr("doc", "item", "form", "shift", "explode(sequence(0, cast(octet_length(item_slots) / 8 as int) - 1)) as i", "item_slots", "doc_slots")
+        .selectExpr("doc", "item", "form", "shift", "hex(substring(item_slots, i * 8 + 1, 8)) as item_value", "hex(substring(doc_slots, i * 8 + 1, 8)) as doc_value")
         .where("item_value <> '0000000000000000'")
     )
 
@@ -212,31 +219,31 @@ def contaminated(
     found = candidate_windows(docs, doc_key, text, widths, marked)
     matched = (
         found.join(
-            items.select(F.col("key").alias("item"), "hash", "width", F.col("at").alias("item_at"), F.col("slots").alias("item_slots")),
-            ["hash", "width"],
+            items.select(F.col("key").alias("item"), "hash", "width", "form", F.col("at").alias("item_at"), F.col("slots").alias("item_slots")),
+            ["hash", "width", "form"],
         )
         .where("key is not null")
-        .selectExpr("key as doc", "item", "at - item_at as shift", "at", "item_at", "slots as doc_slots", "item_slots")
+        .selectExpr("key as doc", "item", "form", "at - item_at as shift", "at", "item_at", "slots as doc_slots", "item_slots")
     )
     matched = materialise(matched, "matched")
     conflicts = (
         slot_pairs(matched)
-        .groupBy("doc", "item", "shift", "item_value")
+        .groupBy("doc", "item", "form", "shift", "item_value")
         .agg(F.min("doc_value").alias("a"), F.max("doc_value").alias("b"))
         .where("a <> b")
-        .select("doc", "item", "shift")
+        .select("doc", "item", "form", "shift")
         .distinct()
     )
-    totals = items.groupBy(F.col("key").alias("item")).agg(F.count("*").alias("item_windows"))
+    totals = items.groupBy(F.col("key").alias("item"), "form").agg(F.count("*").alias("item_windows"))
     aligned = (
-        matched.groupBy("doc", "item", "shift")
+        matched.groupBy("doc", "item", "form", "shift")
         .agg(F.count("*").alias("windows"), F.min("at").alias("first_word"))
-        .join(conflicts, ["doc", "item", "shift"], "left_anti")
-        .join(totals, "item")
+        .join(conflicts, ["doc", "item", "form", "shift"], "left_anti")
+        .join(totals, ["item", "form"])
         .withColumn("share", F.col("windows") / F.col("item_windows"))
         .where(F.col("share") >= share)
     )
-    best = Window.partitionBy("doc", "item").orderBy(F.desc("windows"), "shift")
+    best = Window.partitionBy("doc", "item").orderBy(F.desc("windows"), "shift", "form")
     return (
         aligned.withColumn("_r", F.row_number().over(best))
         .where("_r = 1")

@@ -150,6 +150,19 @@ def test_templates_and_slots(spark):
     assert kept.columns == ["doc_id", "text", "size", "mark"] and {r.doc_id for r in kept.collect()} >= {2, 4, 5, 6, None}
 
 
+def test_case_and_names_at_the_start_of_a_sentence(spark):
+    other = "Alice has 5 apples. Bob has 3 pears. Carol gives 2 plums to Dave. How many does Erin eat?"
+    docs = [
+        (3, ITEM.upper(), 1, "m"), (4, ITEM.lower(), 1, "m"), (5, ITEM.replace(".", ""), 1, "m"),
+        (6, '"Zoe has 7 apples. Yan has 4 pears. Xenia gives 6 plums to Will. How many does Vera eat?"', 1, "m"),
+        (7, "Zoe has 7 apples. Yan has 4 pears. Xenia gives 6 plums to Will. Why is it so late?", 1, "m"),
+        (8, "Nothing of the kind stands in this text, which has as many words as the others have.", 1, "m"),
+    ]
+    bench = [(70, ITEM), (71, other)]
+    found = decontaminate.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(bench, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(3, 70), (4, 70), (5, 70), (6, 71), (7, 71)}
+
+
 def test_verbatim_items_by_brute_force(spark):
     picked = random.Random(6)
     words = ["".join(picked.choices("abcdefgh", k=picked.randint(2, 6))) for _ in range(400)]
