@@ -6,7 +6,8 @@ so that case and punctuation do not matter; its template; and the template that
 capitalised words at the start of a sentence as names. Windows of words of documents and
 benchmark items are joined on their hash, form by form. Windows of one alignment count
 together, and only if their slots agree: one value of the item stands for one value of the
-document.
+document. A name of several words is one slot. An inserted or deleted word moves the rest of
+an item, so neighbouring alignments also count together if their slots agree with each other.
 """
 
 from __future__ import annotations
@@ -67,8 +68,8 @@ class Templates:
         points = np.frombuffer(word.encode("utf-32-le"), np.uint32)
         return run_hashes(points, np.array([0]), np.array([len(points)]))[0]
 
-    def forms(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(template word, slot value or 0, number of words of each text) of some texts, in each form."""
+    def forms(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(template word, slot value or 0, its place in its text, number of template words of each text) of some texts, in each form."""
         lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         points = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
         kind = self.kind[points]
@@ -80,7 +81,7 @@ class Templates:
         closing[:-1] = edge[1:]
         ends = np.flatnonzero(closing & wordy) + 1
         if not len(starts):
-            return [(np.zeros(0, U64), np.zeros(0, U64), np.zeros(len(texts), np.int64))] * 3
+            return [(np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(len(texts), np.int64))] * 3
         number = kind[starts] == DIGIT
         # 1,000.5 is one number: a point or comma alone between two runs of digits joins them.
         gap = starts[1:] - ends[:-1]
@@ -102,12 +103,24 @@ class Templates:
         at = np.minimum(np.searchsorted(self.units, surface), len(self.units) - 1)
         unit[1:] = number[:-1] & (self.units[at[1:]] == surface[1:]) & ~number[1:]
         first = np.concatenate([[0], np.cumsum(lengths)])
-        counts = np.searchsorted(starts, first[1:]) - np.searchsorted(starts, first[:-1])
-        out = [(surface, np.zeros(len(surface), U64), counts)]
+        begins = np.searchsorted(starts, first)
+        counts = np.diff(begins)
+        place = np.arange(len(starts)) - np.repeat(begins[:-1], counts)
+        # Words with nothing but blanks or a hyphen between them are one name.
+        solid = np.concatenate([[0], np.cumsum((kind != BLANK) & (points != 45))])
+        close = np.zeros(len(starts), bool)
+        close[1:] = middle[1:] & (solid[starts[1:]] == solid[ends[:-1]])
+        out = [(surface, np.zeros(len(surface), U64), place, counts)]
         for name in (capital & middle, capital):
+            more = np.zeros(len(starts), bool)
+            more[1:] = name[1:] & name[:-1] & close[1:]
+            heads = np.flatnonzero(~more)
+            rank = np.arange(len(starts)) - heads[np.cumsum(~more) - 1]
+            value = np.add.reduceat(mix(surface ^ (rank.astype(U64) * GOLDEN)), heads)
             template = surface.copy()
             template[name], template[unit], template[number] = NAME, UNIT, NUMBER
-            out.append((template, np.where(name | unit | number, surface, U64(0)), counts))
+            values = np.where((name | unit | number)[heads], value, U64(0))
+            out.append((template[heads], values, place[heads], np.diff(np.searchsorted(heads, begins))))
         return out
 
 
@@ -126,43 +139,47 @@ def windows(template: np.ndarray, counts: np.ndarray, width: int, form: int) ->
     return mix(hashes[inside]), inside, owner[inside], inside - begins[owner[inside]]
 
 
-WINDOW = "key bigint, hash bigint, at int, width int, form int, slots binary"
+WINDOW = "key bigint, hash bigint, at int, word int, width int, form int, slots binary"
 
 
-def _rows(keys: list, hashes, first, owner, at, width: int, form: int, values: np.ndarray, kept: np.ndarray) -> pa.RecordBatch:
+def _rows(keys: list, hashes, first, owner, at, width: int, form: int, values: np.ndarray, place: np.ndarray, kept: np.ndarray) -> pa.RecordBatch:
     slots = [values[f : f + width].tobytes() if values[f : f + width].any() else b"" for f in first[kept]]
     return pa.RecordBatch.from_arrays(
         [
             pa.array([keys[o] for o in owner[kept]], pa.int64()),
             pa.array(hashes[kept].view(np.int64)),
             pa.array(at[kept].astype(np.int32)),
+            pa.array(place[first[kept]].astype(np.int32)),
             pa.array(np.full(len(kept), width, np.int32)),
             pa.array(np.full(len(kept), form, np.int32)),
             pa.array(slots, pa.binary()),
         ],
-        names=["key", "hash", "at", "width", "form", "slots"],
+        names=["key", "hash", "at", "word", "width", "form", "slots"],
     )
 
 
 def item_windows(benchmark: DataFrame, key: str, text: str, width: int, least_words: int) -> DataFrame:
-    """Windows of all benchmark items; an item of fewer than ``width`` words is one window, under ``least_words`` it has none."""
+    """Windows of all benchmark items; an item of fewer than ``width`` words is one window, under ``least_words`` without slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = Templates()
         for batch in batches:
             keys = batch.column(0).to_pylist()
             for key_, text_ in zip(keys, batch.column(1).to_pylist(), strict=True):
-                for form, (template, values, counts) in enumerate(maker.forms([text_ or ""])):
+                for form, (template, values, place, counts) in enumerate(maker.forms([text_ or ""])):
                     own = min(width, len(template))
-                    if own >= least_words and key_ is not None:
+                    if (own >= least_words or form == SURFACE and own) and key_ is not None:
                         found = windows(template, counts, own, form)
-                        yield _rows([key_], *found, own, form, values, np.arange(len(found[0])))
+                        yield _rows([key_], *found, own, form, values, place, np.arange(len(found[0])))
 
     return benchmark.select(F.col(key).cast("bigint"), F.col(text).cast("string")).mapInArrow(run, WINDOW)
 
 
-def candidate_windows(docs: DataFrame, key: str, text: str, widths: list[int], marked: np.ndarray) -> DataFrame:
-    """Windows of whole documents that the filter of benchmark windows lets through, also some others."""
+def candidate_windows(docs: DataFrame, key: str, text: str, widths: list[int], least_words: int, marked: np.ndarray) -> DataFrame:
+    """Windows of whole documents that the filter of benchmark windows lets through, also some others.
+
+    A window of fewer than ``least_words`` words is the whole document: so few words also stand in texts of any kind.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(marked))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,24 +188,31 @@ def candidate_windows(docs: DataFrame, key: str, text: str, widths: list[int], m
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for lo, hi in slices([len(t) + 1 for t in texts], PIECE):
-                for form, (template, values, counts) in enumerate(maker.forms(texts[lo:hi])):
+                for form, (template, values, place, counts) in enumerate(maker.forms(texts[lo:hi])):
                     for width in widths:
                         found = windows(template, counts, width, form)
-                        kept = np.flatnonzero(known[found[0] >> U64(64 - FILTER_BITS)])
+                        kept = known[found[0] >> U64(64 - FILTER_BITS)]
+                        kept = np.flatnonzero(kept if width >= least_words else kept & (counts[found[2]] == width))
                         if len(kept):
-                            yield _rows(keys[lo:hi], *found, width, form, values, kept)
+                            yield _rows(keys[lo:hi], *found, width, form, values, place, kept)
 
     return docs.select(F.col(key).cast("bigint"), F.col(text).cast("string")).mapInArrow(run, WINDOW)
 
 
-def slot_pairs(df: DataFrame) -> DataFrame:
-    """One row per slot of a matched window: the item's value and the document's, as hexadecimal text."""
-    return (
+def agreeing(df: DataFrame, by: list[str]) -> DataFrame:
+    """The matched windows of those alignments, named by ``by``, whose slots agree: one value of the document for one of the item."""
+    conflicts = (
         df.where("octet_length(item_slots) > 0")
-        .selectExpr("doc", "item", "form", "shift", "explode(sequence(0, cast(octet_length(item_slots) / 8 as int) - 1)) as i", "item_slots", "doc_slots")
-        .selectExpr("doc", "item", "form", "shift", "hex(substring(item_slots, i * 8 + 1, 8)) as item_value", "hex(substring(doc_slots, i * 8 + 1, 8)) as doc_value")
+        .selectExpr(*by, "explode(sequence(0, cast(octet_length(item_slots) / 8 as int) - 1)) as i", "item_slots", "doc_slots")
+        .selectExpr(*by, "hex(substring(item_slots, i * 8 + 1, 8)) as item_value", "hex(substring(doc_slots, i * 8 + 1, 8)) as doc_value")
         .where("item_value <> '0000000000000000'")
+        .groupBy(*by, "item_value")
+        .agg(F.min("doc_value").alias("a"), F.max("doc_value").alias("b"))
+        .where("a <> b")
+        .select(by)
+        .distinct()
     )
+    return df.join(conflicts, by, "left_anti")
 
 
 def contaminated(
@@ -200,12 +224,16 @@ def contaminated(
     width: int = 8,
     least_words: int = 5,
     share: float = 0.5,
+    passage: int = 32,
 ) -> DataFrame:
     """(doc_id, item_id, windows, item_windows, share, first_word) of documents that hold a benchmark item, also with other slots.
 
-    A pair is reported if the windows of one alignment with consistent slots are at least
-    ``share`` of the item's windows. Null texts and keys match nothing. The best alignment is
-    reported, the earliest on ties.
+    A pair is reported if the item's windows found in one alignment with consistent slots, or in
+    neighbouring ones, are at least ``share`` of the item's windows or as many as ``passage``
+    words in a row have. Alignments are neighbours if their shifts differ by no more than the
+    item has windows. An item of fewer than ``least_words`` words is reported where it is the
+    whole document. Null texts and keys match nothing. The best alignment is reported, the
+    earliest on ties.
     """
     spark = docs.sparkSession
     items = materialise(item_windows(benchmark, item_key, text, width, least_words), "items")
@@ -216,32 +244,36 @@ def contaminated(
     widths = sorted(r[0] for r in items.select("width").distinct().collect())
     if not widths:
         widths = [width]
-    found = candidate_windows(docs, doc_key, text, widths, marked)
+    found = candidate_windows(docs, doc_key, text, widths, least_words, marked)
     matched = (
         found.join(
             items.select(F.col("key").alias("item"), "hash", "width", "form", F.col("at").alias("item_at"), F.col("slots").alias("item_slots")),
             ["hash", "width", "form"],
         )
         .where("key is not null")
-        .selectExpr("key as doc", "item", "form", "at - item_at as shift", "at", "item_at", "slots as doc_slots", "item_slots")
+        .selectExpr("key as doc", "item", "form", "at - item_at as shift", "word", "hash", "item_at", "slots as doc_slots", "item_slots")
     )
     matched = materialise(matched, "matched")
-    conflicts = (
-        slot_pairs(matched)
-        .groupBy("doc", "item", "form", "shift", "item_value")
-        .agg(F.min("doc_value").alias("a"), F.max("doc_value").alias("b"))
-        .where("a <> b")
-        .select("doc", "item", "form", "shift")
+    pair, found_at = ["doc", "item", "form"], [F.countDistinct("item_at", "hash").alias("windows"), F.min("word").alias("first_word")]
+    # Windows of equal rows count once, on both sides.
+    totals = items.groupBy(F.col("key").alias("item"), "form").agg(F.countDistinct("at", "hash").alias("item_windows"))
+    single = materialise(agreeing(matched, [*pair, "shift"]), "agreeing")
+    before = Window.partitionBy(*pair).orderBy("shift")
+    groups = (
+        single.select(*pair, "shift")
         .distinct()
+        .join(totals, ["item", "form"])
+        .withColumn("new", F.coalesce(F.col("shift") - F.lag("shift").over(before) > F.col("item_windows"), F.lit(False)).cast("int"))
+        .select(*pair, "shift", F.sum("new").over(before).alias("near"))
     )
-    totals = items.groupBy(F.col("key").alias("item"), "form").agg(F.count("*").alias("item_windows"))
+    several = groups.groupBy(*pair, "near").agg(F.count("*").alias("n"), F.min("shift").alias("least")).where("n > 1")
+    grouped = single.join(groups.join(several, [*pair, "near"]), [*pair, "shift"]).drop("shift").withColumnRenamed("least", "shift")
     aligned = (
-        matched.groupBy("doc", "item", "form", "shift")
-        .agg(F.count("*").alias("windows"), F.min("at").alias("first_word"))
-        .join(conflicts, ["doc", "item", "form", "shift"], "left_anti")
+        single.groupBy(*pair, "shift").agg(*found_at)
+        .unionByName(agreeing(grouped, [*pair, "shift"]).groupBy(*pair, "shift").agg(*found_at))
         .join(totals, ["item", "form"])
         .withColumn("share", F.col("windows") / F.col("item_windows"))
-        .where(F.col("share") >= share)
+        .where((F.col("share") >= share) | (F.col("windows") > passage - width))
     )
     best = Window.partitionBy("doc", "item").orderBy(F.desc("windows"), "shift", "form")
     return (

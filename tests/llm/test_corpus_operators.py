@@ -163,6 +163,20 @@ def test_case_and_names_at_the_start_of_a_sentence(spark):
     assert {(r.doc_id, r.item_id) for r in found.collect()} == {(3, 70), (4, 70), (5, 70), (6, 71), (7, 71)}
 
 
+def test_moved_long_and_short_items(spark):
+    words = [f"q{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)]
+    named = "we know that {} has 5 pens and that {} has 3 pens and that {} has 4 pens in a box"
+    bench = [(1, " ".join(words[:40])), (2, " ".join(words)), (3, named.format("Ann", "Ben", "Cleo")), (4, "What is love?"), (5, "x")]
+    docs = [
+        (1, " ".join([*words[:20], "new", *words[20:40]]), 1, ""), (2, " ".join(words[100:150]), 1, ""), (3, " ".join(words[100:120]), 1, ""),
+        (4, named.format("Mary Ann", "Jo Sue Lee", "Max"), 1, ""), (5, "what is LOVE", 1, ""), (6, "we ask what is love and x and more", 1, ""),
+        (7, " ".join([*words[:20], *words[60:70], *words[20:40]]), 1, ""), (8, named.format("Ann", "Ann", "Cleo"), 1, ""),
+    ]
+    found = decontaminate.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(bench, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id): (r.windows, r.item_windows) for r in found.collect()}
+    assert set(got) == {(1, 1), (1, 2), (2, 2), (4, 3), (5, 4), (7, 1), (7, 2), (8, 3)} and got[1, 1] == (26, 33) and got[2, 2] == (43, 193)
+
+
 def test_verbatim_items_by_brute_force(spark):
     picked = random.Random(6)
     words = ["".join(picked.choices("abcdefgh", k=picked.randint(2, 6))) for _ in range(400)]
