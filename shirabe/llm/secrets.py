@@ -1,6 +1,7 @@
 """Secret scans with a random forest against false positives; DataFrame and SQL functions only.
 
-Candidates are long tokens with a digit and key headers. The forest looks at their length,
+Candidates are long tokens with a digit, values of any length after a credential word, and
+blocks of private keys from BEGIN to END. The forest looks at their length,
 characters and transitions, at how much of them is dictionary words, at the path and at
 the neighbouring words. It is trained by Spark ML on labelled findings and then written as
 a column expression, so scanning and redacting a document takes one pass and no shuffle.
@@ -18,8 +19,22 @@ from pyspark.sql import functions as F
 
 from shirabe.llm.pii import located
 
-SIGN = "[A-Za-z0-9+/_=-]"
-CANDIDATE = rf"-----BEGIN [A-Z ]{{0,40}}PRIVATE KEY-----|(?<!{SIGN})(?={SIGN}{{16}})(?={SIGN}*[0-9]){SIGN}++"
+SIGN = "[A-Za-z0-9+/_-]"
+PADDED = "(?![A-Za-z0-9+/_=-])"  # '=' inside a run parts a name and its value, at the end it is padding
+TOKEN = rf"(?<!{SIGN})(?={SIGN}{{16}}|{SIGN}{{15}}={PADDED}|{SIGN}{{14}}=={PADDED})(?={SIGN}*[0-9]){SIGN}++(?:={{1,2}}{PADDED})?"
+KEY_NAME = "PRIVATE KEY(?: BLOCK)?-----"
+# A key that has no END is the lines of base64 after its header.
+KEY_BLOCK = (
+    rf"-----BEGIN [A-Z0-9 ]{{0,40}}{KEY_NAME}(?:\s*+[A-Za-z-]{{1,40}}: [^\n]{{0,200}}\n){{0,8}}(?:[^-]*+-----END [A-Z0-9 ]{{0,40}}{KEY_NAME}"
+    r"|(?:(?:\s|\\[rn]){0,8}[A-Za-z0-9+/=]{40,}+){0,400}(?:\s++[A-Za-z0-9+/=]++\s*+$)?)"
+)
+ASSIGNED = (
+    r"(?<=[=:]\s{0,3}[\"'`]?)(?<=(?i:pass(?:word|wd|phrase)|(?<![a-z])pwd|secret|token|api[_-]?key|[_-]key|credentials?|(?<![a-z])auth(?:orization)?)"
+    r"[\"'`]?\s{0,3}[=:]\s{0,3}[\"'`]?)(?!(?i:bearer|basic|token)\s)"
+)
+BEARER = r"(?<=(?i:bearer|basic)\s)(?=\S{0,200}[0-9])"
+VALUE = r"[^\s\"'`<>,;&)\]}]++"
+CANDIDATE = f"{KEY_BLOCK}|(?:{ASSIGNED}|{BEARER}){VALUE}|{TOKEN}"
 BEFORE, AFTER = 48, 24  # characters of context
 MARK = "[SECRET]"
 
@@ -55,7 +70,7 @@ def features(value: Column, before: Column, after: Column, path: Column) -> Colu
     counts = F.transform(F.array_distinct(signs), lambda s: F.size(F.filter(signs, lambda t: t == s)) / size)
     entropy = F.aggregate(counts, F.lit(0.0), lambda total, p: total - p * F.log2(p))
     uncovered = F.regexp_replace(low, "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))), "")
-    near = F.lower(before)
+    near = F.lower(F.regexp_replace(before, "([a-z])([A-Z])", "$1_$2"))
     return F.array(
         F.least(size, F.lit(200.0)),
         share("[^0-9]"),
@@ -79,12 +94,18 @@ def features(value: Column, before: Column, after: Column, path: Column) -> Colu
     )
 
 
+def context(text: Column, c: Column) -> tuple[Column, Column]:
+    """Characters before and after a candidate."""
+    before = F.substring(text, F.greatest(c["start"] - BEFORE, F.lit(0)) + 1, F.least(c["start"], F.lit(BEFORE)))
+    return before, F.substring(text, c["end"] + 1, F.lit(AFTER))
+
+
 def labelled_findings(docs: DataFrame, key: str = "doc_id", text: str = "text", rows: int = 400) -> DataFrame:
     """(value, before, after, path, label): findings with known labels, made from ``rows`` documents at most.
 
     The tables have no labelled findings, so they are written here as they occur: keys made of
     a document's digest in credential contexts, and digests, identifiers, numbers and
-    placeholders where those stand. Any table of these columns can be given to ``train``.
+    placeholders where those stand. The scanner's own candidates in them are the rows. Any table of these columns can be given to ``train``.
     """
     drawn = docs.where(F.col(text).isNotNull()).select(
         F.sha2(F.concat_ws(":", F.col(key).cast("string"), F.xxhash64(text).cast("string")), 512).alias("h"),
@@ -108,6 +129,20 @@ def labelled_findings(docs: DataFrame, key: str = "doc_id", text: str = "text",
         (F.concat(F.lit("ghp_"), F.substring(F.regexp_replace(packed, "[+/]", "x"), 1, 36)), F.lit("Authorization: Bearer "), ended, true),
         (F.concat(F.lit("sk-"), F.substring(packed, 5, 44)), F.concat(plain, F.lit("password: ")), ends, true),
         (F.lit("-----BEGIN RSA PRIVATE KEY-----"), ended, ended, true),
+        (F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), packed, F.lit("\n-----END RSA PRIVATE KEY-----")), ended, ended, true),
+        (F.concat(F.lit("-----BEGIN PRIVATE KEY-----\n"), F.repeat(F.concat(packed, F.lit("\n")), 12), packed), plain, ended, true),
+        (F.concat(F.lit("-----BEGIN EC PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n"), F.repeat(F.concat(cut(1, 64), F.lit("\n")), 12), cut(65, 64)), plain, ended, true),
+        (cut(50, 32), F.concat(plain, F.lit("api_key=")), ends, true),
+        (F.concat(F.initcap(word(1)), cut(3, 3), F.lit("!"), F.substring(number, 1, 2)), F.concat(plain, F.lit('password = "')), quoted, true),
+        (cut(9, 10), F.concat(plain, F.lit("passwd=")), ended, true),
+        (F.concat(F.lower(word(0)), F.lit("-"), cut(7, 4), F.substring(number, 1, 2)), F.concat(plain, F.lit("pwd: ")), ends, true),
+        (F.lower(word(0)), F.concat(plain, F.lit("password: ")), ends, false),
+        (word(2), F.lit("token = "), ended, false),
+        (F.lower(word(1)), F.lit('secret: "'), quoted, false),
+        (F.lit("getpass.getpass("), F.lit("password = "), F.lit(")\n"), false),
+        (F.lit("${API_TOKEN}"), F.lit("token="), ended, false),
+        (F.lit("changeme"), F.lit("password="), ended, false),
+        (F.lit("********"), F.lit("password: "), ended, false),
         (cut(60, 40), F.concat(plain, F.lit("commit ")), ends, false),
         (cut(1, 64), F.concat(word(4), F.lit(" sha256: ")), ended, false),
         (dashed, F.concat(plain, F.lit("id = ")), ends, false),
@@ -123,10 +158,12 @@ def labelled_findings(docs: DataFrame, key: str = "doc_id", text: str = "text",
         (F.lit("000000000000000000000000"), F.lit('secret = "'), quoted, false),
     ]
     paths = F.array(F.lit("src/main.py"), F.lit("tests/test_main.py"), F.lit(""), F.lit("src7"), F.lit("docs/readme.md"))
-    findings = F.array(
-        *(F.struct(v.alias("value"), b.alias("before"), a.alias("after"), F.lit(y).alias("label")) for v, b, a, y in made)
+    written = F.array(
+        *(F.struct(F.concat(b, v, a).alias("text"), F.length(b).alias("at"), F.length(F.concat(b, v)).alias("upto"), F.lit(y).alias("label")) for v, b, a, y in made)
     )
-    return drawn.select(F.explode(findings).alias("f"), F.get(paths, (F.pmod(F.xxhash64("h"), F.lit(5))).cast("int")).alias("path")).select("f.*", "path")
+    each = drawn.select(F.explode(written).alias("f"), F.get(paths, (F.pmod(F.xxhash64("h"), F.lit(5))).cast("int")).alias("path")).select("f.*", "path")
+    found = each.withColumn("c", F.explode(located(F.col("text"), CANDIDATE))).where("c.start < upto and c.end > at")
+    return found.select("c.value", *(x.alias(n) for x, n in zip(context(F.col("text"), F.col("c")), ("before", "after"), strict=True)), "path", "label")
 
 
 @dataclass
@@ -184,9 +221,7 @@ def findings(text: Column, path: Column, forest: Forest) -> Column:
     """Candidates of a text as structs of start, end (code points), value, and the forest's score."""
 
     def scored(c: Column) -> Column:
-        before = F.substring(text, F.greatest(c["start"] - BEFORE, F.lit(0)) + 1, F.least(c["start"], F.lit(BEFORE)))
-        after = F.substring(text, c["end"] + 1, F.lit(AFTER))
-        row = F.array(features(c["value"], before, after, path))
+        row = F.array(features(c["value"], *context(text, c), path))
         return F.struct(c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"), F.get(F.transform(row, forest.score), F.lit(0)).alias("score"))
 
     return F.transform(located(text, CANDIDATE), scored)
