@@ -92,16 +92,16 @@ class Model:
 
 
 def sample(df: DataFrame, key: str, text: str, lang: str, rows: int) -> list[tuple[str, np.ndarray]]:
-    """(language, n-gram codes) of about ``rows`` labelled texts, as many of each language, chosen by the hash of the key.
+    """(language, n-gram codes) of about ``rows`` labelled texts, as many of each language and one at least, chosen by the hash of the key.
 
     The codes are made on the executors; each text gives at most ``SPACE`` of them.
     """
-    counts = {r[lang]: r["count"] for r in df.groupBy(lang).count().collect()}
-    each = rows // max(1, len(counts))
     labelled = df.withColumn("_h", F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 40)) / float(1 << 40))
-    chosen = F.lit(False)
-    for language, count in counts.items():
-        chosen = chosen | ((F.col(lang) == language) & (F.col("_h") < min(1.0, each / count)))
+    counts = labelled.groupBy(lang).agg(F.count("*").alias("_n"), F.min("_h").alias("_least"))
+    each = max(1, rows // max(1, counts.count()))
+    # The first row of each label is drawn, so none goes without.
+    limits = counts.select(F.col(lang).alias("_lang"), F.greatest(F.lit(float(each)) / F.col("_n"), "_least").alias("_limit"))
+    chosen = (F.col(lang) == F.col("_lang")) & (F.col("_h") <= F.col("_limit"))
     table = symbol_table()
 
     @F.pandas_udf("binary")
@@ -112,7 +112,7 @@ def sample(df: DataFrame, key: str, text: str, lang: str, rows: int) -> list[tup
 
         return texts.map(one)
 
-    found = labelled.where(chosen).select(lang, "_h", codes(F.col(text)).alias("codes")).collect()
+    found = labelled.join(F.broadcast(limits), chosen).select(lang, "_h", codes(F.col(text)).alias("codes")).collect()
     found.sort(key=lambda r: (r["_h"], r[lang], bytes(r["codes"])))
     return [(r[lang], np.frombuffer(bytes(r["codes"]), np.int32)) for r in found]
 
@@ -129,7 +129,7 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lan
     if not drawn:
         return Model(table, np.zeros(SPACE, np.int32), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32), [])
     # Long texts hold most n-grams of a language, short ones look like what they are: take every length.
-    chosen = [x for language in languages for x in [y for y in drawn if y[0] == language][: max(1, landmarks // len(languages))]]
+    chosen = [x for language in languages for x in [y for y in drawn if y[0] == language][: max(1, landmarks // len(languages))]][:rows]
     spread = np.bincount(np.concatenate([c for _, c in chosen]), minlength=SPACE)
     features = np.flatnonzero(spread >= (2 if len(chosen) > 2 * len(languages) else 1))
     columns = np.full(SPACE, len(features), np.int32)
@@ -142,11 +142,11 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lan
         out = out[:, :-1]
         return out / np.sqrt(np.maximum(out.sum(axis=1, keepdims=True), 1))
 
-    marks, train = matrix(chosen), matrix(drawn)
+    marks = matrix(chosen)
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    mapped = (train @ marks.T).astype(np.float64) @ root
+    mapped = np.concatenate([(matrix(drawn[i : i + rows]) @ marks.T).astype(np.float64) for i in range(0, len(drawn), rows)]) @ root
     goal = np.array([[1.0 if x[0] == language else -1.0 for language in languages] for x in drawn])
     solved = np.linalg.solve(mapped.T @ mapped + ridge * len(drawn) / 100 * np.eye(mapped.shape[1]), mapped.T @ goal)
     return Model(table, columns, np.ascontiguousarray(marks.T), (root @ solved).astype(np.float32), languages)

@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 
 import corpus_pipeline
-from shirabe.llm import bpe
+from shirabe.llm import bpe, language
 
 
 @pytest.fixture(scope="module")
@@ -47,3 +47,14 @@ def test_stages_keep_columns_and_extra_ones(spark, folder):
         assert stage(spark, docs, folder[0]).columns == docs.columns
         assert stage(spark, docs.limit(0), folder[0]).collect() == []
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), folder[0]).collect() == []
+
+
+def test_documents_without_labels_stay(spark):
+    docs = spark.createDataFrame([(1, "some words", None), (2, "12 34 !!", None), (3, None, None), (4, "\u6f22\u5b57", None)], "doc_id long, text string, lang string")
+    got = corpus_pipeline.identify_language(spark, docs, "").collect()
+    assert sorted((r.doc_id, r.lang) for r in got) == [(1, "und"), (4, "und")]
+
+
+def test_each_of_many_labels_is_learned(spark):
+    docs = spark.range(40).selectExpr("id as doc_id", "concat('text of ', id, ' some words') as text", "concat('l', id % 20) as lang")
+    assert len(language.fit(docs, rows=10, landmarks=4).languages) == 20
