@@ -58,3 +58,12 @@ def test_documents_without_labels_stay(spark):
 def test_each_of_many_labels_is_learned(spark):
     docs = spark.range(40).selectExpr("id as doc_id", "concat('text of ', id, ' some words') as text", "concat('l', id % 20) as lang")
     assert len(language.fit(docs, rows=10, landmarks=4).languages) == 20
+
+
+def test_one_row_of_each_group_stays(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    own = "quite another text with words that no other row of this small table has"
+    rows = [(1, text), (2, text), (2, own), (3, "a text of its own"), (3, "a text of its own"), (None, text), (None, "a null id with its own text"), (None, "a null id with its own text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()), key=str)
+    assert got == sorted([(1, text), (2, own), (3, "a text of its own"), (None, "a null id with its own text")], key=str)
