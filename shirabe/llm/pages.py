@@ -37,7 +37,8 @@ NAMES = frozenset(
 STEMS = ("advert", "comment", "cookie", "newsletter", "sidebar", "sponsor", "subscri")
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form navigation search".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-INSIDE, OUTSIDE, DROPPED = 0, 1, 2  # in an article; in none; in markup that is no text
+INSIDE, OUTSIDE, DROPPED, NESTED = 0, 1, 2, 3  # in an article; in none; in markup that is no text; in an article in such markup
+SKIP, CARD, HOLDER = 1, 2, 3  # skipped; an article in a skipped element; one that may hold articles: an aside, comments and the like
 
 
 class Lines(HTMLParser):
@@ -45,13 +46,15 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool]] = []  # element, whether it is skipped, whether it is an article
+        self.stack: list[tuple[str, int, bool]] = []  # element, whether and how it is skipped, whether it is an article
+        self.holder: int | None = None  # depth of the outermost holder
+        self.since = 0  # lines before it
         self.parts: list[str] = []
         self.lines: list[tuple[str, int]] = []
 
     def place(self) -> int:
         if self.stack and self.stack[-1][1]:
-            return DROPPED
+            return NESTED if self.stack[-1][1] == CARD else DROPPED
         return INSIDE if self.stack and self.stack[-1][2] else OUTSIDE
 
     def cut(self) -> None:
@@ -60,14 +63,20 @@ class Lines(HTMLParser):
             self.lines.append((text, self.place()))
         self.parts = []
 
-    def pop_to(self, depth: int) -> None:
+    def pop_to(self, depth: int, closed: bool = False) -> None:
         if len(self.stack) > depth:
             if any(tag in BLOCKS or skipped for tag, skipped, _ in self.stack[depth:]):
                 self.cut()
+            if self.holder is not None and self.holder >= depth:
+                tag = self.stack[self.holder][0]
+                if not (closed and self.holder == depth) and tag != "p" and tag not in CLOSES:
+                    # It was not closed, so the articles after it are the page's own.
+                    self.lines[self.since :] = [(t, INSIDE if p == NESTED else p) for t, p in self.lines[self.since :]]
+                self.holder = None
             del self.stack[depth:]
 
     def handle_starttag(self, tag: str, attrs) -> None:
-        skipped = bool(self.stack) and self.stack[-1][1]
+        skipped = self.stack[-1][1] if self.stack else 0
         article = bool(self.stack) and self.stack[-1][2]
         if tag in BLOCKS:
             self.cut()
@@ -80,7 +89,7 @@ class Lines(HTMLParser):
                     break
                 if name in BLOCKS and name != "p":
                     break
-            skipped = bool(self.stack) and self.stack[-1][1]
+            skipped = self.stack[-1][1] if self.stack else 0
             article = bool(self.stack) and self.stack[-1][2]
         if tag in VOID:
             return
@@ -88,30 +97,41 @@ class Lines(HTMLParser):
         role = (given.get("role") or "").lower()
         begins = tag in ("article", "main") or role == "main"
         if begins and skipped and not article:
-            # An article inside a menu or advert: that one was not closed.
-            self.pop_to(next(d for d, (_, s, _) in enumerate(self.stack) if s))
-            skipped = False
-        own = self.marked(tag, given, role, article) and not begins
-        if own and not skipped:
+            root = next(d for d, (_, how, _) in enumerate(self.stack) if how)
+            if tag == "article" and self.stack[root][1] != SKIP:
+                # A comment or a card, unless what holds it turns out not to be closed.
+                self.stack.append((tag, CARD, False))
+                return
+            # An article inside a menu: that one was not closed.
+            self.pop_to(root)
+            skipped = 0
+        own = self.marked(tag, given, role, article or skipped == CARD)
+        if begins:
+            own = CARD if tag == "article" and own == HOLDER else 0
+        if own and skipped in (0, CARD):
             self.cut()
-        self.stack.append((tag, skipped or own, article or (begins and not skipped)))
+            if own == HOLDER and not skipped:
+                self.holder, self.since = len(self.stack), len(self.lines)
+            skipped = own
+        self.stack.append((tag, skipped, article or (begins and not skipped)))
 
     @staticmethod
-    def marked(tag: str, given: dict, role: str, article: bool) -> bool:
-        """Whether an element is no part of the text; an article's own header is."""
+    def marked(tag: str, given: dict, role: str, article: bool) -> int:
+        """Whether an element is no part of the text, and how; an article's own header is part of it."""
         if tag in SKIPPED and not (article and tag == "header") or role in ROLES or "hidden" in given:
-            return True
+            return HOLDER if tag == "aside" else SKIP
         if "display:none" in (given.get("style") or "").replace(" ", "").lower():
-            return True
+            return SKIP
         if tag in ("html", "body", "p", "h1", "h2", "h3", "h4", "h5", "h6") and not given.get("class"):
-            return False
+            return 0
         names = f"{given.get('class') or ''} {given.get('id') or ''}".lower().replace("-", " ").replace("_", " ").split()
-        return tag not in ("html", "body") and any((n in NAMES and not (article and n == "header")) or n.startswith(STEMS) for n in names)
+        found = tag not in ("html", "body") and any((n in NAMES and not (article and n == "header")) or n.startswith(STEMS) for n in names)
+        return HOLDER if found else 0
 
     def handle_endtag(self, tag: str) -> None:
         for depth in range(len(self.stack) - 1, -1, -1):
             if self.stack[depth][0] == tag:
-                self.pop_to(depth)
+                self.pop_to(depth, closed=True)
                 return
 
     def handle_data(self, data: str) -> None:
@@ -124,9 +144,25 @@ def lines_of(html: str | None) -> list[tuple[str, int]]:
     parser.feed(html or "")
     parser.close()
     parser.cut()
+    parser.pop_to(0)
     return parser.lines
 
 
+def main_text(lines: list[str], places: bytes, shared: set[int]) -> list[str]:
+    """The lines of a page's text: those of its article if that is the main part of the page.
+
+    Otherwise lines outside count too, without the shared ones, or articles in skipped markup if there is more in them.
+    """
+    sizes = [0] * 4
+    for i, (line, place) in enumerate(zip(lines, places, strict=True)):
+        sizes[place] += 0 if place == OUTSIDE and i in shared else len(line)
+    if sizes[INSIDE] and sizes[INSIDE] >= sizes[OUTSIDE]:
+        kept = (INSIDE,)
+    else:
+        kept = (INSIDE, OUTSIDE if sizes[OUTSIDE] >= sizes[NESTED] else NESTED)
+    return [t for i, (t, p) in enumerate(zip(lines, places, strict=True)) if p in kept and not (p == OUTSIDE and i in shared)]
+
+
 def common(a: list[int], b: list[int]) -> list[int]:
     """Indices of the lines of ``a`` in a longest common subsequence with ``b``."""
     lead = 0
@@ -258,8 +294,9 @@ def shared_lines(slim: DataFrame) -> DataFrame:
 def extract(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(key, url, text, n_chars, n_lines, n_shared) of every page.
 
-    Text is the article's lines; on a page without an article or main element, all lines but those
-    of menus and the like and those shared with the page of the nearest URL. Null html is
+    Text is the article's lines; on a page without an article or main element, or with more text
+    outside it, all lines but those of menus and the like and those outside that are shared with
+    the page of the nearest URL. Null html is
     empty; repeated rows get the same text; a page alone on its host is compared with none;
     a null URL is a host of its own.
     """
@@ -277,11 +314,7 @@ def extract(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "
         for batch in batches:
             texts, shown = [], []
             for lines, places, shared in zip(*(batch.column(n).to_pylist() for n in ("lines", "places", "shared")), strict=True):
-                if INSIDE in places:
-                    kept = [t for t, p in zip(lines, places, strict=True) if p == INSIDE]
-                else:
-                    gone = set(shared or ())
-                    kept = [t for i, (t, p) in enumerate(zip(lines, places, strict=True)) if p == OUTSIDE and i not in gone]
+                kept = main_text(lines, places, set(shared or ()))
                 texts.append("\n".join(kept))
                 shown.append(len(shared or ()))
             yield pa.RecordBatch.from_arrays(

@@ -220,6 +220,22 @@ def test_kinds_of_markup_that_is_no_text():
         assert [t for t, p in pages.lines_of(html) if p == pages.INSIDE] == ["Title", "one", "two"], piece
 
 
+def test_articles_that_are_not_the_page(spark):
+    body = "<div>" + "".join(f"<p>body line {i}</p>" for i in range(9)) + "</div>"
+    lines = [f"body line {i}" for i in range(9)]
+    comments = "<section class='comments'><article><p>a comment</p></article><article><p>another</p></article></section>"
+    card = "<aside><article><h2>related</h2></article></aside>"
+    main = f"<article>{body}</article>"
+    expected = {
+        f"<body>{body}{comments}</body>": lines, f"<body>{main}{comments}{card}</body>": lines, f"<body>{card}{main}</body>": lines,
+        f"<body>{body}<article><p>teaser</p></article></body>": [*lines, "teaser"], f"<body><div class='ad-slot'>x{main}</body>": lines,
+        f"<body>{main}<article class='promo'><p>x</p></article></body>": lines, f"<body><div class='has-x sidebar-wrap'>{main}</div></body>": lines,
+    }
+    data = [(i, f"http://h{i}.org/", html) for i, html in enumerate(expected)]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert got == {i: "\n".join(text) for i, text in enumerate(expected.values())}
+
+
 def test_common_is_a_longest_common_subsequence():
     picked = random.Random(5)
     for _ in range(300):
