@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shirabe.llm import bpe, decontaminate, jaccard, language, mtree, pages, pii, ring, secrets, warc
+from shirabe.llm import bpe, decontaminate, jaccard, language, mtree, pages, periodic, pii, prefix_trie, quality, ring, secrets, warc
 from shirabe.llm.registry import QUERIES, SQL, query, table
 from shirabe.session import scratch_path
 
@@ -128,3 +128,91 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     """The five largest inner products of every fiftieth vector, on integer components."""
     found = mtree.top_k(table(spark, folder, "embeddings"), "vec_id", "embedding", every=50, k=5)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+# CRC-32 of a decimal number, bit by bit: -1 stands for one shift of the register.
+CRC_SQL = """xor(4294967295, list_reduce([4294967295] || flatten(list_transform(string_split(CAST({} AS VARCHAR), ''),
+         lambda d: [CAST(ascii(d) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+         lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END))"""
+
+TRIE_SQL = f"""WITH RECURSIVE o AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS t,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS n FROM conversations WHERE conv_id IS NOT NULL),
+       c AS (SELECT c, c - c % 100 AS b, {CRC_SQL.format('c')} % 6 AS h FROM (SELECT DISTINCT c FROM o)),
+       u AS (SELECT c.c, o.n, 0 AS own, o.r, o.t FROM c JOIN o ON o.c = c.b AND o.n <= c.h
+         UNION ALL SELECT c.c, o.n, 1, o.r, o.t FROM c JOIN o ON o.c = c.c AND o.n > c.h),
+       a AS (SELECT c.c, coalesce(list(sha256(length(u.r) || ':' || u.r || u.t) ORDER BY own, n) FILTER (WHERE u.c IS NOT NULL), []) AS k,
+         coalesce(list(length(u.t) ORDER BY own, n) FILTER (WHERE u.c IS NOT NULL), []) AS s FROM c LEFT JOIN u ON u.c = c.c GROUP BY 1),
+       m AS (SELECT c, d, array_to_string(k[1:d], ',') AS p, CASE WHEN d > 0 THEN array_to_string(k[1:d - 1], ',') END AS pp,
+           CASE WHEN d > 0 THEN s[d] ELSE 0 END AS w, d = len(k) AS ends FROM a, LATERAL (SELECT unnest(range(0, len(k) + 1)) AS d)),
+       v AS (SELECT p, d, any_value(pp) AS pp, min(c) AS conv_id, count(*) AS n_convs, any_value(w) AS w,
+           sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256 FROM m GROUP BY 1, 2),
+       k AS (SELECT v.p, v.d, count(x.p) AS n_children FROM v LEFT JOIN v x ON x.pp = v.p AND x.d = v.d + 1 GROUP BY 1, 2),
+       g AS (SELECT p AS top, d AS td, p, d, pp, w, n_convs FROM v
+         UNION ALL SELECT g.top, g.td, x.p, x.d, x.pp, x.w, x.n_convs FROM g JOIN v x ON x.pp = g.p AND x.d = g.d + 1),
+       z AS (SELECT top AS p, td AS d, count(*) FILTER (WHERE k.n_children = 0) AS n_leaves, CAST(sum((g.n_convs - 1) * g.w) AS BIGINT) AS saved_tokens
+         FROM g JOIN k ON k.p = g.p AND k.d = g.d GROUP BY 1, 2)
+       SELECT v.conv_id, v.d AS depth, q.conv_id AS parent_conv_id, v.n_convs, k.n_children, z.n_leaves, z.saved_tokens, v.ends_sha256
+       FROM v JOIN k USING (p, d) JOIN z USING (p, d) LEFT JOIN v q ON q.p = v.pp AND q.d = v.d - 1"""
+
+
+@query("op11_prefix_trie", TRIE_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Nodes of the trie of conversations, each begun with up to five turns of the first of its hundred."""
+    conv = F.col("conv_id")
+    turns = prefix_trie.numbered(table(spark, folder, "conversations"))
+    steps = prefix_trie.rebuilt(turns, F.crc32(conv.cast("string")) % 6, conv - conv % 100, longest=5)
+    return prefix_trie.trie(steps).drop("entered", "left")
+
+
+def looped(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) where the words of some documents, by the checksum of their id, go round from a place on."""
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    drawn = F.crc32(F.col("doc_id").cast("string"))
+    parts = docs.select("doc_id", "text", F.when((drawn % 10 == 0) & F.col("text").isNotNull(), words).alias("w"), F.floor(drawn / 10).alias("g"))
+    n = F.size("w")
+    begun = parts.withColumn("a", F.when(n > 0, F.col("g") % n))
+    turned = begun.withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)))
+    again = F.expr("array_join(transform(w, (x, i) -> if(i < a, x, w[cast(a + (i - a) % p as int)])), ' ')")
+    return turned.select("doc_id", F.when(F.col("a").isNotNull(), again).otherwise(F.col("text")).alias("text"))
+
+
+RUNS_SQL = rf"""WITH t AS (SELECT doc_id, row_number() OVER () AS id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         {CRC_SQL.format('doc_id')} AS h FROM documents),
+       y AS (SELECT doc_id, id, w, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN h // 10 % len(w) END AS a, h // 10 AS g FROM t),
+       x AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM y),
+       z AS (SELECT id, n, unnest(list_transform(range(0, n), lambda i: struct_pack(i := i, v := w[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END])), recursive := true) FROM x),
+       e AS (SELECT l.id, l.i, r.i - l.i AS q FROM z l JOIN z r ON l.id = r.id AND l.v = r.v AND r.i > l.i AND 4 * (r.i - l.i) <= l.n),
+       k AS (SELECT id, q, i, i - row_number() OVER (PARTITION BY id, q ORDER BY i) AS b FROM e),
+       s AS (SELECT id, q, min(i) AS s, count(*) + q AS len FROM k GROUP BY id, q, b HAVING count(*) + q >= greatest(6, 4 * q)),
+       r AS (SELECT id, s, len, min(q) AS q FROM s GROUP BY 1, 2, 3),
+       m AS (SELECT id, count(*) AS n_runs, arg_min({{'s': s, 'l': len, 'q': q}}, {{'l': -len, 's': s, 'q': q}}) AS best,
+         string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS listed FROM r GROUP BY 1),
+       c AS (SELECT id, string_agg(v, ' ' ORDER BY i) AS kept FROM z WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.id = z.id AND z.i >= r.s + r.q AND z.i < r.s + r.len) GROUP BY 1)
+       SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.l AS length, best.q AS period, 1000 * best.l // best.q AS exponent_milli,
+         sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256 FROM t LEFT JOIN m USING (id) LEFT JOIN c USING (id)"""
+
+
+@query("op12_periodic_runs", RUNS_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of periodic words of every document, its longest one and digests of all runs and of the text without repetitions."""
+    found = periodic.find(looped(table(spark, folder, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("l"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    spelled = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    return found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), longest.alias("m"), F.array_join(spelled, "").alias("r"), "collapsed").select(
+        "doc_id",
+        "n_runs",
+        (-F.col("m.s")).alias("start"),
+        F.col("m.l").alias("length"),
+        (-F.col("m.p")).alias("period"),
+        F.expr("1000 * m.l div -m.p").alias("exponent_milli"),
+        F.sha2("r", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op13_risk_controlled_rules")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of every document and whether it passes the base and the cutoffs certified for its language."""
+    return quality.judge(table(spark, folder, "documents"), table(spark, folder, "labels")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("stratum").alias("lang"), "rule", "cutoff"
+    )
