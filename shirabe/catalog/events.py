@@ -11,7 +11,7 @@ from shirabe.operators.aggregate import count_rows
 from shirabe.operators.window import rate_exceeded
 from shirabe.session import scratch_path
 from shirabe.sources.readers import values_df
-from shirabe.streaming import feeds, windows
+from shirabe.streaming import feeds, tables, windows
 
 EPOCH = "TIMESTAMP '1970-01-01'"
 
@@ -256,9 +256,7 @@ TRIGGERS = [
 _TRIGGER_VALUES = ", ".join(f"('{n}', '{a}')" for n, a in TRIGGERS)
 
 
-@query(
-    "ev_triggers",
-    f"""WITH e AS (
+TRIGGER_SQL = f"""WITH e AS (
          SELECT 'high_temperature_alert' AS trigger_name, count(*) AS n, max(value) AS v, max(ts) AS last FROM events WHERE event_type = 'view' AND value > 50
          UNION ALL SELECT 'user_conversion_event', count(*), max({AMOUNT}), max(ts) FROM events WHERE event_type = 'purchase' AND {AMOUNT} > 90
          UNION ALL SELECT 'system_anomaly_detection', count(*), min(value), max(ts) FROM events WHERE value < 0.05
@@ -272,20 +270,31 @@ _TRIGGER_VALUES = ", ".join(f"('{n}', '{a}')" for n, a in TRIGGERS)
          CASE WHEN n > 0 THEN 'Action Triggered' ELSE 'No Trigger' END AS execution_status,
          CASE WHEN n > 0 AND action_priority = 'High Priority' THEN 'Critical Response Required'
            WHEN n > 0 AND action_priority = 'Medium Priority' THEN 'Standard Response' WHEN n > 0 THEN 'Monitoring Response'
-           ELSE 'No Response Needed' END AS response_category FROM p""",
-)
+           ELSE 'No Response Needed' END AS response_category FROM p"""
+
+
+@query("ev_triggers", TRIGGER_SQL)
 def ev_triggers(t: Tables) -> DataFrame:
     events = t.events
     busy = windows.windowed(events, "ts", "5 minutes", [count_rows("c")])
+    return windows.evaluate_triggers({**_row_rules(events), **_busy_rules(busy)}, _trigger_table(t))
+
+
+def _row_rules(events: DataFrame | None) -> dict[str, windows.Rule]:
     bought, value = F.col("event_type") == "purchase", F.col("value")
-    rules = {
+    return {
         "high_temperature_alert": (events, (F.col("event_type") == "view") & (value > 50), F.max, value, "ts"),
         "user_conversion_event": (events, bought & (amount() > 90), F.max, amount(), "ts"),
         "system_anomaly_detection": (events, value < 0.05, F.min, value, "ts"),
-        "high_traffic_alert": (busy, F.col("c") > 6, F.max, F.col("c"), "window_start"),
     }
-    triggers = values_df(t.spark, TRIGGERS, "trigger_name string, action_description string")
-    return windows.evaluate_triggers(rules, triggers)
+
+
+def _busy_rules(busy: DataFrame | None) -> dict[str, windows.Rule]:
+    return {"high_traffic_alert": (busy, F.col("c") > 6, F.max, F.col("c"), "window_start")}
+
+
+def _trigger_table(t: Tables) -> DataFrame:
+    return values_df(t.spark, TRIGGERS, "trigger_name string, action_description string")
 
 
 @query(
@@ -309,6 +318,25 @@ def _stream(t: Tables, unique: str | None = None) -> DataFrame:
     return feeds.with_late_policy(source, "ts", DELAY, unique)
 
 
+SLICES = 6
+
+
+def _arriving(t: Tables, start, unique: str | None = None) -> None:
+    """Let the events arrive in equal stretches of event time, several files each, and run the stream after each.
+
+    ``start`` takes the stream and runs it over what is there; each run goes on from the last one's checkpoint.
+    """
+    landing = scratch_path(t.spark, "landing")
+    low, high = t.events.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
+    part = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(low)) * SLICES / F.lit(high - low + 1))
+    for i in range(SLICES):
+        t.events.filter(F.coalesce(part, F.lit(0)) == i).repartition(4).write.mode("append").parquet(landing)
+        source = feeds.read_events(t.spark, landing, t.events.schema)
+        start(feeds.with_late_policy(source, "ts", DELAY, unique)).awaitTermination()
+
+
+SLICE_SQL = f"(epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) * {SLICES} // (SELECT max(epoch_us(ts)) - min(epoch_us(ts)) + 1 FROM events)"
+
 CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
 
 
@@ -383,8 +411,72 @@ def st_chained_windows(t: Tables) -> DataFrame:
         FROM c WINDOW w AS (ORDER BY window_start)""",
 )
 def st_window_trend(t: Tables) -> DataFrame:
-    closed = feeds.drain(windows.windowed(_stream(t), "ts", "5 minutes", [count_rows("event_count")]))
-    return windows.window_trend(closed.select("window_start", "event_count"), [])
+    path = scratch_path(t.spark, "trend")
+    handle = tables.carried(path, [], "window_start", lambda rows: windows.window_trend(rows, []))
+
+    def start(events: DataFrame):
+        closed = windows.windowed(events, "ts", "5 minutes", [count_rows("event_count")]).select("window_start", "event_count")
+        return feeds.feed_batches(closed, handle, f"{path}/state")
+
+    _arriving(t, start)
+    return t.spark.read.parquet(f"{path}/out").select("window_start", "event_count", "prev_value", "value_change", "trend_direction")
+
+
+@query(
+    "st_window_alerts",
+    f"""WITH m AS (SELECT event_type AS category, time_bucket(INTERVAL 10 MINUTE, ts, {EPOCH}) AS window_start, count(*) AS n FROM events GROUP BY 1, 2
+          HAVING time_bucket(INTERVAL 10 MINUTE, ts, {EPOCH}) + INTERVAL 10 MINUTE <= {CLOSED}),
+        c AS (SELECT *, lag(n) OVER w AS prev_value, n - lag(n) OVER w AS value_change,
+          (n - lag(n) OVER w) * 100.0::DOUBLE / lag(n) OVER w AS p FROM m WINDOW w AS (PARTITION BY category ORDER BY window_start))
+        SELECT category, window_start, n, prev_value, value_change, round(p, 1) AS change_percentage,
+          CASE WHEN abs(p) >= 50 THEN 'Critical Alert' WHEN abs(p) >= 25 THEN 'Warning Alert' WHEN abs(p) >= 10 THEN 'Information Alert'
+            ELSE 'Normal' END AS alert_level,
+          CASE WHEN n >= 20 THEN 'High Activity' WHEN n >= 10 THEN 'Medium Activity' WHEN n >= 5 THEN 'Low Activity'
+            ELSE 'Very Low Activity' END AS activity_level FROM c WHERE prev_value IS NOT NULL""",
+)
+def st_window_alerts(t: Tables) -> DataFrame:
+    path = scratch_path(t.spark, "alerts")
+    handle = tables.carried(path, ["category"], "window_start", lambda rows: windows.window_alerts(rows, ["category"], ["window_start"], "n"))
+
+    def start(events: DataFrame):
+        closed = windows.windowed(events.withColumnRenamed("event_type", "category"), "ts", "10 minutes", [count_rows("n")], ["category"])
+        return feeds.feed_batches(closed.drop("window_end"), handle, f"{path}/state")
+
+    _arriving(t, start)
+    columns = ["category", "window_start", "n", "prev_value", "value_change", "change_percentage", "alert_level", "activity_level"]
+    return rounded(t.spark.read.parquet(f"{path}/out").select(*columns), 1, "change_percentage")
+
+
+@query("st_triggers", TRIGGER_SQL)
+def st_triggers(t: Tables) -> DataFrame:
+    path = scratch_path(t.spark, "triggers")
+    events = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
+    handle, current = windows.trigger_feed(f"{path}/table", _row_rules(None), {"busy": ("ts", "5 minutes", _busy_rules(None))}, compact_every=4)
+    _arriving(t, lambda stream: feeds.feed_batches(stream, handle, f"{path}/state"))
+    out = current(t.spark, events.limit(0), _trigger_table(t))
+    return out.withColumn("last_trigger_time", F.col("last_trigger_time").cast("timestamp_ntz"))
+
+
+@query(
+    "st_sensor_stats",
+    f"""WITH e AS (SELECT event_type, value, 1 - event_id % 40 / 100.0::DOUBLE AS quality, {SLICE_SQL} AS i FROM events),
+       b AS (SELECT a.event_type, s.i, avg(a.value) AS m, stddev_samp(a.value) AS d FROM e a JOIN (SELECT DISTINCT i FROM e) s ON a.i <= s.i GROUP BY 1, 2),
+       o AS (SELECT e.event_type, count(CASE WHEN value > m + 2 * d OR value < m - 2 * d THEN 1 END) AS n FROM e JOIN b ON e.event_type = b.event_type AND e.i = b.i GROUP BY 1),
+       s AS (SELECT event_type, count(*) AS c, avg(value) AS a, stddev_samp(value) AS d, min(value) AS lo, max(value) AS hi, avg(quality) AS q FROM e GROUP BY 1)
+       SELECT event_type, c AS measurement_count, round(a, 4) AS avg_value, round(d, 4) AS std_deviation, lo AS min_value, hi AS max_value,
+         round(q, 4) AS avg_quality_score, n AS anomaly_count, round(n * 100.0::DOUBLE / c, 4) AS anomaly_percentage,
+         CASE WHEN q >= 0.95 THEN 'Excellent' WHEN q >= 0.9 THEN 'Good' WHEN q >= 0.8 THEN 'Fair' ELSE 'Poor' END AS data_quality_rating,
+         CASE WHEN round(n * 100.0::DOUBLE / c, 1) <= 2 THEN 'Normal Operation' WHEN round(n * 100.0::DOUBLE / c, 1) <= 5 THEN 'Minor Issues'
+           WHEN round(n * 100.0::DOUBLE / c, 1) <= 10 THEN 'Significant Issues' ELSE 'Critical Issues' END AS anomaly_status
+       FROM s JOIN o USING (event_type)""",
+)
+def st_sensor_stats(t: Tables) -> DataFrame:
+    path = scratch_path(t.spark, "sensors")
+    handle, current = windows.sensor_feed(f"{path}/table", ["event_type"], "value", "quality", compact_every=4)
+    quality = 1 - F.col("event_id") % 40 / 100.0
+    read = lambda df: df.select("event_type", "value", quality.alias("quality"))
+    _arriving(t, lambda stream: feeds.feed_batches(read(stream), handle, f"{path}/state"))
+    return rounded(current(t.spark, read(t.events.limit(0))), 4, "avg_value", "std_deviation", "avg_quality_score", "anomaly_percentage")
 
 
 @query("st_feed", "SELECT event_id, event_type, strftime(ts, '%Y%m%d') AS dt, value FROM events")
@@ -413,9 +505,14 @@ def st_fan_out(t: Tables) -> DataFrame:
 )
 def st_append_new(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "append")
-    rows = _stream(t).select("user_id", "event_type", F.date_format("ts", "yyyyMMdd").alias("day"))
-    feeds.feed(feeds.new_keys(rows, rows.columns), f"{path}/out", f"{path}/state").awaitTermination()
-    return t.spark.read.schema(rows.schema).parquet(f"{path}/out").select(*rows.columns)
+    layout = t.events.select("user_id", "event_type", F.date_format("ts", "yyyyMMdd").alias("day"))
+
+    def start(events: DataFrame):
+        rows = events.select("user_id", "event_type", F.date_format("ts", "yyyyMMdd").alias("day"))
+        return feeds.feed(feeds.new_keys(rows, rows.columns), f"{path}/out", f"{path}/state")
+
+    _arriving(t, start)
+    return t.spark.read.schema(layout.schema).parquet(f"{path}/out").select(*layout.columns)
 
 
 @query(

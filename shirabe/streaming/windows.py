@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shirabe.functions.dates import boundary_diff
@@ -14,6 +14,7 @@ from shirabe.operators.aggregate import count_rows, pct
 from shirabe.operators.join import outlier_count
 from shirabe.operators.project import bucket, label_when
 from shirabe.operators.window import sessionize, trend, with_change
+from shirabe.streaming import tables
 
 
 def throughput(events: DataFrame, kind: str, ts: str, user: str, payload: str) -> DataFrame:
@@ -39,11 +40,15 @@ def throughput(events: DataFrame, kind: str, ts: str, user: str, payload: str) -
 
 
 def sensor_stats(df: DataFrame, keys: list[str], value: str, quality: str, k: float = 2) -> DataFrame:
-    """Per sensor group: value statistics, share of rows outside mean ± k deviations, ratings. Batch."""
+    """Per sensor group: value statistics, share of rows outside mean ± k deviations, ratings. Batch; see ``sensor_feed``."""
     extra = df.groupBy(*keys).agg(
         F.min(value).alias("min_value"), F.max(value).alias("max_value"), F.avg(quality).alias("avg_quality_score")
     )
-    stats = outlier_count(df, keys, value, k).join(extra, keys)
+    return sensor_ratings(outlier_count(df, keys, value, k).join(extra, keys))
+
+
+def sensor_ratings(stats: DataFrame) -> DataFrame:
+    """Anomaly share, quality rating and status of sensor statistics."""
     stats = stats.withColumn("anomaly_percentage", pct(F.col("anomaly_count"), F.col("measurement_count")))
     rating = [(0.95, "Excellent"), (0.90, "Good"), (0.80, "Fair")]
     share = F.round("anomaly_percentage", 1)
@@ -60,6 +65,32 @@ def sensor_stats(df: DataFrame, keys: list[str], value: str, quality: str, k: fl
     )
 
 
+def sensor_feed(folder: str, keys: list[str], value: str, quality: str, k: float = 2, compact_every: int = 20):
+    """Sensor statistics of a stream: the handler of its batches and a reader of the statistics so far.
+
+    Moments are kept in a side table, so bounds move with the stream: a reading counts as an anomaly by what was known when it came.
+    """
+    extra = {
+        "measurement_count": (F.count(F.lit(1)), F.sum("measurement_count")),
+        "min_value": (F.min(value), F.min("min_value")),
+        "max_value": (F.max(value), F.max("max_value")),
+        "_quality": (F.sum(F.col(quality).cast("double")), F.sum("_quality")),
+        "_rated": (F.count(quality), F.sum("_rated")),
+    }
+    handle, merged = tables.with_moving_bounds(folder, keys, value, extra, k, compact_every)
+
+    def current(spark: SparkSession, layout: DataFrame) -> DataFrame:
+        m = F.col("moments")
+        named = {
+            "avg_value": F.when(m["n"] > 0, m["mean"]),
+            "std_deviation": F.when(m["n"] > 1, F.sqrt(m["m2"] / (m["n"] - 1))),
+            "avg_quality_score": F.try_divide("_quality", "_rated"),
+        }
+        return sensor_ratings(merged(spark, layout).withColumns(named).drop("moments", "_quality", "_rated"))
+
+    return handle, current
+
+
 def windowed(df: DataFrame, ts: str, size: str, aggs: list[Column], keys: list[str] = (), slide: str | None = None) -> DataFrame:
     """Tumbling (or, with ``slide``, sliding) window aggregates with window_start/window_end."""
     window = F.window(F.col(ts), size, slide) if slide else F.window(F.col(ts), size)
@@ -105,7 +136,7 @@ def window_metrics(windows: DataFrame, minutes: Column | int) -> DataFrame:
 
 
 def window_trend(windows: DataFrame, keys: list[str], value: str = "event_count") -> DataFrame:
-    """Each window against the one before: change and trend label. Batch, or closed windows of a stream."""
+    """Each window against the one before: change and trend label. Batch, or through ``tables.carried`` the closed windows of a stream."""
     return trend(windows, keys, ["window_start"], value)
 
 
@@ -203,32 +234,74 @@ def pattern_summary(found: DataFrame, views: str, clicks: str, buys: str) -> Dat
     return out.withColumn("pattern_significance", label_when(rules, "Standard Pattern"))
 
 
-def evaluate_triggers(
-    rules: dict[str, tuple[DataFrame, Column, Callable[[Column], Column], Column, str]], triggers: DataFrame
-) -> DataFrame:
+Rule = tuple[DataFrame, Column, Callable[[Column], Column], Column, str]
+
+
+def rule_results(rows: DataFrame, rules: dict[str, Rule]) -> DataFrame:
+    """A row per rule on ``rows``, as conditional aggregates of one pass."""
+    structs = []
+    for name, (_, condition, aggregate, value, ts) in rules.items():
+        structs.append(
+            F.struct(
+                F.lit(name).alias("trigger_name"),
+                F.count_if(condition).alias("triggered_count"),
+                aggregate(F.when(condition, value)).cast("double").alias("max_trigger_value"),
+                F.max(F.when(condition, F.col(ts))).alias("last_trigger_time"),
+            )
+        )
+    return rows.agg(F.array(*structs).alias("_r")).select(F.explode("_r").alias("_r")).select("_r.*")
+
+
+def evaluate_triggers(rules: dict[str, Rule], triggers: DataFrame) -> DataFrame:
     """Rule results joined to the trigger table, with priority and response class.
 
     A rule is (rows, condition, aggregate, reported value, time column). Rules on the
-    same rows are conditional aggregates of one pass.
+    same rows share a pass.
     """
-    frames: dict[int, tuple[DataFrame, list[str]]] = {}
-    for name, (rows, *_) in rules.items():
-        frames.setdefault(id(rows), (rows, []))[1].append(name)
-    parts = []
-    for rows, names in frames.values():
-        structs = []
-        for name in names:
-            _, condition, aggregate, value, ts = rules[name]
-            structs.append(
-                F.struct(
-                    F.lit(name).alias("trigger_name"),
-                    F.count_if(condition).alias("triggered_count"),
-                    aggregate(F.when(condition, value)).cast("double").alias("max_trigger_value"),
-                    F.max(F.when(condition, F.col(ts))).alias("last_trigger_time"),
-                )
-            )
-        parts.append(rows.agg(F.array(*structs).alias("_r")).select(F.explode("_r").alias("_r")).select("_r.*"))
-    out = reduce(DataFrame.unionByName, parts)
+    frames: dict[int, tuple[DataFrame, dict[str, Rule]]] = {}
+    for name, rule in rules.items():
+        frames.setdefault(id(rule[0]), (rule[0], {}))[1][name] = rule
+    return respond(reduce(DataFrame.unionByName, [rule_results(*frame) for frame in frames.values()]), triggers)
+
+
+def trigger_feed(folder: str, rules: dict[str, Rule], windows: dict[str, tuple[str, str, dict[str, Rule]]] | None = None, compact_every: int = 20):
+    """Triggers of a stream: the handler of its batches and a reader of their state so far.
+
+    ``rules`` are on rows, ``windows`` names groups of rules on counts ``c`` per ``window_start`` (time column, size, rules); the rows a rule
+    names are not looked at, and its aggregate is a minimum or maximum. Counts, extremes and last times add up over batches; a
+    window may get rows in several, so its count is kept by itself and judged on read.
+    """
+    lowest = [name for name, rule in rules.items() if rule[2] is F.min]
+    value = F.when(F.col("trigger_name").isin(lowest), F.min("max_trigger_value")).otherwise(F.max("max_trigger_value"))
+    merge = {"triggered_count": F.sum("triggered_count"), "max_trigger_value": value, "last_trigger_time": F.max("last_trigger_time")}
+    parts = [(tables.Partials(f"{folder}/rules", ["trigger_name"], lambda rows: rule_results(rows, rules), merge, compact_every), None)]
+    for name, (ts, size, judged) in (windows or {}).items():
+
+        def count(rows: DataFrame, ts: str = ts, size: str = size) -> DataFrame:
+            return windowed(rows, ts, size, [count_rows("c")]).drop("window_end")
+
+        parts.append((tables.Partials(f"{folder}/{name}", ["window_start"], count, {"c": F.sum("c")}, compact_every), judged))
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        kept = batch.persist()
+        try:
+            for part, _ in parts:
+                part.add(kept, batch_id)
+        finally:
+            kept.unpersist()
+
+    def current(spark: SparkSession, layout: DataFrame, triggers: DataFrame) -> DataFrame:
+        found = []
+        for part, judged in parts:
+            rows = part.merged(spark, part.partial(layout).schema)
+            found.append(rows if judged is None else rule_results(rows, judged))
+        return respond(reduce(DataFrame.unionByName, found), triggers)
+
+    return handle, current
+
+
+def respond(out: DataFrame, triggers: DataFrame) -> DataFrame:
+    """Priority and response class of rule results, for the triggers of the table."""
     joined = out.join(triggers, "trigger_name")
     n, alert = F.col("triggered_count"), F.col("trigger_name").contains("alert")
     # Bounds and labels.
