@@ -9,7 +9,8 @@ from shirabe.catalog import roles
 from shirabe.catalog.registry import Tables, query
 from shirabe.catalog.scans import SNAPSHOTS, _snapshots
 from shirabe.operators import aggregate, join
-from shirabe.operators.aggregate import count_rows, mean_amount, money, pct
+from shirabe.operators.aggregate import count_rows, distinct_of_bitmaps, id_bitmaps, mean_amount, merge_bitmaps, money, pct
+from shirabe.session import stored
 
 # ---------------------------------------------------------------- joins
 
@@ -422,6 +423,21 @@ def agg_calendar(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "agg_distinct_rollup",
+    """SELECT 'month' AS level, year(o_orderdate) AS year, month(o_orderdate) AS month, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY 2, 3
+       UNION ALL SELECT 'year', year(o_orderdate), NULL, count(DISTINCT o_custkey) FROM orders GROUP BY 2""",
+)
+def agg_distinct_rollup(t: Tables) -> DataFrame:
+    d = F.col("day")
+    days = stored(id_bitmaps(t.orders.withColumn("day", F.col("o_orderdate").cast("date")), ["day"], "o_custkey"), "days")
+    dated = days.select(F.year(d).cast("long").alias("year"), F.month(d).cast("long").alias("month"), "id_range", "ids")
+    months = merge_bitmaps(dated, ["year", "month"])
+    by_month = distinct_of_bitmaps(months, ["year", "month"], "customers").select(F.lit("month").alias("level"), "year", "month", "customers")
+    by_year = distinct_of_bitmaps(months, ["year"], "customers")
+    return by_month.unionByName(by_year.select(F.lit("year").alias("level"), "year", F.lit(None).cast("long").alias("month"), "customers"))
+
+
 @query(
     "agg_of_agg",
     """SELECT o_orderpriority, count(*) AS customers, round(avg(n), 4) AS avg_orders, max(n) AS max_orders FROM (

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from shirabe.catalog import roles
 from shirabe.catalog.registry import Tables, query
 from shirabe.operators import project, sets, window
+from shirabe.session import scratch_path
+from shirabe.sources import paging
 from shirabe.sources.readers import values_df
 
 # ---------------------------------------------------------------- projections
@@ -361,6 +363,17 @@ def top_page(t: Tables) -> DataFrame:
     return sets.page(t.orders.select("o_orderkey", "o_totalprice"), [F.col("o_totalprice"), F.col("o_orderkey")], 200, 50)
 
 
+@query(
+    "top_deep_page",
+    """SELECT o_orderkey, o_totalprice, o_orderdate FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 50
+       OFFSET (SELECT CAST(floor(count(*) * 0.9) AS BIGINT) FROM orders)""",
+)
+def top_deep_page(t: Tables) -> DataFrame:
+    folder, order = scratch_path(t.spark, "pages"), ["o_totalprice", "o_orderkey"]
+    paging.write_sorted(t.orders.select("o_orderkey", "o_totalprice", "o_orderdate"), folder, order, ranges=16)
+    return paging.read_page(t.spark, folder, order, int(t.orders.count() * 0.9), 50)
+
+
 @query(
     "set_union_distinct",
     """SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' UNION SELECT c_custkey FROM customer WHERE c_acctbal < 0""",

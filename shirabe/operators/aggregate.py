@@ -81,3 +81,26 @@ def duplicates(df: DataFrame, keys: list[str], unique: str) -> DataFrame:
         .agg(count_rows("duplicate_count"), F.min(unique).alias("first_id"), F.max(unique).alias("last_id"))
         .filter("duplicate_count > 1")
     )
+
+
+def id_bitmaps(df: DataFrame, keys: list[str], unique: str) -> DataFrame:
+    """Exact distinct ids per group as bitmaps: a row per group and 32,768 consecutive ids.
+
+    ``unique`` is an integer; null ids count for nothing. Bitmaps of days can be stored and joined to
+    months and years without a second look at the rows. A bitmap takes 4 KB however few of its bits are set, so ids should be dense;
+    number sparse ones first.
+    """
+    given = df.filter(F.col(unique).isNotNull()).withColumn("_id", F.col(unique).cast("bigint"))
+    cells = given.groupBy(*keys, F.bitmap_bucket_number("_id").alias("id_range"))
+    return cells.agg(F.bitmap_construct_agg(F.bitmap_bit_position("_id")).alias("ids"))
+
+
+def merge_bitmaps(bitmaps: DataFrame, keys: list[str]) -> DataFrame:
+    """Bitmaps of coarser groups from those of finer ones."""
+    return bitmaps.groupBy(*keys, "id_range").agg(F.bitmap_or_agg("ids").alias("ids"))
+
+
+def distinct_of_bitmaps(bitmaps: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Exact distinct ids of each group, over all its ranges of ids."""
+    merged = merge_bitmaps(bitmaps, keys)
+    return merged.groupBy(*keys).agg(F.sum(F.bitmap_count("ids")).alias(name))

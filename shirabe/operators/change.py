@@ -7,9 +7,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shirabe.functions.dates import jst
 from shirabe.operators.window import latest_per_key, number_rows
+from shirabe.session import stored
 
 
 def _side_by_side(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
@@ -156,25 +158,116 @@ def unless_processed(state: DataFrame, pair: dict[str, object], result: DataFram
     return result if done.isEmpty() else result.limit(0)
 
 
-def delta_upsert(src: DataFrame, tgt: DataFrame, key: str, hash_col: str) -> DataFrame:
-    """Target after inserting new rows and replacing rows whose hash differs."""
-    joined = _side_by_side(tgt, latest_per_key(src, [key], []), [key])
+def bucket_of(keys: list[str], buckets: int) -> Column:
+    """Bucket of a key; a NULL key is a key like any other."""
+    return F.pmod(F.xxhash64(*[F.coalesce(F.col(k).cast("string"), F.lit("\x00null")) for k in keys]), F.lit(buckets))
+
+
+def changed_buckets(src: DataFrame, tgt: DataFrame, keys: list[str], hash_col: str, buckets: int = 4096) -> DataFrame:
+    """Buckets of keys (column ``_bucket``) in which two snapshots differ.
+
+    Each side is reduced to a digest per bucket: its rows, and two 64-bit sums over key and content hash. Equal digests mean equal
+    rows; only digests meet, at most ``buckets`` a side.
+    """
+
+    def digests(df: DataFrame, suffix: str) -> DataFrame:
+        parts = [F.coalesce(F.col(c).cast("string"), F.lit("\x00null")) for c in (*keys, hash_col)]
+        sums = [F.bit_xor(F.xxhash64(F.lit(seed), *parts)).alias(f"x{seed}{suffix}") for seed in (1, 2)]
+        # Equal rows cancel in an exclusive or, so their number goes with it, also in a plain sum.
+        weight = F.sum(F.xxhash64(F.lit(3), *parts).cast("decimal(20,0)")).alias(f"x3{suffix}")
+        return df.groupBy(bucket_of(keys, buckets).alias("_bucket")).agg(F.count(F.lit(1)).alias(f"n{suffix}"), *sums, weight)
+
+    both = digests(src, "_s").join(digests(tgt, "_t"), "_bucket", "full")
+    same = reduce(lambda a, b: a & b, [F.col(f"{c}_s").eqNullSafe(F.col(f"{c}_t")) for c in ("n", "x1", "x2", "x3")])
+    return both.filter(~same).select("_bucket")
+
+
+def delta_upsert(src: DataFrame, tgt: DataFrame, key: str, hash_col: str, buckets: int = 4096) -> DataFrame:
+    """Target after inserting new rows and replacing rows whose hash differs.
+
+    Snapshots are compared by buckets of keys first: rows of equal buckets go through as they are, only the others are joined. A day with
+    few changes joins few rows, an unchanged one none.
+    """
+    spread = stored(changed_buckets(src, tgt, [key], hash_col, buckets), "buckets")
+    bucketed = lambda df: df.withColumn("_bucket", bucket_of([key], buckets))
+    # At most ``buckets`` numbers.
+    marked = F.broadcast(spread)
+    kept = bucketed(tgt).join(marked, "_bucket", "left_anti").select(*tgt.columns)
+    fresh, old = [bucketed(df).join(marked, "_bucket", "left_semi").drop("_bucket") for df in (src, tgt)]
+    joined = _side_by_side(old, latest_per_key(fresh, [key], []), [key])
     same = F.col(f"_s.{hash_col}").eqNullSafe(F.col(f"_t.{hash_col}"))
     taken = F.col("_s").isNotNull() & (F.col("_t").isNull() | ~same)
-    return joined.select(*[F.when(taken, F.col(f"_s.{c}")).otherwise(F.col(f"_t.{c}")).alias(c) for c in tgt.columns])
+    changed = joined.select(*[F.when(taken, F.col(f"_s.{c}")).otherwise(F.col(f"_t.{c}")).alias(c) for c in tgt.columns])
+    return kept.unionByName(changed)
+
+
+# Counters of one histogram pass that come to the driver.
+HISTOGRAM_CELLS = 1 << 16
+
+
+def keys_at(df: DataFrame, key: str, ranks: list[int], low: int, high: int) -> dict[int, int]:
+    """Integer keys at the given ranks (from 1) of a unique key, without sorting the rows.
+
+    A pass counts keys in equal cells of the interval that holds a rank, with each cell's least and greatest key; the next looks
+    into the cells that hold ranks only. An interval shrinks by ``HISTOGRAM_CELLS`` over the number of such cells per pass, and a rank that is
+    the first or last of its cell is found at once. All rows are read in each pass, but a few counters are all that moves.
+    """
+    value = F.col(key).cast("bigint")
+    found: dict[int, int] = {}
+    # Disjoint intervals with the rows before them and the ranks they hold.
+    open_ = [(low, high, 0, sorted(set(ranks)))] if ranks else []
+    while open_:
+        cells = max(HISTOGRAM_CELLS // len(open_), 2)
+        steps = [max(-(-(hi - lo + 1) // cells), 1) for lo, hi, _, _ in open_]
+        place = F.lit(None).cast("struct<i:int,cell:bigint>")
+        for i, ((lo, hi, _, _), step) in reversed(list(enumerate(zip(open_, steps, strict=True)))):
+            cell = F.struct(F.lit(i).alias("i"), F.floor((value - F.lit(lo)) / F.lit(step)).cast("bigint").alias("cell")) if hi - lo < 1 << 52 else F.struct(
+                F.lit(i).alias("i"), F.expr(f"(cast(`{key}` as decimal(20,0)) - {lo}) div {step}").cast("bigint").alias("cell")
+            )
+            place = F.when(value.between(F.lit(lo), F.lit(hi)), cell).otherwise(place)
+        rows = df.select(place.alias("_p"), value.alias("_k")).filter(F.col("_p").isNotNull())
+        counted = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("n"), F.min("_k").alias("least"), F.max("_k").alias("most"))
+        by_interval: dict[int, list] = {}
+        for r in sorted(counted.collect(), key=lambda r: r["least"]):
+            by_interval.setdefault(r["_p"]["i"], []).append((r["n"], r["least"], r["most"]))
+        following = []
+        for i, (_, _, before, wanted) in enumerate(open_):
+            for n, least, most in by_interval.get(i, []):
+                inside = [r for r in wanted if before < r <= before + n]
+                found.update({r: least if r == before + 1 else most for r in inside if r in (before + 1, before + n) or least == most})
+                left = [r for r in inside if r not in found]
+                if left:
+                    following.append((least, most, before, left))
+                before += n
+        open_ = following
+    return found
 
 
 def spans(df: DataFrame, key: str, n: int) -> DataFrame:
     """Row spans of a table for loading it in pieces: count div ``n`` rows each, in key order.
 
-    A remainder makes one span more. ``key`` is unique.
+    A remainder makes one span more. ``key`` is unique. For whole-number, date and time keys the bounds are found by
+    histograms, for other types by numbering the sorted rows.
     """
-    numbered = number_rows(df.select(key), [key])
-    size = max(df.count() // n, 1)
-    part = F.floor((F.col("row_no") - 1) / size)
-    return numbered.groupBy(part.alias("span")).agg(
-        F.min(key).alias("low"), F.max(key).alias("high"), F.count(F.lit(1)).alias("row_count")
-    )
+    kind = df.schema[key].dataType
+    ways = {
+        "date": (F.unix_date(F.col(key)), F.date_from_unix_date),
+        "timestamp": (F.unix_micros(F.col(key)), F.timestamp_micros),
+        "timestamp_ntz": (F.unix_micros(F.col(key).cast("timestamp")), lambda c: F.timestamp_micros(c).cast("timestamp_ntz")),
+    }
+    to, back = ways.get(kind.simpleString(), (F.col(key), lambda c: c.cast(kind)))
+    if kind.simpleString() not in ways and not isinstance(kind, T.IntegralType):
+        numbered = number_rows(df.select(key), [key])
+        part = F.floor((F.col("row_no") - 1) / max(df.count() // n, 1))
+        return numbered.groupBy(part.alias("span")).agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count(F.lit(1)).alias("row_count"))
+    placed = df.select(to.cast("bigint").alias("_key"))
+    low, high, total = placed.agg(F.min("_key"), F.max("_key"), F.count(F.lit(1))).first()
+    size = max(total // n, 1)
+    edges = [(i // size, i + 1, min(i + size, total)) for i in range(0, total, size)]
+    at = keys_at(placed, "_key", [rank for _, first, last in edges for rank in (first, last)], low, high) if total else {}
+    rows = [(span, at[first], at[last], last - first + 1) for span, first, last in edges]
+    out = df.sparkSession.createDataFrame(rows, "span bigint, low bigint, high bigint, row_count bigint")
+    return out.select("span", back(F.col("low")).cast(kind).alias("low"), back(F.col("high")).cast(kind).alias("high"), "row_count")
 
 
 def apply_deletes(target: DataFrame, daily: DataFrame, key: str, flag: str = "is_deleted") -> DataFrame:

@@ -87,52 +87,66 @@ def profile(df: DataFrame, as_of: datetime, patterns: dict[str, str] | None = No
 
     Text: compliance with a pattern (100 without one) and whether one value fills
     more than half of the rows. Dates: future or older than ten years are anomalies.
+
+    One scan: rows are unfolded to (column, value) and counted, each task sending a row per distinct value; everything else comes
+    from these counts, so a pattern is tried once per distinct value, not once per row.
     """
     patterns = patterns or {}
     now = F.lit(as_of.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
     old = F.lit(as_of.replace(year=as_of.year - 10).strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
-    aggs, parts = [F.count(F.lit(1)).alias("_n")], []
+    entries, kinds = [], []
     for i, field in enumerate(df.schema.fields):
-        c = F.col(field.name)
-        aggs += [F.count(c).alias(f"_c{i}"), F.countDistinct(c).alias(f"_d{i}")]
-        filled = F.col(f"_c{i}")
-        low = high = F.lit(None).cast("string")
-        length, compliance, anomalies = F.lit(0.0), F.lit(100.0), F.lit(0).cast("long")
-        if isinstance(field.dataType, T.StringType):
-            aggs += [F.min(c).alias(f"_lo{i}"), F.max(c).alias(f"_hi{i}"), F.avg(F.length(c)).alias(f"_len{i}")]
-            low, high, length = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.coalesce(F.col(f"_len{i}"), F.lit(0.0))
-            if field.name in patterns:
-                aggs.append(F.count_if(c.rlike(patterns[field.name])).alias(f"_p{i}"))
-                compliance = F.coalesce(pct(F.col(f"_p{i}"), filled), F.lit(0.0))
-        elif isinstance(field.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-            ts = c.cast("timestamp_ntz")
-            aggs += [
-                F.min(ts).alias(f"_lo{i}"),
-                F.max(ts).alias(f"_hi{i}"),
-                F.count_if((ts > now) | (ts < old)).alias(f"_p{i}"),
-            ]
-            shown = "yyyy-MM-dd HH:mm:ss"
-            low, high = F.date_format(f"_lo{i}", shown), F.date_format(f"_hi{i}", shown)
-            anomalies = F.col(f"_p{i}")
-            compliance = F.coalesce(pct(filled - anomalies, filled), F.lit(0.0))
-        columns = {
-            "total_records": F.col("_n"),
-            "null_count": F.col("_n") - filled,
-            "distinct_count": F.col(f"_d{i}"),
-            "min_value": low,
-            "max_value": high,
-            "avg_length": length,
-            "pattern_compliance": compliance,
-            "anomaly_count": anomalies,
-        }
-        parts.append((field.name, columns))
-    out = stack(df.agg(*aggs), parts, "column_name")
-    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    if not texts:
-        return out
-    found = dominant_values(df, texts)
-    count = F.coalesce("dominant_values", F.col("anomaly_count"))
-    return out.join(found, "column_name", "left").withColumn("anomaly_count", count).drop("dominant_values")
+        c, time = F.col(field.name), F.lit(None).cast("timestamp_ntz")
+        text = isinstance(field.dataType, T.StringType)
+        dated = isinstance(field.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))
+        if dated:
+            time = c.cast("timestamp_ntz")
+        elif isinstance(field.dataType, (T.FloatType, T.DoubleType)):
+            c = c + F.lit(0.0)  # a negative zero is a zero
+        shown = F.to_json(F.struct(c.alias("v"))) if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)) else F.hex(c) if isinstance(field.dataType, T.BinaryType) else c.cast("string")
+        shown = F.when(F.col(field.name).isNotNull(), shown)
+        entries.append(F.struct(F.lit(i).alias("i"), F.when(F.lit(not dated), shown).alias("v"), time.alias("t")))
+        kinds.append("text" if text else "date" if dated else "other")
+    long = df.select(F.explode(F.array(*entries)).alias("_e")).select("_e.*")
+    values = long.groupBy("i", "v", "t").agg(count_rows("n"))
+    filled = F.col("v").isNotNull() | F.col("t").isNotNull()
+    met = F.lit(None).cast("boolean")
+    for i, field in enumerate(df.schema.fields):
+        if kinds[i] == "text" and field.name in patterns:
+            met = F.when(F.col("i") == i, F.col("v").rlike(patterns[field.name])).otherwise(met)
+    shape = "yyyy-MM-dd HH:mm:ss"
+    totals = values.groupBy("i").agg(
+        F.sum("n").alias("total"),
+        F.sum(F.when(filled, F.col("n")).otherwise(0)).alias("filled"),
+        F.count_if(filled).alias("distinct"),
+        F.min("v").alias("low"),
+        F.max("v").alias("high"),
+        F.min("t").alias("first"),
+        F.max("t").alias("last"),
+        F.sum(F.col("n") * F.length("v")).alias("chars"),
+        F.sum(F.when(met, F.col("n")).otherwise(0)).alias("met"),
+        F.sum(F.when((F.col("t") > now) | (F.col("t") < old), F.col("n")).otherwise(0)).alias("odd"),
+        F.max(F.when(filled, F.col("n"))).alias("top"),
+    )
+    # A table without rows still has its columns; the frame below has a row per column.
+    names = [(i, f.name, kinds[i], f.name in patterns) for i, f in enumerate(df.schema.fields)]
+    listed = df.sparkSession.createDataFrame(names, "i int, column_name string, kind string, checked boolean")
+    out = listed.join(totals, "i", "left").na.fill(0, ["total", "filled", "distinct", "met", "odd"])
+    text, dated = F.col("kind") == "text", F.col("kind") == "date"
+    share = lambda part: F.coalesce(pct(part, F.col("filled")), F.lit(0.0))
+    # More than half of the rows can hold for one value only.
+    dominant = F.when(F.col("top") > F.col("total") * 0.5, 1).otherwise(0).cast("long")
+    return out.select(
+        "column_name",
+        F.col("total").alias("total_records"),
+        (F.col("total") - F.col("filled")).alias("null_count"),
+        F.col("distinct").alias("distinct_count"),
+        F.when(text, F.col("low")).when(dated, F.date_format("first", shape)).alias("min_value"),
+        F.when(text, F.col("high")).when(dated, F.date_format("last", shape)).alias("max_value"),
+        F.when(text, F.coalesce(F.try_divide("chars", "filled"), F.lit(0.0))).otherwise(F.lit(0.0)).alias("avg_length"),
+        F.when(text & F.col("checked"), share(F.col("met"))).when(dated, share(F.col("filled") - F.col("odd"))).otherwise(F.lit(100.0)).alias("pattern_compliance"),
+        F.when(text, dominant).when(dated, F.col("odd")).otherwise(F.lit(0).cast("long")).alias("anomaly_count"),
+    )
 
 
 def dominant_values(df: DataFrame, columns: list[str], share: float = 0.5) -> DataFrame:

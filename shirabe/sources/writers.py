@@ -99,34 +99,63 @@ def write_many(df: DataFrame, sinks: list[Callable[[DataFrame], object]]) -> lis
     return [sink(kept) for sink in sinks]
 
 
-def _swap(spark: SparkSession, fresh: str, folder: str) -> DataFrame:
-    """Put a written folder in the place of a table; if that fails the old rows are put back.
+def _versions(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the published versions of a table, rising."""
+    path, fs = _file_system(spark, folder)
+    names = [s.getPath().getName() for s in fs.listStatus(path(folder, "current"))] if fs.exists(path(folder, "current")) else []
+    return sorted(int(n) for n in names if n.isdigit())
+
+
+def current_path(spark: SparkSession, folder: str) -> str:
+    """Folder of the newest published version of a table."""
+    found = _versions(spark, folder)
+    if not found:
+        raise FileNotFoundError(f"{folder} holds no published table")
+    return f"{folder}/versions/{found[-1]:012d}"
+
+
+def current_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest published version of a table."""
+    return spark.read.parquet(current_path(spark, folder))
+
 
-    The old folder stays beside the table until the next swap. On a store without atomic
-    renames a reader may find no table between the two steps.
+def _next_version(spark: SparkSession, folder: str) -> int:
+    """A number above all versions, those left behind by a failed write included."""
+    path, fs = _file_system(spark, folder)
+    written = [int(s.getPath().getName()) for s in fs.listStatus(path(folder, "versions"))] if fs.exists(path(folder, "versions")) else []
+    return max([0, *written, *_versions(spark, folder)]) + 1
+
+
+def _point(spark: SparkSession, folder: str, version: int, keep: int) -> DataFrame:
+    """Make a whole written version the current one.
+
+    The pointer is an empty file named by the version, so it appears in one step on any store, and readers take the highest. Nothing a
+    reader may have resolved is touched: the ``keep`` newest versions stay, older ones go, pointer first.
     """
     path, fs = _file_system(spark, folder)
-    old, main = path(f"{folder}__old"), path(folder)
-    if not fs.exists(path(fresh)):
-        raise OSError(f"{fresh} does not exist")
-    had = fs.exists(main)
-    if had:
-        fs.delete(old, True)
-        _rename(fs, main, old)
-    try:
-        _rename(fs, path(fresh), main)
-    except Exception:
-        if had and not fs.exists(main):
-            _rename(fs, old, main)
-        raise
-    return spark.read.parquet(folder)
-
-
-def overwrite_table(df: DataFrame, folder: str) -> DataFrame:
-    """Full refresh: write beside the table, then swap, so ``df`` may read the old rows."""
-    fresh = f"{folder}__new"
-    df.write.mode("overwrite").parquet(fresh)
-    return _swap(df.sparkSession, fresh, folder)
+    if not fs.exists(path(f"{folder}/versions/{version:012d}")):
+        raise OSError(f"version {version} of {folder} does not exist")
+    fs.create(path(f"{folder}/current/{version}"), False).close()
+    oldest = _versions(spark, folder)[-keep:][0]
+    for number in _versions(spark, folder):
+        if number < oldest:
+            fs.delete(path(f"{folder}/current/{number}"), False)
+    for status in fs.listStatus(path(f"{folder}/versions")):
+        if int(status.getPath().getName()) < oldest:
+            fs.delete(status.getPath(), True)
+    return current_table(spark, folder)
+
+
+def overwrite_table(df: DataFrame, folder: str, keep: int = 2) -> DataFrame:
+    """Full refresh: write a new version beside the old ones, then point to it.
+
+    ``df`` may read the current version. Readers resolve the table with ``current_table``; at every moment they find a whole
+    one, and a failed write leaves the old one in place. One writer at a time.
+    """
+    spark = df.sparkSession
+    version = _next_version(spark, folder)
+    df.write.parquet(f"{folder}/versions/{version:012d}")
+    return _point(spark, folder, version, keep)
 
 
 def append_table(df: DataFrame, folder: str) -> DataFrame:
@@ -139,11 +168,11 @@ class StageMismatch(ValueError):
     """The staged table does not hold the rows it was given."""
 
 
-def publish(df: DataFrame, staging: str, main: str, key: str) -> DataFrame:
-    """Write to staging, check the stage, then swap it into main.
+def publish(df: DataFrame, staging: str, main: str, key: str, keep: int = 2) -> DataFrame:
+    """Write to staging, check the stage, then move it into main as its next version.
 
     The stage must hold as many rows as were handed to the writer (counted on the
-    way) and no key twice. The swap moves the folder instead of copying the rows.
+    way) and no key twice. The folder is moved, not copied, and main is readable throughout (``current_table``).
     """
     spark = df.sparkSession
     given = Observation()
@@ -151,7 +180,11 @@ def publish(df: DataFrame, staging: str, main: str, key: str) -> DataFrame:
     rows, keys = spark.read.parquet(staging).agg(F.count(F.lit(1)), F.countDistinct(key)).first()
     if rows != given.get["n"] or keys != rows:
         raise StageMismatch(f"{staging}: {rows} rows, {keys} keys, {given.get['n']} rows written")
-    return _swap(spark, staging, main)
+    version = _next_version(spark, main)
+    path, fs = _file_system(spark, main)
+    fs.mkdirs(path(f"{main}/versions"))
+    _rename(fs, path(staging), path(f"{main}/versions/{version:012d}"))
+    return _point(spark, main, version, keep)
 
 
 def log_run(

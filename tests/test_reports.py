@@ -60,6 +60,23 @@ def test_profile_counts_dominant_values(spark):
     assert out == {"c": 1, "n": 0}
 
 
+def test_profile_in_one_scan(spark, plan, tmp_path):
+    layout = "c string, n double, at timestamp, day date, b binary, l array<int>, e string"
+    data = [("a", 0.0, datetime(2023, 1, 1), None, b"x", [1], None), ("a", -0.0, datetime(2030, 1, 1), None, b"x", [1], None), (None, None, None, None, None, None, None), ("bcd", 1.5, datetime(2001, 1, 1), None, b"", [], None)]
+    spark.createDataFrame(data, layout).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    found = quality.profile(df, datetime(2024, 1, 1), {"c": "^a"})
+    text = plan(found)
+    assert "Expand" not in text and text.count("FileScan") <= 2 * text.count("Initial Plan") + 1
+    out = {r.column_name: r for r in found.collect()}
+    got = {c: (r.total_records, r.null_count, r.distinct_count, r.anomaly_count) for c, r in out.items()}
+    assert got == {"c": (4, 1, 2, 0), "n": (4, 1, 2, 0), "at": (4, 1, 3, 2), "day": (4, 4, 0, 0), "b": (4, 1, 2, 0), "l": (4, 1, 2, 0), "e": (4, 4, 0, 0)}
+    assert (out["c"].min_value, out["c"].max_value, out["c"].avg_length) == ("a", "bcd", pytest.approx(5 / 3))
+    assert out["c"].pattern_compliance == pytest.approx(200 / 3) and out["at"].pattern_compliance == pytest.approx(100 / 3)
+    empty = quality.profile(df.limit(0), datetime(2024, 1, 1)).collect()
+    assert sorted(r.column_name for r in empty) == sorted(df.columns) and all(r.total_records == 0 for r in empty)
+
+
 def test_dominant_value(spark, rows):
     df = spark.createDataFrame([("a",), ("a",), ("a",), ("b",), (None,)], "c string")
     assert rows(quality.dominant_values(df, ["c"])) == [("c", 1)]

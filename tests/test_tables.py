@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import gzip
+import random
+import sys
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from shirabe.operators import change, join, project
+from shirabe.operators import aggregate, change, join, project
 from shirabe.session import scratch_path
-from shirabe.sources import readers, writers
+from shirabe.sources import paging, readers, writers
 
 AS_OF = datetime(2001, 6, 30, 16, 30)
 LAYOUT = "id string, kind string, mail string"
@@ -123,23 +125,74 @@ def test_layout_does_not_depend_on_rows(spark, tmp_path):
         assert paths[0].endswith("list-00000.csv.gz")
 
 
-def test_failed_swap_keeps_the_old_table(spark, rows, monkeypatch):
+def watched(spark, monkeypatch, folder, seen):
+    """Read the table before and after every step that a writer takes in the file system."""
+
+    def look():
+        seen.append(sorted(r.id for r in writers.current_table(spark, folder).collect()))
+
+    real = writers._file_system
+
+    class Watched:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            def step(*args):
+                if name not in ("exists", "listStatus"):
+                    look()
+                out = getattr(self.fs, name)(*args)
+                if name not in ("exists", "listStatus"):
+                    look()
+                return out
+
+            return step
+
+    def wrapped(*args):
+        path, fs = real(*args)
+        # The reader itself looks through the plain file system.
+        return (path, fs) if seen is None or any(f.f_code.co_name == "look" for f in frames()) else (path, Watched(fs))
+
+    monkeypatch.setattr(writers, "_file_system", wrapped)
+
+
+def frames():
+    frame = sys._getframe()
+    while frame:
+        yield frame
+        frame = frame.f_back
+
+
+def test_a_reader_always_finds_a_whole_table(spark, rows, monkeypatch):
+    for way in ("overwrite", "publish"):
+        folder, seen = scratch_path(spark, way), []
+        write = lambda df: writers.overwrite_table(df, folder) if way == "overwrite" else writers.publish(df, f"{folder}-stage", folder, "id")  # noqa: B023, E731
+        write(spark.range(3))
+        held = writers.current_table(spark, folder)
+        with monkeypatch.context() as patch:
+            watched(spark, patch, folder, seen)
+            for n in (4, 5, 6):
+                write(spark.range(n))
+        assert len(seen) > 8 and all(x in [list(range(n)) for n in (3, 4, 5, 6)] for x in seen)
+        assert [len(x) for x in seen] == sorted(len(x) for x in seen)
+        # The two newest versions stay for readers that have resolved them; older folders are gone.
+        assert writers._versions(spark, folder) == [3, 4] and rows(writers.current_table(spark, folder)) == [(i,) for i in range(6)]
+        with pytest.raises(Exception, match="exist|FILE_NOT_EXIST|Failed"):
+            held.collect()
+
+
+def test_a_failed_write_leaves_the_old_table(spark, rows):
     folder = scratch_path(spark, "kept")
+    with pytest.raises(FileNotFoundError):
+        writers.current_table(spark, folder)
     writers.overwrite_table(spark.range(3), folder)
-    calls, real = [], writers._rename
-
-    def failing(fs, source, target):
-        calls.append(1)
-        if len(calls) == 2:
-            raise OSError("refused")
-        real(fs, source, target)
-
-    monkeypatch.setattr(writers, "_rename", failing)
-    with pytest.raises(OSError, match="refused"):
-        writers.overwrite_table(spark.range(9), folder)
-    assert rows(spark.read.parquet(folder)) == [(0,), (1,), (2,)]
+    broken = spark.range(9).select(F.raise_error(F.lit("refused")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="refused"):
+        writers.overwrite_table(broken, folder)
+    assert rows(writers.current_table(spark, folder)) == [(0,), (1,), (2,)]
+    assert rows(writers.overwrite_table(spark.range(1), folder)) == [(0,)]
     with pytest.raises(OSError, match="does not exist"):
-        writers._swap(spark, f"{folder}__none", folder)
+        writers._point(spark, folder, 99, 2)
 
 
 def test_publish_refuses_repeated_keys(spark):
@@ -147,7 +200,7 @@ def test_publish_refuses_repeated_keys(spark):
     main = writers.publish(spark.range(3), f"{root}/s", f"{root}/m", "id")
     with pytest.raises(writers.StageMismatch):
         writers.publish(spark.range(3).union(spark.range(1)), f"{root}/s", f"{root}/m", "id")
-    assert main.count() == 3
+    assert main.count() == 3 and writers.current_table(spark, f"{root}/m").count() == 3
 
 
 def test_upsert_and_delta(spark, rows):
@@ -209,3 +262,66 @@ def test_run_log_current_state(spark):
     writers.log_run(spark, folder, "r1", "n", "Running", datetime(2001, 1, 1))
     log = writers.log_run(spark, folder, "r1", "n", "Failed", datetime(2001, 1, 2), error="e")
     assert latest_per_key(log, ["run_id"], ["at"]).first()["status"] == "Failed"
+
+
+def test_deep_page_reads_few_files(spark):
+    folder, data = scratch_path(spark, "pages"), [(i * 37 % 1000, f"r{i % 7}", None if i % 50 == 0 else i % 11) for i in range(1000)]
+    df = spark.createDataFrame(data, "id int, name string, g int")
+    paging.write_sorted(df, folder, ["g", "id"], ranges=20)
+    whole = sorted(data, key=lambda r: (r[2] is not None, r[2] or 0, r[0]))
+    for offset, size in [(0, 10), (900, 50), (990, 50), (333, 1), (123, 400), (1000, 5), (5, 0)]:
+        page = paging.read_page(spark, folder, ["g", "id"], offset, size)
+        assert [tuple(r) for r in page.collect()] == whole[offset : offset + size]
+        assert len(page.inputFiles()) <= size // 40 + 2
+    paging.write_sorted(df.limit(0), folder, ["g", "id"])
+    assert paging.read_page(spark, folder, ["g", "id"], 0, 5).collect() == []
+
+
+def test_spans_without_sorting(spark, rows, monkeypatch):
+    picked = random.Random(5)
+    low, high = -(1 << 63), (1 << 63) - 1
+    cases = {
+        "dense": range(100), "one": [5], "none": [], "ends": [low, -3, 0, 7, high], "few": [2, 3],
+        "skewed": [*range(300), 10**15, 10**18], "sparse": [picked.randrange(low, high) for _ in range(200)],
+    }
+    for cells in (1 << 16, 30):
+        monkeypatch.setattr(change, "HISTOGRAM_CELLS", cells)
+        for name, keys in cases.items():
+            ordered = sorted(set(keys))
+            size = max(len(ordered) // 7, 1)
+            want = [(i // size, part[0], part[-1], len(part)) for i in range(0, len(ordered), size) for part in [ordered[i : i + size]]]
+            got = change.spans(spark.createDataFrame([(k,) for k in ordered], "k long"), "k", 7)
+            assert sorted(tuple(r) for r in got.collect()) == want, (name, cells)
+
+
+def test_spans_of_other_types(spark):
+    df = spark.range(10).select(F.col("id").cast("int").alias("i"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("d"), F.format_string("k%02d", "id").alias("s"))
+    df = df.withColumn("t", F.col("d").cast("timestamp_ntz"))
+    for c in df.columns:
+        got = change.spans(df, c, 2)
+        assert got.schema["low"].dataType == df.schema[c].dataType
+        values = sorted(r[0] for r in df.select(c).collect())
+        assert sorted(tuple(r) for r in got.collect()) == [(0, values[0], values[4], 5), (1, values[5], values[9], 5)]
+
+
+def test_equal_snapshots_join_no_rows(spark, rows):
+    df = spark.range(500).selectExpr("if(id = 3, null, id) as id", "cast(id % 7 as string) as v", "sha2(cast(id % 7 as string), 256) as hash")
+    assert change.changed_buckets(df, df, ["id"], "hash", 64).collect() == []
+    changed = df.withColumn("v", F.when(F.col("id") == 9, "new").otherwise(F.col("v"))).withColumn("hash", F.sha2("v", 256))
+    marked = change.changed_buckets(changed, df, ["id"], "hash", 64).collect()
+    assert len(marked) == 1
+    out = change.delta_upsert(changed, df, "id", "hash", 64)
+    assert rows(out.filter("v = 'new'"), "id") == [(9,)] and out.count() == 500
+    # A repeated row, a lost row and a null hash each mark their bucket.
+    for other in (df.unionAll(df.filter("id = 8")), df.filter("id <> 8 or id is null"), df.withColumn("hash", F.when(F.col("id") == 8, None).otherwise(F.col("hash")))):
+        assert len(change.changed_buckets(other, df, ["id"], "hash", 64).collect()) == 1
+
+
+def test_distincts_roll_up_from_days(spark, rows):
+    data = [(d, i) for d in range(6) for i in (d, d + 1, -d, 40_000 * d, 1 << 40, None)] + [(7, None)]
+    df = spark.createDataFrame(data, "day int, id long")
+    days = aggregate.id_bitmaps(df, ["day"], "id")
+    per_day = {d: len({i for e, i in data if e == d and i is not None}) for d in range(6)}
+    assert {r.day: r.n for r in aggregate.distinct_of_bitmaps(days, ["day"], "n").collect()} == per_day
+    halves = aggregate.distinct_of_bitmaps(days.withColumn("half", F.floor(F.col("day") / 3)), ["half"], "n")
+    assert {r.half: r.n for r in halves.collect()} == {h: len({i for e, i in data if e // 3 == h and i is not None}) for h in (0, 1)}
