@@ -318,7 +318,7 @@ def _stream(t: Tables, unique: str | None = None) -> DataFrame:
     return feeds.with_late_policy(source, "ts", DELAY, unique)
 
 
-SLICES = 6
+SLICES = 5
 
 
 def _arriving(t: Tables, start, unique: str | None = None) -> None:
