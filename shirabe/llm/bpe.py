@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shirabe.llm.common import lean, sent
+
 # The word pattern of the rank files. Classes: letter, number, white space, anything else.
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -262,7 +264,7 @@ def encode(
     Other columns are not carried along.
     """
     table = classes()
-    shared = df.sparkSession.sparkContext.broadcast(Ranks(ranks))  # as large as the vocabulary
+    shared = sent(df, Ranks(ranks))  # as large as the vocabulary
 
     def block(keys: list, texts: list[str], held: Ranks, pieces: pa.Array) -> Iterator[pa.RecordBatch]:
         words, counts = split_words(texts, table)
@@ -312,7 +314,7 @@ def encode(
             yield from block(keys, texts, held, pieces)
 
     encoded = df.select(F.col(key).cast("bigint"), F.col(text)).mapInArrow(
-        run, f"key bigint, n_tokens bigint, ids {'string' if spelled else 'array<int>'}, decoded binary"
+        lean(run), f"key bigint, n_tokens bigint, ids {'string' if spelled else 'array<int>'}, decoded binary"
     )
     return encoded.withColumnRenamed("key", key)
 

@@ -2,20 +2,66 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from py4j.protocol import Py4JError
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shirabe.session import scratch_path
+# Write ``df`` as a table in the shared scratch folder and read it again: a lost executor repeats only later steps.
+from shirabe.session import stored as materialise
 
+__all__ = ["components", "give_back", "lean", "materialise", "release", "sent", "unused"]
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared scratch folder and read it again.
 
-    Cuts the lineage, so that a lost executor repeats only later steps.
-    """
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have, whatever the case of its names."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def give_back() -> None:
+    """Return the memory of finished arrays to the system; a reused Python worker would keep its largest size for ever."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, giving its memory back at the end of the task."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+_sent: list[Broadcast] = []
+
+
+def sent(df: DataFrame, value: object) -> Broadcast:
+    """Broadcast a value of a bounded size; ``release`` drops it from the executors."""
+    _sent.append(df.sparkSession.sparkContext.broadcast(value))
+    return _sent[-1]
+
+
+def release() -> None:
+    """Drop what earlier steps have broadcast from the executors; a task that still needs it fetches it again."""
+    while _sent:
+        try:
+            _sent.pop().unpersist()
+        except Py4JError:  # of a session that has ended
+            pass
 
 
 def _signature(edges: DataFrame) -> tuple:

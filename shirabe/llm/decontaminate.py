@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shirabe.llm.common import materialise
+from shirabe.llm.common import lean, materialise, sent
 from shirabe.llm.hashing import GOLDEN, MIX1, U64, mix, run_hashes, slices
 
 # Units that make a slot after a number.
@@ -58,8 +59,8 @@ def letter_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Templates:
     """Template words of texts: runs of letters or of digits, with their surface as the value of a slot."""
 
-    def __init__(self):
-        self.kind, self.low, self.upper = letter_tables()
+    def __init__(self, tables: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
+        self.kind, self.low, self.upper = tables or letter_tables()
         self.breaks = np.zeros(0x110000, bool)
         self.breaks[[ord(c) for c in ".!?:;\n\"'()"]] = True
         self.units = np.sort(np.array([self._one(u) for u in UNITS], U64))
@@ -124,6 +125,17 @@ class Templates:
         return out
 
 
+def solid_windows(values: np.ndarray, first: np.ndarray, width: int, form: int) -> np.ndarray:
+    """Which windows have enough words that are no slot: half of them, except in the form without slots.
+
+    Templates of little but numbers or names stand in tables and lists of any kind.
+    """
+    if form == SURFACE:
+        return np.ones(len(first), bool)
+    plain = np.concatenate([[0], np.cumsum(values == 0)])
+    return 2 * (plain[first + width] - plain[first]) >= width
+
+
 def windows(template: np.ndarray, counts: np.ndarray, width: int, form: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first word overall, text, first word in the text) of all windows of ``width`` words inside one text."""
     n = len(template) - width + 1
@@ -139,14 +151,14 @@ def windows(template: np.ndarray, counts: np.ndarray, width: int, form: int) ->
     return mix(hashes[inside]), inside, owner[inside], inside - begins[owner[inside]]
 
 
-WINDOW = "key bigint, hash bigint, at int, word int, width int, form int, slots binary"
+WINDOW = "hash bigint, at int, word int, width int, form int, slots binary"
 
 
-def _rows(keys: list, hashes, first, owner, at, width: int, form: int, values: np.ndarray, place: np.ndarray, kept: np.ndarray) -> pa.RecordBatch:
+def _rows(keys: pa.Array, hashes, first, owner, at, width: int, form: int, values: np.ndarray, place: np.ndarray, kept: np.ndarray) -> pa.RecordBatch:
     slots = [values[f : f + width].tobytes() if values[f : f + width].any() else b"" for f in first[kept]]
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([keys[o] for o in owner[kept]], pa.int64()),
+            keys.take(pa.array(owner[kept])),
             pa.array(hashes[kept].view(np.int64)),
             pa.array(at[kept].astype(np.int32)),
             pa.array(place[first[kept]].astype(np.int32)),
@@ -158,45 +170,48 @@ def _rows(keys: list, hashes, first, owner, at, width: int, form: int, values: n
     )
 
 
-def item_windows(benchmark: DataFrame, key: str, text: str, width: int, least_words: int) -> DataFrame:
+def item_windows(benchmark: DataFrame, key: str, text: str, width: int, least_words: int, made: Broadcast) -> DataFrame:
     """Windows of all benchmark items; an item of fewer than ``width`` words is one window, under ``least_words`` without slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maker = Templates()
+        maker = Templates(made.value)
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            for key_, text_ in zip(keys, batch.column(1).to_pylist(), strict=True):
+            for i, text_ in enumerate(batch.column(1).to_pylist()):
                 for form, (template, values, place, counts) in enumerate(maker.forms([text_ or ""])):
                     own = min(width, len(template))
-                    if (own >= least_words or form == SURFACE and own) and key_ is not None:
+                    if (own >= least_words or form == SURFACE and own) and batch.column(0)[i].is_valid:
                         found = windows(template, counts, own, form)
-                        yield _rows([key_], *found, own, form, values, place, np.arange(len(found[0])))
+                        kept = np.flatnonzero(solid_windows(values, found[1], own, form))
+                        yield _rows(batch.column(0).slice(i, 1), *found, own, form, values, place, kept)
 
-    return benchmark.select(F.col(key).cast("bigint"), F.col(text).cast("string")).mapInArrow(run, WINDOW)
+    kind = benchmark.schema[key].dataType.simpleString()
+    return benchmark.select(F.col(key), F.col(text).cast("string")).mapInArrow(lean(run), f"key {kind}, {WINDOW}")
 
 
-def candidate_windows(docs: DataFrame, key: str, text: str, widths: list[int], least_words: int, marked: np.ndarray) -> DataFrame:
+def candidate_windows(docs: DataFrame, key: str, text: str, widths: list[int], least_words: int, marked: np.ndarray, made: Broadcast) -> DataFrame:
     """Windows of whole documents that the filter of benchmark windows lets through, also some others.
 
     A window of fewer than ``least_words`` words is the whole document: so few words also stand in texts of any kind.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(marked))
+    shared = sent(docs, np.packbits(marked))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maker = Templates()
+        maker = Templates(made.value)
         known = np.unpackbits(shared.value).view(bool)
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            keys, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             for lo, hi in slices([len(t) + 1 for t in texts], PIECE):
                 for form, (template, values, place, counts) in enumerate(maker.forms(texts[lo:hi])):
                     for width in widths:
                         found = windows(template, counts, width, form)
-                        kept = known[found[0] >> U64(64 - FILTER_BITS)]
+                        kept = known[found[0] >> U64(64 - FILTER_BITS)] & solid_windows(values, found[1], width, form)
                         kept = np.flatnonzero(kept if width >= least_words else kept & (counts[found[2]] == width))
                         if len(kept):
-                            yield _rows(keys[lo:hi], *found, width, form, values, place, kept)
+                            yield _rows(keys.slice(lo, hi - lo), *found, width, form, values, place, kept)
+                    del template, values, place, counts
 
-    return docs.select(F.col(key).cast("bigint"), F.col(text).cast("string")).mapInArrow(run, WINDOW)
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(F.col(key), F.col(text).cast("string")).mapInArrow(lean(run), f"key {kind}, {WINDOW}")
 
 
 def agreeing(df: DataFrame, by: list[str]) -> DataFrame:
@@ -233,10 +248,11 @@ def contaminated(
     words in a row have. Alignments are neighbours if their shifts differ by no more than the
     item has windows. An item of fewer than ``least_words`` words is reported where it is the
     whole document. Null texts and keys match nothing. The best alignment is reported, the
-    earliest on ties.
+    earliest on ties. Windows with slots count only if half of their words are no slots, on both
+    sides. Keys are of any type; repeated keys stand together.
     """
-    spark = docs.sparkSession
-    items = materialise(item_windows(benchmark, item_key, text, width, least_words), "items")
+    made = sent(docs, letter_tables())  # one entry per code point, about 7 MB
+    items = materialise(item_windows(benchmark, item_key, text, width, least_words, made), "items")
     # Bounded by the filter's size, not by the benchmark's.
     spots = items.select(F.shiftrightunsigned("hash", 64 - FILTER_BITS).alias("spot")).distinct().toArrow().column(0).to_numpy()
     marked = np.zeros(1 << FILTER_BITS, bool)
@@ -244,7 +260,7 @@ def contaminated(
     widths = sorted(r[0] for r in items.select("width").distinct().collect())
     if not widths:
         widths = [width]
-    found = candidate_windows(docs, doc_key, text, widths, least_words, marked)
+    found = candidate_windows(docs, doc_key, text, widths, least_words, marked, made)
     matched = (
         found.join(
             items.select(F.col("key").alias("item"), "hash", "width", "form", F.col("at").alias("item_at"), F.col("slots").alias("item_slots")),

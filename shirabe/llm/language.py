@@ -14,9 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shirabe.llm.common import give_back, sent, unused
+
 SYMBOLS = 64
 SPACE = SYMBOLS + SYMBOLS**2 + SYMBOLS**3
 PIECE = 1 << 20
@@ -91,17 +93,22 @@ class Model:
         )
 
 
-def sample(df: DataFrame, key: str, text: str, lang: str, rows: int) -> list[tuple[str, np.ndarray]]:
-    """(language, n-gram codes) of about ``rows`` labelled texts, as many of each language and one at least, chosen by the hash of the key.
+def sample(df: DataFrame, key: str, text: str, lang: str, rows: int, labels: int) -> list[tuple[str, np.ndarray]]:
+    """(language, n-gram codes) of labelled texts: as many of each language, one at least, and at most ``max(rows, labels)`` in all.
 
-    The codes are made on the executors; each text gives at most ``SPACE`` of them.
+    Texts are drawn by the hash of key and text; equal rows count once. The ``labels`` most frequent languages are learned. A hash
+    bound lets about three times as many rows through as are wanted, the first in hash order are taken. The
+    codes are made on the executors; each text gives at most ``SPACE`` of them.
     """
-    labelled = df.withColumn("_h", F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 40)) / float(1 << 40))
-    counts = labelled.groupBy(lang).agg(F.count("*").alias("_n"), F.min("_h").alias("_least"))
-    each = max(1, rows // max(1, counts.count()))
-    # The first row of each label is drawn, so none goes without.
-    limits = counts.select(F.col(lang).alias("_lang"), F.greatest(F.lit(float(each)) / F.col("_n"), "_least").alias("_limit"))
-    chosen = (F.col(lang) == F.col("_lang")) & (F.col("_h") <= F.col("_limit"))
+    hashed = F.pmod(F.xxhash64(F.lit("sample"), F.col(key), F.col(text)), F.lit(1 << 40)) / float(1 << 40)
+    labelled = df.select(F.col(lang).alias("lang"), F.col(text).alias("text"), hashed.alias("h"))
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")).orderBy(F.desc("n"), "lang").limit(labels)
+    known = df.sparkSession.createDataFrame(counts.collect(), counts.schema)
+    each = max(1, rows // max(1, known.count()))
+    # The first row of each label is let through, so none goes without; ``labels`` rows at most are broadcast.
+    limits = F.broadcast(known.select("lang", F.greatest(F.lit(3.0 * each) / F.col("n"), "least").alias("limit")))
+    near = labelled.join(limits, "lang").where("h <= limit").groupBy("lang", "h").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy("h")
     table = symbol_table()
 
     @F.pandas_udf("binary")
@@ -112,18 +119,21 @@ def sample(df: DataFrame, key: str, text: str, lang: str, rows: int) -> list[tup
 
         return texts.map(one)
 
-    found = labelled.join(F.broadcast(limits), chosen).select(lang, "_h", codes(F.col(text)).alias("codes")).collect()
-    found.sort(key=lambda r: (r["_h"], r[lang], bytes(r["codes"])))
-    return [(r[lang], np.frombuffer(bytes(r["codes"]), np.int32)) for r in found]
+    drawn = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= each)
+    found = drawn.select("lang", "h", codes("text").alias("codes")).collect()
+    found.sort(key=lambda r: (r["h"], r["lang"], bytes(r["codes"])))
+    return [(r["lang"], np.frombuffer(bytes(r["codes"]), np.int32)) for r in found]
+
 
+def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = 1600, landmarks: int = 128, ridge: float = 1e-2, labels: int = 256) -> Model:
+    """Fit on a sample of at most ``rows`` labelled texts, or one per language (the documented bounds); rows without text or label are left out.
 
-def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = 1600, landmarks: int = 128, ridge: float = 1e-2) -> Model:
-    """Fit on a sample of about ``rows`` labelled texts (the documented bound); rows without text or label are left out.
+    The ``labels`` most frequent languages are learned; texts of others are taken for one of these.
 
     Landmarks are the first texts of each language in hash order. Features are
     the n-grams present in at least two landmarks, or in one if there are too few texts for that.
     """
-    drawn = [x for x in sample(df.where(F.col(text).isNotNull() & F.col(lang).isNotNull()), key, text, lang, rows) if len(x[1])]
+    drawn = [x for x in sample(df.where(F.col(text).isNotNull() & F.col(lang).isNotNull()), key, text, lang, rows, labels) if len(x[1])]
     languages = sorted({x[0] for x in drawn})
     table = symbol_table()
     if not drawn:
@@ -154,7 +164,7 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lan
 
 def predicted(df: DataFrame, model: Model, text: str = "text") -> Column:
     """Struct of ``lang_pred`` and ``score`` for each whole text; the model is broadcast, its size is bounded by its parameters."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = sent(df, model)
 
     @F.pandas_udf("lang_pred string, score double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -166,14 +176,15 @@ def predicted(df: DataFrame, model: Model, text: str = "text") -> Column:
                 names += name
                 scores.append(score)
             yield pd.DataFrame({"lang_pred": names, "score": np.concatenate(scores) if scores else []})
+        give_back()
 
     return scored(F.col(text))
 
 
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``df`` with ``lang_pred`` and ``score``; columns of these names are replaced."""
-    out = df.drop("lang_pred", "score", "_p").withColumn("_p", predicted(df, model, text))
-    return out.select("*", "_p.lang_pred", "_p.score").drop("_p")
+    kept, made = [c for c in df.columns if c.lower() not in ("lang_pred", "score")], unused(df, "_p")
+    return df.withColumn(made, predicted(df, model, text)).select(*kept, f"{made}.lang_pred", f"{made}.score")
 
 
 def held_out(key: str = "doc_id") -> Column:

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shirabe.session import prepare
 
-# Documents are large rows: batches of this many keep the Python workers small.
-BATCH_ROWS = "2000"
+# Documents are large rows: batches of so many rows and bytes keep the Python workers small, however long the texts are.
+BATCH_ROWS, BATCH_BYTES = "2000", "4m"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,6 +33,7 @@ def query(name: str, sql: str | None = None):
 def ready(spark: SparkSession) -> SparkSession:
     """The session with the settings the operators assume."""
     prepare(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark
 
 

@@ -8,6 +8,7 @@ import random
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from shirabe.llm import bpe, language
@@ -67,3 +68,46 @@ def test_one_row_of_each_group_stays(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()), key=str)
     assert got == sorted([(1, text), (2, own), (3, "a text of its own"), (None, "a null id with its own text")], key=str)
+
+
+def test_stages_with_clashing_columns(spark, folder):
+    docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
+    own = ["_key", "_copy", "_n", "_p", "_before", "row_key", "copy", "found", "before", "number", "first", "rows", "lang_pred", "score", "component_id", "key", "hash"]
+    odd = docs.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in own])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, odd, folder[0])
+        assert got.columns == odd.columns, name
+        rows = got.where("doc_id < 60").collect()
+        assert len(rows) == 60
+        for r in rows:
+            assert [r[c] for c in own] == [f"{c}{r.doc_id}" for c in own], name
+
+
+def test_each_row_is_decontaminated_by_its_own_text(spark, folder):
+    path, texts = folder
+    item = spark.read.parquet(f"{path}/benchmark.parquet").where("item_id = 2").first().text
+    docs = spark.createDataFrame([(1, texts[1]), (1, f"{texts[2]} {item}"), (None, item), (None, texts[3]), (4, None)], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_contaminated(spark, docs, path).collect()), key=str)
+    assert got == sorted([(1, texts[1]), (None, texts[3]), (4, None)], key=str)
+
+
+def test_tables_of_numbers_stay(spark, tmp_path):
+    """Documents and items of little but different numbers or names share templates, not content."""
+    picked = random.Random(8)
+    numbers = lambda n: " ".join(f"{picked.randrange(10**6)}.{picked.randrange(100):02d}" for _ in range(n))
+    prices = lambda n: "; ".join(f"{picked.choice(['Tea', 'Salt', 'Rice', 'Oil', 'Milk'])} {picked.randrange(900)} usd" for _ in range(n))
+    question = "A train leaves at {} km per hour and meets another train that left {} hours before; how far did {} walk to reach it"
+    items = [numbers(60) for _ in range(12)] + [prices(30) for _ in range(12)] + [question.format(80, 3, "Maria")]
+    docs = [numbers(200) for _ in range(20)] + [prices(90) for _ in range(20)] + ["x y z " + question.format(95, 7, "Otto") + " end"]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.drop_contaminated(spark, spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), str(tmp_path))
+    assert sorted(r.doc_id for r in got.collect()) == list(range(40))
+
+
+def test_the_bound_of_the_language_sample_holds(spark):
+    one = spark.range(6000).selectExpr("1L as doc_id", "'the same words again' as text", "'en' as lang")
+    assert len(language.sample(one, "doc_id", "text", "lang", 100, 256)) == 1
+    ids = spark.range(6000).selectExpr("1L as doc_id", "concat('words of text ', id) as text", "'en' as lang")
+    assert 60 < len(language.sample(ids, "doc_id", "text", "lang", 100, 256)) <= 100
+    many = spark.range(3000).selectExpr("id as doc_id", "concat('words of text ', id) as text", "concat('l', id) as lang")
+    assert len(language.sample(many, "doc_id", "text", "lang", 100, 256)) == 256
