@@ -10,6 +10,7 @@ lines), and menus, footers, adverts and the like go, also if no neighbour has th
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -34,6 +35,10 @@ NAMES = frozenset(
     "login masthead menu menus modal nav navbar navigation notice notices overlay pagination popup popover promo promotion rail "
     "recommendations recommended related replies responses search share sharing sidebar signup social toast toolbar topbar widget widgets".split()
 )
+LAYOUT = frozenset(
+    "area article articles aside bar block bottom box btn button buttons col column container content count entries form group head icon icons inline inner "
+    "item items label left link links list main outer panel post posts right row section site slot stories story text title top unit wrap wrapper".split()
+)
 STEMS = ("advert", "comment", "cookie", "newsletter", "sidebar", "sponsor", "subscri")
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form navigation search".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -49,6 +54,7 @@ class Lines(HTMLParser):
         self.stack: list[tuple[str, int, bool]] = []  # element, whether and how it is skipped, whether it is an article
         self.holder: int | None = None  # depth of the outermost holder
         self.since = 0  # lines before it
+        self.open: Counter[str] = Counter()  # open elements of each name
         self.parts: list[str] = []
         self.lines: list[tuple[str, int]] = []
 
@@ -73,8 +79,13 @@ class Lines(HTMLParser):
                     # It was not closed, so the articles after it are the page's own.
                     self.lines[self.since :] = [(t, INSIDE if p == NESTED else p) for t, p in self.lines[self.since :]]
                 self.holder = None
+            self.open.subtract(tag for tag, _, _ in self.stack[depth:])
             del self.stack[depth:]
 
+    def push(self, tag: str, skipped: int, article: bool) -> None:
+        self.stack.append((tag, skipped, article))
+        self.open[tag] += 1
+
     def handle_starttag(self, tag: str, attrs) -> None:
         skipped = self.stack[-1][1] if self.stack else 0
         article = bool(self.stack) and self.stack[-1][2]
@@ -100,7 +111,7 @@ class Lines(HTMLParser):
             root = next(d for d, (_, how, _) in enumerate(self.stack) if how)
             if tag == "article" and self.stack[root][1] != SKIP:
                 # A comment or a card, unless what holds it turns out not to be closed.
-                self.stack.append((tag, CARD, False))
+                self.push(tag, CARD, False)
                 return
             # An article inside a menu: that one was not closed.
             self.pop_to(root)
@@ -113,7 +124,7 @@ class Lines(HTMLParser):
             if own == HOLDER and not skipped:
                 self.holder, self.since = len(self.stack), len(self.lines)
             skipped = own
-        self.stack.append((tag, skipped, article or (begins and not skipped)))
+        self.push(tag, skipped, article or (begins and not skipped))
 
     @staticmethod
     def marked(tag: str, given: dict, role: str, article: bool) -> int:
@@ -124,11 +135,17 @@ class Lines(HTMLParser):
             return SKIP
         if tag in ("html", "body", "p", "h1", "h2", "h3", "h4", "h5", "h6") and not given.get("class"):
             return 0
+        if tag in ("html", "body"):
+            return 0
         names = f"{given.get('class') or ''} {given.get('id') or ''}".lower().replace("-", " ").replace("_", " ").split()
-        found = tag not in ("html", "body") and any((n in NAMES and not (article and n == "header")) or n.startswith(STEMS) for n in names)
-        return HOLDER if found else 0
+        named = [n in NAMES and not (article and n == "header") for n in names]
+        # In an article a name among other words may be about its topic (share-price, search results): all must be words of layout.
+        found = any(named) and (not article or all(known or n in LAYOUT or n.isdigit() for n, known in zip(names, named, strict=True)))
+        return HOLDER if found or any(n.startswith(STEMS) for n in names) else 0
 
     def handle_endtag(self, tag: str) -> None:
+        if not self.open[tag]:  # nothing to close: the stack need not be searched
+            return
         for depth in range(len(self.stack) - 1, -1, -1):
             if self.stack[depth][0] == tag:
                 self.pop_to(depth, closed=True)
@@ -163,22 +180,75 @@ def main_text(lines: list[str], places: bytes, shared: set[int]) -> list[str]:
     return [t for i, (t, p) in enumerate(zip(lines, places, strict=True)) if p in kept and not (p == OUTSIDE and i in shared)]
 
 
+# Pairs of equal lines up to which a chain of matches is kept in memory.
+MATCHES = 1 << 17
+
+
 def common(a: list[int], b: list[int]) -> list[int]:
-    """Indices of the lines of ``a`` in a longest common subsequence with ``b``."""
-    lead = 0
-    while lead < min(len(a), len(b)) and a[lead] == b[lead]:
-        lead += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - lead and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
+    """Indices of the lines of ``a`` in a longest common subsequence with ``b``.
+
+    Equal starts and ends are taken off. What is left goes to a chain of matches if few lines are equal; otherwise ``a`` is
+    halved where the longest subsequence passes, found with a bit per line of ``b``, so many equal lines take neither time nor memory
+    by the product of their numbers. Both ways give a longest one.
+    """
+    out: list[int] = []
+    open_ = [(0, len(a), 0, len(b))]
+    while open_:
+        lo, hi, start, end = open_.pop()
+        while lo < hi and start < end and a[lo] == b[start]:
+            out.append(lo)
+            lo, start = lo + 1, start + 1
+        while lo < hi and start < end and a[hi - 1] == b[end - 1]:
+            out.append(hi - 1)
+            hi, end = hi - 1, end - 1
+        if lo == hi or start == end:
+            continue
+        there = Counter(b[start:end])
+        if sum(there[x] for x in a[lo:hi]) <= MATCHES or hi - lo == 1:
+            out += [lo + i for i in chain_of(a[lo:hi], b[start:end])]
+            continue
+        middle = (lo + hi) // 2
+        before = lengths(a[lo:middle], b[start:end])
+        after = lengths(a[middle:hi][::-1], b[start:end][::-1])[::-1]
+        cut = start + int((before + after).argmax())
+        open_ += [(lo, middle, start, cut), (middle, hi, cut, end)]
+    return sorted(out)
+
+
+def lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of a longest common subsequence of ``a`` with the first 0, 1, ... len(b) lines of ``b``.
+
+    The bits of one long number stand for the lines of ``b``; a line of ``a`` takes one addition. Zeros are where the length grows.
+    """
+    n = len(b)
+    wanted, spots = set(a), {}
+    for j, line in enumerate(b):
+        if line in wanted:
+            spots.setdefault(line, []).append(j)
+    masks = {}
+    for line, at in spots.items():
+        bits = np.zeros(n, np.uint8)
+        bits[at] = 1
+        masks[line] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    row = full = (1 << n) - 1
+    for line in a:
+        mask = masks.get(line)
+        if mask is not None:
+            met = row & mask
+            row = ((row + met) | (row - met)) & full
+    bits = np.unpackbits(np.frombuffer(row.to_bytes((n + 7) // 8, "little"), np.uint8), count=n, bitorder="little")
+    return np.concatenate([[0], np.cumsum(bits == 0)])
+
+
+def chain_of(a: list[int], b: list[int]) -> list[int]:
+    """Indices of ``a`` in a longest chain of matches that rises in both lists."""
     spots: dict[int, list[int]] = {}
-    for j in range(len(b) - tail - 1, lead - 1, -1):
+    for j in range(len(b) - 1, -1, -1):
         spots.setdefault(b[j], []).append(j)
-    # Hunt and Szymanski: a chain of matches, rising in both pages.
     ends: list[int] = []
     last: list[tuple[int, tuple | None]] = []
-    for i in range(lead, len(a) - tail):
-        for j in spots.get(a[i], ()):
+    for i, line in enumerate(a):
+        for j in spots.get(line, ()):
             k = bisect_left(ends, j)
             node = (i, last[k - 1] if k else None)
             if k == len(ends):
@@ -190,7 +260,7 @@ def common(a: list[int], b: list[int]) -> list[int]:
     while node:
         chain.append(node[0])
         node = node[1]
-    return [*range(lead), *reversed(chain), *range(len(a) - tail, len(a))]
+    return chain[::-1]
 
 
 def neighbours(pages: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ added as spans of kind ``context``.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,9 +35,23 @@ BEFORE = r"(?<!\S)(\S+)\s+(\S+)\s+[\"'(\[<]?$"
 RESIDUES = 1 << 16
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, also if ``use`` takes it inside a function over an array."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+STRETCH = 256  # matches placed with one running sum
+
+
 def located(text: Column, pattern: str) -> Column:
-    """Matches of a pattern as structs of start, end (code points, from 0) and value, in order."""
+    """Matches of a pattern as structs of start, end (code points, from 0) and value, in order.
+
+    Places are running sums of the lengths of gaps and matches: first within stretches of matches, then over the stretches, so that an
+    array that grows by one is never long and 100,000 matches take seconds.
+    """
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    sums = F.array().cast("array<int>")
 
     def step(state: Column, pair: Column) -> Column:
         start = state["at"] + F.char_length(pair["gap"])
@@ -44,10 +59,26 @@ def located(text: Column, pattern: str) -> Column:
         span = F.struct(start.alias("start"), end.alias("end"), pair["value"].alias("value"))
         return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
 
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    def add(state: Column, part: Column) -> Column:
+        return F.struct((state["at"] + part["at"]).alias("at"), F.concat(state["sums"], F.array(state["at"])).alias("sums"))
+
+    def moved(part: Column, by: Column) -> Column:
+        return F.transform(part["spans"], lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["value"].alias("value")))
+
     pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
-    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda s: s["spans"])).otherwise(none)
+    begin = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+
+    def by_stretch(whole: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(whole) - 1) / STRETCH).cast("int"))
+        return F.transform(numbers, lambda i: F.aggregate(F.slice(whole, i * STRETCH + 1, STRETCH), begin, step))
+
+    def placed(parts: Column) -> Column:
+        starts = F.aggregate(parts, F.struct(F.lit(0).alias("at"), sums.alias("sums")), add, lambda s: s["sums"])
+        return F.flatten(F.zip_with(parts, starts, moved))
+
+    return F.when(F.size(found) > STRETCH, bound(bound(pairs, by_stretch), placed)).when(
+        F.size(found) > 0, F.aggregate(pairs, begin, step, lambda s: s["spans"])
+    ).otherwise(none)
 
 
 def luhn(digits: Column) -> Column:
