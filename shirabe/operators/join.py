@@ -67,17 +67,19 @@ def only_one_in_group(
         .groupBy("_block", "_a")
         .agg(F.min("_d").alias("_low"), F.max("_d").alias("_high"))
     )
-    # Equal candidates are counted, not told apart.
-    counted = candidates.groupBy(*candidates.columns).agg(F.count(F.lit(1)).alias("_copies"))
-    unfolded = counted.select(F.struct(*counted.columns).alias("_row"), F.col(block).alias("_block"), attributes())
+    # The block and the attributes alone decide, so equal ones are judged once and whole rows move once.
+    deciding = list(dict.fromkeys([block, *any_of]))
+    judged = candidates.select(*deciding).distinct()
+    unfolded = judged.select(F.struct(*deciding).alias("_row"), F.col(block).alias("_block"), attributes())
     kept = (
         unfolded.join(spans, ["_block", "_a"])
         .groupBy("_row")
         .agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"))
         .filter("_low = _high")
+        .select(*[F.col(f"_row.{c}").alias(f"_k{i}") for i, c in enumerate(deciding)])
     )
-    copies = F.sequence(F.lit(1).cast("long"), F.col("_row._copies"))
-    return kept.withColumn("_copy", F.explode(copies)).select(*[F.col(f"_row.{c}").alias(c) for c in candidates.columns])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(deciding)])
+    return candidates.join(kept, same, "left_semi")
 
 
 def outlier_count(df: DataFrame, keys: list[str], value: str, k: float = 2) -> DataFrame:

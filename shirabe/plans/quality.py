@@ -50,25 +50,31 @@ def _valid_rows(df: DataFrame, rules: list[Rule]) -> tuple[int, list[int]]:
     return total, valid
 
 
+def _counts(df: DataFrame, rules: list[Rule], errors: dict[str, str | None]) -> tuple[int | None, dict[str, int]]:
+    """Rows and valid rows of each rule; a list that fails is halved until the broken rule stands alone."""
+    try:
+        total, counts = _valid_rows(df, rules)
+        return total, {r.name: n for r, n in zip(rules, counts, strict=True)}
+    except PySparkException as broken:
+        if len(rules) == 1:
+            errors[rules[0].name] = str(broken).strip().splitlines()[0]
+        if len(rules) <= 1:
+            return None, {}
+    half = len(rules) // 2
+    (first, some), (second, others) = _counts(df, rules[:half], errors), _counts(df, rules[half:], errors)
+    return first if first is not None else second, {**some, **others}
+
+
 def run_rules(df: DataFrame, rules: list[Rule]) -> DataFrame:
     """All rules in one pass: counts, score, whether the threshold is met, and the error of a rule that cannot be run.
 
     A rule that does not fit the table or fails on its rows has score 0 and its error; the
-    others are scored all the same. Only if one fails while running does each get a pass of its own.
+    others are scored all the same. A rule that fails while running costs two passes per halving of the list of rules.
     """
     errors = {r.name: _rule_error(df, r) for r in rules}
-    sound = [r for r in rules if errors[r.name] is None]
-    valid: dict[str, int] = {}
-    try:
-        total, counts = _valid_rows(df, sound)
-        valid = {r.name: n for r, n in zip(sound, counts, strict=True)}
-    except PySparkException:
+    total, valid = _counts(df, [r for r in rules if errors[r.name] is None], errors)
+    if total is None:
         total = df.count()
-        for r in sound:
-            try:
-                valid[r.name] = _valid_rows(df, [r])[1][0]
-            except PySparkException as broken:
-                errors[r.name] = str(broken).strip().splitlines()[0]
     rows = []
     for r in rules:
         good = valid.get(r.name, 0)

@@ -192,6 +192,13 @@ def test_flatten_json_keys_like_positions(spark, rows, plan):
     assert "Python" not in plan(flat) and "Arrow" not in plan(flat)
 
 
+def test_flatten_json_below_several_levels(spark, rows):
+    deep = '{"a": ' * 11 + '[{"z": 1}, [2], {}]' + "}" * 11
+    flat = jsonx.flatten_json(spark.createDataFrame([(1, deep), (2, "5"), (3, "[1, null]")], "id int, doc string"), "id", "doc")
+    at = ".".join("a" * 11)
+    assert rows(flat) == [(1, f"{at}[0].z", "1"), (1, f"{at}[1]", "[2]"), (2, "", "5"), (3, "[0]", "1"), (3, "[1]", None)]
+
+
 def test_has_required(spark):
     df = spark.createDataFrame([("Test User", "m@x.jp"), ("", "m@x.jp"), (None, "m@x.jp"), ("　", "m@x.jp")], "name string, email string")
     assert [r[0] for r in df.select(text.has_required(df, ["name", "email"])).collect()] == [True, False, False, False]

@@ -49,6 +49,18 @@ def test_a_broken_rule_does_not_stop_the_others(spark):
         assert out[name].quality_score == 0.0 and out[name].error_message and not out[name].threshold_met
 
 
+def test_broken_rules_are_found_by_halving(spark, monkeypatch):
+    df = spark.createDataFrame([("1",), ("x",)], "c string")
+    rules = [quality.Rule(f"r{i}", "CAST(c AS INT) > 0" if i == 11 else "c IS NOT NULL", 50.0, "Low") for i in range(32)]
+    passes, real = [], quality._valid_rows
+    monkeypatch.setattr(quality, "_valid_rows", lambda df, some: (passes.append(len(some)), real(df, some))[1])
+    out = {r.rule_name: r for r in quality.run_rules(df, rules).collect()}
+    assert len(passes) == 11 and [n for n, r in out.items() if r.error_message] == ["r11"]
+    assert all(r.total_records == 2 and r.valid_records == 2 * (n != "r11") for n, r in out.items())
+    (alone,) = quality.run_rules(df, [rules[11]]).collect()
+    assert (alone.total_records, alone.quality_score) == (2, 0.0) and alone.error_message
+
+
 def test_custom_pattern_under_a_default_name(spark):
     df = spark.createDataFrame([("tel 0312345678",)], "t string")
     assert quality.scan_pii(df, ["t"], {"phone": "[0-9]{10}"}).first().hits == 1
