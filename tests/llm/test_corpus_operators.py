@@ -116,12 +116,77 @@ def test_top_k_is_exact(spark, kind):
     data = [(i, [float(x) for x in v], "c") for i, v in enumerate(vectors)]
     odd = [(None, [1.0] * 12, "c"), (9000, None, "c"), (9050, [float("nan")] * 12, "c"), (9100, [None] + [1.0] * 11, "c"), (9150, [float("inf")] * 12, "c"), (9200, [], "c")]
     df = spark.createDataFrame(data + odd, "vec_id long, embedding array<double>, score string")
-    tree = mtree.MTree(mtree.quantised(df, "vec_id", "embedding", 256), page=32)
-    found = tree.search(tree.rows.where("id % 50 = 0").dropDuplicates(["id"]), 5)
+    tree = mtree.MTree(mtree.quantised(df, "vec_id", "embedding", 256), page=8, subtree=100, sample=64)
+    assert len(tree.directory["parent"]) > 3
+    found = tree.search(tree.rows.where("id % 50 = 0"), 5)
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in found.collect())
     assert got == brute_top(np.arange(700), vectors, 50, 5)
 
 
+def clustered(picked, rows, clusters):
+    """Vectors of one norm in tight clusters, so that near ones have the large products."""
+    vectors = np.repeat(picked.normal(size=(clusters, 16)), rows // clusters, axis=0) + 0.02 * picked.normal(size=(rows, 16))
+    return np.floor(256 * 40 * vectors / np.linalg.norm(vectors, axis=1)[:, None])
+
+
+def test_subtree_nodes_cover_their_entries_and_skip_most_products():
+    picked = np.random.default_rng(2)
+    shares = []
+    for rows in (1000, 10_000):
+        vectors = clustered(picked, rows, rows // 20)
+        space = mtree.Space(16, float((vectors**2).sum(axis=1).max()))
+        lifted = space.lift(vectors)
+        tree = mtree.Subtree.grow(lifted, lifted[0], 32)
+        assert sorted(tree.order.tolist()) == list(range(rows))
+        lifted, entries = lifted[tree.order], vectors[tree.order].astype(np.int64)
+        levels = {0: 0}
+        for node in range(len(tree.begin)):
+            centre = space.lift(vectors[:1])[0] if tree.centre[node] < 0 else lifted[tree.centre[node]]
+            away = np.linalg.norm(lifted[tree.begin[node] : tree.end[node]] - centre, axis=1)
+            assert away.max() <= tree.radius[node] + 1e-3
+            if tree.child[node]:
+                kids = range(tree.child[node], tree.child[node] + tree.children[node])
+                levels |= {kid: levels[node] + 1 for kid in kids}
+                assert [tree.begin[kids[0]], *(tree.end[kid] for kid in kids)] == [*(tree.begin[kid] for kid in kids), tree.end[node]]
+            else:
+                assert tree.end[node] - tree.begin[node] <= 32 and np.abs(away - tree.to_leaf[tree.begin[node] : tree.end[node]]).max() < 1e-2
+        assert max(levels.values()) >= 2
+        computed = 0
+        for query in range(0, rows, rows // 50):
+            own = entries[query]
+            to_root = float(space.away((own**2).sum(), entries @ own)[np.flatnonzero(tree.order == 0)[0]])
+            found, cost = tree.nearest(entries, own, to_root, 5, -(2.0**62), space, lambda lo, hi: (np.arange(lo, hi), np.ones(hi - lo, bool)))
+            scores = entries @ own
+            assert [(-s, place) for s, _, place in found] == [(scores[j], j) for j in np.lexsort((np.arange(rows), -scores))[:5]]
+            computed += cost
+        shares.append(computed / (50 * rows))
+    assert shares[0] < 0.5 and shares[1] < shares[0] / 2
+
+
+def test_search_computes_few_of_all_products(spark):
+    vectors = clustered(np.random.default_rng(3), 6000, 300) / 256
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    tree = mtree.MTree(mtree.quantised(df, "vec_id", "embedding", 256), page=16, subtree=400)
+    found = tree.search(tree.rows.where("id % 50 = 0"), 5)
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in found.collect()) == brute_top(np.arange(6000), vectors, 50, 5)
+    costs = [r.computed for r in tree.computed.collect()]
+    assert len(costs) == 120 and sum(costs) < 0.25 * 120 * 6000
+
+
+def test_top_k_of_repeated_ids_copies_and_large_norms(spark):
+    schema = "vec_id long, embedding array<double>"
+    big = float(1 << 20)  # times 256: products beyond 2^53, kept exact
+    rows = [(0, [1.0, big + 1 / 256]), (1, [3.0, big]), (2, [2.0, big]), (3, [5.0, 7.0]), (3, [5.0, 7.0]), (4, [1e300, 1.0])]
+    found = mtree.top_k(spark.createDataFrame(rows, schema), "vec_id", "embedding", 50, 5).orderBy("rank").collect()
+    whole = [[int(256 * x) for x in v] for _, v in rows]
+    score = lambda j: whole[0][0] * whole[j][0] + whole[0][1] * whole[j][1]
+    assert [(r.vec_id, r.score) for r in found] == [(1, score(1)), (2, score(2)), (3, score(3)), (3, score(3))]
+    # Of vectors of one id the least asks, and none of its rows is its own neighbour.
+    rows = [(50, [2.0]), (50, [1.0]), (50, [2.0]), (7, [4.0]), (8, [4.0]), (9, [2.0])]
+    found = mtree.top_k(spark.createDataFrame(rows, schema), "vec_id", "embedding", 50, 2).orderBy("rank").collect()
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in found] == [(50, 1, 7, 1 << 18), (50, 2, 8, 1 << 18)]
+
+
 def test_top_k_edge_cases(spark):
     schema = "vec_id long, embedding array<float>"
     assert mtree.top_k(spark.createDataFrame([], schema), "vec_id", "embedding", 50, 5).collect() == []
