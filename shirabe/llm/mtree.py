@@ -27,6 +27,7 @@ from shirabe.llm.common import lean, materialise, sent
 
 CUTS = 16  # subtrees by distance below one routing object; a larger stretch has several
 FAN = 8  # children of a node
+EXACT = float(1 << 106)  # product of two squared norms below which all inner products are whole doubles
 LARGEST = float(1 << 62)  # squared norm from which products are no longs
 FIRST, TIMES = 1, 4  # subtrees of a query's first round, and by how much a round grows
 
@@ -116,7 +117,8 @@ class Subtree:
             begin, end, _, _, centre, _, _ = rows[at]
             here = order[begin:end]
             if len(here) > page:
-                seeds = here[np.sort(rng.permutation(len(here))[:FAN])]
+                fan = min(FAN, math.ceil(len(here) / page))
+                seeds = here[np.sort(rng.permutation(len(here))[:fan])]
                 far = between(points[here], points[seeds])
                 owner = far.argmin(axis=1)
                 if np.bincount(owner).max() == len(here):  # as good as equal: any cut is as good
@@ -146,7 +148,7 @@ class Subtree:
     def nearest(self, entries: np.ndarray, query: np.ndarray, to_root: float, k: int, floor: float, space: Space, taken) -> tuple[list, int]:
         """([(-score, id, place)] of the k best entries not below ``floor``, number of products computed).
 
-        ``taken(lo, hi)`` gives the ids that entries of a stretch stand for, and a mask of those that take part.
+        ``taken(places)`` gives the ids that entries stand for, and a mask of those that take part.
         """
         own = float((query.astype(np.float64) ** 2).sum())
         slack = space.slack(own)
@@ -174,11 +176,12 @@ class Subtree:
             hi = begin + int(np.searchsorted(stretch, away + reach, side="right"))
             score = entries[lo:hi] @ query
             computed += hi - lo
-            ids, part = taken(lo, hi)
-            good = np.flatnonzero(part & (score >= floor))
+            good = np.flatnonzero(score >= floor)
             if len(good):
-                good = good[np.lexsort((ids[good], -score[good]))[:k]]
-                found = heapq.nsmallest(k, found + [(-int(score[g]), int(ids[g]), lo + int(g)) for g in good])
+                ids, part = taken(lo + good)
+                good, ids = good[part], ids[part]
+                first = np.lexsort((ids, -score[good]))[:k]
+                found = heapq.nsmallest(k, found + [(-int(score[good[f]]), int(ids[f]), lo + int(good[f])) for f in first])
                 if len(found) == k:
                     floor = max(floor, float(-found[-1][0]))
                     reach = float(space.away(own, floor)) + slack
@@ -196,7 +199,7 @@ class MTree:
     all rows are kept beside the tree, so a vector that very many rows share is neither a large group nor dropped.
     """
 
-    def __init__(self, rows: DataFrame, page: int = 64, subtree: int = 4096, routing: int = 2048, sample: int = 8192):
+    def __init__(self, rows: DataFrame, page: int = 256, subtree: int = 4096, routing: int = 2048, sample: int = 8192):
         """``routing`` bounds the routing objects of the root, chosen from ``sample`` vectors at most; every row is indexed."""
         name = F.md5(F.array_join(F.transform("v", lambda x: x.cast("bigint").cast("string")), " "))
         self.rows = materialise(rows.groupBy("id", "v").agg(F.count("*").alias("n")).withColumn("name", name), "vectors")
@@ -325,11 +328,14 @@ class MTree:
                     asking = np.frombuffer(row["query_ids"], np.int64)
                     queries = np.frombuffer(row["queries"], np.int64).reshape(len(asking), space.width)
                     floors, aways = np.frombuffer(row["floors"]), np.frombuffer(row["aways"])
+                    norm = (queries.astype(np.float64) ** 2).sum(axis=1).max()
+                    if norm * space.top < EXACT:  # no product nor part of its sum is rounded, and doubles are multiplied faster
+                        entries, queries = entries.astype(np.float64), queries.astype(np.float64)
                     made: list[tuple] = []
                     for q, mine in enumerate(asking.tolist()):
 
-                        def taken(lo: int, hi: int, mine: int = mine) -> tuple[np.ndarray, np.ndarray]:
-                            least = np.where(ids[lo:hi] == mine, seconds[lo:hi], ids[lo:hi])
+                        def taken(places: np.ndarray, mine: int = mine) -> tuple[np.ndarray, np.ndarray]:
+                            least = np.where(ids[places] == mine, seconds[places], ids[places])
                             return least, least != mine
 
                         best_here, computed = tree.nearest(entries, queries[q], float(aways[q]), k, float(floors[q]), space, taken)

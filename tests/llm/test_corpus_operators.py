@@ -155,7 +155,7 @@ def test_subtree_nodes_cover_their_entries_and_skip_most_products():
         for query in range(0, rows, rows // 50):
             own = entries[query]
             to_root = float(space.away((own**2).sum(), entries @ own)[np.flatnonzero(tree.order == 0)[0]])
-            found, cost = tree.nearest(entries, own, to_root, 5, -(2.0**62), space, lambda lo, hi: (np.arange(lo, hi), np.ones(hi - lo, bool)))
+            found, cost = tree.nearest(entries, own, to_root, 5, -(2.0**62), space, lambda places: (places, np.ones(len(places), bool)))
             scores = entries @ own
             assert [(-s, place) for s, _, place in found] == [(scores[j], j) for j in np.lexsort((np.arange(rows), -scores))[:5]]
             computed += cost
