@@ -1,18 +1,21 @@
 """Personal data by base patterns and bootstrapped contexts; DataFrame and SQL functions only.
 
-Spans of four base kinds are the seeds. The two words before a span are its lexical
-pattern. Patterns and what follows them form a graph: a pattern is trusted as far as its
-occurrences in the whole corpus are followed by trusted instances, an instance as far as its
-patterns are. After some rounds, identifiers of no base kind that follow trusted patterns are
-added as spans of kind ``context``.
+Spans of four base kinds are the seeds. The word before a span, the two words before it and
+the word behind it are its lexical patterns; a ``:`` or ``=`` behind a word belongs to it, with
+blanks around it or not. Patterns and what stands at them form a graph: a pattern is trusted as
+far as its occurrences in the whole corpus have trusted instances beside them, an instance as far
+as its best pattern is. After some rounds, identifiers of no base kind at trusted patterns are
+added as spans of kind ``context``: words before an identifier decide, and the word behind it
+where no pattern before it has enough seeds.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import partial
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shirabe.llm.common import materialise
@@ -30,8 +33,11 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 TOKEN = "[A-Za-z0-9._%+@#/()-]"
 CANDIDATE = rf"(?<!{TOKEN})(?={TOKEN}*[0-9]{{3}}){TOKEN}*[A-Za-z0-9]"
-WINDOW = 96  # characters before a span in which its two words are looked for
-BEFORE = r"(?<!\S)(\S+)\s+(\S+)\s+[\"'(\[<]?$"
+SIGNS = r"(?<!\s)\s*+[:=][\s:=]*+"  # written as ": " behind the word
+EDGES = r"""(?<!\S)["'(\[<{,;.]++|(?<!["')\]>},;.])["')\]>},;.]++(?=:?(?:\s|$))"""  # no part of a word
+BEFORE = r"""(?<![^\s:=])(?:[^\s:=]++[\s:=]++){1,3}["'(\[<{]?$"""  # three words that end where a span starts, or fewer
+OPENING = r"""["'(\[<{]$"""
+BEHIND = r"""^["')\]>},;.]*+\s++([^\s:=]++)[\s:=]"""
 RESIDUES = 1 << 16
 
 
@@ -116,56 +122,114 @@ def base_spans(text: Column) -> Column:
     return F.concat(*(of_kind(kind) for kind in KINDS))
 
 
-def pattern_of(text: Column, start: Column) -> Column:
-    """The two words before a position, lower case, joined by a blank; null if there are not two."""
-    before = F.substring(text, F.greatest(start - WINDOW, F.lit(0)) + 1, F.least(start, F.lit(WINDOW)))
-    words = F.concat_ws(" ", F.regexp_extract(before, BEFORE, 1), F.regexp_extract(before, BEFORE, 2))
-    return F.when(F.length(words) > 2, F.lower(words))
+def plain(text: Column) -> Column:
+    """Text as pattern words: lower case, no quotes, brackets or stops at the edges of a word, signs as a colon at its end."""
+    return F.lower(F.regexp_replace(F.regexp_replace(text, SIGNS, ": "), EDGES, ""))
+
+
+def last_words(before: Column, whole: Column) -> Column:
+    """One and two words at the end of a string as patterns; its first word counts only if the string is ``whole`` to the left."""
+
+    def of(words: Column) -> Column:
+        at = lambda i: F.get(words, F.size(words) - i - 1)  # noqa: E731  # the last element is empty
+        known = lambda i: (F.size(words) > i + F.when(whole | (F.size(words) > 3), 0).otherwise(1)) & F.rtrim(at(i), F.lit(":")).rlike(".")
+        one = F.when(known(1), F.concat(F.lit("1 "), at(1)))
+        return F.array(one, F.when(known(1) & known(2), F.concat(F.lit("2 "), at(2), F.lit(" "), at(1))))
+
+    tail = F.regexp_replace(F.regexp_extract(before, BEFORE, 0), OPENING, "")
+    return bound(F.split(plain(tail), r"\s++"), of)
+
+
+def next_word(behind: Column) -> Column:
+    """The word a string starts with, behind a blank, as a pattern."""
+    word = plain(F.regexp_extract(behind, BEHIND, 1))
+    return F.when(word != "", F.concat(F.lit("r "), word))
+
+
+def patterns_at(text: Column, pattern: str, counts: Callable[[Column], Column]) -> Column:
+    """Lexical patterns of every match of a regular expression, in order; none for a match that does not count.
+
+    The words are looked for from the second match before to the second behind, so that no stretch of a text is
+    read more than a few times; a word glued together from more matches than that is no pattern.
+    """
+    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+
+    def near(match: Column) -> Column:
+        part = lambda array, i: F.coalesce(F.when(i >= 0, F.get(match[array], i)), F.lit(""))
+        before = lambda i: F.concat(part("found", i - 2), part("gaps", i - 1), part("found", i - 1), part("gaps", i))
+        end = lambda i: F.when(i + 2 >= F.size(match["found"]), " ").otherwise("")
+        behind = lambda i: F.concat(part("gaps", i + 1), part("found", i + 1), part("gaps", i + 2), end(i))
+        words = lambda i: F.concat(last_words(before(i), i < 2), F.array(next_word(behind(i))))
+        none = F.array().cast("array<string>")
+        return F.transform(match["found"], lambda v, i: F.when(counts(v), F.array_compact(words(i))).otherwise(none))
+
+    none = F.array().cast("array<array<string>>")
+    return F.when(F.size(found) > 0, bound(F.struct(found.alias("found"), gaps.alias("gaps")), near)).otherwise(none)
 
 
 def scanned(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(row, key, base, seen): per document its base spans, and all instances with the pattern before them."""
+    """(row, key, base, seen): per document its base spans, and all instances with the patterns at them."""
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = df.select(F.xxhash64(F.col(key), whole).alias("row"), F.col(key).alias("key"), whole.alias("text"))
+    rows = df.select(F.col(key).alias("key"), whole.alias("text"))
+    rows = rows.withColumn("row", F.md5(F.concat_ws("\0", F.col("key").cast("string"), "text")))
     rows = rows.withColumn("base", base_spans(F.col("text")))
-    overlaps = lambda c: F.exists("base", lambda b: (c["start"] < b["end"]) & (b["start"] < c["end"]))
-    rows = rows.withColumn("others", F.filter(located(F.col("text"), CANDIDATE), lambda c: ~overlaps(c)))
 
     def instance(seed: bool):
-        return lambda s: F.struct(
-            F.lit(seed).alias("seed"),
-            s["start"].alias("start"),
-            s["end"].alias("end"),
-            F.xxhash64(s["value"]).alias("value"),
-            pattern_of(F.col("text"), s["start"]).alias("pattern"),
+        return lambda s, patterns: F.struct(
+            F.lit(seed).alias("seed"), s["start"].alias("start"), s["end"].alias("end"), F.xxhash64(s["value"]).alias("value"), patterns.alias("patterns")
         )
 
-    seen = F.concat(F.transform("base", instance(True)), F.transform("others", instance(False)))
+    def seeds(kind: str) -> Column:
+        at = F.filter(F.zip_with(located(F.col("text"), PATTERNS[kind]), patterns_at(F.col("text"), PATTERNS[kind], partial(valid, kind)), instance(True)), lambda s: F.size(s["patterns"]) > 0)
+        return F.when(F.exists("base", lambda b: b["kind"] == kind), at).otherwise(at_none)
+
+    at_none = F.array().cast("array<struct<seed:boolean,start:int,end:int,value:bigint,patterns:array<string>>>")
+    others = F.zip_with(located(F.col("text"), CANDIDATE), patterns_at(F.col("text"), CANDIDATE, lambda v: F.lit(True)), instance(False))
+    # Base spans without patterns stay among the instances: candidates that touch them are none.
+    bare = F.transform("base", lambda b: instance(True)(b, F.array().cast("array<string>")))
     base = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return rows.select("row", "key", base.alias("base"), F.filter(seen, lambda s: s["pattern"].isNotNull()).alias("seen"))
+    return rows.select("row", "key", base.alias("base"), F.concat(*(seeds(kind) for kind in KINDS), bare, others).alias("seen"))
+
+
+def clear(instances: DataFrame) -> DataFrame:
+    """Instances without the candidates that share a place with a base span of their text."""
+    of_row = Window.partitionBy("row").orderBy("start", F.col("seed").desc())
+    reach = F.max(F.when(F.col("seed"), F.col("end"))).over(of_row.rowsBetween(Window.unboundedPreceding, 0))
+    following = F.min(F.when(F.col("seed"), F.col("start"))).over(of_row.rowsBetween(0, Window.unboundedFollowing))
+    touched = (F.coalesce("_reach", F.lit(0)) > F.col("start")) | (F.coalesce("_next", F.col("end")) < F.col("end"))
+    placed = instances.withColumn("_reach", reach).withColumn("_next", following)
+    return placed.where(F.col("seed") | ~touched).where(F.size("patterns") > 0).drop("_reach", "_next")
 
 
 def occurrences(df: DataFrame, text: str, patterns: DataFrame) -> DataFrame:
-    """(pattern, total): how often each pattern occurs in all texts, whatever follows.
+    """(pattern, total): how often each pattern occurs in all texts, whatever stands at it.
 
-    Pairs of words first pass a literal table of 2^16 hash residues, whatever the number
+    Words, then patterns, first pass a literal table of 2^16 hash residues, whatever the number
     of patterns, and are counted before the shuffle.
     """
     residue = lambda c: F.pmod(F.xxhash64(c), F.lit(RESIDUES)).cast("int")
-    spots = {r[0] for r in patterns.select(residue("pattern")).distinct().collect()}  # 2^16 numbers at most
-    known = F.from_json(F.lit(json.dumps([int(i in spots) for i in range(RESIDUES)])), "array<int>")
-    words = F.split(F.lower(F.translate(F.col(text).cast("string"), "\n\t\r\f\x0b", "     ")), " ")
-    filled = df.where(F.col(text).isNotNull()).select(F.filter(words, lambda w: w != "").alias("words"))
-    pairs = filled.select(F.explode(F.zip_with("words", F.slice("words", 2, F.size("words")), lambda a, b: F.concat_ws(" ", a, b))).alias("pattern"))
-    near = pairs.where(F.get(known, residue("pattern")) == 1)
-    return near.groupBy("pattern").agg(F.count("*").alias("total")).join(patterns.select("pattern"), "pattern")
+    unmarked = lambda c: F.rtrim(c, F.lit(":"))
+
+    def table(of: Column) -> Column:
+        spots = {r[0] for r in patterns.select(residue(of)).distinct().collect()}  # 2^16 numbers at most
+        return F.from_json(F.lit(json.dumps([int(i in spots) for i in range(RESIDUES)])), "array<int>")
+
+    last = table(unmarked(F.substring_index("pattern", " ", -1)))
+    known = table(F.col("pattern"))
+    words = df.where(F.col(text).isNotNull()).select(F.split(plain(F.col(text).cast("string")), r"\s++").alias("words"))
+    pair = lambda w, p: F.struct(w.alias("w"), p.alias("p"))
+    each = words.select(F.explode(F.zip_with("words", F.slice(F.concat(F.array(F.lit("")), "words"), 1, F.size("words")), pair)).alias("e")).select("e.w", "e.p")
+    near = each.where(F.get(last, residue(unmarked(F.col("w")))) == 1)
+    here = F.array(F.concat(F.lit("1 "), "w"), F.concat(F.lit("2 "), "p", F.lit(" "), "w"), F.concat(F.lit("r "), unmarked(F.col("w"))))
+    spots = near.select(F.explode(here).alias("pattern")).where(F.get(known, residue(F.col("pattern"))) == 1)
+    return spots.groupBy("pattern").agg(F.count("*").alias("total")).join(patterns.select("pattern"), "pattern")
 
 
-def contexts(df: DataFrame, text: str, instances: DataFrame, rounds: int, support: int, trust: float) -> DataFrame:
-    """(pattern): patterns trusted after some rounds.
+def contexts(df: DataFrame, text: str, instances: DataFrame, rounds: int, support: int) -> DataFrame:
+    """(pattern, score): how far patterns are trusted after some rounds.
 
     A pattern needs ``support`` different seeds. Its trust is the trust of all instances
-    after it over all its occurrences; an instance that is no seed has that of its best pattern.
+    at it over all its occurrences; an instance that is no seed has that of its best pattern.
     """
     backed = (
         instances.where("seed").groupBy("pattern", "value").agg(F.count("*").alias("n")).groupBy("pattern").agg(F.count("*").alias("seeds"))
@@ -186,7 +250,7 @@ def contexts(df: DataFrame, text: str, instances: DataFrame, rounds: int, suppor
         )
         scores = materialise(scores, "scores")
         trusted = edges.where("not seed").join(scores, "pattern").groupBy("value").agg(F.max("score").alias("t"))
-    return scores.where(F.col("score") >= trust).select("pattern")
+    return scores
 
 
 def find(df: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = 3, support: int = 5, trust: float = 0.5) -> DataFrame:
@@ -195,11 +259,17 @@ def find(df: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = 3
     Null and empty texts have no spans; repeated rows get the same spans.
     """
     rows = materialise(scanned(df, key, text), "scanned")
-    instances = rows.select("row", F.explode("seen").alias("i")).select("row", "i.*")
-    good = contexts(df, text, instances.drop("start", "end"), rounds, support, trust)
+    found = clear(rows.select("row", F.explode("seen").alias("i")).select("row", "i.*"))
+    instances = materialise(found.withColumn("pattern", F.explode("patterns")).drop("patterns"), "instances")
+    scores = contexts(df, text, instances.drop("start", "end"), rounds, support)
+    behind = F.col("pattern").startswith("r ")
+    judged = F.coalesce(F.max(F.when(~behind, F.col("score"))), F.max("score"))
     new = (
         instances.where("not seed")
-        .join(good, "pattern")
+        .join(scores, "pattern")
+        .groupBy("row", "start", "end")
+        .agg(judged.alias("score"))
+        .where(F.col("score") >= trust)
         .select("row", F.struct(F.lit("context").alias("kind"), "start", "end").alias("span"))
         .groupBy("row")
         .agg(F.sort_array(F.collect_set("span")).alias("added"))  # no more than the spans of one document

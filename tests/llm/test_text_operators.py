@@ -149,6 +149,66 @@ def test_contexts_find_unseen_identifiers(spark):
     assert all(not r.added for r in pii.find(spark.createDataFrame(data, DOCS)).collect())
 
 
+def test_kinds_of_contexts(spark):
+    picked = random.Random(5)
+    word = lambda: "".join(picked.choices("abcdefgh", k=6))
+    labels = {"ssn": "{w}, SSN: {v} {w}", "tel": "{w} tel={v} {w}", "json": '{w} {{"account": "{v}"}}', "start": "ID:{v} {w}", "far": "reach  me   at\t{v}, {w}", "after": "{w} {v} extension {w}"}
+    data, plant = [], {}
+    for n, form in enumerate(labels.values()):
+        data += [(1000 * n + i, form.format(w=word(), v=f"{word()}@{word()}.example.org"), None, "", "") for i in range(8)]
+        key = 1000 * n + 500
+        text = form.format(w=word(), v="12-345-67")
+        data.append((key, text, None, "", ""))
+        plant[key] = ((text.index("12-345-67"), text.index("12-345-67") + 9),)
+    data += [(9000 + i, f"{word()} in 1{i:03} {word()}", None, "", "") for i in range(30)]
+    long = "x" * 300
+    data += [(9100 + i, f"{long} {long}: {word()}@{word()}.org {word()}", None, "", "") for i in range(8)]
+    data.append((9200, f"{long} {long}: 77-88-991", None, "", ""))
+    plant[9200] = ((603, 612),)
+    assert {r.doc_id: pii_texts(r) for r in pii.find(spark.createDataFrame(data, DOCS)).collect() if r.added} == plant
+
+
+def loop_words(text: str) -> list[str]:
+    text = re.sub(r"\s*[:=][\s:=]*", ": ", text)
+    out = [re.sub(r"""["')\]>},;.]+(?=:?$)""", "", w.lstrip("\"'([<{,;.")).lower() for w in text.split()]
+    return [w for w in out if w]
+
+
+def test_graph_by_loops(spark):
+    picked = random.Random(6)
+    labels = ["at", "call", "id:", "of", "Mail", "no =", "(ref"]
+    texts = []
+    for _ in range(300):
+        value = picked.choice(["{}@b.org", "{}@c.org", "{}-223", "word"]).format(picked.choice("abcdefghijkl") * 2)
+        texts.append(" ".join([*picked.choices(labels, k=3), value, *picked.choices(["now", "today.", "of"], k=2)]))
+    total, edges = {}, {}
+    for text in texts:
+        words = loop_words(text)
+        for i, w in enumerate(words):
+            for p in [f"1 {w}", f"r {w.rstrip(':')}", *([f"2 {words[i - 1]} {w}"] if i else [])]:
+                total[p] = total.get(p, 0) + 1
+            if re.search("@|[0-9]{3}", w):
+                for p in [f"1 {words[i - 1]}", f"2 {words[i - 2]} {words[i - 1]}", f"r {words[i + 1].rstrip(':')}"]:
+                    edges[p, w] = edges.get((p, w), 0) + 1
+    backed = {p for p, _ in edges if sum("@" in v for q, v in edges if q == p) >= 5}
+    trust = {}
+    for _ in range(3):
+        scores = {p: min(1.0, sum(n * (1.0 if "@" in v else trust.get(v, 0.0)) for (q, v), n in edges.items() if q == p) / total[p]) for p in backed}
+        for v in {v for _, v in edges if "@" not in v}:
+            trust[v] = max([scores[p] for p, u in edges if u == v and p in backed], default=0.0)
+    docs = spark.createDataFrame([(i, t, None, "", "") for i, t in enumerate(texts)], DOCS)
+    found = pii.clear(pii.scanned(docs, "doc_id", "text").select("row", F.explode("seen").alias("i")).select("row", "i.*"))
+    instances = found.withColumn("pattern", F.explode("patterns")).drop("patterns", "start", "end")
+    got = {r.pattern: r.score for r in pii.contexts(docs, "text", instances, 3, 5).collect()}
+    assert len(backed) > 10 and got == pytest.approx(scores)
+
+
+def test_candidates_clear_of_base_spans(spark):
+    spans = [(0, 4, True), (6, 9, False), (3, 6, False), (9, 12, True), (8, 10, False), (12, 15, False), (13, 14, True), (9, 12, False)]
+    df = spark.createDataFrame([("a", *s, ["1 w"]) for s in spans] + [("b", 0, 3, False, ["1 w"])], "row string, start int, end int, seed boolean, patterns array<string>")
+    assert sorted(tuple(r) for r in pii.clear(df).where("not seed").select("row", "start", "end").collect()) == [("a", 6, 9), ("b", 0, 3)]
+
+
 def pii_texts(row) -> tuple:
     return tuple((s.start, s.end) for s in row.added)
 
