@@ -7,10 +7,12 @@ import hashlib
 import json
 import random
 import re
+import struct
 from pathlib import Path
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from shirabe.llm import common, decontaminate, jaccard, mtree, ring, warc
@@ -81,6 +83,33 @@ def test_ring_placement_overflows_clockwise():
     assert sum(e - s for _, s, e, _, _ in placed) == sum(counts)
 
 
+def test_ring_by_loops(spark):
+    keys = random.Random(9).sample(range(10**9), 900)
+    found = {r.doc_id: r for r in ring.shard(spark.createDataFrame([(k,) for k in keys], "doc_id long"), ["doc_id"], shards=6, replicas=5, cell_rows=16).collect()}
+    nodes, bounds = ring.virtual_nodes(6, 5), ring.capacities(len(keys), 6)
+    at = {k: int.from_bytes(xxhash.xxh64(struct.pack("<q", k), seed=42).digest(), "big", signed=True) for k in keys}
+    arc = {k: next((i for i, (place, _) in enumerate(nodes) if at[k] <= place), 0) for k in keys}
+    assert {k: found[k].home for k in keys} == {k: nodes[arc[k]][1] for k in keys}
+    owned = [sum(r.home == s for r in found.values()) for s in range(6)]
+    stayed = [sum(r.home == s == r.shard for r in found.values()) for s in range(6)]
+    assert stayed == [min(o, b) for o, b in zip(owned, bounds, strict=True)]
+    # A fresh walk, one key at a time: after the owners, the rest of each arc goes on clockwise to a shard with room.
+    load, moved = stayed[:], {}
+    for i in range(len(nodes)):
+        for _ in range(sum(arc[k] == i and found[k].shard != found[k].home for k in keys)):
+            step = (i + 1) % len(nodes)
+            while load[nodes[step][1]] == bounds[nodes[step][1]]:
+                step = (step + 1) % len(nodes)
+            shard = nodes[step][1]
+            load[shard] += 1
+            moved[i, shard] = moved.get((i, shard), 0) + 1
+    got = {}
+    for k, r in found.items():
+        if r.shard != r.home:
+            got[arc[k], r.shard] = got.get((arc[k], r.shard), 0) + 1
+    assert got == moved and moved
+
+
 def test_most_keys_stay_when_a_shard_is_added(spark):
     df = spark.range(4000).withColumnRenamed("id", "doc_id")
     before = {r.doc_id: r.shard for r in ring.shard(df, ["doc_id"], shards=8).collect()}

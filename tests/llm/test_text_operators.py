@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -55,6 +56,31 @@ def test_language_edge_cases(spark):
     assert language.identify(docs.limit(0), model).collect() == []
 
 
+def test_scores_are_those_of_kernel_ridge_regression(spark):
+    """With every text a landmark, the fit is ridge regression on the whole kernel matrix."""
+    rows = [(n, prose(lang, n, 12), lang, "", "") for n in range(12) for lang in WORDS]
+    model = language.fit(spark.createDataFrame(rows, DOCS), landmarks=len(rows), ridge=1.0)
+
+    def grams(text: str) -> set[str]:
+        text = f" {text} "
+        return {text[i : i + n] for n in (1, 2, 3) for i in range(len(text) - n + 1)}
+
+    sets = [grams(r[1]) for r in rows]
+    shared = {g for a in sets for g in a if sum(g in b for b in sets) > 1}
+
+    def kernel(a: set, b: set) -> float:
+        return len(a & b & shared) / (len(a & shared) * len(b & shared)) ** 0.5
+
+    whole = np.array([[kernel(a, b) for b in sets] for a in sets])
+    goal = np.array([[1.0 if r[2] == lang else -1.0 for lang in model.languages] for r in rows])
+    weights = np.linalg.solve(whole + len(rows) / 100 * np.eye(len(rows)), goal)
+    asked = [prose(lang, 100 + n, 9) for n in range(5) for lang in WORDS]
+    marks = np.array([[kernel(grams(text), b) for b in sets] for text in asked]) @ weights
+    names, scores = model.predict(asked)
+    assert names == [model.languages[i] for i in marks.argmax(axis=1)]
+    assert scores == pytest.approx(np.clip((marks.max(axis=1) + 1) / 2, 0, 1), abs=2e-3)
+
+
 def test_gram_codes_do_not_depend_on_pieces(monkeypatch):
     table = language.symbol_table()
     text = prose("fr", 3, 200) + "  éà!! x"
