@@ -193,9 +193,11 @@ def scanned(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def clear(instances: DataFrame) -> DataFrame:
     """Instances without the candidates that share a place with a base span of their text."""
-    of_row = Window.partitionBy("row").orderBy("start", F.col("seed").desc())
-    reach = F.max(F.when(F.col("seed"), F.col("end"))).over(of_row.rowsBetween(Window.unboundedPreceding, 0))
-    following = F.min(F.when(F.col("seed"), F.col("start"))).over(of_row.rowsBetween(0, Window.unboundedFollowing))
+    # Both windows end at the current row: one that began there would be computed anew for every row.
+    rising, falling = (F.asc("start"), F.desc("seed")), (F.desc("start"), F.asc("seed"))
+    upto = lambda order: Window.partitionBy("row").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    reach = F.max(F.when(F.col("seed"), F.col("end"))).over(upto(rising))
+    following = F.min(F.when(F.col("seed"), F.col("start"))).over(upto(falling))
     touched = (F.coalesce("_reach", F.lit(0)) > F.col("start")) | (F.coalesce("_next", F.col("end")) < F.col("end"))
     placed = instances.withColumn("_reach", reach).withColumn("_next", following)
     return placed.where(F.col("seed") | ~touched).where(F.size("patterns") > 0).drop("_reach", "_next")
