@@ -11,6 +11,7 @@ from shirabe.catalog import roles
 from shirabe.catalog.registry import Tables, query
 from shirabe.functions import text
 from shirabe.operators.join import multiply_rows
+from shirabe.operators.project import dealt_for
 from shirabe.plans import lists, marts
 from shirabe.session import scratch_path
 from shirabe.sources import readers, writers
@@ -709,6 +710,7 @@ SOURCES = {
 DERIVED = {f"src_{kind}_{i:03d}": text.format(i=i) for i in range(120) for kind, text in SOURCES.items()}
 LIVE = KEYS | {name: name.replace("src_", "client_") for name in DERIVED}
 RECAST = {d: "string" for d in LIVE.values() if d.startswith("client_number_")}
+VARIED = ["client_key", "client_name", *[d for s, d in LIVE.items() if s in DERIVED and not s.startswith("src_place_")]]
 RETIRED = {f"web_flag_{2010 + i // 48}_{i % 48:02d}": "string" for i in range(533 - len(LIVE))}
 
 
@@ -725,10 +727,12 @@ def _wide_sql() -> str:
 def job_wide_mart(t: Tables) -> DataFrame:
     wide = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     wide = wide.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
-    wide = wide.select(*KEYS, *[F.expr(text).alias(name) for name, text in DERIVED.items()])
-    out = marts.wide_copy(wide, LIVE, RETIRED, [*LIVE.values(), *RETIRED], RECAST)
+    layout = [*LIVE.values(), *RETIRED]
+    rows = dealt_for(wide.select(*KEYS), len(layout), "c_custkey")
+    wide = rows.select(*KEYS, *[F.expr(text).alias(name) for name, text in DERIVED.items()])
+    out = marts.wide_copy(wide, LIVE, RETIRED, layout, RECAST)
     root = scratch_path(t.spark, "wide")
-    return writers.publish(out, f"{root}/staging", f"{root}/main", "client_key")
+    return writers.publish(out, f"{root}/staging", f"{root}/main", "client_key", plain=VARIED)
 
 
 @query(

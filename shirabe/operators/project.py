@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -23,6 +24,20 @@ def null_columns(df: DataFrame, types: dict[str, str]) -> DataFrame:
     return df.select(*kept, *added)
 
 
+# Values one task makes and writes of a wide layout.
+TASK_VALUES = 1 << 24
+
+
+def dealt_for(df: DataFrame, columns: int, key: str) -> DataFrame:
+    """Rows dealt by a unique key to as many tasks as ``columns`` columns made of each row call for.
+
+    A file of narrow rows is one task however many there are. Spark sizes partitions by bytes read, so the
+    rows are counted, and moved while they are narrow.
+    """
+    tasks = math.ceil(df.count() * columns / TASK_VALUES)
+    return df.repartition(tasks, key) if tasks > 1 else df
+
+
 def project_from_config(
     df: DataFrame, config: DataFrame, *, include_deprecated: bool = True, debug: bool = False
 ) -> DataFrame:

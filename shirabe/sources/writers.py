@@ -168,15 +168,18 @@ class StageMismatch(ValueError):
     """The staged table does not hold the rows it was given."""
 
 
-def publish(df: DataFrame, staging: str, main: str, key: str, keep: int = 2) -> DataFrame:
+def publish(df: DataFrame, staging: str, main: str, key: str, keep: int = 2, plain: list[str] = ()) -> DataFrame:
     """Write to staging, check the stage, then move it into main as its next version.
 
     The stage must hold as many rows as were handed to the writer (counted on the
     way) and no key twice. The folder is moved, not copied, and main is readable throughout (``current_table``).
+    ``plain`` names columns whose values hardly repeat: they are written without a dictionary, which would be given up
+    after most of the time has gone into it.
     """
     spark = df.sparkSession
     given = Observation()
-    df.observe(given, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(staging)
+    options = {f"parquet.enable.dictionary#{c}": "false" for c in plain}
+    df.observe(given, F.count(F.lit(1)).alias("n")).write.mode("overwrite").options(**options).parquet(staging)
     rows, keys = spark.read.parquet(staging).agg(F.count(F.lit(1)), F.countDistinct(key)).first()
     if rows != given.get["n"] or keys != rows:
         raise StageMismatch(f"{staging}: {rows} rows, {keys} keys, {given.get['n']} rows written")

@@ -7,9 +7,11 @@ import random
 import sys
 from datetime import datetime
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from shirabe.catalog import QUERIES
 from shirabe.operators import aggregate, change, join, project
 from shirabe.session import scratch_path
 from shirabe.sources import paging, readers, writers
@@ -325,3 +327,34 @@ def test_distincts_roll_up_from_days(spark, rows):
     assert {r.day: r.n for r in aggregate.distinct_of_bitmaps(days, ["day"], "n").collect()} == per_day
     halves = aggregate.distinct_of_bitmaps(days.withColumn("half", F.floor(F.col("day") / 3)), ["half"], "n")
     assert {r.half: r.n for r in halves.collect()} == {h: len({i for e, i in data if e // 3 == h and i is not None}) for h in (0, 1)}
+
+
+def test_wide_mart_of_one_file_is_made_by_several_tasks(spark):
+    folder = scratch_path(spark, "narrow")
+    key = F.col("id")
+    people = spark.range(0, 40_000, 1, 1).select(
+        key.alias("c_custkey"),
+        F.format_string("Customer#%09d", key).alias("c_name"),
+        (key % 2).cast("int").alias("c_nationkey"),
+        (key / 100).alias("c_acctbal"),
+        F.lit("FURNITURE").alias("c_mktsegment"),
+    )
+    people.write.parquet(f"{folder}/customer.parquet")
+    spark.createDataFrame([(0, "FRANCE", 3), (1, "JAPAN", 2)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{folder}/nation.parquet")
+    spark.createDataFrame([(2, "ASIA"), (3, "EUROPE")], "r_regionkey int, r_name string").write.parquet(f"{folder}/region.parquet")
+    mart = QUERIES["job_wide_mart"](spark, folder)
+    assert len(mart.inputFiles()) > 1 and len(mart.columns) == 533
+    found = mart.agg(F.count("*"), F.count_distinct("client_key"), F.min("client_amount_001"), F.max("client_amount_119"), F.count("web_flag_2010_00"))
+    assert tuple(found.first()) == (40_000, 40_000, 1.0, 518.99, 0)
+    last = mart.where("client_key = 39999").first()
+    assert (last.client_label_007, last.client_number_007, last.client_place_007) == ("Customer#000039999-7", "40006", "JAPAN/7")
+
+
+def test_publish_without_dictionary(spark):
+    root = scratch_path(spark, "plain")
+    df = spark.range(0, 1000, 1, 1).select("id", F.concat(F.lit("n"), "id").alias("name"), (F.col("id") % 3).alias("kind"))
+    made = writers.publish(df, f"{root}/s", f"{root}/m", "id", plain=["id", "name"])
+    assert made.count() == 1000 and made.where("name = 'n' || id AND kind = id % 3").count() == 1000
+    row_group = pq.ParquetFile(made.inputFiles()[0].removeprefix("file://")).metadata.row_group(0)
+    encoded = [any("DICTIONARY" in e for e in row_group.column(i).encodings) for i in range(3)]
+    assert encoded == [False, False, True]
