@@ -17,6 +17,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shirabe.llm.common import materialise
 from shirabe.llm.pii import located
 
 SIGN = "[A-Za-z0-9+/_-]"
@@ -208,10 +209,12 @@ def parsed(text: str) -> list:
 
 def train(labelled: DataFrame, trees: int = 25, depth: int = 6, seed: int = 7) -> Forest:
     """A forest from labelled findings (value, before, after, path, label); their number is the caller's bound. Without any it keeps nothing."""
-    if labelled.isEmpty():
-        return Forest([0.0])
     row = features(*(F.col(c) for c in ("value", "before", "after", "path")))
-    wide = labelled.select("label", row.alias("f")).select("label", *(F.get("f", F.lit(i)).alias(n) for i, n in enumerate(FEATURES)))
+    # Spark ML reads its rows several times: findings and features are made once, and its plans are short.
+    made = materialise(labelled.select("label", row.alias("f")), "features")
+    if made.isEmpty():
+        return Forest([0.0])
+    wide = made.select("label", *(F.get("f", F.lit(i)).alias(n) for i, n in enumerate(FEATURES)))
     ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(wide).select("label", "features")
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(ready)
     return Forest(parsed(model.toDebugString))

@@ -389,6 +389,12 @@ def test_bands_cover_all_similar_sizes():
         assert plain + 2 * deleting > bands.difference(bands.band(size))
 
 
+def test_components_of_no_edges(spark):
+    late = spark.range(100).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).where("a % 7 > b * 100").repartition(3)
+    for edges in (spark.createDataFrame([], "a long, b long"), spark.createDataFrame([(1, 1)], "a long, b long"), late):
+        assert common.components(edges).isEmpty()
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 30)] + [(100, 102), (102, 101), (200, 200)] + [(500 + i, 500) for i in range(40)]
     found = {r.node: r.root for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}

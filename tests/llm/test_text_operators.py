@@ -253,6 +253,21 @@ def forest(spark):
     return secrets.train(secrets.labelled_findings(docs, rows=100), trees=15)
 
 
+def test_training_makes_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [(f"{i:04x}" * 10, "token = " if i % 2 else "commit ", "\n", "", float(i % 2)) for i in range(40)]
+    layout = "value string, before string, after string, path string, label double"
+    labelled = spark.createDataFrame(rows, layout).coalesce(1).mapInArrow(counted, layout)
+    assert len(secrets.train(labelled, trees=3).trees) == 3 and seen.value == 40
+    assert secrets.train(labelled.where("false")).trees == [0.0]
+
+
 def test_secrets_are_kept_and_false_positives_go(spark, forest):
     key = hashlib.sha1(b"held out").hexdigest()
     texts = {
